@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import fact_queries, retrieval_queries
+from factloom.plans import eval_queries, fact_queries, retrieval_queries
 
-_MODULES = (retrieval_queries, fact_queries)
+_MODULES = (retrieval_queries, fact_queries, eval_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
