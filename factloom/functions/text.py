@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.batch import batch_function
+
 #: Coverage of a quote, its anchor, its least length.
 COVERAGE = 0.90
 ANCHOR = 30
@@ -34,12 +36,12 @@ def coverage(quote: str | None, source: str | None) -> tuple[bool, float, int]:
     return False, sum(sizes) / len(q), max(sizes, default=0)
 
 
-@F.pandas_udf("string")
+@batch_function("string")
 def _normal_form(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else normal_form(t))
 
 
-@F.pandas_udf("struct<exact:boolean,coverage:double,longest:int>")
+@batch_function("struct<exact:boolean,coverage:double,longest:int>")
 def _coverage(quotes: pd.Series, sources: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([coverage(q, s) for q, s in zip(quotes, sources, strict=True)], columns=["exact", "coverage", "longest"])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK_QUERIES = 256
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -15,9 +17,16 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, vec_id, score): cosine of each query (query_id, q) with every vector (vec_id, embedding). The queries are
-    a stated set that the caller keeps small; they are broadcast and vectors are scanned once without a shuffle."""
-    return vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("score"))
+    """(query_id, vec_id, score): cosine of each query (query_id, q) with every vector (vec_id, embedding).
+
+    Queries are gathered into blocks of about ``BLOCK_QUERIES``; a vector meets a block as one row and its queries inside it,
+    by an equi-join on the block's number, so neither side is broadcast whatever its size.
+    """
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    held = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("_block").agg(F.collect_list(F.struct("query_id", "q")).alias("_queries"))
+    dealt = vectors.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    pairs = dealt.join(held, "_block").select("vec_id", "embedding", F.explode("_queries").alias("x"))
+    return pairs.select("x.query_id", "vec_id", cosine(F.col("x.q"), F.col("embedding")).alias("score"))
 
 
 def vector_top(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.batch import batch_function
+
 WINDOW_TOKENS = 380
 HEADER_ROWS = 3
 
@@ -33,7 +35,7 @@ def split_windows(text: str, limit: int = WINDOW_TOKENS, count=lambda line: len(
 
 
 def windows_of(text: Column, limit: int = WINDOW_TOKENS) -> Column:
-    @F.pandas_udf("array<string>")
+    @batch_function("array<string>")
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_windows(t or "", limit))
 

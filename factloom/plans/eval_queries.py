@@ -122,10 +122,10 @@ def run_final_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question ids of conversations by their first turn; the benchmark items are the known questions."""
+    """Question ids of conversations by their first turn; each first text is a known question, named by the first conversation that asked it."""
     turns = _turns(spark, sf_dir)
     roots = turns.where("ord = 0").select("run_id", "ord", F.col("text").alias("question"))
-    first = roots.groupBy("question").agg(F.min("run_id").cast("string").alias("id"), F.min("run_id").alias("ord")).where("ord % 2 = 0")
+    first = roots.groupBy("question").agg(F.min("run_id").cast("string").alias("id"), F.min("run_id").alias("ord"))
     return trace.question_ids(roots, first)
 
 
@@ -134,8 +134,8 @@ def replay_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     price = F.col("o_totalprice")
     graded = F.when(F.col("o_orderstatus") == "P", None).otherwise(F.col("o_orderstatus") == "F").alias("correct")
-    base = orders.where("o_orderkey % 50 <> 0").select(F.col("o_orderkey").alias("run_id"), (price > 200000).alias("withheld"), graded)
-    new = orders.where("o_orderkey % 49 <> 0").select(F.col("o_orderkey").alias("run_id"), (price > 250000).alias("withheld"), graded)
+    base = orders.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("run_id"), (price > 200000).alias("withheld"), graded)
+    new = orders.where("o_orderpriority <> '3-MEDIUM'").select(F.col("o_orderkey").alias("run_id"), (price > 250000).alias("withheld"), graded)
     new = new.withColumn("withheld", F.col("withheld") | (F.col("run_id") % 10 == 3))
     return trace.replay_outcomes(base, new).groupBy("presence", "change").agg(F.count("*").alias("n"))
 
@@ -191,8 +191,8 @@ SELECT *, floor(false_positive::DOUBLE / nullif(false_positive + true_positive,
     "run_final_step": """WITH a AS (SELECT conv_id, text AS answer FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1)
 SELECT conv_id AS run_id, turn AS ord, role FROM conversations JOIN a USING (conv_id) WHERE text = answer QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1""",
     "run_questions": """WITH roots AS (SELECT conv_id, text FROM conversations WHERE turn = 0), f AS (SELECT text, min(conv_id) AS id FROM roots GROUP BY 1),
-k AS (SELECT trim(text) AS t, id FROM f WHERE id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY trim(text) ORDER BY id DESC) = 1)
+k AS (SELECT trim(text) AS t, id FROM f QUALIFY row_number() OVER (PARTITION BY trim(text) ORDER BY id DESC) = 1)
 SELECT conv_id AS run_id, coalesce(id::VARCHAR, '?') AS qid FROM roots LEFT JOIN k ON trim(text) = t""",
-    "replay_outcomes": """WITH o AS (SELECT o_orderkey AS r, o_totalprice > 200000 AS was, o_totalprice > 250000 OR o_orderkey % 10 = 3 AS now, CASE WHEN o_orderstatus = 'P' THEN 'ungraded' WHEN o_orderstatus = 'F' THEN 'correct' ELSE 'wrong' END AS g, o_orderkey % 50 <> 0 AS b, o_orderkey % 49 <> 0 AS n FROM orders)
+    "replay_outcomes": """WITH o AS (SELECT o_orderkey AS r, o_totalprice > 200000 AS was, o_totalprice > 250000 OR o_orderkey % 10 = 3 AS now, CASE WHEN o_orderstatus = 'P' THEN 'ungraded' WHEN o_orderstatus = 'F' THEN 'correct' ELSE 'wrong' END AS g, o_orderpriority <> '5-LOW' AS b, o_orderpriority <> '3-MEDIUM' AS n FROM orders)
 SELECT CASE WHEN NOT b THEN 'only_in_replay' WHEN NOT n THEN 'only_in_base' ELSE 'both' END AS presence, CASE WHEN b AND n AND was AND NOT now THEN 'recovered_' || g WHEN b AND n AND NOT was AND now THEN 'newly_refused_' || g WHEN b AND n THEN 'same' END AS change, count(*) AS n FROM o WHERE b OR n GROUP BY 1, 2""",
 }

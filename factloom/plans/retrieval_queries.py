@@ -39,7 +39,7 @@ def bm25_term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 def vector_topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +148,7 @@ SELECT query_id, lang, row_number() OVER (PARTITION BY query_id, lang ORDER BY s
     "bm25_topk_global_okapi": f"WITH {_OKAPI} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 25",
     "bm25_term_statistics": f"""WITH {_BASE}, t AS (SELECT lang, unnest(list_distinct(toks)) AS term FROM docs)
 SELECT term, CASE WHEN grouping(lang) = 1 THEN '*' ELSE lang END AS lang, count(*) AS n FROM t GROUP BY GROUPING SETS ((term, lang), (term))""",
-    "vector_topk_exact": f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, floor({_COS} * 1e6 + 0.5) / 1e6 AS score FROM v a, v b WHERE a.vec_id < 5)
+    "vector_topk_exact": f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, floor({_COS} * 1e6 + 0.5) / 1e6 AS score FROM v a, v b WHERE a.vec_id % 100 = 0)
 SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s WHERE score > 0 QUALIFY rank <= 25""",
     "rrf_fusion": f"WITH {_LISTS} SELECT query_id, doc_id, fused_rank, floor(fused_score * 1e8 + 0.5) / 1e8 AS fused_score FROM pool",
     "fused_floor_rerank": f"WITH {_RANKED} SELECT query_id, doc_id, fused_rank, ce_rank, combined_rank, floor(cs * 1e8 + 0.5) / 1e8 AS combined_score FROM ranked",
