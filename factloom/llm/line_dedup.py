@@ -36,8 +36,11 @@ MIN_TEXTS_LONG = 3
 DEPTH = 3
 GENERAL_TOKENS = 8
 VARIABLE = re.compile(r"[0-9@/]")
-#: Shares of a template's texts in which the lines before and after it must differ.
+#: Shares of a template's texts in which the lines before and after it must differ; for templates that mostly begin or end
+#: a text, the share in which the line on the other side must.
 BOTH_DIFFER, BOTH_DIFFER_FEW, ONE_DIFFERS, FEW = 0.35, 0.5, 0.8, 20
+#: Stand for the line before the first and after the last.
+FIRST, LAST = 0, 1
 BROADCAST_TEXTS = 300_000
 
 _LINES = "_line_a long, _line_b int, pos int, tokens int, leaf long, keys array<long>, before long, after long"
@@ -71,7 +74,7 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b, text in zip(batch["_line_a"], batch["_line_b"], batch["text"], strict=True):
             found = [(i, t) for i, line in enumerate(text.split("\n")) if (t := line_templates(line))]
             for at, (i, (n, leaf, keys)) in enumerate(found):
-                rows.append((a, b, i, n, leaf, keys, found[at - 1][1][2][0] if at else 0, found[at + 1][1][2][0] if at + 1 < len(found) else 1))
+                rows.append((a, b, i, n, leaf, keys, found[at - 1][1][2][0] if at else FIRST, found[at + 1][1][2][0] if at + 1 < len(found) else LAST))
             if len(rows) > 50_000:
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in _LINES.split(", ")])
                 rows = []
@@ -87,10 +90,14 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     keyed = checkpoint(shared.select("_line_a", "_line_b", "pos", "tokens", "before", "after", F.explode("keys").alias("key")))
     # one place for each text, so that copies and repetitions inside a text count once
     places = keyed.groupBy("key", "_line_a", "_line_b").agg(F.first("tokens").alias("tokens"), F.min("before").alias("before"), F.min("after").alias("after"))
-    counts = places.groupBy("key").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"), F.approx_count_distinct("before", 0.02).alias("b"), F.approx_count_distinct("after", 0.02).alias("a"))
-    n, fewer, more = F.col("n"), F.least("a", "b"), F.greatest("a", "b")
+    counts = places.groupBy("key").agg(
+        F.count("*").alias("n"), F.first("tokens").alias("tokens"), F.approx_count_distinct("before", 0.02).alias("b"), F.approx_count_distinct("after", 0.02).alias("a"),
+        F.count_if(F.col("before") == FIRST).alias("begins"), F.count_if(F.col("after") == LAST).alias("ends"),
+    )
+    n, most = F.col("n"), ONE_DIFFERS * F.col("n")
     enough = n >= F.when(F.col("tokens") >= LONG_TOKENS, MIN_TEXTS_LONG).otherwise(MIN_TEXTS)
-    differ = (fewer >= n * F.when(n < FEW, BOTH_DIFFER_FEW).otherwise(BOTH_DIFFER)) | (more >= ONE_DIFFERS * n)
+    inside = F.least("a", "b") >= n * F.when(n < FEW, BOTH_DIFFER_FEW).otherwise(BOTH_DIFFER)
+    differ = inside | ((F.col("begins") >= most) & (F.col("a") >= most)) | ((F.col("ends") >= most) & (F.col("b") >= most))
     recurring = counts.where(enough & differ).select("key")
     return checkpoint(keyed.join(recurring, "key").groupBy("_line_a", "_line_b").agg(F.array_sort(F.collect_set("pos")).alias("_line_drop")))
 
