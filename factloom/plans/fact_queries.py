@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from factloom.functions.numeric import rounded
 from factloom.operators import facts as facts_ops
 from factloom.operators import formulas
+from factloom.operators import requests as request_ops
 from factloom.sources.tables import table
 
 
@@ -126,6 +127,23 @@ def multi_year_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formulas.multi_year_average(resolved, asked).select("request_id", "n", "mean")
 
 
+def _tool_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every nation asks for an average, a growth, a ratio, a metric and an unknown metric; answers and what is unmet."""
+    asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("entity"), F.explode(F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.lit(m).alias("metric"), F.lit(a).cast("int").alias("first_year"), F.lit(b).cast("int").alias("last_year"), F.lit(g).alias("growth"))
+        for k, m, a, b, g in (("a", "net_margin", 1996, 1998, False), ("g", "revenue", None, None, True), ("r", "asset_turnover", None, None, False), ("m", "net_income", None, None, False), ("u", "goodwill", None, None, False), ("z", "revenue", 1980, 1998, False))
+    ])).alias("r")).select(F.concat_ws("-", F.col("entity").cast("string"), "r.kind").alias("request_id"), "entity", "r.metric", F.lit(1998).alias("fy"), F.lit("FY").alias("fp"), "r.first_year", "r.last_year", "r.growth")
+    return request_ops.answer(asked, nation_facts(spark, sf_dir), formulas.registry(spark))
+
+
+def fact_router_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tool_requests(spark, sf_dir)[0]
+
+
+def fact_router_unmet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tool_requests(spark, sf_dir)[1]
+
+
 def calculate_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All six operations on every part's price and size; a size of a part may be zero after the shift."""
     from factloom.functions.numeric import calculate
@@ -148,7 +166,7 @@ def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts_ops.split_defects(raw)[1]
 
 
-QUERIES = {f.__name__: f for f in (fact_pick_period, fact_pick_end_date, fact_latest, fact_requests, frame_merge_designated_tag, compare_all_entities_anchor, tag_lookup, ratio_same_period, ratio_cross_entity, yoy_growth, multi_year_average, calculate_ops, reject_reasons)}
+QUERIES = {f.__name__: f for f in (fact_pick_period, fact_pick_end_date, fact_latest, fact_requests, frame_merge_designated_tag, compare_all_entities_anchor, tag_lookup, ratio_same_period, ratio_cross_entity, yoy_growth, multi_year_average, fact_router_answers, fact_router_unmet, calculate_ops, reject_reasons)}
 
 _PERIOD = """period AS (SELECT * FROM facts WHERE CASE WHEN fp = 'FY' THEN form = '10-K' AND days BETWEEN 350 AND 380 ELSE days BETWEEN 80 AND 100 END
   QUALIFY row_number() OVER (PARTITION BY entity, metric, fy, fp ORDER BY "end" DESC, filed DESC, ord) = 1)"""
@@ -178,6 +196,15 @@ SELECT entity, metric, CASE WHEN entity = 3 THEN 'own-' || metric ELSE tag END A
     "ratio_cross_entity": f"WITH {NATION_SQL} SELECT a.entity, ratio, {_RATIO_VALUE} FROM resolved a JOIN {_RATIOS} ON a.metric = numerator AND cross_company JOIN resolved b ON b.entity = a.entity AND b.fy = a.fy AND b.metric = denominator WHERE b.value <> 0 AND a.fy = 1997",
     "yoy_growth": f"WITH {NATION_SQL} SELECT a.entity, a.metric, a.fp, a.fy, floor((a.value - b.value) / abs(b.value) * 100 * 10 + 0.5) / 10 AS growth FROM resolved a JOIN resolved b ON a.entity = b.entity AND a.metric = b.metric AND a.fy = b.fy + 1 WHERE b.value <> 0",
     "multi_year_average": f"WITH {NATION_SQL} SELECT entity || '-' || metric AS request_id, count(*) AS n, floor(avg(value) * 100 + 0.5) / 100 AS mean FROM resolved WHERE fy BETWEEN 1996 AND 1999 GROUP BY entity, metric HAVING count(*) = 4",
+    "fact_router_answers": f"""WITH {NATION_SQL}, r AS (SELECT a.entity, a.fy, ratio, {_RATIO_VALUE} FROM resolved a JOIN {_RATIOS} ON a.metric = numerator JOIN resolved b ON b.entity = a.entity AND b.fy = a.fy AND b.metric = denominator WHERE b.value <> 0)
+SELECT n_nationkey || '-a' AS request_id, 'average' AS route, floor(avg(value) * 100 + 0.5) / 100 AS value FROM nation JOIN r ON entity = n_nationkey WHERE ratio = 'net_margin' AND fy BETWEEN 1996 AND 1998 GROUP BY 1 HAVING count(*) = 3
+UNION ALL SELECT a.entity || '-g', 'growth', floor((a.value - b.value) / abs(b.value) * 100 * 10 + 0.5) / 10 FROM resolved a JOIN resolved b ON a.entity = b.entity AND a.metric = b.metric AND a.fy = b.fy + 1 WHERE b.value <> 0 AND a.metric = 'revenue' AND a.fy = 1998
+UNION ALL SELECT entity || '-r', 'ratio', value FROM r WHERE ratio = 'asset_turnover' AND fy = 1998
+UNION ALL SELECT entity || '-m', 'metric', value FROM resolved WHERE metric = 'net_income' AND fy = 1998""",
+    "fact_router_unmet": f"""WITH {NATION_SQL}, have AS (SELECT DISTINCT entity FROM resolved WHERE fy = 1998), q AS (SELECT n_nationkey AS e, unnest(['a', 'g', 'r', 'm', 'u', 'z']) AS k FROM nation),
+three AS (SELECT entity FROM resolved WHERE metric = 'revenue' AND fy BETWEEN 1996 AND 1998 GROUP BY 1 HAVING count(*) = 3), two AS (SELECT entity FROM resolved WHERE metric = 'revenue' AND fy BETWEEN 1997 AND 1998 GROUP BY 1 HAVING count(*) = 2)
+SELECT e || '-' || k AS request_id, CASE k WHEN 'a' THEN 'net_margin' WHEN 'r' THEN 'asset_turnover' WHEN 'm' THEN 'net_income' WHEN 'u' THEN 'goodwill' ELSE 'revenue' END AS metric, CASE WHEN k = 'u' THEN 'unknown_metric' ELSE 'no_data_for_entity' END AS reason
+FROM q WHERE k IN ('u', 'z') OR (k IN ('r', 'm') AND e NOT IN (SELECT entity FROM have)) OR (k = 'a' AND e NOT IN (SELECT entity FROM three)) OR (k = 'g' AND e NOT IN (SELECT entity FROM two))""",
     "calculate_ops": """WITH p AS (SELECT p_partkey, p_retailprice AS x, (p_size - 10)::DOUBLE AS y, CASE WHEN p_partkey % 10 = 9 THEN 'percent' WHEN p_partkey % 10 = 8 THEN 'thousand' ELSE 'raw' END AS u FROM part),
 n AS (SELECT p_partkey, x, u, CASE WHEN u = 'thousand' THEN y * 1000.0 ELSE y END AS y, unnest(['add', 'subtract', 'multiply', 'divide', 'percent_of', 'percent_change']) AS operation FROM p),
 e AS (SELECT *, CASE WHEN operation <> 'multiply' AND u = 'percent' THEN 'category_mismatch' WHEN operation IN ('divide', 'percent_of', 'percent_change') AND y = 0 THEN 'zero_divisor' END AS error FROM n)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import fiscal, numeric, text
-from factloom.operators import evalstats, grading, questions, trace, verification
+from factloom.operators import corpus, evalstats, grading, questions, requests, trace, verification
 from factloom.plans import derivation
 from factloom.sources import companyfacts, jsonl, sinks, submissions
 from factloom.streaming import limiter, tail
@@ -149,3 +149,22 @@ def test_limiter(spark, tmp_path):
     q = limiter.limit_stream(stream, 2, 10).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination(90)
     assert {r.ord: r.allowed for r in spark.table("limited").collect()} == want
+
+
+def test_argument_checks(spark):
+    schema = {"ticker": {"type": "string", "required": True}, "metric": {"type": "string", "enum": ["revenue"], "required": True}, "fiscal_year": {"type": "integer"}, "form": {"type": "string", "enum": ["10-K", "10-Q"]}}
+    args = ['{"ticker": "A", "metric": "x", "fiscal_year": 2024, "form": null}', '{"ticker": "A", "metric": "revenue", "odd": null, "fiscal_year": "x"}', '{"metric": "revenue", "fiscal_year": true}', '{"ticker": "A", "metric": "revenue", "fiscal_year": true}', '{"ticker": "A", "metric": "revenue", "form": "8-K"}', "[1]", "no json"]
+    df = spark.createDataFrame(list(enumerate(args)), "i int, a string").orderBy("i")
+    got = [r.d for r in df.select("i", requests.argument_defect(F.col("a"), schema, ("metric",)).alias("d")).orderBy("i").collect()]
+    assert got == [None, "unexpected:odd", "missing:ticker", "type:fiscal_year", "enum:form", "not_an_object", "not_an_object"]
+    assert [one(spark, requests.coerce_year(F.lit(v))) for v in ("2024", "2024.0", "0999", "24", "x")] == [2024, 2024, None, None, None]
+
+
+def test_index_plan_and_caches(spark):
+    f = lambda *flags: one(spark, corpus.rebuild_reason(*map(F.lit, flags)))
+    assert f(False, True, True, True, True, True) is None and f(True, False, False, False, False, False) == "forced"
+    assert f(False, False, True, True, True, True) == "no_sidecar" and f(False, True, True, True, True, False) == "row_count"
+    calls = spark.createDataFrame([("k1", ["a", "b"]), ("k2", ["c"])], "key string, pairs array<string>")
+    cached = spark.createDataFrame([("k1", [0.1, 0.2]), ("k2", [0.1, 0.2])], "key string, scores array<double>")
+    assert [r.key for r in sinks.cache_misses(calls, cached).collect()] == ["k2"]
+    assert calls.select(sinks.score_key()).distinct().count() == 2
