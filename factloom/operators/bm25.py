@@ -1,8 +1,8 @@
 """BM25 over a collection, with statistics per partition of it or over all of it.
 
-Only postings of query terms are kept after tokenisation: the query terms, a small set, are joined to the exploded tokens
-before anything is shuffled; document lengths need one aggregate over all tokens but no shuffle of tokens (they are
-array sizes). Statistics come from the whole partition, never from filtered candidates.
+Only postings of query terms leave the documents: the terms of all queries come as one row, each document's token array is
+cut down to them, and lengths are array sizes, so no shuffle moves tokens or texts. Statistics come from the whole partition,
+never from filtered candidates. Small sides are left to the optimiser; only single rows are marked for a broadcast.
 """
 
 from __future__ import annotations
@@ -33,9 +33,9 @@ def _lengths(docs: DataFrame) -> DataFrame:
 def _scored(postings: DataFrame, idf: DataFrame, averages: DataFrame, terms: DataFrame, part: list[str]) -> DataFrame:
     tf, norm = F.col("tf"), K1 * (1 - B + B * F.col("_dl") / F.col("avgdl"))
     gain = F.col("weight") * F.col("idf") * tf * (K1 + 1) / (tf + norm)
-    joined = postings.join(F.broadcast(terms), "term").join(F.broadcast(idf), [*part, "term"])  # a row per query term (and partition)
-    joined = joined.join(F.broadcast(averages), part) if part else joined.crossJoin(F.broadcast(averages))  # one row
-    return joined.groupBy("query_id", *part, "doc_id").agg(F.sum(F.col("gain") if "gain" in joined.columns else gain).alias("score"))
+    joined = postings.join(terms, "term").join(idf, [*part, "term"])
+    joined = joined.join(averages, part) if part else joined.crossJoin(F.broadcast(averages))  # one row
+    return joined.groupBy("query_id", *part, "doc_id").agg(F.sum(gain).alias("score"))
 
 
 def _postings(docs: DataFrame, terms: DataFrame, part: list[str]) -> DataFrame:
@@ -55,7 +55,7 @@ def bm25_by_partition(docs: DataFrame, queries: DataFrame, part: str) -> DataFra
     averages = sized.groupBy(part).agg(F.count("*").alias("n_docs"), F.avg("_dl").alias("avgdl"))
     postings = _postings(sized, terms, [part])
     df = postings.groupBy(part, "term").agg(F.count("*").alias("n"))
-    idf = df.join(F.broadcast(averages), part).select(part, "term", F.log(1 + (F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"))
+    idf = df.join(averages, part).select(part, "term", F.log(1 + (F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"))
     return _scored(postings, idf, averages, terms, [part])
 
 
@@ -66,7 +66,7 @@ def bm25_global(docs: DataFrame, queries: DataFrame) -> DataFrame:
     vocabulary = sized.select(F.explode(F.array_distinct("_tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     with_idf = vocabulary.crossJoin(F.broadcast(averages)).withColumn("raw", F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
     floor = with_idf.agg((F.avg("raw") * NEGATIVE_SHARE).alias("floor"))
-    own = with_idf.join(F.broadcast(terms.select("term").distinct()), "term").crossJoin(F.broadcast(floor))
+    own = with_idf.join(terms.select("term").distinct(), "term").crossJoin(F.broadcast(floor))
     idf = own.select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     return _scored(_postings(sized, terms, []), idf, averages, terms, [])
 

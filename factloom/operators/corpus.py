@@ -26,14 +26,14 @@ def rebuild_reason(forced: Column, sidecar: Column, manifest_ok: Column, recipe_
     )
 
 
-def corpus_identity(files: DataFrame, fanout: int = 1000) -> DataFrame:
-    """One row (files, sha): a digest tree over files in the order of ``ord``. Digests of ``fanout`` files are joined first, so no
-    task holds the digests of all files; the number of joined digests shrinks by that factor."""
-    leaf = files.select(F.col("ord"), F.sha2(F.concat(F.col("relpath"), F.lit("\0"), F.col("sha")), 256).alias("d"))
-    inner = leaf.groupBy(F.floor(F.col("ord") / fanout).alias("part")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ord", "d"))).alias("all"))
-    inner = inner.select("part", "n", F.sha2(F.array_join(F.transform("all", lambda x: x["d"]), ""), 256).alias("d"))
-    root = inner.agg(F.sum("n").alias("files"), F.array_sort(F.collect_list(F.struct("part", "d"))).alias("all"))
-    return root.select("files", F.substring(F.sha2(F.array_join(F.transform("all", lambda x: x["d"]), ""), 256), 1, 12).alias("sha"))
+def corpus_identity(files: DataFrame, fanout: int = 1000, levels: int = 3) -> DataFrame:
+    """One row (files, sha): a digest tree over files in the order of ``ord``. Each level joins the digests of ``fanout`` neighbours,
+    so no task holds the digests of all files: the root of three levels joins one digest for a thousand million files each."""
+    level = files.select(F.col("ord"), F.lit(1).cast("long").alias("n"), F.sha2(F.concat(F.col("relpath"), F.lit("\0"), F.col("sha")), 256).alias("d"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "d"))), lambda x: x["d"]), ""), 256)
+    for _ in range(levels):
+        level = level.groupBy(F.floor(F.col("ord") / fanout).alias("ord")).agg(F.sum("n").alias("n"), joined.alias("d"))
+    return level.agg(F.sum("n").alias("files"), F.substring(joined, 1, 12).alias("sha"))
 
 
 def absence(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def absence(docs: DataFrame, terms: DataFrame) -> DataFrame:
     words = docs.select("doc_id", "part", "folded", F.explode(F.array_distinct(F.split("folded", " "))).alias("_word"))
     longest = F.array_max(F.transform(F.split("folded", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     asked = terms.select("term", F.col("folded").alias("_needle"), longest.alias("_word"))
-    found = words.join(F.broadcast(asked), "_word").where(F.concat(F.lit(" "), F.col("folded"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("_needle"), F.lit(" "))))
+    found = words.join(asked, "_word").where(F.concat(F.lit(" "), F.col("folded"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("_needle"), F.lit(" "))))
     counts = found.groupBy("part", "term").agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("first_doc"))
     pairs = docs.select("part").distinct().crossJoin(F.broadcast(terms.select("term")))  # parts x a stated list of terms
     return pairs.join(counts, ["part", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

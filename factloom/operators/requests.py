@@ -48,7 +48,7 @@ def route(requests: DataFrame, metrics: DataFrame, ratios: DataFrame) -> DataFra
     unknown_metric. Averages come first, then growth, then ratios; metrics and ratios are the small registries."""
     known = metrics.select("metric", F.lit(True).alias("_metric"))
     named = ratios.select(F.col("ratio").alias("metric"), F.lit(True).alias("_ratio"))
-    joined = requests.join(F.broadcast(known), "metric", "left").join(F.broadcast(named), "metric", "left")
+    joined = requests.join(known, "metric", "left").join(named, "metric", "left")
     some = F.col("_metric").isNotNull() | F.col("_ratio").isNotNull()
     kind = F.when(~some, "unknown_metric").when(F.col("first_year").isNotNull() & F.col("last_year").isNotNull(), "average").when(F.coalesce("growth", F.lit(False)) & F.col("_metric").isNotNull(), "growth").when(F.col("_ratio").isNotNull(), "ratio").otherwise("metric")
     return joined.withColumn("route", kind).drop("_metric", "_ratio")

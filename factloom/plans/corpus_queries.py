@@ -199,7 +199,9 @@ ORACLES = {
     "manifest_diff": """WITH p AS (SELECT doc_id::VARCHAR AS relpath, coalesce(text, '') AS c FROM documents WHERE source <> 'src3'), n AS (SELECT doc_id::VARCHAR AS relpath, coalesce(text, '') || CASE WHEN lang = 'fr' THEN '!' ELSE '' END AS c FROM documents WHERE source <> 'src5')
 SELECT relpath, CASE WHEN p.c IS NULL THEN 'add' WHEN n.c IS NULL THEN 'delete' WHEN sha256(p.c) <> sha256(n.c) THEN 'replace' ELSE 'unchanged' END AS action FROM p FULL JOIN n USING (relpath)""",
     "corpus_identity": """WITH leaf AS (SELECT doc_id AS ord, sha256(doc_id::VARCHAR || chr(0) || sha256(coalesce(text, ''))) AS d FROM documents),
-inner_ AS (SELECT ord // 1000 AS part, count(*) AS n, sha256(string_agg(d, '' ORDER BY ord)) AS d FROM leaf GROUP BY 1) SELECT sum(n)::BIGINT AS files, substr(sha256(string_agg(d, '' ORDER BY part)), 1, 12) AS sha FROM inner_""",
+a AS (SELECT ord // 1000 AS ord, count(*) AS n, sha256(string_agg(d, '' ORDER BY ord)) AS d FROM leaf GROUP BY 1),
+b AS (SELECT ord // 1000 AS ord, sum(n) AS n, sha256(string_agg(d, '' ORDER BY ord)) AS d FROM a GROUP BY 1), c AS (SELECT ord // 1000 AS ord, sum(n) AS n, sha256(string_agg(d, '' ORDER BY ord)) AS d FROM b GROUP BY 1)
+SELECT sum(n)::BIGINT AS files, substr(sha256(string_agg(d, '' ORDER BY ord)), 1, 12) AS sha FROM c""",
     "absence_terms": """WITH t(term) AS (VALUES ('Apache License'), ('general public license'), ('no such words here'), ('All rights reserved.'), ('the and')), f AS (SELECT term, ' ' || trim(regexp_replace(lower(term), '[^0-9a-z]+', ' ', 'g')) || ' ' AS needle FROM t),
 d AS (SELECT doc_id, lang AS part, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^0-9a-z]+', ' ', 'g')) || ' ' AS folded FROM documents)
 SELECT part, term, count(*) FILTER (contains(folded, needle)) AS n, min(doc_id) FILTER (contains(folded, needle)) AS first_doc FROM d, f GROUP BY 1, 2""",

@@ -38,14 +38,14 @@ def reject_reason() -> Column:
 def select_filings(rows: DataFrame, companies: DataFrame, min_year: int = MIN_FISCAL_YEAR) -> tuple[DataFrame, DataFrame]:
     """(filings of the wanted forms from ``min_year`` on, counts of rejected rows by reason)."""
     wanted = rows.where(F.col("form").isin(*FORMS)).withColumn("reason", reject_reason())
-    good = wanted.where("reason is null").join(F.broadcast(companies.select("ticker", "fiscal_year_end_month")), "ticker")  # a row per company
+    good = wanted.where("reason is null").join(companies.select("ticker", "fiscal_year_end_month"), "ticker")
     year = fiscal_year(F.col("reportDate").cast("date"), F.col("fiscal_year_end_month"))
     return good.withColumn("fiscal_year", year).where(F.col("fiscal_year") >= min_year).drop("reason"), wanted.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def pages_needed(rows: DataFrame, companies: DataFrame, min_year: int = MIN_FISCAL_YEAR) -> DataFrame:
     """(ticker, page, need_older): whether the oldest valid filing of a page is still recent enough to look at an older page."""
-    dated = rows.where(is_canonical_date(F.col("filingDate"))).join(F.broadcast(companies.select("ticker", "fiscal_year_end_month")), "ticker")
+    dated = rows.where(is_canonical_date(F.col("filingDate"))).join(companies.select("ticker", "fiscal_year_end_month"), "ticker")
     oldest = dated.groupBy("ticker", "page").agg(F.min(fiscal_year(F.col("filingDate").cast("date"), F.col("fiscal_year_end_month"))).alias("oldest"))
     return oldest.select("ticker", "page", (F.col("oldest") >= min_year).alias("need_older"))
 

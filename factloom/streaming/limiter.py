@@ -23,18 +23,26 @@ def decide(start: float | None, used: int, now: float, most: int, seconds: float
 
 
 def limit_batch(requests: DataFrame, most: int = MOST, seconds: float = WINDOW_SECONDS) -> DataFrame:
-    """requests (key, ts, ord) with ``allowed``. Each key's requests are folded in time order inside its own sorted array."""
-    ordered = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", "ord"))).alias("all"))
-    none = F.struct(F.lit(None).cast("double").alias("start"), F.lit(0).alias("used"), F.array().cast("array<struct<ord:bigint,allowed:boolean>>").alias("out"))
-
-    def step(s, r):
-        now = F.unix_micros(r["ts"].cast("timestamp")) / 1e6
-        fresh = s["start"].isNull() | (now - s["start"] >= seconds)
-        allowed = F.lit(True) if most <= 0 else fresh | (s["used"] < most)
-        done = F.struct(r["ord"].cast("bigint").alias("ord"), allowed.alias("allowed"))
-        return F.struct(F.when(fresh, now).otherwise(s["start"]).alias("start"), F.when(fresh, 1).when(allowed, s["used"] + 1).otherwise(s["used"]).alias("used"), F.concat(s["out"], F.array(done)).alias("out"))
-
-    return ordered.select("key", F.explode(F.aggregate("all", none, step, lambda s: s["out"])).alias("o")).select("key", "o.*")
+    """requests (key, ts, ord) with ``allowed``.
+
+    A key's requests stand in time order in one partition and are folded as they stream by: the state is one window and one
+    count, so a key with a large share of all rows costs time in one task, but no memory.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, start, used = object(), None, 0
+        for batch in batches:
+            allowed = []
+            for key, now in zip(batch["key"], batch["us"], strict=True):
+                if key != current:
+                    current, start, used = key, None, 0
+                start, used, ok = decide(start, used, now, most, seconds * 1_000_000)
+                allowed.append(ok)
+            yield pd.DataFrame({"key": batch["key"], "ord": batch["ord"], "allowed": allowed})
+
+    kind = dict(requests.dtypes)["key"]
+    ordered = requests.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("ord").cast("long").alias("ord")).repartition("key").sortWithinPartitions("key", "us", "ord")
+    return ordered.mapInPandas(fold, f"key {kind}, ord long, allowed boolean")
 
 
 def limit_stream(requests: DataFrame, most: int = MOST, seconds: float = WINDOW_SECONDS) -> DataFrame:
