@@ -36,44 +36,54 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
 
 
 class SortedLists:
-    """One list per dimension over a block of candidates, each sorted by component."""
+    """One list per dimension over a block of candidates, each sorted by component, smallest first."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(vectors, self.order, axis=0)
+        self.ids = ids
+        # sums of products below 2**24 are exact in single precision, below 2**53 in double
+        exact = vectors.shape[1] * float(np.abs(vectors).max(initial=0)) ** 2 < 2**24
+        self.vectors = vectors.astype(np.float32 if exact else np.float64)
+        self.limit = 2**24 if exact else 2**53
+        self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T)
+        self.sorted = np.take_along_axis(vectors.T, self.order, axis=1)
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best, best first; ties to the smaller id."""
-        n = len(self.ids)
-        dims = np.flatnonzero(query)
-        if not len(dims):
-            dims = np.arange(1)
-        down, weight = query[dims] > 0, query[dims]
-        seen = self.ids == own
+        if len(query) * float(np.abs(query).max(initial=0)) * float(np.abs(self.sorted).max(initial=0)) >= self.limit:
+            self.vectors, self.limit = self.vectors.astype(np.float64), 2**53
+        n, typed = len(self.ids), query.astype(self.vectors.dtype)
+        up, down = np.flatnonzero(query < 0), np.flatnonzero(query > 0)
+        if not len(up) and not len(down):
+            up = np.arange(1)
+        unseen = self.ids != own
+        left = int(unseen.sum())
         best_ids, best = np.empty(0, self.ids.dtype), np.empty(0, np.int64)
-        stride = STRIDE
-        for start in range(0, n):
-            lo = STRIDE * (2**start - 1)
-            if lo >= n:
-                break
+        lo, stride = 0, STRIDE
+        while lo < n and left:
             hi = min(n, lo + stride)
-            stride *= 2
-            at = np.arange(lo, hi)
-            rows = np.where(down[None, :], self.order[n - 1 - at][:, dims], self.order[at][:, dims])
-            met = np.unique(rows)
-            met = met[~seen[met]]
-            seen[met] = True
-            if len(met):
-                scores = (self.vectors[met] @ query).astype(np.int64)
-                ids = np.concatenate([best_ids, self.ids[met]])
-                scores = np.concatenate([best, scores])
+            met = np.zeros(n, bool)
+            met[self.order[up, lo:hi]] = True
+            met[self.order[down, n - hi : n - lo]] = True
+            met &= unseen
+            rows = np.flatnonzero(met)
+            unseen[rows] = False
+            left -= len(rows)
+            scores = (self.vectors[rows] @ typed).astype(np.int64)
+            if len(best) == k:
+                able = scores >= best[-1]
+                rows, scores = rows[able], scores[able]
+            if len(rows):
+                ids, scores = np.concatenate([best_ids, self.ids[rows]]), np.concatenate([best, scores])
+                if len(scores) > 8 * k:
+                    able = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                    ids, scores = ids[able], scores[able]
                 keep = np.lexsort((ids, -scores))[:k]
                 best_ids, best = ids[keep], scores[keep]
             if hi < n and len(best) == k:
-                bound = int(np.where(down, self.sorted[n - hi, dims], self.sorted[hi - 1, dims]) @ weight)
+                bound = self.sorted[up, hi - 1] @ query[up] + self.sorted[down, n - hi] @ query[down]
                 if bound < best[-1]:  # at equality an unseen vector of a smaller id could still enter
                     break
+            lo, stride = hi, 2 * stride
         return best_ids, best
 
 
@@ -81,7 +91,6 @@ def _search(k: int):
     def run(key, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(candidates):
-            # products of integers below 2**53 are exact in doubles, which matrix routines are fastest at
             lists = SortedLists(candidates["vec_id"].to_numpy(), np.stack(candidates["q"].to_numpy()).astype(np.float64))
             for own, q in zip(queries["vec_id"], queries["q"], strict=True):
                 ids, scores = lists.top(np.asarray(q, np.float64), own, k)

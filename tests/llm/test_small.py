@@ -93,6 +93,7 @@ def test_html():
     assert html_main.main_text(None) == html_main.main_text("") == ""
     assert html_main.main_text(page("<article><h1>A &amp; B</h1><p>one <b>two</b>three<br>four<p>five<div class='comments'>no</div><form>no</form></article>")) == "A & B one twothree four five"
     assert html_main.main_text(page("<div class='sidebar'>s</div><div id=content><p>Main text here, long enough.</p><aside>no</aside></div>")) == "Main text here, long enough."
+    assert html_main.main_text(page("<div class=content><h1>Title</h1><div class=text><p>Long text of the story, long enough.</p></div><ol class=commentlist><li>nice</ol></div>")) == "Title Long text of the story, long enough."
     assert html_main.main_text("plain &lt;text&gt; only < 5") == "plain <text> only < 5"
     assert html_main.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
     assert html_main.main_text("<article><p>cut <a href='x") == "cut"
@@ -203,7 +204,7 @@ def test_threshold_stops_early():
     vectors[:, 0], vectors[:, 1] = np.arange(5000), 1
     lists = topk.SortedLists(np.arange(5000), vectors)
     read = []
-    lists.vectors = type("Counting", (), {"__getitem__": lambda self, rows: (read.append(len(rows)), vectors[rows])[1]})()
+    lists.vectors = type("Counting", (), {"dtype": vectors.dtype, "__getitem__": lambda self, rows: (read.append(len(rows)), vectors[rows])[1]})()
     ids, _ = lists.top(np.array([1.0, 0.0]), -1, 5)
     assert ids.tolist() == [4999, 4998, 4997, 4996, 4995] and sum(read) < 200
 
