@@ -36,9 +36,9 @@ MIN_TEXTS_LONG = 3
 DEPTH = 3
 GENERAL_TOKENS = 8
 VARIABLE = re.compile(r"[0-9@/]")
-#: Shares of a template's texts in which the lines before and after it must differ; for templates that mostly begin or end
-#: a text, the share in which the line on the other side must.
-BOTH_DIFFER, BOTH_DIFFER_FEW, ONE_DIFFERS, FEW = 0.35, 0.5, 0.8, 20
+#: Share of a template's texts in which the lines before it must differ, and those after it; the begin or end of a text
+#: counts as different each time.
+DIFFER = 0.8
 #: Stand for the line before the first and after the last.
 FIRST, LAST = 0, 1
 BROADCAST_TEXTS = 300_000
@@ -94,10 +94,10 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.first("tokens").alias("tokens"), F.approx_count_distinct("before", 0.02).alias("b"), F.approx_count_distinct("after", 0.02).alias("a"),
         F.count_if(F.col("before") == FIRST).alias("begins"), F.count_if(F.col("after") == LAST).alias("ends"),
     )
-    n, most = F.col("n"), ONE_DIFFERS * F.col("n")
+    n = F.col("n")
     enough = n >= F.when(F.col("tokens") >= LONG_TOKENS, MIN_TEXTS_LONG).otherwise(MIN_TEXTS)
-    inside = F.least("a", "b") >= n * F.when(n < FEW, BOTH_DIFFER_FEW).otherwise(BOTH_DIFFER)
-    differ = inside | ((F.col("begins") >= most) & (F.col("a") >= most)) | ((F.col("ends") >= most) & (F.col("b") >= most))
+    neighbours = [F.col(kinds) - F.least(F.col(edges), F.lit(1)) + F.col(edges) for kinds, edges in (("b", "begins"), ("a", "ends"))]
+    differ = F.least(*neighbours) >= DIFFER * n
     recurring = counts.where(enough & differ).select("key")
     return checkpoint(keyed.join(recurring, "key").groupBy("_line_a", "_line_b").agg(F.array_sort(F.collect_set("pos")).alias("_line_drop")))
 
