@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed patterns and names: canonical dates, months, fiscal years and quarters in questions.
 CANONICAL_DATE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+NAMED_YEAR = "(?i)\\b(?:fiscal(?:\\s+year)?|fy)\\s*'?(\\d{4}|\\d{2})\\b"
+NAMED_QUARTER = "(?i)\\b(q[1-4]|(?:first|second|third|fourth)\\s+(?:fiscal\\s+)?quarter)\\b"
 
 
 def is_canonical_date(text: Column) -> Column:
@@ -48,14 +51,14 @@ def named_dates(query: Column) -> Column:
 
 def named_fiscal_year(query: Column) -> Column:
     """The first fiscal year that a question names; two digits mean 20xx."""
-    text = F.nullif(F.regexp_extract(query, "(?i)\\b(?:fiscal(?:\\s+year)?|fy)\\s*'?(\\d{4}|\\d{2})\\b", 1), F.lit(""))
+    text = F.nullif(F.regexp_extract(query, NAMED_YEAR, 1), F.lit(""))
     year = text.cast("int")
     return F.when(year < 100, year + 2000).otherwise(year)
 
 
 def named_quarter(query: Column) -> Column:
     """The first quarter that a question names, as a digit or an ordinal."""
-    found = F.lower(F.regexp_extract(query, "(?i)\\b(q[1-4]|(?:first|second|third|fourth)\\s+(?:fiscal\\s+)?quarter)\\b", 1))
+    found = F.lower(F.regexp_extract(query, NAMED_QUARTER, 1))
     quarter = F.when(found.startswith("q"), F.substring(found, 2, 1).cast("int"))
     for i, word in enumerate(("first", "second", "third", "fourth"), 1):
         quarter = quarter.when(found.startswith(word), i)

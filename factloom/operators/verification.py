@@ -16,7 +16,7 @@ from factloom.operators.tables import cell_grounding
 #: The window before a citation, values that percentage formulas bring along.
 WINDOW = 150
 IDENTITIES = {"percent_change": (1.0, -1.0, 100.0, -100.0), "percent_of": (100.0,)}
-#: Dates, years, form names, notes and spans of time are no claims.
+#: Fixed pattern: dates, years, form names, notes and spans of time are no claims.
 NON_CLAIM = (
     r"(?i)\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}\b|\b\d{4}-\d{2}-\d{2}\b"
     r"|\b(?:19|20)\d{2}\b|\b10-[KQ]s?\b|\bNote\s+\d+\b|\b\d+[\s-](?:year|month|day)s?\b"
