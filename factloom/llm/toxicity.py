@@ -28,6 +28,8 @@ TRAIN_DOCS = 8_000
 FEATURES = 3_000
 STEPS = 300
 FOLDS = 5
+#: Names of the two biases among a model's weights.
+BIAS, BACKGROUND = "(bias)", "(background)"
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 
@@ -44,6 +46,11 @@ class SentenceModel:
         self.weights, self.bias, self.background = weights, bias, background
         self.by_word: dict[str, float] = {}
 
+    @classmethod
+    def from_rows(cls, rows: list[tuple[str, float]]) -> SentenceModel:
+        weights = dict(map(tuple, rows))
+        return cls(weights, weights.pop(BIAS, -3.0), weights.pop(BACKGROUND, -4.0))
+
     def word(self, word: str) -> float:
         known = self.by_word.get(word)
         if known is None:
@@ -75,16 +82,19 @@ def held_out(doc_id) -> F.Column:
 
 def fit(texts: list[str], toxic: list[int]) -> SentenceModel:
     """Select features by document counts, then train the noisy-or."""
-    bags = [set().union(*map(features_of, set(WORD.findall(t.lower())))) if y else None for t, y in zip(texts, toxic, strict=True)]
     n_toxic = sum(map(bool, toxic))
     n_clean = len(toxic) - n_toxic
-    in_toxic = Counter(f for bag in bags if bag for f in bag)
-    in_toxic = {f: n for f, n in in_toxic.items() if n >= 3}
-    by_word: dict[str, set[str]] = {}
+    counts = Counter()
+    for text, y in zip(texts, toxic, strict=True):
+        if y:
+            counts.update(set().union(*map(features_of, set(WORD.findall(text.lower())))))
+    in_toxic = {f: n for f, n in counts.items() if n >= 3}
+    del counts
+    by_word: dict[str, tuple[str, ...]] = {}
 
-    def known(word: str) -> set[str]:
+    def known(word: str) -> tuple[str, ...]:
         if word not in by_word:
-            by_word[word] = {f for f in features_of(word) if f in in_toxic}
+            by_word[word] = tuple(f for f in sorted(features_of(word)) if f in in_toxic)
         return by_word[word]
 
     in_clean = Counter()
@@ -135,8 +145,16 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Senten
     known = known.where(~held_out(F.col("doc_id")))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")  # at most ``limit`` rows
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").toPandas().sort_values(["doc_id", "text"])
-    return fit(rows["text"].tolist(), (rows["toxic"] > 0).astype(int).tolist())
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic", F.lit(0).alias("one"))
+    # one task fits the model: its rows are at most ``limit``, and it returns at most ``FEATURES`` weights
+    return SentenceModel.from_rows(rows.groupBy("one").applyInPandas(_fit_rows, "feature string, weight double").collect())
+
+
+def _fit_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["doc_id", "text"])
+    model = fit(rows["text"].tolist(), (rows["toxic"] > 0).astype(int).tolist())
+    named = [*model.weights.items(), (BIAS, model.bias), (BACKGROUND, model.background)]
+    return pd.DataFrame(named, columns=["feature", "weight"])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> DataFrame:
