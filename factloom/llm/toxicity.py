@@ -99,22 +99,25 @@ def fit(texts: list[str], toxic: list[int]) -> SentenceModel:
 
     in_clean = Counter()
     for text, y in zip(texts, toxic, strict=True):
+        found = set().union(*map(known, set(WORD.findall(text.lower()))))
         if not y:
-            in_clean.update(set().union(*map(known, set(WORD.findall(text.lower())))))
+            in_clean.update(found)
     gain = {f: np.log((n + 0.5) / (n_toxic + 1)) - np.log((in_clean[f] + 0.5) / (n_clean + 1)) for f, n in in_toxic.items()}
     worth = {f: (in_toxic[f] / n_toxic - in_clean[f] / max(n_clean, 1)) * g for f, g in gain.items() if g > 1}
     chosen = sorted(worth, key=lambda f: (-worth[f], f))[:FEATURES]
     index = {f: i for i, f in enumerate(chosen)}
 
+    hot = {w: ids for w, fs in by_word.items() if (ids := [index[f] for f in fs if f in index])}
     doc, sentence, feature, n_sentences = [], [], [], 0
     for d, text in enumerate(texts):
+        if hot.keys().isdisjoint(WORD.findall(text.lower())):
+            continue
         for m in SENTENCE.finditer(text):
-            got = Counter(index[f] for w in set(WORD.findall(m[0].lower())) for f in known(w) if f in index)
+            got = [i for w in sorted(set(WORD.findall(m[0].lower()))) for i in hot.get(w, ())]
             if got:
                 doc.append(d)
-                for f, k in got.items():
-                    sentence += [n_sentences] * k
-                    feature += [f] * k
+                sentence += [n_sentences] * len(got)
+                feature += got
                 n_sentences += 1
     weights, bias, background = _train(np.array(toxic, float), np.array(doc, int), np.array(sentence, int), np.array(feature, int), len(chosen))
     return SentenceModel({f: float(weights[i]) for f, i in index.items() if weights[i] > 1e-3}, bias, background)
