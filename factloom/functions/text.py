@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import re
 import unicodedata
 
 import pandas as pd
@@ -117,5 +116,17 @@ def judge_verdict(output: Column) -> Column:
     return F.when(first.isin("PASS", "FAIL"), first).when(said_pass & ~said_fail, "PASS").when(said_fail & ~said_pass, "FAIL")
 
 
-def whole_words(text: str) -> list[str]:
-    return re.findall(r"\w+", text.lower())
+def with_unit(value: Column, unit: Column) -> Column:
+    """A value and its unit; the unit of a plain ratio is not shown."""
+    return F.when(unit == "raw", value.cast("string")).otherwise(F.concat_ws(" ", value.cast("string"), unit))
+
+
+def listed(items: Column, limit: int = 20) -> Column:
+    """The first items and how many more there are."""
+    more = F.size(items) - limit
+    return F.concat(F.array_join(F.slice(items, 1, limit), ", "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(""))
+
+
+def fingerprint(*columns: Column) -> Column:
+    """Twelve hex digits of the digest of some values."""
+    return F.substring(F.sha2(F.to_json(F.struct(*columns)), 256), 1, 12)

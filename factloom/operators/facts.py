@@ -117,8 +117,14 @@ def merge_frame(frame_rows: DataFrame, keys: tuple[str, ...] = ("entity", "frame
 
 
 def metric_all_entities(facts: DataFrame, anchor: str, metric: str, fy: int, fp: str) -> DataFrame:
-    """All entities' values of the frame in which the anchor entity reports a metric; empty if the anchor has none."""
+    """All entities' values of a metric for the anchor's period.
+
+    An amount at a date is each entity's own value of the fiscal period. An amount over a period is looked up by the frame
+    in which the anchor entity reports it; without an anchor value or frame there is no result.
+    """
+    if METRICS.get(metric, ("", "duration"))[1] == "instant":
+        return pick_period(facts.where((F.col("metric") == metric) & (F.col("fy") == fy) & (F.col("fp") == fp)))
     frame = pick_period(facts.where((F.col("entity") == anchor) & (F.col("metric") == metric) & (F.col("fy") == fy) & (F.col("fp") == fp))).where("frame is not null").select("frame")
     rows = facts.where(F.col("metric") == metric).join(F.broadcast(frame), "frame")  # at most one row
     designated = rows.withColumn("designated", F.lit(METRICS.get(metric, ("",))[0]))
-    return merge_frame(designated).drop("designated")
+    return merge_frame(designated).drop("designated", "conflict")

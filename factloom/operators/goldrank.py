@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.numbers import figure_fits, figures_in
+
 #: Pool size, rank in the own filing from which a miss is a dilution.
 POOL = 25
 OWN_FILING = 10
@@ -74,3 +76,29 @@ def query_set(searches: DataFrame, ids: DataFrame, gold: DataFrame) -> DataFrame
     """Distinct (query, ticker) of searches (run_id, ord, query, ticker) with the sorted ids of their questions that have gold."""
     named = searches.join(ids, "run_id").join(gold.select("qid").distinct(), "qid", "left_semi")
     return named.groupBy("query", "ticker").agg(F.array_sort(F.collect_set("qid")).alias("qids"), F.min("ord").alias("first_seen"))
+
+
+def filter_queries(queries: DataFrame, wanted: list[str] | None) -> DataFrame:
+    """Queries of any wanted question, with only those questions; all queries if none is named."""
+    if not wanted:
+        return queries
+    kept = queries.withColumn("qids", F.array_intersect("qids", F.array(*map(F.lit, wanted))))
+    return kept.where(F.size("qids") > 0)
+
+
+def with_ranks(gold: DataFrame, **tables: DataFrame) -> DataFrame:
+    """gold (query_id, doc_id) with the rank of each named table (query_id, doc_id, rank); null where a table lacks the row."""
+    for name, df in tables.items():
+        gold = gold.join(df.select("query_id", "doc_id", F.col("rank").alias(name)), ["query_id", "doc_id"], "left")
+    return gold
+
+
+def propose_gold(parts: DataFrame, chunks: DataFrame, around: int = 120) -> DataFrame:
+    """(id, part, doc_id, token, snippet): numbers of a part's own company's chunks that could be its expected figure.
+
+    parts (id, part, ticker, value, unit, decimals); chunks (doc_id, ticker, text). Numbers are found once per chunk.
+    """
+    figures = chunks.select("doc_id", "ticker", "text", F.explode(figures_in(F.col("text"))).alias("f"))
+    near = parts.join(figures, "ticker").where(figure_fits(F.col("f.magnitude"), F.col("value"), F.col("unit"), F.col("decimals")))
+    start = F.greatest(F.col("f.start") - F.floor((around - F.length("f.token")) / 2), F.lit(0)).cast("int")
+    return near.select("id", "part", "doc_id", F.col("f.token").alias("token"), F.trim(F.regexp_replace(F.col("text").substr(start + 1, F.lit(around)), r"\s+", " ")).alias("snippet"))

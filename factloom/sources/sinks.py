@@ -24,6 +24,15 @@ def write_report(rows: DataFrame, folder: str, stamp: str) -> str:
     return path
 
 
+def append_trace(records: DataFrame, folder: str) -> bool:
+    """Append records to a trace log; a log that can't be written never stops the work that it describes."""
+    try:
+        records.write.mode("append").json(folder)
+    except Exception:  # noqa: BLE001
+        return False
+    return True
+
+
 def score_key(pairs: str = "pairs"):
     """Key of a whole scoring call: the digest of its exact list of pairs."""
     return F.sha2(F.to_json(F.struct(pairs)), 256)

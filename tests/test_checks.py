@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import fiscal, numeric, text
-from factloom.operators import corpus, evalstats, grading, questions, requests, trace, verification
+from factloom.operators import corpus, evalstats, goldrank, grading, questions, requests, trace, verification
 from factloom.plans import derivation
 from factloom.sources import companyfacts, jsonl, sinks, submissions
 from factloom.streaming import limiter, tail
@@ -168,3 +168,36 @@ def test_index_plan_and_caches(spark):
     cached = spark.createDataFrame([("k1", [0.1, 0.2]), ("k2", [0.1, 0.2])], "key string, scores array<double>")
     assert [r.key for r in sinks.cache_misses(calls, cached).collect()] == ["k2"]
     assert calls.select(sinks.score_key()).distinct().count() == 2
+
+
+def test_texts_and_registry(spark, tmp_path):
+    assert one(spark, text.with_unit(F.lit(1.04), F.lit("raw"))) == "1.04" and one(spark, text.with_unit(F.lit(5), F.lit("million"))) == "5 million"
+    assert one(spark, text.listed(F.array(*map(F.lit, "abc")), 2)) == "a, b (+1 more)"
+    assert len(one(spark, text.fingerprint(F.lit(1), F.lit("x")))) == 12
+    (tmp_path / "c.json").write_text('{"X": {"name": "n", "cik": "123", "fiscal_year_end_month": 9}}')
+    assert submissions.load_companies(spark, str(tmp_path / "c.json")).first().fiscal_year_end_month == 9
+    (tmp_path / "d.json").write_text('{"X": {"name": "n", "cik": "123", "fiscal_year_end_month": 13}}')
+    with pytest.raises(Exception, match="bad company"):
+        submissions.load_companies(spark, str(tmp_path / "d.json")).collect()
+    rows = spark.createDataFrame([("r", 1)], "run_id string, n int")
+    assert sinks.append_trace(rows, str(tmp_path / "log")) and sinks.append_trace(rows, str(tmp_path / "log")) and spark.read.json(str(tmp_path / "log")).count() == 2
+    assert not sinks.append_trace(rows, str(tmp_path / "c.json" / "x"))
+    assert spark.read.json(sinks.write_report(rows, str(tmp_path), "2024-01-01T00")).count() == 1
+
+
+def test_gold_helpers(spark):
+    queries = spark.createDataFrame([("q", "X", ["1", "2"]), ("p", None, ["3"])], "query string, ticker string, qids array<string>")
+    assert [(r.query, r.qids) for r in goldrank.filter_queries(queries, ["2", "9"]).collect()] == [("q", ["2"])] and goldrank.filter_queries(queries, None).count() == 2
+    keys = "query_id string, ticker string, qid string, part string"
+    lost = goldrank.lost_hits(spark.createDataFrame([("q", None, "1", "v"), ("q", "X", "1", "v")], keys), spark.createDataFrame([("q", None, "1", "v")], keys))
+    assert [r.ticker for r in lost.collect()] == ["X"]
+    searches = spark.createDataFrame([("r1", 1, "q", "X"), ("r2", 2, "q", "X"), ("r3", 3, "z", None)], "run_id string, ord long, query string, ticker string")
+    ids = spark.createDataFrame([("r1", "7"), ("r2", "5"), ("r3", "none")], "run_id string, qid string")
+    assert [(r.query, r.qids) for r in goldrank.query_set(searches, ids, spark.createDataFrame([("7",), ("5",)], "qid string")).collect()] == [("q", ["5", "7"])]
+    parts = spark.createDataFrame([("1", "value", "X", 72.4, "billion", 1), ("2", "value", "X", 20.0, "raw", 0)], "id string, part string, ticker string, value double, unit string, decimals int")
+    chunks = spark.createDataFrame([("c1", "X", "we had (72,431) and 20 in 1972.4"), ("c2", "Y", "72,400")], "doc_id string, ticker string, text string")
+    assert sorted((r.id, r.token) for r in goldrank.propose_gold(parts, chunks).collect()) == [("1", "(72,431)"), ("2", "20")]
+    ranked = goldrank.with_ranks(spark.createDataFrame([("q", 1), ("q", 2)], "query_id string, doc_id int"), bm25=spark.createDataFrame([("q", 1, 5)], "query_id string, doc_id int, rank int"))
+    assert {r.doc_id: r.bm25 for r in ranked.collect()} == {1: 5, 2: None}
+    causes = spark.createDataFrame([(3, 9, False, True, 1, 20), (9, 3, False, True, 1, 20), (9, 9, True, False, 15, 20), (9, 9, True, True, 15, 20)], "combined_rank int, ce_rank int, rescuable boolean, table_in_final boolean, pool_pos int, pool int")
+    assert [r.c for r in causes.select(goldrank.rerank_cause().alias("c")).collect()] == ["rescue", "fusion", "rescue_threshold", "model"]

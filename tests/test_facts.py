@@ -84,3 +84,15 @@ def test_average_needs_every_year(spark):
     df = resolved(spark, *[("A", y, "FY", "revenue", float(y - 2000), None) for y in (2020, 2021, 2022, 2024)])
     asked = spark.createDataFrame([("ok", "A", "revenue", 2020, 2022), ("gap", "A", "revenue", 2021, 2024), ("short", "A", "revenue", 2021, 2021)], "request_id string, entity string, metric string, first_year int, last_year int")
     assert [(r.request_id, r.mean) for r in formulas.multi_year_average(df, asked).collect()] == [("ok", 21.0)]
+
+
+def test_comparison_by_frame_or_by_own_period(spark):
+    e = D(2024, 12, 31)
+    df = rows(
+        spark,
+        fact(0, D(2024, 1, 1), e, 10, 2024, "FY", "10-K", frame="CY2024"), fact(1, D(2024, 2, 1), D(2025, 1, 31), 20, 2025, "FY", "10-K", frame="CY2024", entity="B"), fact(2, D(2024, 1, 1), e, 5, 2024, "FY", "10-K", entity="C"),
+        fact(3, None, e, 7, 2024, "FY", "10-K", metric="total_assets"), fact(4, None, D(2024, 6, 30), 8, 2024, "FY", "10-K", metric="total_assets", entity="B"),
+    )
+    assert {r.entity: r.val for r in facts.metric_all_entities(df, "A", "revenue", 2024, "FY").collect()} == {"A": 10.0, "B": 20.0}
+    assert facts.metric_all_entities(df, "C", "revenue", 2024, "FY").count() == 0
+    assert {r.entity: r.val for r in facts.metric_all_entities(df, "A", "total_assets", 2024, "FY").collect()} == {"A": 7.0, "B": 8.0}
