@@ -86,15 +86,24 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], temperature: fl
     return checkpoint(cells)
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
-    """``docs`` with _mix_topic, _mix_n (tokens), _mix_p (probability) and _mix_kept."""
+def tagged(docs: DataFrame) -> DataFrame:
+    """``docs`` with the values of its dimensions and its tokens (_mix_n)."""
     none = F.lit("(none)")
-    marked = docs.withColumns({
+    return docs.withColumns({
         "_mix_source": F.coalesce(docs["source"].cast("string"), none),
         "_mix_lang": F.coalesce(docs["lang"].cast("string"), none),
         "_mix_topic": topic_of(docs["text"]),
         "_mix_n": token_count(docs["text"]),
     })
+
+
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
+    """``docs`` with _mix_topic, _mix_n (tokens), _mix_p (probability) and _mix_kept."""
+    return sampled(tagged(docs), targets, budget, temperature, rounds, seed)
+
+
+def sampled(marked: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
+    """``mixed`` for documents that are tagged already."""
     names = [f"_mix_{d}" for d in DIMENSIONS]
     cells = checkpoint(marked.groupBy(*names).agg(F.sum("_mix_n").alias("_mix_tokens")))
     raked = rake(cells, targets or {}, temperature, rounds).withColumn("_mix_r", F.when(F.col("_mix_tokens") > 0, F.col("_mix_w") / F.col("_mix_tokens")).otherwise(1.0))
@@ -108,7 +117,8 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, b
 
 
 def mixing_query(docs: DataFrame) -> DataFrame:
-    return mixed(docs).select(
+    slim = checkpoint(tagged(docs.select("doc_id", "source", "lang", "text")).drop("text"))  # texts are scanned once
+    return sampled(slim).select(
         "doc_id", "source", "lang", F.col("_mix_topic").alias("topic"), F.col("_mix_n").alias("n_tokens"),
         (F.floor(F.col("_mix_p") * 1e6 + 0.5) / 1e6).alias("probability"), F.col("_mix_kept").alias("kept"),
     )
