@@ -26,10 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import text_batches
+
 #: The split into pre-tokens that the byte-level scheme fixes.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED_WORDS = 600_000
-CACHED_PAIRS = 400_000
+CACHED_WORDS = 300_000
+CACHED_PAIRS = 250_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -185,5 +187,6 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, keep_ids: bool = False) ->
                     out["decoded"] = decoded
                 yield out
 
+    text_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join may be broadcast after it has been counted; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
+#: Rows of an Arrow batch of texts: a few megabytes at some kilobytes a text.
+TEXT_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Send long texts to Python in Arrow batches of ``TEXT_ROWS`` rows, unless the session's setting is not Spark's default.
+
+    The setting is one of the session and read when a plan runs, so it stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for a broadcast if its counted ``rows`` are within ``limit``; else unmarked, for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpoint, small_side
+from factloom.llm.common import checkpoint, small_side, text_batches
 
 MIN_TEXTS = 5
 #: A line of ``LONG_TOKENS`` or more is recurring from ``MIN_TEXTS_LONG`` texts on.
@@ -75,7 +75,7 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = [(i, t) for i, line in enumerate(text.split("\n")) if (t := line_templates(line))]
             for at, (i, (n, leaf, keys)) in enumerate(found):
                 rows.append((a, b, i, n, leaf, keys, found[at - 1][1][2][0] if at else FIRST, found[at + 1][1][2][0] if at + 1 < len(found) else LAST))
-            if len(rows) > 50_000:
+            if len(rows) > 20_000:
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in _LINES.split(", ")])
                 rows = []
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in _LINES.split(", ")])
@@ -83,6 +83,7 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(_line_a, _line_b, _line_drop): for a text's two hashes the positions of its lines of recurring templates."""
+    text_batches(docs.sparkSession)
     source = docs.where("text is not null and text <> ''").select(F.xxhash64("text").alias("_line_a"), F.hash("text").alias("_line_b"), "text")
     lines = checkpoint(source.mapInPandas(_lines, _LINES))
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_TEXTS_LONG).select("leaf")

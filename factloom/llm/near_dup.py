@@ -27,10 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpoint, small_side
+from factloom.llm.common import checkpoint, small_side, text_batches
 
 SHINGLE_WORDS = 5
 SKETCH = 48
+CACHED_WORDS = 100_000
 #: Two full sketches share at least ``SKETCH * (t - SLACK)`` values if the similarity is ``t`` (all but 1e-8 of such pairs).
 SLACK = 0.36
 BLOCK = 128
@@ -45,7 +46,7 @@ class _WordHashes(dict):
     """64-bit hash of a word; emptied when it has grown, so that a worker's memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > CACHED_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -82,7 +83,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = shingle_set(text)
             sizes.append(len(found))
             keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-            sketches.append(_signed(found[:SKETCH]))
+            sketches.append(_signed(found[:SKETCH]).copy())  # a view would keep the whole set
         yield pd.DataFrame({"doc_id": batch["doc_id"], "set_key": keys, "n_shingles": sizes, "sketch": sketches})
 
 
@@ -192,6 +193,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Two documents are linked if ``100 * intersection >= percent * union`` of their shingle sets.
     """
+    text_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = checkpoint(source.mapInPandas(_sketches, "doc_id long, set_key binary, n_shingles long, sketch array<long>"))
     usable = sketched.where("doc_id is not null and set_key is not null")

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import text_batches
+
 PACKET = 576
 RATE = 8000
 STREAMS = 2
@@ -148,6 +150,7 @@ def ogg_column(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                 rows.append((doc_id, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(streams, payload), *([media] if keep_media else [])))
             yield pd.DataFrame(rows, columns=columns)
 
+    text_batches(docs.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
     columns = [c.split()[0] for c in schema.split(", ")]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpoint
+from factloom.llm.common import checkpoint, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns. The local part of an address is the run of its letters before the sign, so only the rest is searched.
@@ -164,6 +164,7 @@ def classifier(patterns: pd.DataFrame, steps: int = 400) -> dict[tuple[int, str]
 
 def personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): counts of the fixed patterns, base_sha256, spans and n_added."""
+    text_batches(docs.sparkSession)
     found = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_candidates, CANDIDATES))
     patterns = found.select(F.explode("found").alias("f")).groupBy("f.kind", "f.votes").agg(F.count("*").alias("n"))
     model = classifier(patterns.orderBy("kind", "votes").toPandas())  # at most len(KINDS) * 3 ** len(LABELERS) rows

@@ -24,8 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import text_batches
+
 TRAIN_DOCS = 8_000
 FEATURES = 3_000
+CACHED_WORDS = 100_000
 STEPS = 300
 FOLDS = 5
 #: Names of the two biases among a model's weights.
@@ -54,7 +57,7 @@ class SentenceModel:
     def word(self, word: str) -> float:
         known = self.by_word.get(word)
         if known is None:
-            if len(self.by_word) > 300_000:
+            if len(self.by_word) > CACHED_WORDS:
                 self.by_word.clear()
             known = self.by_word[word] = sum(self.weights.get(f, 0.0) for f in sorted(features_of(word)))
         return known
@@ -76,6 +79,19 @@ def _logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+class _Kept(dict):
+    """Features of a word that are among given ones, in order; emptied when it has grown."""
+
+    def __init__(self, among: dict):
+        self.among = among
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        found = self[word] = tuple(f for f in sorted(features_of(word)) if f in self.among)
+        return found
+
+
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
@@ -90,30 +106,23 @@ def fit(texts: list[str], toxic: list[int]) -> SentenceModel:
             counts.update(set().union(*map(features_of, set(WORD.findall(text.lower())))))
     in_toxic = {f: n for f, n in counts.items() if n >= 3}
     del counts
-    by_word: dict[str, tuple[str, ...]] = {}
-
-    def known(word: str) -> tuple[str, ...]:
-        if word not in by_word:
-            by_word[word] = tuple(f for f in sorted(features_of(word)) if f in in_toxic)
-        return by_word[word]
-
+    known = _Kept(in_toxic)
     in_clean = Counter()
     for text, y in zip(texts, toxic, strict=True):
-        found = set().union(*map(known, set(WORD.findall(text.lower()))))
         if not y:
-            in_clean.update(found)
+            in_clean.update(set().union(*map(known.__getitem__, set(WORD.findall(text.lower())))))
     gain = {f: np.log((n + 0.5) / (n_toxic + 1)) - np.log((in_clean[f] + 0.5) / (n_clean + 1)) for f, n in in_toxic.items()}
     worth = {f: (in_toxic[f] / n_toxic - in_clean[f] / max(n_clean, 1)) * g for f, g in gain.items() if g > 1}
     chosen = sorted(worth, key=lambda f: (-worth[f], f))[:FEATURES]
     index = {f: i for i, f in enumerate(chosen)}
 
-    hot = {w: ids for w, fs in by_word.items() if (ids := [index[f] for f in fs if f in index])}
+    hot = _Kept(index)
     doc, sentence, feature, n_sentences = [], [], [], 0
     for d, text in enumerate(texts):
-        if hot.keys().isdisjoint(WORD.findall(text.lower())):
+        if not any(map(hot.__getitem__, set(WORD.findall(text.lower())))):
             continue
         for m in SENTENCE.finditer(text):
-            got = [i for w in sorted(set(WORD.findall(m[0].lower()))) for i in hot.get(w, ())]
+            got = [index[f] for w in sorted(set(WORD.findall(m[0].lower()))) for f in hot[w]]
             if got:
                 doc.append(d)
                 sentence += [n_sentences] * len(got)
@@ -175,6 +184,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Dat
                 "offending": [[{"start": a, "end": b, "score": float(p)} for a, b, p in found if p >= 0.5] for _, found in scored],
             })
 
+    text_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
     return source.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, offending array<struct<start:int,end:int,score:double>>")
 
@@ -186,4 +196,5 @@ def filtered(docs: DataFrame, model: SentenceModel, threshold: float = 0.5) -> D
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([float(model.score(t)[0]) for t in texts])
 
+    text_batches(docs.sparkSession)
     return docs.where(score(F.col("text")) < threshold)
