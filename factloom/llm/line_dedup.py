@@ -3,14 +3,17 @@
 A line goes down the tree by its number of tokens and its leading tokens, in which variable fields (tokens with digits, @
 or /) are wildcards, to a leaf. In a leaf its template is the sequence of its four quarters; a longer line also has the four
 templates in which one quarter is a wildcard, so lines that differ in one part share a template. A template is recurring
-if enough different texts hold it and its neighbouring lines differ; lines of recurring templates are dropped.
+if it stands in enough different contexts; lines of recurring templates are dropped.
 
-The neighbours tell boilerplate from copied documents: inserted lines stand between different lines everywhere, a line
-of copies and near copies always between the same. Copied documents are not this operator's task (see ``near_dup``), and
-exact copies count as one text.
+Lines that follow each other in at least two texts form a block, also where one line was put between them; the context of
+each line of a block is the pair of lines around the whole block. Two contexts are different if both sides differ
+and their texts are no near copies: lines are alike if they share a template or one of their longest word pairs, the begin
+or end of a text differs from everything, and near copies have a third or so of the word pairs outside the blocks in common
+by a bottom-k sketch over the longest ones of each line. A text that is nothing but one block is a copy and no context. So inserted lines are told from copied documents, whose lines always stand between the same, and copies neither
+count as contexts of their own nor hide those of other texts. Copied documents are not this operator's task (see ``near_dup``).
 
 Scale: a line is one row of hashes, whatever its length; only lines whose leaf has other lines go on; counts aggregate before
-they are shuffled; the positions to drop are joined to the documents by a broadcast if they are few (they are counted).
+they are shuffled; of each template a task hands on only as many different contexts as decide; the positions to drop are joined to the documents by a broadcast if they are few (they are counted).
 
 Nulls and edge cases: a null text stays null and an empty one empty; blank lines are never dropped; if all lines of a text
 are dropped it becomes empty, the row stays; texts without a recurring line keep their bytes; results depend on the text
@@ -19,31 +22,39 @@ alone, so a null or repeated ``doc_id`` needs no care. Columns of ``docs`` pass
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import checkpoint, small_side, text_batches
 
 MIN_TEXTS = 5
-#: A line of ``LONG_TOKENS`` or more is recurring from ``MIN_TEXTS_LONG`` texts on.
+#: A line of ``LONG_TOKENS`` or more is recurring from ``MIN_TEXTS_LONG`` contexts on.
 LONG_TOKENS = 20
 MIN_TEXTS_LONG = 3
 DEPTH = 3
 GENERAL_TOKENS = 8
 VARIABLE = re.compile(r"[0-9@/]")
-#: Share of a template's texts in which the lines before it must differ, and those after it; the begin or end of a text
-#: counts as different each time.
-DIFFER = 0.8
-#: Stand for the line before the first and after the last.
-FIRST, LAST = 0, 1
+#: Longest word pairs of a line by which it is compared with others.
+ALIKE_PAIRS = 3
+#: Most of them that go into a text's sketch.
+SKETCH_PAIRS = 8
+#: Hashes of a text's sketch, and the share of them from which on two texts are near copies.
+SKETCH = 24
+#: Of a hash in a sketch; the line's place stands in 16 bits below.
+HASH_BITS = (1 << 47) - 1
+NEAR = 0.3
+#: Templates whose contexts a task holds at a time.
+HELD = 50_000
 BROADCAST_TEXTS = 300_000
 
-_LINES = "_line_a long, _line_b int, pos int, tokens int, leaf long, keys array<long>, before long, after long"
+_LINES = "_line_a long, _line_b int, pos int, at int, tokens int, leaf long, keys array<long>, before array<long>, after array<long>, sketch array<long>"
+_CONTEXTS = "key long, tokens int, before array<long>, after array<long>, sketch array<long>"
 
 
 def _hash(text: str) -> int:
@@ -68,39 +79,119 @@ def line_templates(line: str) -> tuple[int, int, list[int]] | None:
     return n, _hash(leaf), keys
 
 
+def longest_pairs(line: str) -> list[int]:
+    """Hashes of the longest pairs of neighbouring words of a line, the longest last: one for four words, from ``ALIKE_PAIRS`` to ``SKETCH_PAIRS``."""
+    tokens = line.split()
+    return [*map(_hash, sorted(map(" ".join, zip(tokens, tokens[1:], strict=False)), key=len)[-min(SKETCH_PAIRS, max(ALIKE_PAIRS, len(tokens) // 4)) :])]
+
+
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for a, b, text in zip(batch["_line_a"], batch["_line_b"], batch["text"], strict=True):
-            found = [(i, t) for i, line in enumerate(text.split("\n")) if (t := line_templates(line))]
-            for at, (i, (n, leaf, keys)) in enumerate(found):
-                rows.append((a, b, i, n, leaf, keys, found[at - 1][1][2][0] if at else FIRST, found[at + 1][1][2][0] if at + 1 < len(found) else LAST))
+            found = [(i, *t, pairs, [t[2][0], *pairs[-ALIKE_PAIRS:]]) for i, line in enumerate(text.split("\n")) if (t := line_templates(line)) for pairs in [longest_pairs(line)]]
+            places = {p & HASH_BITS: at for at, (*_, pairs, _) in enumerate(found) for p in pairs}
+            sketch = [p << 16 | min(places[p], 0xFFFF) for p in heapq.nsmallest(SKETCH, places)]
+            for at, (i, n, leaf, keys, _, _) in enumerate(found):
+                rows.append((a, b, i, at, n, leaf, keys, found[at - 1][5] if at else [], found[at + 1][5] if at + 1 < len(found) else [], sketch))
             if len(rows) > 20_000:
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in _LINES.split(", ")])
                 rows = []
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in _LINES.split(", ")])
 
 
+def enough(tokens: int) -> int:
+    """Different contexts from which on a template of so many tokens is recurring."""
+    return MIN_TEXTS_LONG if tokens >= LONG_TOKENS else MIN_TEXTS
+
+
+def near_copies(a: frozenset, b: frozenset) -> bool:
+    """By two sketches, without what is in the blocks of both."""
+    both = {x >> 1 for x in a if x & 1} & {x >> 1 for x in b if x & 1}
+    a, b = {x >> 1 for x in a} - both, {x >> 1 for x in b} - both
+    least = sorted(a | b)[: min(len(a), len(b))]
+    return bool(least) and len(a & b & set(least)) >= NEAR * len(least)
+
+
+def add_context(held: list[tuple], before, after, sketch, most: int) -> None:
+    """Add a context to ``held`` unless it is like one of them or there are ``most``; an empty side is an edge of a text."""
+    if len(held) < most:
+        b, a, s = frozenset(before), frozenset(after), frozenset(sketch)
+        if all(b.isdisjoint(x) and a.isdisjoint(y) and not near_copies(s, z) for x, y, z in held):
+            held.append((b, a, s))
+
+
+def _different(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the contexts of each template, as many different ones as it needs."""
+    held: dict[tuple[int, int], list] = {}
+
+    def out() -> pd.DataFrame:
+        rows = [(key, n, *map(list, context)) for (key, n), found in held.items() for context in found]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in _CONTEXTS.split(", ")])
+
+    for batch in batches:
+        for key, n, *context in zip(*(batch[c] for c in ("key", "tokens", "before", "after", "sketch")), strict=True):
+            add_context(held.setdefault((key, n), []), *context, enough(n))
+        if len(held) > HELD:
+            yield out()
+            held.clear()
+    yield out()
+
+
+def _recurring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Templates with enough different contexts; rows come sorted by template."""
+    last, held = None, []
+    for batch in batches:
+        keys = []
+        for key, n, *context in zip(*(batch[c] for c in ("key", "tokens", "before", "after", "sketch")), strict=True):
+            if key != last:
+                last, held = key, []
+            size = len(held)
+            add_context(held, *context, enough(n))
+            if size < len(held) == enough(n):
+                keys.append(key)
+        yield pd.DataFrame({"key": keys})
+
+
+def in_blocks(named: DataFrame) -> DataFrame:
+    """``named`` (rows of lines with a ``name``) with the lines before and after each line's block as ``before`` and ``after``, and in ``sketch`` a last bit for what is in it."""
+    text = ["_line_a", "_line_b"]
+    order = Window.partitionBy(*text).orderBy("at")
+    # the next lines, and those after one line between
+    following = [F.struct((F.lead("at", k).over(order) - F.col("at")).alias("gap"), F.lead("name", k).over(order).alias("other")) for k in (1, 2)]
+    rows = checkpoint(named.withColumn("following", F.filter(F.array(*following), lambda f: f["gap"] <= 2)))
+    pairs = rows.select(*text, "at", "name", F.explode("following").alias("f")).select(*text, "at", "name", "f.other", "f.gap")
+    once = pairs.groupBy("name", "other", *text).agg(F.min("gap").alias("gap"))
+    together = once.groupBy("name", "other").agg(F.count("*").alias("n"), F.min("gap").alias("least")).where("n >= 2 and least = 1").select("name", "other")
+    reach = pairs.join(together, ["name", "other"]).groupBy(*text, "at").agg((F.max("gap") + F.col("at")).alias("reach"))
+    before_it = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.drop("following").join(reach, [*text, "at"], "left")
+    rows = rows.withColumn("starts", F.coalesce(F.max("reach").over(before_it) < F.col("at"), F.lit(True)).cast("int"))
+    rows = rows.withColumn("block", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    block = Window.partitionBy(*text, "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"before": F.first("before").over(block), "after": F.last("after").over(block), "first": F.first("at").over(block), "last": F.last("at").over(block)})
+    inside = lambda x: (x % 65536).between(F.least("first", F.lit(65535)), F.least("last", F.lit(65535))).cast("long")
+    return rows.withColumn("sketch", F.transform("sketch", lambda x: F.shiftright(x, 16) * 2 + inside(x)))
+
+
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(_line_a, _line_b, _line_drop): for a text's two hashes the positions of its lines of recurring templates."""
     text_batches(docs.sparkSession)
+    text = ["_line_a", "_line_b"]
     source = docs.where("text is not null and text <> ''").select(F.xxhash64("text").alias("_line_a"), F.hash("text").alias("_line_b"), "text")
     lines = checkpoint(source.mapInPandas(_lines, _LINES))
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_TEXTS_LONG).select("leaf")
-    shared = lines.join(leaves, "leaf").drop("leaf")
-    keyed = checkpoint(shared.select("_line_a", "_line_b", "pos", "tokens", "before", "after", F.explode("keys").alias("key")))
-    # one place for each text, so that copies and repetitions inside a text count once
-    places = keyed.groupBy("key", "_line_a", "_line_b").agg(F.first("tokens").alias("tokens"), F.min("before").alias("before"), F.min("after").alias("after"))
-    counts = places.groupBy("key").agg(
-        F.count("*").alias("n"), F.first("tokens").alias("tokens"), F.approx_count_distinct("before", 0.02).alias("b"), F.approx_count_distinct("after", 0.02).alias("a"),
-        F.count_if(F.col("before") == FIRST).alias("begins"), F.count_if(F.col("after") == LAST).alias("ends"),
-    )
-    n = F.col("n")
-    enough = n >= F.when(F.col("tokens") >= LONG_TOKENS, MIN_TEXTS_LONG).otherwise(MIN_TEXTS)
-    neighbours = [F.col(kinds) - F.least(F.col(edges), F.lit(1)) + F.col(edges) for kinds, edges in (("b", "begins"), ("a", "ends"))]
-    differ = F.least(*neighbours) >= DIFFER * n
-    recurring = counts.where(enough & differ).select("key")
-    return checkpoint(keyed.join(recurring, "key").groupBy("_line_a", "_line_b").agg(F.array_sort(F.collect_set("pos")).alias("_line_drop")))
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n")).where("n >= 2").select("leaf")
+    # copies of a text count once
+    shared = checkpoint(lines.join(leaves, "leaf").drop("leaf").dropDuplicates([*text, "pos"]))
+    keyed = checkpoint(shared.select(*text, "pos", F.posexplode("keys").alias("form", "key")))
+    common = keyed.groupBy("key", *text).agg(F.lit(1)).groupBy("key").agg(F.count("*").alias("n")).where("n >= 2")
+    # a line goes by its most common template
+    names = keyed.join(common, "key").groupBy(*text, "pos").agg(F.max_by("key", F.struct("n", -F.col("form"))).alias("name"), F.collect_set("key").alias("common"))
+    blocks = in_blocks(shared.drop("keys").join(names, [*text, "pos"])).where("size(before) > 0 or size(after) > 0")
+    contexts = blocks.select(F.explode("common").alias("key"), "tokens", "before", "after", "sketch")
+    different = contexts.mapInPandas(_different, _CONTEXTS).repartition("key").sortWithinPartitions("key")
+    recurring = different.mapInPandas(_recurring, "key long")
+    return checkpoint(keyed.join(recurring, "key").groupBy(*text).agg(F.array_sort(F.collect_set("pos")).alias("_line_drop")))
 
 
 def deduplicated_lines(docs: DataFrame) -> DataFrame:

@@ -227,6 +227,26 @@ def test_lines(spark):
     assert line_dedup.deduplicated_lines(df.limit(0)).count() == 0
 
 
+def test_blocks_of_lines(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    block = [line(9), line(2), line(12)]
+    rows = [(i, "\n".join([line(9), *block, line(8)])) for i in range(20)] + [(20 + i, "\n".join([line(30), *block])) for i in range(3)]
+    # near copies: each line is edited in some of them, and some have a line put in between
+    story = [line(25) for _ in range(7)]
+    for i in range(40):
+        copy = list(story)
+        for k in (i % 7, (i + 2) % 7):
+            words = copy[k].split()
+            words[3], words[10], words[20] = word(), word(), word()
+            copy[k] = " ".join(words)
+        rows.append((100 + i, "\n".join(copy if i % 4 else [*copy[:3], line(6), *copy[3:]])))
+    got = {r.doc_id: r for r in line_dedup.deduplicated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]._line_dropped == 3 and not any(x in got[i].text for x in block) for i in range(23))
+    assert all(got[i].text == text for i, text in rows if i >= 100)
+
+
 def test_toxicity(spark, docs):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(5))
