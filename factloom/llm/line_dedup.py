@@ -37,6 +37,9 @@ MIN_TEXTS = 5
 #: A line of ``LONG_TOKENS`` or more is recurring from ``MIN_TEXTS_LONG`` contexts on.
 LONG_TOKENS = 20
 MIN_TEXTS_LONG = 3
+#: A passage of ``PASSAGE_TOKENS`` or more, from ``MIN_TEXTS_PASSAGE`` on.
+PASSAGE_TOKENS = 50
+MIN_TEXTS_PASSAGE = 2
 DEPTH = 3
 GENERAL_TOKENS = 8
 VARIABLE = re.compile(r"[0-9@/]")
@@ -102,7 +105,7 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def enough(tokens: int) -> int:
     """Different contexts from which on a template of so many tokens is recurring."""
-    return MIN_TEXTS_LONG if tokens >= LONG_TOKENS else MIN_TEXTS
+    return MIN_TEXTS_PASSAGE if tokens >= PASSAGE_TOKENS else MIN_TEXTS_LONG if tokens >= LONG_TOKENS else MIN_TEXTS
 
 
 def near_copies(a: frozenset, b: frozenset) -> bool:
@@ -180,9 +183,9 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     text = ["_line_a", "_line_b"]
     source = docs.where("text is not null and text <> ''").select(F.xxhash64("text").alias("_line_a"), F.hash("text").alias("_line_b"), "text")
     lines = checkpoint(source.mapInPandas(_lines, _LINES))
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n")).where("n >= 2").select("leaf")
+    leaves = checkpoint(lines.groupBy("leaf").agg(F.count("*").alias("n")).where("n >= 2").select("leaf"))
     # copies of a text count once
-    shared = checkpoint(lines.join(leaves, "leaf").drop("leaf").dropDuplicates([*text, "pos"]))
+    shared = checkpoint(lines.join(small_side(leaves, leaves.count()), "leaf").drop("leaf").dropDuplicates([*text, "pos"]))
     keyed = checkpoint(shared.select(*text, "pos", F.posexplode("keys").alias("form", "key")))
     common = keyed.groupBy("key", *text).agg(F.lit(1)).groupBy("key").agg(F.count("*").alias("n")).where("n >= 2")
     # a line goes by its most common template

@@ -247,6 +247,23 @@ def test_blocks_of_lines(spark):
     assert all(got[i].text == text for i, text in rows if i >= 100)
 
 
+def test_copies_do_not_hide_a_passage(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    passage, twice, once = line(60), line(55), line(55)
+    rows = [(i, "\n".join([line(30), passage, line(30)])) for i in range(20)] + [(20 + i, "\n".join([line(30), twice, line(30)])) for i in range(2)]
+    copied = [line(40), once, line(40), passage, line(40), line(40)]
+    for i in range(100):
+        copy = [x.split() for x in copied]
+        for k in (0, 2, 4, 5):
+            copy[k][rng.randrange(40)] = word()
+        rows.append((100 + i, "\n".join(map(" ".join, copy))))
+    got = {r.doc_id: r for r in line_dedup.deduplicated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r._line_dropped == 1 and passage not in r.text and twice not in r.text for r in got.values())
+    assert all(once in got[100 + i].text for i in range(100))
+
+
 def test_toxicity(spark, docs):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(5))
