@@ -99,6 +99,15 @@ def test_html():
     assert html_main.main_text("<article><p>cut <a href='x") == "cut"
 
 
+def test_only_real_attributes_count():
+    page = "<html><body{}><div class='article-body'{}><p>Some <a{}>linked</a> words.</p></div></body></html>"
+    for values in ((" style=\"overflow:hidden\"", "", ""), ("", " style='overflow: hidden'", " title=\"Hidden gems\""), ("", " data-hidden=\"false\" data-id=\"footer\"", " data-role=navigation href=/hidden/a")):
+        assert html_main.main_text(page.format(*values)) == "Some linked words."
+    for hidden in (" hidden", " HIDDEN=''", " aria-hidden='true'", " class=x hidden"):
+        assert html_main.main_text(page.format("", "", hidden)) == "Some words."
+    assert html_main.main_text(page.format("", "", " aria-hidden=false")) == "Some linked words."
+
+
 def test_wrapper_drops_template_nodes(spark):
     body = "<html><body><div><p>Welcome to our site, read the rules first.</p><p>{}</p><p>{}</p></div></body></html>"
     rows = [(i, "http://h.example/a", body.format(f"story {i} " * 9, f"more {i} " * 7)) for i in range(12)] + [(99, None, "<p>no host</p>"), (100, "http://h.example/b", None), (5, "http://h.example/a", body.format("story 5 " * 9, "more 5 " * 7))]
