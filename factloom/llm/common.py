@@ -23,6 +23,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-checkpoint-"))
 
 
@@ -45,3 +47,15 @@ def text_batches(spark: SparkSession) -> None:
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for a broadcast if its counted ``rows`` are within ``limit``; else unmarked, for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def keyed_join(rows: DataFrame, unique: DataFrame, key: str, count: int, spread: str, salts: int = 8) -> DataFrame:
+    """Inner join of ``rows``, in which some values of ``key`` may be hot, with a table of ``count`` unique keys.
+
+    The table is broadcast if it is small; otherwise it is repeated for each salt, and the rows of a key are spread over
+    the salts by their column ``spread``.
+    """
+    if count <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(unique), key)
+    salted = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")

@@ -1,207 +1,201 @@
 """Line deduplication by a log-template tree of fixed depth.
 
-A line goes down the tree by its number of tokens and its leading tokens, in which variable fields (tokens with digits, @
-or /) are wildcards, to a leaf. In a leaf its template is the sequence of its four quarters; a longer line also has the four
-templates in which one quarter is a wildcard, so lines that differ in one part share a template. A template is recurring
-if it stands in enough different contexts; lines of recurring templates are dropped.
-
-Lines that follow each other in at least two texts form a block, also where one line was put between them; the context of
-each line of a block is the pair of lines around the whole block. Two contexts are different if both sides differ
-and their texts are no near copies: lines are alike if they share a template or one of their longest word pairs, the begin
-or end of a text differs from everything, and near copies have a third or so of the word pairs outside the blocks in common
-by a bottom-k sketch over the longest ones of each line. A text that is nothing but one block is a copy and no context. So inserted lines are told from copied documents, whose lines always stand between the same, and copies neither
-count as contexts of their own nor hide those of other texts. Copied documents are not this operator's task (see ``near_dup``).
-
-Scale: a line is one row of hashes, whatever its length; only lines whose leaf has other lines go on; counts aggregate before
-they are shuffled; of each template a task hands on only as many different contexts as decide; the positions to drop are joined to the documents by a broadcast if they are few (they are counted).
+A line goes down the tree by its number of tokens and its ``DEPTH`` leading tokens, in which variable fields (tokens with
+digits, @ or /) are wildcards, to a leaf. In a leaf it has five templates: the sequence of its four quarters, and the four
+sequences in which one quarter is a wildcard; so lines of one leaf that differ in one part share a template. The rule is the
+same for every length; a quarter of a short line may be empty.
+
+A template is recurring if it stands in at least ``MIN_TEXTS`` texts that are no copies of each other (``MIN_TEXTS_PASSAGE``
+for a passage of ``PASSAGE_TOKENS`` or more), whatever stands around it; all lines of recurring templates are dropped, so a
+notice of several lines goes whole. Copied documents are not this operator's task (see ``near_dup``): equal texts and near
+copies make one class, and a template counts its different classes exactly. Near copies are the connected components over
+pairs of texts whose MinHash signatures agree in ``NEAR`` of their places. Signatures are taken on word pairs, as scattered
+edits spoil longer shingles while a shared passage weighs the same: copies that edits leave with half of their five-word
+shingles still have three quarters of their pairs. A text of which one shared passage is the greater part counts as a copy.
+
+Scale: a line is one row of hashes, whatever its length; only lines whose leaf has lines of another text go on; counts
+combine before they are shuffled, first by template and class, so neither a hot template nor a large class lands in one
+task; joins with tables of unique keys are broadcast if these are few (they are counted) and salted otherwise.
 
 Nulls and edge cases: a null text stays null and an empty one empty; blank lines are never dropped; if all lines of a text
-are dropped it becomes empty, the row stays; texts without a recurring line keep their bytes; results depend on the text
-alone, so a null or repeated ``doc_id`` needs no care. Columns of ``docs`` pass through; internal ones start with ``_line_``.
+are dropped it becomes empty, the row stays; texts without a recurring line keep their bytes; results depend on the texts
+alone, so order, ties and a null or repeated ``doc_id`` need no care. Columns of ``docs`` pass through; internal ones start
+with ``_line_``.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpoint, small_side, text_batches
+from factloom.llm.common import checkpoint, keyed_join, small_side, text_batches
+from factloom.llm.near_dup import connected_components
 
+#: Different texts in which a template must stand.
 MIN_TEXTS = 5
-#: A line of ``LONG_TOKENS`` or more is recurring from ``MIN_TEXTS_LONG`` contexts on.
-LONG_TOKENS = 20
-MIN_TEXTS_LONG = 3
-#: A passage of ``PASSAGE_TOKENS`` or more, from ``MIN_TEXTS_PASSAGE`` on.
+#: The same for a passage of ``PASSAGE_TOKENS`` or more.
 PASSAGE_TOKENS = 50
 MIN_TEXTS_PASSAGE = 2
 DEPTH = 3
-GENERAL_TOKENS = 8
+PARTS = 4
 VARIABLE = re.compile(r"[0-9@/]")
-#: Longest word pairs of a line by which it is compared with others.
-ALIKE_PAIRS = 3
-#: Most of them that go into a text's sketch.
-SKETCH_PAIRS = 8
-#: Hashes of a text's sketch, and the share of them from which on two texts are near copies.
-SKETCH = 24
-#: Of a hash in a sketch; the line's place stands in 16 bits below.
-HASH_BITS = (1 << 47) - 1
-NEAR = 0.3
-#: Templates whose contexts a task holds at a time.
-HELD = 50_000
-BROADCAST_TEXTS = 300_000
-
-_LINES = "_line_a long, _line_b int, pos int, at int, tokens int, leaf long, keys array<long>, before array<long>, after array<long>, sketch array<long>"
-_CONTEXTS = "key long, tokens int, before array<long>, after array<long>, sketch array<long>"
-
-
-def _hash(text: str) -> int:
-    value = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))
-    return value - (1 << 64) if value >> 63 else value
-
-
-def line_templates(line: str) -> tuple[int, int, list[int]] | None:
-    """(tokens, leaf, templates) of a line, the template without a wildcard quarter first; None if it is blank."""
-    tokens = line.split()
-    if not tokens:
-        return None
-    if VARIABLE.search(line):
-        tokens = ["<*>" if VARIABLE.search(t) else t for t in tokens]
-    n = len(tokens)
-    leaf = f"{n} {' '.join(tokens[:DEPTH])}"
-    cuts = [n * i // 4 for i in range(5)]
-    quarters = [" ".join(tokens[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-    keys = [_hash(f"{leaf}|{'|'.join(quarters)}")]
-    if n >= GENERAL_TOKENS:
-        keys += [_hash(f"{leaf}|{'|'.join('<*>' if j == i else q for j, q in enumerate(quarters))}") for i in range(4)]
-    return n, _hash(leaf), keys
-
-
-def longest_pairs(line: str) -> list[int]:
-    """Hashes of the longest pairs of neighbouring words of a line, the longest last: one for four words, from ``ALIKE_PAIRS`` to ``SKETCH_PAIRS``."""
-    tokens = line.split()
-    return [*map(_hash, sorted(map(" ".join, zip(tokens, tokens[1:], strict=False)), key=len)[-min(SKETCH_PAIRS, max(ALIKE_PAIRS, len(tokens) // 4)) :])]
-
-
-def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for a, b, text in zip(batch["_line_a"], batch["_line_b"], batch["text"], strict=True):
-            found = [(i, *t, pairs, [t[2][0], *pairs[-ALIKE_PAIRS:]]) for i, line in enumerate(text.split("\n")) if (t := line_templates(line)) for pairs in [longest_pairs(line)]]
-            places = {p & HASH_BITS: at for at, (*_, pairs, _) in enumerate(found) for p in pairs}
-            sketch = [p << 16 | min(places[p], 0xFFFF) for p in heapq.nsmallest(SKETCH, places)]
-            for at, (i, n, leaf, keys, _, _) in enumerate(found):
-                rows.append((a, b, i, at, n, leaf, keys, found[at - 1][5] if at else [], found[at + 1][5] if at + 1 < len(found) else [], sketch))
-            if len(rows) > 20_000:
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _LINES.split(", ")])
-                rows = []
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _LINES.split(", ")])
-
-
-def enough(tokens: int) -> int:
-    """Different contexts from which on a template of so many tokens is recurring."""
-    return MIN_TEXTS_PASSAGE if tokens >= PASSAGE_TOKENS else MIN_TEXTS_LONG if tokens >= LONG_TOKENS else MIN_TEXTS
-
-
-def near_copies(a: frozenset, b: frozenset) -> bool:
-    """By two sketches, without what is in the blocks of both."""
-    both = {x >> 1 for x in a if x & 1} & {x >> 1 for x in b if x & 1}
-    a, b = {x >> 1 for x in a} - both, {x >> 1 for x in b} - both
-    least = sorted(a | b)[: min(len(a), len(b))]
-    return bool(least) and len(a & b & set(least)) >= NEAR * len(least)
-
-
-def add_context(held: list[tuple], before, after, sketch, most: int) -> None:
-    """Add a context to ``held`` unless it is like one of them or there are ``most``; an empty side is an edge of a text."""
-    if len(held) < most:
-        b, a, s = frozenset(before), frozenset(after), frozenset(sketch)
-        if all(b.isdisjoint(x) and a.isdisjoint(y) and not near_copies(s, z) for x, y, z in held):
-            held.append((b, a, s))
-
-
-def _different(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of the contexts of each template, as many different ones as it needs."""
-    held: dict[tuple[int, int], list] = {}
-
-    def out() -> pd.DataFrame:
-        rows = [(key, n, *map(list, context)) for (key, n), found in held.items() for context in found]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in _CONTEXTS.split(", ")])
-
-    for batch in batches:
-        for key, n, *context in zip(*(batch[c] for c in ("key", "tokens", "before", "after", "sketch")), strict=True):
-            add_context(held.setdefault((key, n), []), *context, enough(n))
-        if len(held) > HELD:
-            yield out()
-            held.clear()
-    yield out()
-
-
-def _recurring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Templates with enough different contexts; rows come sorted by template."""
-    last, held = None, []
+#: Places of a signature, and how many of them one band takes.
+PLACES = 30
+BAND = 3
+#: Share of equal places from which on two texts are near copies.
+NEAR = 0.55
+CACHED_WORDS = 200_000
+#: Characters of text whose words are held at a time.
+CHUNK_CHARS = 2_000_000
+#: Bytes of positions to drop up to which they are broadcast to the documents.
+BROADCAST_BYTES = 48_000_000
+
+KEYS = [f"_line_k{i}" for i in range(PARTS + 1)]
+_LINES = "_line_a long, _line_b int, pos int, tokens int, leaf long, " + "".join(f"{k} long, " for k in KEYS) + "signature array<int>"
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+_WILD = np.uint64(0xA0761D6478BD642F)
+
+
+class _Tokens(dict):
+    """64-bit hash of a token, the same for all variable fields; emptied when it has grown."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        value = self[token] = xxhash.xxh3_64_intdigest(b"<*>" if VARIABLE.search(token) else token.encode("utf-8", "replace"))
+        return value
+
+
+_tokens = _Tokens()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    return x ^ (x >> np.uint64(29))
+
+
+class Lines:
+    """Templates of all non-blank lines of some texts, as arrays with one entry a line."""
+
+    def __init__(self, texts: list[str]):
+        words: list[str] = []
+        lengths, owner, pos = [], [], []
+        for d, text in enumerate(texts):
+            for i, line in enumerate(text.split("\n")):
+                found = line.split()
+                if found:
+                    words += found
+                    lengths.append(len(found))
+                    owner.append(d)
+                    pos.append(i)
+        self.n, self.owner, self.pos = np.array(lengths, np.int64), np.array(owner, np.int64), np.array(pos, np.int32)
+        self.hashes = np.fromiter(map(_tokens.__getitem__, words), np.uint64, len(words))
+        self.ends = np.cumsum(self.n)
+        self.starts = self.ends - self.n
+        with np.errstate(over="ignore"):
+            self._templates()
+
+    def _templates(self) -> None:
+        size = len(self.hashes)
+        # hash of words s to e: sum of hash[i] * odd ** (i - s), from running sums and the inverse of odd modulo 2 ** 64
+        up, down = np.full(size + 1, _ODD), np.full(size + 1, np.uint64(pow(int(_ODD), -1, 1 << 64)))
+        up[0] = down[0] = 1
+        up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * up[:size], dtype=np.uint64)])
+        span = lambda s, e: (sums[e] - sums[s]) * down[s]
+        leaf = _mixed(span(self.starts, self.starts + np.minimum(self.n, DEPTH)) + self.n.astype(np.uint64) * _WILD)
+        cuts = [self.starts + self.n * i // PARTS for i in range(PARTS + 1)]
+        parts = [_mixed(span(a, b) + np.uint64(i + 1)) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        whole = leaf + np.sum(parts, axis=0, dtype=np.uint64) if len(leaf) else leaf
+        self.leaf = leaf.view(np.int64)
+        self.keys = [_mixed(whole).view(np.int64)] + [_mixed(whole - p + _WILD * np.uint64(i + 1)).view(np.int64) for i, p in enumerate(parts)]
+
+    def signatures(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first line of each text that has one, MinHash signature of the text's word pairs)."""
+        if not len(self.n):
+            return np.empty(0, np.int64), np.empty((0, PLACES), np.int32)
+        first = np.flatnonzero(np.diff(self.owner, prepend=-1))
+        begin = self.starts[first]
+        out = np.empty((len(first), PLACES), np.int32)
+        with np.errstate(over="ignore"):
+            # a text's last word makes a pair with its first one
+            following = np.append(self.hashes[1:], np.uint64(0))
+            following[np.append(begin[1:], len(self.hashes)) - 1] = self.hashes[begin]
+            pairs = _mixed(self.hashes * _ODD + following)
+            for k in range(PLACES):
+                out[:, k] = np.minimum.reduceat((pairs * np.uint64(2 * (k + 1) * 0x9E3779B1 + 1) * _MIX) >> np.uint64(33), begin)
+        return first, out
+
+
+def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = []
-        for key, n, *context in zip(*(batch[c] for c in ("key", "tokens", "before", "after", "sketch")), strict=True):
-            if key != last:
-                last, held = key, []
-            size = len(held)
-            add_context(held, *context, enough(n))
-            if size < len(held) == enough(n):
-                keys.append(key)
-        yield pd.DataFrame({"key": keys})
-
-
-def in_blocks(named: DataFrame) -> DataFrame:
-    """``named`` (rows of lines with a ``name``) with the lines before and after each line's block as ``before`` and ``after``, and in ``sketch`` a last bit for what is in it."""
-    text = ["_line_a", "_line_b"]
-    order = Window.partitionBy(*text).orderBy("at")
-    # the next lines, and those after one line between
-    following = [F.struct((F.lead("at", k).over(order) - F.col("at")).alias("gap"), F.lead("name", k).over(order).alias("other")) for k in (1, 2)]
-    rows = checkpoint(named.withColumn("following", F.filter(F.array(*following), lambda f: f["gap"] <= 2)))
-    pairs = rows.select(*text, "at", "name", F.explode("following").alias("f")).select(*text, "at", "name", "f.other", "f.gap")
-    once = pairs.groupBy("name", "other", *text).agg(F.min("gap").alias("gap"))
-    together = once.groupBy("name", "other").agg(F.count("*").alias("n"), F.min("gap").alias("least")).where("n >= 2 and least = 1").select("name", "other")
-    reach = pairs.join(together, ["name", "other"]).groupBy(*text, "at").agg((F.max("gap") + F.col("at")).alias("reach"))
-    before_it = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.drop("following").join(reach, [*text, "at"], "left")
-    rows = rows.withColumn("starts", F.coalesce(F.max("reach").over(before_it) < F.col("at"), F.lit(True)).cast("int"))
-    rows = rows.withColumn("block", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    block = Window.partitionBy(*text, "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumns({"before": F.first("before").over(block), "after": F.last("after").over(block), "first": F.first("at").over(block), "last": F.last("at").over(block)})
-    inside = lambda x: (x % 65536).between(F.least("first", F.lit(65535)), F.least("last", F.lit(65535))).cast("long")
-    return rows.withColumn("sketch", F.transform("sketch", lambda x: F.shiftright(x, 16) * 2 + inside(x)))
+        held, chars = [], 0
+        texts = batch.column("text").to_pylist()
+        a, b = batch.column("_line_a").to_pylist(), batch.column("_line_b").to_pylist()
+        for i, text in enumerate(texts):
+            held.append((a[i], b[i], text))
+            chars += len(text)
+            if chars > CHUNK_CHARS or i == len(texts) - 1:
+                yield _record(held)
+                held, chars = [], 0
+
+
+def _record(held: list[tuple[int, int, str]]) -> pa.RecordBatch:
+    lines = Lines([t for _, _, t in held])
+    first, signatures = lines.signatures()
+    offsets = np.zeros(len(lines.n) + 1, np.int32)
+    offsets[first + 1] = PLACES
+    ids_a, ids_b = np.array([a for a, _, _ in held], np.int64), np.array([b for _, b, _ in held], np.int32)
+    columns = [ids_a[lines.owner], ids_b[lines.owner], lines.pos, lines.n.astype(np.int32), lines.leaf, *lines.keys]
+    columns = [pa.array(c) for c in columns] + [pa.ListArray.from_arrays(np.cumsum(offsets, dtype=np.int32), signatures.ravel())]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _LINES.split(", ")])
+
+
+def near_copy_classes(signed: DataFrame) -> DataFrame:
+    """(node, component) of the texts (_line_a, signature) that have near copies."""
+    bands = F.transform(F.sequence(F.lit(0), F.lit(PLACES // BAND - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * BAND + 1, BAND)))
+    banded = signed.select("_line_a", F.explode(bands).alias("band"))
+    least = banded.groupBy("band").agg(F.min("_line_a").alias("least"), F.max("_line_a").alias("most")).where("least < most").select("band", "least")
+    least = checkpoint(least)
+    met = keyed_join(banded, least, "band", least.count(), "_line_a").where("_line_a <> least").select("_line_a", "least").distinct()
+    of = lambda name: signed.groupBy(F.col("_line_a").alias(name)).agg(F.min("signature").alias(f"of_{name}"))
+    pairs = met.join(of("_line_a"), "_line_a").join(of("least"), "least")
+    equal = F.aggregate(F.zip_with("of__line_a", "of_least", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+    return connected_components(pairs.where(equal >= NEAR * PLACES).select(F.col("_line_a").alias("a"), F.col("least").alias("b")))
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(_line_a, _line_b, _line_drop): for a text's two hashes the positions of its lines of recurring templates."""
     text_batches(docs.sparkSession)
-    text = ["_line_a", "_line_b"]
     source = docs.where("text is not null and text <> ''").select(F.xxhash64("text").alias("_line_a"), F.hash("text").alias("_line_b"), "text")
-    lines = checkpoint(source.mapInPandas(_lines, _LINES))
-    leaves = checkpoint(lines.groupBy("leaf").agg(F.count("*").alias("n")).where("n >= 2").select("leaf"))
-    # copies of a text count once
-    shared = checkpoint(lines.join(small_side(leaves, leaves.count()), "leaf").drop("leaf").dropDuplicates([*text, "pos"]))
-    keyed = checkpoint(shared.select(*text, "pos", F.posexplode("keys").alias("form", "key")))
-    common = keyed.groupBy("key", *text).agg(F.lit(1)).groupBy("key").agg(F.count("*").alias("n")).where("n >= 2")
-    # a line goes by its most common template
-    names = keyed.join(common, "key").groupBy(*text, "pos").agg(F.max_by("key", F.struct("n", -F.col("form"))).alias("name"), F.collect_set("key").alias("common"))
-    blocks = in_blocks(shared.drop("keys").join(names, [*text, "pos"])).where("size(before) > 0 or size(after) > 0")
-    contexts = blocks.select(F.explode("common").alias("key"), "tokens", "before", "after", "sketch")
-    different = contexts.mapInPandas(_different, _CONTEXTS).repartition("key").sortWithinPartitions("key")
-    recurring = different.mapInPandas(_recurring, "key long")
-    return checkpoint(keyed.join(recurring, "key").groupBy(*text).agg(F.array_sort(F.collect_set("pos")).alias("_line_drop")))
+    lines = checkpoint(source.mapInArrow(_line_rows, _LINES))
+    leaves = lines.groupBy("leaf").agg(F.min("_line_a").alias("x"), F.max("_line_a").alias("y")).where("x < y").select("leaf")
+    leaves = checkpoint(leaves)
+    met = keyed_join(lines.drop("signature"), leaves, "leaf", leaves.count(), "_line_a").drop("leaf").distinct()  # copies of a text count once
+    classes = near_copy_classes(lines.where(F.size("signature") > 0).select("_line_a", "signature"))
+    classed = met.join(classes.withColumnRenamed("node", "_line_a"), "_line_a", "left")
+    shared = checkpoint(classed.withColumn("component", F.coalesce("component", "_line_a")))
+    keyed = shared.select("_line_a", "_line_b", "pos", "tokens", "component", F.explode(F.array(*KEYS)).alias("key"))
+    stands = keyed.groupBy("key", "tokens", "component").agg(F.lit(1)).groupBy("key", "tokens").agg(F.count("*").alias("texts"))
+    enough = F.when(F.col("tokens") >= PASSAGE_TOKENS, MIN_TEXTS_PASSAGE).otherwise(MIN_TEXTS)
+    recurring = checkpoint(stands.where(F.col("texts") >= enough).select("key"))
+    dropped = keyed_join(keyed.select("_line_a", "_line_b", "pos", "key"), recurring, "key", recurring.count(), "_line_a")
+    return checkpoint(dropped.groupBy("_line_a", "_line_b").agg(F.array_sort(F.collect_set("pos")).alias("_line_drop")))
 
 
 def deduplicated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with its ``text`` cleaned, ``_line_n`` lines before and ``_line_dropped`` lines dropped."""
     drop = recurring_lines(docs)
+    size = drop.agg(F.sum(F.size("_line_drop") * 4 + 64)).first()[0] or 0
     keyed = docs.withColumns({"_line_a": F.xxhash64("text"), "_line_b": F.hash("text")})
-    joined = keyed.join(small_side(drop, drop.count(), BROADCAST_TEXTS), ["_line_a", "_line_b"], "left")
+    joined = keyed.join(small_side(drop, size, BROADCAST_BYTES), ["_line_a", "_line_b"], "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("_line_drop"), i)), "\n")
     dropped = F.when(F.col("text").isNull(), None).otherwise(F.coalesce(F.size("_line_drop"), F.lit(0)))
