@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,41 @@ def keyed_join(rows: DataFrame, unique: DataFrame, key: str, count: int, spread:
         return rows.join(F.broadcast(unique), key)
     salted = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+
+
+@cache
+def _byte_values(lower: bool) -> np.ndarray:
+    """A fixed random number for each byte; with ``lower`` the same for A-Z and a-z."""
+    values = np.random.Generator(np.random.PCG64(2024)).integers(1, 1 << 64, 256, dtype=np.uint64)
+    if lower:
+        values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
+    return values
+
+
+def word_hashes(units: np.ndarray, marks: bytes = b"", lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, 64-bit hash, holds a byte of ``marks``) of each word in UTF-8 bytes; words end at ASCII white space.
+
+    The hash of bytes s to e is the sum of value[i] * odd ** (i - s), taken from running sums and the inverse of odd.
+    """
+    inside = (units != 32) & ((units < 9) | (units > 13))
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False)) if len(units) else np.empty(0, np.int64)
+    starts, ends = edges[::2], edges[1::2]
+    odd = 0xC2B2AE3D27D4EB4F
+    with np.errstate(over="ignore"):
+        up = np.full(len(units), np.uint64(odd))
+        up[:1] = 1
+        np.cumprod(up, out=up)
+        sums = np.zeros(len(units) + 1, np.uint64)
+        np.cumsum(_byte_values(lower)[units] * up, out=sums[1:])
+        down = np.full(len(units), np.uint64(pow(odd, -1, 1 << 64)))
+        down[:1] = 1
+        np.cumprod(down, out=down)
+        hashes = (sums[ends] - sums[starts]) * down[starts]
+        hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        hashes ^= hashes >> np.uint64(32)
+    if not marks:
+        return starts, hashes, np.zeros(len(starts), bool)
+    table = np.zeros(256, np.int64)
+    table[list(marks)] = 1
+    found = np.concatenate([[0], np.cumsum(table[units])])
+    return starts, hashes, found[ends] > found[starts]

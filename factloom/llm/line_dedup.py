@@ -25,16 +25,14 @@ with ``_line_``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpoint, keyed_join, small_side, text_batches
+from factloom.llm.common import checkpoint, keyed_join, small_side, text_batches, word_hashes
 from factloom.llm.near_dup import connected_components
 
 #: Different texts in which a template must stand.
@@ -44,15 +42,15 @@ PASSAGE_TOKENS = 50
 MIN_TEXTS_PASSAGE = 2
 DEPTH = 3
 PARTS = 4
-VARIABLE = re.compile(r"[0-9@/]")
+#: Letters that make a token a variable field.
+MARKED = b"0123456789@/"
 #: Places of a signature, and how many of them one band takes.
 PLACES = 30
 BAND = 3
 #: Share of equal places from which on two texts are near copies.
 NEAR = 0.55
-CACHED_WORDS = 200_000
 #: Characters of text whose words are held at a time.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 #: Bytes of positions to drop up to which they are broadcast to the documents.
 BROADCAST_BYTES = 48_000_000
 
@@ -63,42 +61,28 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 _WILD = np.uint64(0xA0761D6478BD642F)
 
 
-class _Tokens(dict):
-    """64-bit hash of a token, the same for all variable fields; emptied when it has grown."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        value = self[token] = xxhash.xxh3_64_intdigest(b"<*>" if VARIABLE.search(token) else token.encode("utf-8", "replace"))
-        return value
-
-
-_tokens = _Tokens()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _MIX
     return x ^ (x >> np.uint64(29))
 
 
 class Lines:
-    """Templates of all non-blank lines of some texts, as arrays with one entry a line."""
+    """Templates of all non-blank lines of some texts, as arrays with one entry a line; tokens end at ASCII white space."""
 
     def __init__(self, texts: list[str]):
-        words: list[str] = []
-        lengths, owner, pos = [], [], []
-        for d, text in enumerate(texts):
-            for i, line in enumerate(text.split("\n")):
-                found = line.split()
-                if found:
-                    words += found
-                    lengths.append(len(found))
-                    owner.append(d)
-                    pos.append(i)
-        self.n, self.owner, self.pos = np.array(lengths, np.int64), np.array(owner, np.int64), np.array(pos, np.int32)
-        self.hashes = np.fromiter(map(_tokens.__getitem__, words), np.uint64, len(words))
-        self.ends = np.cumsum(self.n)
-        self.starts = self.ends - self.n
+        data = "\n".join(texts).encode("utf-8", "replace")
+        begin = np.cumsum([0] + [len(t.encode("utf-8", "replace")) + 1 for t in texts[:-1]])  # of each text
+        units = np.frombuffer(data, np.uint8)
+        starts, hashes, marked = word_hashes(units, MARKED)
+        breaks = np.cumsum(units == 10)
+        line = breaks[starts]
+        first = np.flatnonzero(np.diff(line, prepend=-1))
+        self.hashes = np.where(marked, _WILD, hashes)
+        self.starts, self.ends = first, np.append(first[1:], len(line))
+        self.n = self.ends - self.starts
+        self.owner = np.searchsorted(begin, starts[first], "right") - 1
+        before = np.where(begin > 0, breaks[np.maximum(begin, 1) - 1], 0) if len(units) else np.zeros(len(begin), np.int64)
+        self.pos = (line[first] - before[self.owner]).astype(np.int32)
         with np.errstate(over="ignore"):
             self._templates()
 
