@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 400_000
 #: Rows of an Arrow batch of texts: a few megabytes at some kilobytes a text.
 TEXT_ROWS = 1_000
+#: Bytes of text whose words are hashed at a time.
+PIECE = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +66,16 @@ def keyed_join(rows: DataFrame, unique: DataFrame, key: str, count: int, spread:
     return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
 
 
+def text_slices(texts: list[str | None], chars: int = 500_000) -> Iterator[slice]:
+    """Runs of texts of about so many characters, or of one longer text."""
+    start = held = 0
+    for i, text in enumerate(texts):
+        held += len(text or "")
+        if held > chars or i == len(texts) - 1:
+            yield slice(start, i + 1)
+            start, held = i + 1, 0
+
+
 @cache
 def _byte_values(lower: bool) -> np.ndarray:
     """A fixed random number for each byte; with ``lower`` the same for A-Z and a-z."""
@@ -75,8 +88,22 @@ def _byte_values(lower: bool) -> np.ndarray:
 def word_hashes(units: np.ndarray, marks: bytes = b"", lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first byte, 64-bit hash, holds a byte of ``marks``) of each word in UTF-8 bytes; words end at ASCII white space.
 
-    The hash of bytes s to e is the sum of value[i] * odd ** (i - s), taken from running sums and the inverse of odd.
+    The hash of bytes s to e is the sum of value[i] * odd ** (i - s), taken from running sums and the inverse of odd. Long
+    input is cut at white space, so the running sums stay small.
     """
+    parts, at = [], 0
+    while at < len(units) or not parts:
+        end = len(units)
+        if at + PIECE < end:
+            blank = np.flatnonzero(units[at + PIECE : at + 2 * PIECE] == 32)
+            end = at + PIECE + int(blank[0]) if len(blank) else end
+        starts, hashes, marked = _word_hashes(units[at:end], marks, lower)
+        parts.append((starts + at, hashes, marked))
+        at = end
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def _word_hashes(units: np.ndarray, marks: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = (units != 32) & ((units < 9) | (units > 13))
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False)) if len(units) else np.empty(0, np.int64)
     starts, ends = edges[::2], edges[1::2]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpoint, keyed_join, small_side, text_batches, word_hashes
+from factloom.llm.common import checkpoint, keyed_join, small_side, text_batches, text_slices, word_hashes
 from factloom.llm.near_dup import connected_components
 
 #: Different texts in which a template must stand.
@@ -49,8 +49,6 @@ PLACES = 30
 BAND = 3
 #: Share of equal places from which on two texts are near copies.
 NEAR = 0.55
-#: Characters of text whose words are held at a time.
-CHUNK_CHARS = 500_000
 #: Bytes of positions to drop up to which they are broadcast to the documents.
 BROADCAST_BYTES = 48_000_000
 
@@ -120,15 +118,9 @@ class Lines:
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        held, chars = [], 0
-        texts = batch.column("text").to_pylist()
-        a, b = batch.column("_line_a").to_pylist(), batch.column("_line_b").to_pylist()
-        for i, text in enumerate(texts):
-            held.append((a[i], b[i], text))
-            chars += len(text)
-            if chars > CHUNK_CHARS or i == len(texts) - 1:
-                yield _record(held)
-                held, chars = [], 0
+        texts, a, b = (batch.column(c).to_pylist() for c in ("text", "_line_a", "_line_b"))
+        for part in text_slices(texts):
+            yield _record(list(zip(a[part], b[part], texts[part], strict=True)))
 
 
 def _record(held: list[tuple[int, int, str]]) -> pa.RecordBatch:

@@ -8,12 +8,14 @@ Scale. Equal sets collapse into one class first, so a group of copies costs one
 ``need(n)`` retained values at least (but for a chance of about 1e-8), so it is enough to look a document up by its
 ``k - need + 1`` rarest retained values: any two such sketches meet in one of these. Values that one document alone holds
 fill most of these places, so passages that many documents share make no candidates. Lists are linked as stars (each
-member to the smallest one), never as pairs; groups that come out are compared in pairs of blocks of bounded size, and a
-block pair returns a spanning forest of its confirmed links, not all links.
+member to the smallest one), never as pairs. The groups that come out are dealt to blocks of bounded size: first each member
+is compared with its block and with the group's hub (its smallest member), which settles groups of copies with one copy of
+each set; only what this leaves apart is compared across blocks, and what is linked already never with each other. A block
+returns a spanning forest of its confirmed links, not all links. Joins on values or nodes that may be hot are salted.
 
 Nulls and edge cases: a null or empty text has no shingles and is linked with nothing; a text of 1 to 4 words is one
 shingle; a row whose ``doc_id`` is null is linked with nothing, its component is null and it is kept; repeated rows of one
-``doc_id`` give one result row each. Other columns are not read.
+``doc_id`` give one result row each and are one document, which is linked by any of its texts. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,18 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpoint, small_side, text_batches
+from factloom.llm.common import checkpoint, keyed_join, small_side, text_batches, text_slices, word_hashes
 
 SHINGLE_WORDS = 5
 SKETCH = 48
-CACHED_WORDS = 100_000
 #: Two full sketches share at least ``SKETCH * (t - SLACK)`` values if the similarity is ``t`` (all but 1e-8 of such pairs).
 SLACK = 0.36
+#: Sets that a block holds about, and shingles.
 BLOCK = 128
+BLOCK_SHINGLES = 2_000_000
 #: Bits of a dense incidence matrix that a block pair holds at once.
 MATRIX_CELLS = 4_000_000
 
@@ -42,54 +44,47 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-class _WordHashes(dict):
-    """64-bit hash of a word; emptied when it has grown, so that a worker's memory stays bounded."""
+def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """Of each text the sorted 64-bit hashes of its distinct 5-word shingles, A-Z lower-cased, words split at ASCII white space."""
+    for part in text_slices(texts):
+        data = [(t or "").encode("utf-8", "replace") for t in texts[part]]
+        starts, hashes, _ = word_hashes(np.frombuffer(b"\n".join(data), np.uint8), lower=True)
+        bounds = np.searchsorted(starts, np.cumsum([0, *(len(d) + 1 for d in data)]))
+        rolled = _rolled(hashes, SHINGLE_WORDS)
+        for lo, hi in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+            yield np.unique(rolled[lo : hi - SHINGLE_WORDS + 1]) if hi - lo >= SHINGLE_WORDS else _rolled(hashes[lo:hi], hi - lo)[:1]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
-
-_word_hashes = _WordHashes()
-
-
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct 5-word shingles of ``text``, A-Z lower-cased, words split at ASCII white space."""
-    words = text.encode("utf-8", "replace").lower().split() if text else []
-    if not words:
+def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` words."""
+    count = len(hashes) - width + 1
+    if count < 1 or not width:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
-    width = min(SHINGLE_WORDS, len(words))
-    count = len(words) - width + 1
     with np.errstate(over="ignore"):
         rolled = hashes[:count] + np.uint64(width)
         for i in range(1, width):
             rolled = (rolled ^ (rolled >> np.uint64(29))) * _MULTIPLIER + hashes[i : i + count]
         rolled = (rolled ^ (rolled >> np.uint64(31))) * _MIX
-        rolled ^= rolled >> np.uint64(30)
-    return np.unique(rolled)
+        return rolled ^ (rolled >> np.uint64(30))
 
 
-def _signed(values: np.ndarray) -> np.ndarray:
-    return values.view(np.int64)
+def _set_key(found: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
 
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         keys, sizes, sketches = [], [], []
-        for text in batch["text"]:
-            found = shingle_set(text)
+        for found in shingle_sets(batch["text"].tolist()):
             sizes.append(len(found))
-            keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-            sketches.append(_signed(found[:SKETCH]).copy())  # a view would keep the whole set
+            keys.append(_set_key(found))
+            sketches.append(found[:SKETCH].view(np.int64).copy())  # a view would keep the whole set
         yield pd.DataFrame({"doc_id": batch["doc_id"], "set_key": keys, "n_shingles": sizes, "sketch": sketches})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch.drop(columns="text").assign(shingles=[shingle_set(t).tobytes() for t in batch["text"]])
+        yield batch.drop(columns="text").assign(shingles=[s.tobytes() for s in shingle_sets(batch["text"].tolist())])
 
 
 def needs(percent: int) -> tuple[int, float]:
@@ -106,35 +101,43 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     edge changes. A round aggregates with map-side sums and is written to the checkpoint folder.
     """
     edges = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    for _ in range(rounds):
+    state = count, _ = _state(edges)
+    for _ in range(rounds if count else 0):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        large = keyed_join(both.where("b > a"), least, "a", 2 * count, "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = checkpoint(large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        small = keyed_join(large, lowest, "a", 2 * count, "b").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = checkpoint(small.where("a <> b").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen, state = state, _state(edges)
+        count = state[0]
         if state == seen:
             break
-        seen = state
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if count:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Number of edges and a sum over them that tells whether they changed."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def _links(percent: int):
-    """Confirmed links inside a pair of blocks, as a spanning forest."""
+    """Confirmed links between sets of different parts in a block, or between the sides of a pair of blocks, as a spanning forest."""
     full, share = needs(percent)
 
     def confirm(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("doc_id").sort_values("doc_id")
-        ids, own, cross = group["doc_id"].to_numpy(), group["own"].to_numpy(), bool(group["cross"].iloc[0])
+        group = group.drop_duplicates(["doc_id", "shingles"]).sort_values(["doc_id", "shingles"])
+        ids, part, side = group["doc_id"].to_numpy(), group["part"].to_numpy(), group["side"].to_numpy()
         sets = [np.frombuffer(b, np.uint64) for b in group["shingles"]]
         sizes = np.array([len(s) for s in sets], np.int64)
-        asked = (own[:, None] != own[None, :]) if cross else ~np.eye(len(ids), dtype=bool)
+        asked = (part[:, None] != part[None, :]) & (ids[:, None] != ids[None, :])
+        if (side != side[0]).any():
+            asked &= side[:, None] != side[None, :]
         # the union's sketch holds no more common values than both sketches share: what shares fewer can't be similar
         least = np.where(sizes > SKETCH, full, np.ceil(sizes * share - 1e-9))
         asked &= _intersections([s[:SKETCH] for s in sets]) >= np.maximum(least[:, None], least[None, :])
@@ -197,45 +200,70 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = checkpoint(source.mapInPandas(_sketches, "doc_id long, set_key binary, n_shingles long, sketch array<long>"))
     usable = sketched.where("doc_id is not null and set_key is not null")
-    classes = usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("c")).select("set_key", "c.*")
+    classes = usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("c"), F.count("*").alias("copies")).select("set_key", "copies", "c.*")
     classes = checkpoint(classes)
 
-    retained = classes.select("doc_id", "n_shingles", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
-    lists = retained.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
-    shared = retained.join(lists, "value")
-    asked = shared.groupBy("doc_id").agg(
-        F.first("n_shingles").alias("n"), F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("length", "value"))).alias("shared")
-    )
+    retained = classes.select("doc_id", F.col("n_shingles").alias("n"), F.xxhash64("set_key").alias("set"), F.explode("sketch").alias("value"))
+    lists = checkpoint(retained.groupBy("value").agg(F.count("*").alias("length")).where("length > 1"))
+    shared = keyed_join(retained, lists, "value", lists.count(), "doc_id")
+    asked = shared.groupBy("doc_id", "set", "n").agg(F.array_sort(F.collect_list(F.struct("length", "value"))).alias("shared"))
     full, share = needs(percent)
     least = F.when(F.col("n") > SKETCH, F.lit(full)).otherwise(F.ceil(F.col("n") * share - 1e-9)).cast("int")
     places = F.size("shared") - least + 1  # values that no other document holds have taken the first places
     probes = asked.select("doc_id", F.explode(F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)))).alias("p")).select("doc_id", "p.value")
     probes = checkpoint(probes)
-    stars = probes.join(probes.groupBy("value").agg(F.min("doc_id").alias("least")), "value").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    groups = checkpoint(connected_components(stars))
-
-    links = _confirmed(source, groups, percent)
-    merged = connected_components(links)
-    members = usable.select("doc_id", "set_key").join(classes.select("set_key", F.col("doc_id").alias("class_id")), "set_key")
-    members = members.select("doc_id", "class_id").distinct()
+    hubs = checkpoint(probes.groupBy("value").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("value", "least"))
+    stars = keyed_join(probes, hubs, "value", hubs.count(), "doc_id").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    groups = connected_components(stars)
+
+    links = _confirmed(source, groups, classes.select("doc_id", "n_shingles"), percent)
+    copied = classes.where("copies > 1").select("set_key", F.col("doc_id").alias("class_id"))
+    members = keyed_join(usable.select("doc_id", "set_key"), copied, "set_key", copied.count(), "doc_id").select("doc_id", "class_id").distinct()
+    members = checkpoint(members.unionByName(classes.where("copies = 1").select("doc_id", F.col("doc_id").alias("class_id"))))
+    # texts of one doc_id belong together
+    several = members.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("most")).where("b < most")
+    merged = connected_components(links.unionByName(members.join(several, "doc_id").select(F.col("class_id").alias("a"), "b")))
     linked = members.join(merged.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", F.least(F.col("class_id"), F.col("component")).alias("found"))
     found = linked.groupBy("doc_id").agg(F.min("found").alias("found"))
     out = sketched.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _confirmed(source: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _confirmed(source: DataFrame, groups: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) inside the candidate groups that full shingle sets confirm; enough of them to connect what is linked."""
-    sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
-    # members are dealt to blocks by hash: about BLOCK rows each, and no ranking of a large group in one task
-    placed = groups.join(sizes, "component").select(
-        F.col("node").alias("doc_id"), "component", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")
-    )
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    count = placed.count()
-    texts = source.where("doc_id is not null").join(small_side(placed, count), "doc_id").select("doc_id", "component", "blocks", "own", "text")
-    sets = texts.mapInPandas(_sets, "doc_id long, component long, blocks int, own int, shingles binary")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("own", other).alias("lo"), F.greatest("own", other).alias("hi")))
-    dealt = sets.select("doc_id", "component", "own", "shingles", F.explode(pairs).alias("pair")).select("doc_id", "component", "own", "shingles", "pair.lo", "pair.hi")
-    dealt = dealt.withColumn("cross", F.col("lo") != F.col("hi"))
-    return dealt.groupBy("component", "lo", "hi").applyInPandas(_links(percent), "a long, b long")
+    known = groups.withColumnRenamed("node", "doc_id").join(sizes.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")), "doc_id")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    # members are dealt to blocks by hash: no ranking of a large group in one task
+    placed = known.select("doc_id", "component").join(known.groupBy("component").agg(blocks), "component")
+    placed = checkpoint(placed.withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
+    texts = source.where("doc_id is not null").join(small_side(placed, placed.count()), "doc_id").select("doc_id", "component", "blocks", "side", "text")
+    sets = checkpoint(texts.mapInPandas(_sets, "doc_id long, component long, blocks int, side int, shingles binary"))
+
+    several = F.sequence(F.lit(0), F.col("blocks") - 1)
+    hubs = sets.where("doc_id = component").select("doc_id", "component", F.explode(several).alias("block"), "shingles")
+    first = sets.select("doc_id", "component", F.col("side").alias("block"), "shingles").unionByName(hubs)
+    first = first.withColumns({"part": F.col("doc_id"), "side": F.lit(0)})
+    links = checkpoint(first.groupBy("component", "block").applyInPandas(_links(percent), "a long, b long"))
+    return links.unionByName(_across(sets.where("blocks > 1"), placed.where("blocks > 1"), links, percent))
+
+
+def _across(sets: DataFrame, placed: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one group that ``links`` have left in different parts.
+
+    The largest part of a group is its core. Other members meet each other and the core in pairs of blocks; members of the
+    core never meet each other.
+    """
+    merged = connected_components(links).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "part")
+    parted = placed.join(merged, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id")).select("doc_id", "component", "blocks", "part")
+    counts = parted.groupBy("component", "blocks", "part").agg(F.count("*").alias("members"))
+    whole = counts.groupBy("component", "blocks").agg(F.max(F.struct("members", "part")).alias("core"), F.sum("members").alias("members")).where(F.col("core.members") < F.col("members"))
+    share = lambda n: F.greatest(F.lit(1), F.ceil(F.col("blocks") * n / F.col("members"))).cast("int")
+    whole = whole.select("component", F.col("core.part").alias("core"), share(F.col("members") - F.col("core.members")).alias("apart"), share(F.col("core.members")).alias("cores"))
+    met = parted.drop("blocks").join(whole, "component")
+    inside = F.col("part") == F.col("core")
+    met = met.withColumn("side", F.when(inside, F.col("apart") + F.pmod(F.xxhash64("doc_id"), F.col("cores"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("apart"))).cast("int"))
+    others = F.sequence(F.lit(0), F.when(inside, F.col("apart") - 1).otherwise(F.col("apart") + F.col("cores") - 1))
+    met = met.withColumn("others", others).select("doc_id", "part", "side", "others")
+    pairs = sets.select("doc_id", "component", "shingles").join(met, "doc_id").select("doc_id", "component", "part", "side", "shingles", F.explode("others").alias("other"))
+    pairs = pairs.withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
+    return pairs.groupBy("component", "lo", "hi").applyInPandas(_links(percent), "a long, b long")

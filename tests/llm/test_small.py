@@ -307,3 +307,40 @@ def test_mixing(spark, docs):
     everything = mixed.agg(F.sum("_mix_n").alias("n"), F.sum(F.col("_mix_n") * F.col("_mix_p")).alias("p"), F.sum(F.when(F.col("_mix_kept"), F.col("_mix_n"))).alias("k")).first()
     assert abs(everything.p / everything.n - 0.15) < 1e-3 and abs(everything.k / everything.n - 0.15) < 0.03
     assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_group_of_several_blocks(spark, monkeypatch):
+    """Chains, copies of one story and unrelated texts in one candidate group of many blocks."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    story, rows = [word() for _ in range(60)], []
+    for i in range(120):
+        words = list(story)
+        if i % 3:
+            words[rng.randrange(60)] = word()
+        rows.append((i, " ".join(words)))
+    chain = [word() for _ in range(80)]
+    for i in range(60):
+        chain = chain[1:] + [word()] if i % 2 else list(chain)
+        rows.append((200 + i, " ".join(chain)))
+    rows += [(300, rows[0][1]), (300, " ".join(chain)), (None, rows[0][1])]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: near_dup.shingle_sets([t]).__next__() for i, t in enumerate(t for _, t in rows)}
+    ids = [d for d, _ in rows]
+    root = {d: d for d in ids if d is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            if None not in (ids[i], ids[j]):
+                both = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+                if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                    p, q = find(ids[i]), find(ids[j])
+                    root[max(p, q)] = min(p, q)
+    assert got == {**{d: find(d) for d in root}, None: None}
+    assert got[300] == got[0] == got[259]
