@@ -54,16 +54,16 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= limit else df
 
 
-def keyed_join(rows: DataFrame, unique: DataFrame, key: str, count: int, spread: str, salts: int = 8) -> DataFrame:
-    """Inner join of ``rows``, in which some values of ``key`` may be hot, with a table of ``count`` unique keys.
+def keyed_join(rows: DataFrame, unique: DataFrame, key: str, size: int, spread: str, limit: int = BROADCAST_ROWS, how: str = "inner", salts: int = 8) -> DataFrame:
+    """Join of ``rows``, in which some values of ``key`` may be hot, with a table of unique keys and a counted ``size``.
 
-    The table is broadcast if it is small; otherwise it is repeated for each salt, and the rows of a key are spread over
-    the salts by their column ``spread``.
+    The table is broadcast if its size is within ``limit``; otherwise it is repeated for each salt, and the rows of a key
+    are spread over the salts by their column ``spread``.
     """
-    if count <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(unique), key)
+    if size <= limit:
+        return rows.join(F.broadcast(unique), key, how)
     salted = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
 
 
 def text_slices(texts: list[str | None], chars: int = 500_000) -> Iterator[slice]:

@@ -126,11 +126,64 @@ def test_identical_pages_keep_their_article(spark):
 
 def test_simple_tree_matching():
     tree = lambda h: html_main.parse(h)
-    ref = html_main.Reference(html_main.skeleton(tree("<div><p>a</p><p>b</p></div><ul><li>x</ul>")), [0])
+    ref = html_main.Reference(html_main.skeleton(tree("<div><p>a</p><p>b</p></div><ul><li>x</ul>")))
     size, pairs = html_main.match(ref, tree("<div><p>c</p></div><section>s</section><ul><li>x<li>y</ul>"))
     assert size == len(pairs) == 5
 
 
+def brute_match(a, b):
+    """Size of the largest matching of two trees, by trying every way to pair their children in order."""
+    if a.symbol != b.symbol:
+        return 0
+
+    def lists(x, y):
+        if not x or not y:
+            return 0
+        return max(lists(x[1:], y), lists(x, y[1:]), (w := brute_match(x[0], y[0])) and w + lists(x[1:], y[1:]))
+
+    return 1 + lists(a.kids, b.kids)
+
+
+def test_tree_matching_against_brute_force():
+    rng = random.Random(13)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1) if depth else ''}{rng.choice('xy')}</{t}>" for t in rng.choices(["div", "section", "ul"], k=rng.randrange(4)))
+
+    for _ in range(200):
+        a, b = (html_main.Reference(html_main.skeleton(html_main.parse(tree(2)))) for _ in range(2))
+        size, pairs = html_main.match(a, b)
+        assert size == len(pairs) == brute_match(a, b)
+        assert all(x.symbol == y.symbol for x, y in pairs) and len({x.index for x, _ in pairs}) == len({y.index for _, y in pairs}) == size
+        union = html_main.Reference(html_main.merge(a.nested(), b.nested()))
+        assert html_main.match(union, a)[0] == html_main.match(a, a)[0]
+
+
+def test_wrapper_without_helpful_names(spark):
+    """Menus, notices, adverts and footers that vary are told by the alignment alone; names mean the contrary here."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    stock = [line(7) for _ in range(6)]
+    rows, want = [], {}
+    for i in range(60):
+        body = [line(20) for _ in range(rng.randrange(1, 6))]
+        menu = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in rng.sample(stock, 3))
+        extra = f"<div class=q9><p>{rng.choice(stock)}</p></div>" if i % 2 else ""
+        html = f"<body><div class=q1><ul>{menu}</ul></div><div class=q2>{rng.choice(stock)}</div>{extra}<div class='story-related-body menu'>{''.join(f'<p>{b}</p>' for b in body)}</div><div class=q4>Site {rng.choice(stock)}</div></body>"
+        rows.append((i, "https://h.example/x", html))
+        want[i] = " ".join(body)
+    got = {r.page_id: r.text for r in html_main.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    assert any(html_main.main_text(h) != want[i] for i, _, h in rows)
+
+
+def test_marked_articles_keep_their_text():
+    assert html_main.main_text("<article><p>a</p><div class='menu'>b</div><div id='promotion-law'>c</div><div class='story-related-body'>d</div><div class='ad'>e</div></article>") == "a b c d"
+    assert html_main.main_text("<body><article><p>first one</p></article><p>x</p><article>second</article></body>") == "first one second"
+    assert html_main.main_text("<main><div class=sidebar>s</div><p>The text of the main part.</p></main>") == "The text of the main part."
+
+
 def test_secrets(spark, docs):
     rng = random.Random(5)
     key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
