@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join may be broadcast after it has been counted; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
+#: A key is hot if it holds more than one in so many rows.
+HOT_KEYS = 1_000
 #: Rows of an Arrow batch of texts: a few megabytes at some kilobytes a text.
 TEXT_ROWS = 1_000
 #: Bytes of text whose words are hashed at a time.
@@ -54,16 +56,21 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= limit else df
 
 
-def keyed_join(rows: DataFrame, unique: DataFrame, key: str, size: int, spread: str, limit: int = BROADCAST_ROWS, how: str = "inner", salts: int = 8) -> DataFrame:
-    """Join of ``rows``, in which some values of ``key`` may be hot, with a table of unique keys and a counted ``size``.
+def keyed_join(rows: DataFrame, unique: DataFrame, key: str, weight: str, size: int | None = None, limit: int = BROADCAST_ROWS, how: str = "inner") -> DataFrame:
+    """Join of ``rows``, in which some values of ``key`` may be hot, with a table of unique keys.
 
-    The table is broadcast if its size is within ``limit``; otherwise it is repeated for each salt, and the rows of a key
-    are spread over the salts by their column ``spread``.
+    ``weight`` names the column of the table that counts the rows of each key; it is not returned. The table is broadcast
+    if its counted ``size`` (its rows unless given) is within ``limit``. Otherwise only the keys that hold more than one in
+    ``HOT_KEYS`` of all rows are, of which there are at most ``HOT_KEYS``; the rows of the others meet in a shuffle.
     """
-    if size <= limit:
-        return rows.join(F.broadcast(unique), key, how)
-    salted = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
+    slim = unique.drop(weight)
+    if (unique.count() if size is None else size) <= limit:
+        return rows.join(F.broadcast(slim), key, how)
+    total = unique.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * HOT_KEYS > total
+    few = F.broadcast(unique.where(hot).drop(weight))
+    apart = rows.join(F.broadcast(unique.where(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(apart.join(unique.where(~hot).drop(weight), key, how))
 
 
 def text_slices(texts: list[str | None], chars: int = 500_000) -> Iterator[slice]:

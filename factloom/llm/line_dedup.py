@@ -15,7 +15,7 @@ shingles still have three quarters of their pairs. A text of which one shared pa
 
 Scale: a line is one row of hashes, whatever its length; only lines whose leaf has lines of another text go on; counts
 combine before they are shuffled, first by template and class, so neither a hot template nor a large class lands in one
-task; joins with tables of unique keys are broadcast if these are few (they are counted) and salted otherwise.
+task; joins with tables of unique keys are broadcast if these are few (they are counted), otherwise only the hot keys are.
 
 Nulls and edge cases: a null text stays null and an empty one empty; blank lines are never dropped; if all lines of a text
 are dropped it becomes empty, the row stays; texts without a recurring line keep their bytes; results depend on the texts
@@ -138,9 +138,8 @@ def near_copy_classes(signed: DataFrame) -> DataFrame:
     """(node, component) of the texts (_line_a, signature) that have near copies."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(PLACES // BAND - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * BAND + 1, BAND)))
     banded = signed.select("_line_a", F.explode(bands).alias("band"))
-    least = banded.groupBy("band").agg(F.min("_line_a").alias("least"), F.max("_line_a").alias("most")).where("least < most").select("band", "least")
-    least = checkpoint(least)
-    met = keyed_join(banded, least, "band", least.count(), "_line_a").where("_line_a <> least").select("_line_a", "least").distinct()
+    least = banded.groupBy("band").agg(F.min("_line_a").alias("least"), F.max("_line_a").alias("most"), F.count("*").alias("n")).where("least < most").select("band", "least", "n")
+    met = keyed_join(banded, checkpoint(least), "band", "n").where("_line_a <> least").select("_line_a", "least").distinct()
     of = lambda name: signed.groupBy(F.col("_line_a").alias(name)).agg(F.min("signature").alias(f"of_{name}"))
     pairs = met.join(of("_line_a"), "_line_a").join(of("least"), "least")
     equal = F.aggregate(F.zip_with("of__line_a", "of_least", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
@@ -152,17 +151,16 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     text_batches(docs.sparkSession)
     source = docs.where("text is not null and text <> ''").select(F.xxhash64("text").alias("_line_a"), F.hash("text").alias("_line_b"), "text")
     lines = checkpoint(source.mapInArrow(_line_rows, _LINES))
-    leaves = lines.groupBy("leaf").agg(F.min("_line_a").alias("x"), F.max("_line_a").alias("y")).where("x < y").select("leaf")
-    leaves = checkpoint(leaves)
-    met = keyed_join(lines.drop("signature"), leaves, "leaf", leaves.count(), "_line_a").drop("leaf").distinct()  # copies of a text count once
+    leaves = lines.groupBy("leaf").agg(F.min("_line_a").alias("x"), F.max("_line_a").alias("y"), F.count("*").alias("n")).where("x < y").select("leaf", "n")
+    met = keyed_join(lines.drop("signature"), checkpoint(leaves), "leaf", "n").drop("leaf").distinct()  # copies of a text count once
     classes = near_copy_classes(lines.where(F.size("signature") > 0).select("_line_a", "signature"))
     classed = met.join(classes.withColumnRenamed("node", "_line_a"), "_line_a", "left")
     shared = checkpoint(classed.withColumn("component", F.coalesce("component", "_line_a")))
     keyed = shared.select("_line_a", "_line_b", "pos", "tokens", "component", F.explode(F.array(*KEYS)).alias("key"))
-    stands = keyed.groupBy("key", "tokens", "component").agg(F.lit(1)).groupBy("key", "tokens").agg(F.count("*").alias("texts"))
+    stands = keyed.groupBy("key", "tokens", "component").agg(F.count("*").alias("n")).groupBy("key", "tokens").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
     enough = F.when(F.col("tokens") >= PASSAGE_TOKENS, MIN_TEXTS_PASSAGE).otherwise(MIN_TEXTS)
-    recurring = checkpoint(stands.where(F.col("texts") >= enough).select("key"))
-    dropped = keyed_join(keyed.select("_line_a", "_line_b", "pos", "key"), recurring, "key", recurring.count(), "_line_a")
+    recurring = checkpoint(stands.where(F.col("texts") >= enough).select("key", "n"))
+    dropped = keyed_join(keyed.select("_line_a", "_line_b", "pos", "key"), recurring, "key", "n")
     return checkpoint(dropped.groupBy("_line_a", "_line_b").agg(F.array_sort(F.collect_set("pos")).alias("_line_drop")))
 
 

@@ -11,7 +11,8 @@ fill most of these places, so passages that many documents share make no candida
 member to the smallest one), never as pairs. The groups that come out are dealt to blocks of bounded size: first each member
 is compared with its block and with the group's hub (its smallest member), which settles groups of copies with one copy of
 each set; only what this leaves apart is compared across blocks, and what is linked already never with each other. A block
-returns a spanning forest of its confirmed links, not all links. Joins on values or nodes that may be hot are salted.
+returns a star for what its confirmed links connect, not all links. Joins on
+values or nodes that may be hot take these apart.
 
 Nulls and edge cases: a null or empty text has no shingles and is linked with nothing; a text of 1 to 4 words is one
 shingle; a row whose ``doc_id`` is null is linked with nothing, its component is null and it is kept; repeated rows of one
@@ -35,7 +36,7 @@ SKETCH = 48
 #: Two full sketches share at least ``SKETCH * (t - SLACK)`` values if the similarity is ``t`` (all but 1e-8 of such pairs).
 SLACK = 0.36
 #: Sets that a block holds about, and shingles.
-BLOCK = 128
+BLOCK = 1_024
 BLOCK_SHINGLES = 2_000_000
 #: Bits of a dense incidence matrix that a block pair holds at once.
 MATRIX_CELLS = 4_000_000
@@ -104,11 +105,11 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     state = count, _ = _state(edges)
     for _ in range(rounds if count else 0):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = keyed_join(both.where("b > a"), least, "a", 2 * count, "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")))
+        large = keyed_join(both.where("b > a"), least, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = checkpoint(large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = keyed_join(large, lowest, "a", 2 * count, "b").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        lowest = checkpoint(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = keyed_join(large, lowest, "a", "n").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = checkpoint(small.where("a <> b").distinct())
         seen, state = state, _state(edges)
         count = state[0]
@@ -127,7 +128,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _links(percent: int):
-    """Confirmed links between sets of different parts in a block, or between the sides of a pair of blocks, as a spanning forest."""
+    """Confirmed links between sets of different parts in a block, or between the sides of a pair of blocks, as stars."""
     full, share = needs(percent)
 
     def confirm(group: pd.DataFrame) -> pd.DataFrame:
@@ -147,21 +148,15 @@ def _links(percent: int):
         ids, sizes, asked = ids[some], sizes[some], asked[np.ix_(some, some)]
         shared = _intersections([sets[i] for i in some])
         linked = asked & (100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared))
-        root = list(range(len(ids)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        out = []
-        for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-            p, q = find(int(i)), find(int(j))
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                out.append((ids[j], ids[i]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        # each set takes the smallest label next to it until none changes
+        np.fill_diagonal(linked, True)
+        labels, before = np.arange(len(ids)), None
+        while before is None or (labels != before).any():
+            before = labels
+            labels = np.where(linked, labels[None, :], len(ids)).min(axis=1)
+            labels = labels[labels]
+        apart = labels != np.arange(len(ids))
+        return pd.DataFrame({"a": ids[apart], "b": ids[labels[apart]]}).astype("int64")
 
     return confirm
 
@@ -203,22 +198,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("c"), F.count("*").alias("copies")).select("set_key", "copies", "c.*")
     classes = checkpoint(classes)
 
-    retained = classes.select("doc_id", F.col("n_shingles").alias("n"), F.xxhash64("set_key").alias("set"), F.explode("sketch").alias("value"))
-    lists = checkpoint(retained.groupBy("value").agg(F.count("*").alias("length")).where("length > 1"))
-    shared = keyed_join(retained, lists, "value", lists.count(), "doc_id")
-    asked = shared.groupBy("doc_id", "set", "n").agg(F.array_sort(F.collect_list(F.struct("length", "value"))).alias("shared"))
+    # one number tells texts of a doc_id apart and holds how many values of a sketch must be shared at least
     full, share = needs(percent)
-    least = F.when(F.col("n") > SKETCH, F.lit(full)).otherwise(F.ceil(F.col("n") * share - 1e-9)).cast("int")
-    places = F.size("shared") - least + 1  # values that no other document holds have taken the first places
+    least = F.when(F.col("n_shingles") > SKETCH, F.lit(full)).otherwise(F.ceil(F.col("n_shingles") * share - 1e-9)).cast("long")
+    tag = F.shiftleft(F.hash("set_key").cast("long"), 8) + least
+    retained = classes.select("doc_id", tag.alias("tag"), F.explode("sketch").alias("value"))
+    lists = checkpoint(retained.groupBy("value").agg(F.count("*").alias("length")).where("length > 1"))
+    shared = keyed_join(retained, lists.withColumn("n", F.col("length")), "value", "n")
+    asked = shared.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list(F.struct("length", "value"))).alias("shared"))
+    places = F.size("shared") - F.col("tag").bitwiseAND(F.lit(255)).cast("int") + 1  # values that no other document holds have taken the first places
     probes = asked.select("doc_id", F.explode(F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)))).alias("p")).select("doc_id", "p.value")
     probes = checkpoint(probes)
-    hubs = checkpoint(probes.groupBy("value").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("value", "least"))
-    stars = keyed_join(probes, hubs, "value", hubs.count(), "doc_id").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    hubs = checkpoint(probes.groupBy("value").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").select("value", "least", "n"))
+    stars = keyed_join(probes, hubs, "value", "n").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     groups = connected_components(stars)
 
     links = _confirmed(source, groups, classes.select("doc_id", "n_shingles"), percent)
-    copied = classes.where("copies > 1").select("set_key", F.col("doc_id").alias("class_id"))
-    members = keyed_join(usable.select("doc_id", "set_key"), copied, "set_key", copied.count(), "doc_id").select("doc_id", "class_id").distinct()
+    copied = classes.where("copies > 1").select("set_key", "copies", F.col("doc_id").alias("class_id"))
+    members = keyed_join(usable.select("doc_id", "set_key"), copied, "set_key", "copies").select("doc_id", "class_id").distinct()
     members = checkpoint(members.unionByName(classes.where("copies = 1").select("doc_id", F.col("doc_id").alias("class_id"))))
     # texts of one doc_id belong together
     several = members.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("most")).where("b < most")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factloom.llm import bpe, catalog, html_main, line_dedup, mixing, near_dup, ogg, pii, secrets, topk, toxicity
+from factloom.llm import bpe, catalog, common, html_main, line_dedup, mixing, near_dup, ogg, pii, secrets, topk, toxicity
 
 TEXTS = [(1, "Hello world, it's a test. \n\n42  tokens"), (2, None), (3, ""), (4, "word " * 60_000), (1, "Hello world, it's a test. \n\n42  tokens"), (None, "no id here"), (7, "日本語 🤖 <|endoftext|> end"), (8, " ")]
 
@@ -397,3 +397,12 @@ def test_group_of_several_blocks(spark, monkeypatch):
                     root[max(p, q)] = min(p, q)
     assert got == {**{d: find(d) for d in root}, None: None}
     assert got[300] == got[0] == got[259]
+
+
+def test_keyed_join_beyond_the_broadcast(spark):
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(3000)] + [(99, -1)], "k long, i long")
+    unique = rows.where("k < 6").groupBy("k").agg(F.count("*").alias("n")).withColumn("x", F.col("k") * 2)
+    unique = unique.unionByName(spark.range(1000, 4000).selectExpr("id k", "1L n", "0L x"))
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, rows.join(unique.drop("n"), "k", how).collect()), key=str)
+        assert sorted(map(tuple, common.keyed_join(rows, unique, "k", "n", limit=0, how=how).select("k", "i", "x").collect()), key=str) == want
