@@ -83,6 +83,18 @@ def text_slices(texts: list[str | None], chars: int = 500_000) -> Iterator[slice
             start, held = i + 1, 0
 
 
+def apart(spans: list[tuple], base: list[tuple], start: int = 0, end: int = -1) -> list[tuple]:
+    """Those of ``spans`` that overlap none of ``base``, in one pass over both in order; places of start and end in a span are given."""
+    out, ordered, at, reach = [], sorted(base, key=lambda b: b[start]), 0, -1
+    for span in sorted(spans, key=lambda s: s[end]):
+        while at < len(ordered) and ordered[at][start] < span[end]:
+            reach = max(reach, ordered[at][end])
+            at += 1
+        if reach <= span[start]:
+            out.append(span)
+    return out
+
+
 @cache
 def _byte_values(lower: bool) -> np.ndarray:
     """A fixed random number for each byte; with ``lower`` the same for A-Z and a-z."""

@@ -6,7 +6,8 @@ term, trained by gradient descent from document labels alone. The trained senten
 sentences.
 
 The classifier is fitted on at most ``TRAIN_DOCS`` labelled documents (those with the smallest hashes, never a held-out
-one); every document is scored. Labels, language, source and doc_id are no inputs of a score.
+one, and none of more than ``TRAIN_CHARS``), one text each; every document is scored. In training as in scoring a sentence
+counts only if its weights sum to more than nothing. Labels, language, source and doc_id are no inputs of a score.
 
 Nulls and edge cases: a null or empty text has the background score; labels that are null are left out, repeated labels of
 a document count as toxic if one does; without any toxic label all scores are low; a null ``doc_id`` is scored and not held
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import text_batches
 
 TRAIN_DOCS = 8_000
+TRAIN_CHARS = 200_000
 FEATURES = 3_000
 CACHED_WORDS = 100_000
 STEPS = 300
@@ -129,7 +131,7 @@ def fit(texts: list[str], toxic: list[int]) -> SentenceModel:
                 feature += got
                 n_sentences += 1
     weights, bias, background = _train(np.array(toxic, float), np.array(doc, int), np.array(sentence, int), np.array(feature, int), len(chosen))
-    return SentenceModel({f: float(weights[i]) for f, i in index.items() if weights[i] > 1e-3}, bias, background)
+    return SentenceModel({f: float(weights[i]) for f, i in index.items() if weights[i] > 0}, bias, background)
 
 
 def _train(y, doc, sentence, feature, n_features) -> tuple[np.ndarray, float, float]:
@@ -137,8 +139,8 @@ def _train(y, doc, sentence, feature, n_features) -> tuple[np.ndarray, float, fl
     theta = np.concatenate([np.full(n_features, 0.5), [-3.0, -4.0]])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        logits = np.bincount(sentence, theta[feature], len(doc)) + theta[-2] if len(doc) else np.empty(0)
-        p, p0 = _logistic(logits), _logistic(theta[-1])
+        sums = np.bincount(sentence, theta[feature], len(doc)) if len(doc) else np.empty(0)
+        p, p0 = _logistic(sums + theta[-2]) * (sums > 0), _logistic(theta[-1])
         clean = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))) * (1 - p0) if len(doc) else np.full(len(y), 1 - p0)
         pull = np.where(y > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0)
         by_sentence = pull[doc] * p if len(doc) else np.empty(0)
@@ -146,7 +148,7 @@ def _train(y, doc, sentence, feature, n_features) -> tuple[np.ndarray, float, fl
         gradient[:-2] += 1e-4 * theta[:-2]
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         theta -= 0.08 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-        theta[:-2] = np.maximum(theta[:-2], 0)
+        theta[:-2] = np.where(theta[:-2] > 1e-3, theta[:-2], 0)
         theta[-1] = min(theta[-1], -2.0)
     return theta[:-2], float(theta[-2]), float(theta[-1])
 
@@ -156,7 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Senten
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")  # at most ``limit`` rows
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS)
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # at most ``limit`` rows
     rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic", F.lit(0).alias("one"))
     # one task fits the model: its rows are at most ``limit``, and it returns at most ``FEATURES`` weights
     return SentenceModel.from_rows(rows.groupBy("one").applyInPandas(_fit_rows, "feature string, weight double").collect())

@@ -406,3 +406,72 @@ def test_keyed_join_beyond_the_broadcast(spark):
     for how in ("inner", "left"):
         want = sorted(map(tuple, rows.join(unique.drop("n"), "k", how).collect()), key=str)
         assert sorted(map(tuple, common.keyed_join(rows, unique, "k", "n", limit=0, how=how).select("k", "i", "x").collect()), key=str) == want
+
+
+def test_margins_meet_their_targets(spark):
+    rng = random.Random(15)
+    rows = [(i, "w " * rng.randrange(1, 50) + rng.choice(["", "a@b.c", "123", "Copyright"]), rng.choice("aaaab"), rng.choice(["big"] * 9 + ["s1", "s2", None])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"big": 0.4, "s1": 0.3}, "lang": {"a": 0.5, "b": 0.5}}
+    mixed = mixing.mixed(docs, targets=targets, budget=0.05).cache()
+    n = [r["t"] for r in mixed.groupBy("_mix_source").agg(F.sum(F.col("_mix_n") * F.col("_mix_p")).alias("t")).orderBy("_mix_source").collect()]
+    assert mixed.first()._mix_gap < 1e-9 and abs(n[1] / sum(n) - 0.4) < 1e-6 and abs(n[2] / sum(n) - 0.3) < 1e-6
+    a, b = [r["t"] for r in mixed.groupBy("lang").agg(F.sum(F.col("_mix_n") * F.col("_mix_p")).alias("t")).orderBy("lang").collect()]
+    assert abs(a - b) < 1e-6 * a and abs(sum(n) / mixed.agg(F.sum("_mix_n")).first()[0] - 0.05) < 1e-8
+
+
+def test_secret_spans_against_brute_force():
+    import re
+
+    rng = random.Random(16)
+    encoding = secrets._encoding(catalog.vocabulary("byte_bpe_50k.tiktoken"))
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
+    for _ in range(2000):
+        text = "".join(rng.choice(["token", "API_key", ":", "= ", "AKIA", "ab12", "Z9Q", "deadbeef", "0123abcd", " ", "'", "kQ7x", "hello"]) for _ in range(14))
+        base = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+        base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        assert secrets.base_spans(text) == sorted(base)
+        found = secrets.random_spans(text, encoding)
+        assert common.apart(found, base, end=2) == [s for s in found if not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for size in (16, 19, 24, 40):
+        hits = [len(secrets.random_spans("x " + "".join(rng.choice(letters) for _ in range(size)) + ".", encoding)) for _ in range(200)]
+        assert sum(hits) >= 190
+    for word in ("internationalization", "an_ordinary_identifier_name_here", "getUserAccountInformation", "test-driven-development", "1234567890123456", "2024-01-01/2024-12-31", "d41d8cd98f00b204e9800998ecf8427e"):
+        assert not secrets.random_spans(word, encoding)
+    many = " ".join(["token=abcdef1", "kQzXvBnMpLrTyWsDfG42"] * 50_000)
+    base = secrets.base_spans(many)
+    assert len(common.apart(secrets.random_spans(many, encoding), base, end=2)) == len(base) == 50_000
+
+
+def test_topk_of_a_repeated_id(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (51, [1.0, 1.0]), (52, [-1.0, 0.5])]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()))
+    assert got == sorted([(50, 1, 51, 65536), (50, 2, 50, 0), (50, 3, 52, -65536), (50, 1, 51, 65536), (50, 2, 52, 32768), (50, 3, 50, 0)])
+
+
+def test_line_templates_against_brute_force(spark):
+    """Different texts, notices of one to three lines with variable fields, passages; templates by comparing tokens."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    stock = [[line(rng.choice([1, 2, 4, 9])) for _ in range(rng.randrange(1, 4))] for _ in range(12)] + [[line(60)] for _ in range(4)]
+    rows = []
+    for i in range(120):
+        lines = [line(rng.randrange(20, 40)) for _ in range(4)]
+        at = rng.randrange(5)
+        lines[at:at] = [x + f" {rng.randrange(99)}" * rng.randrange(2) for x in rng.choice(stock)]
+        rows.append((i, "\n".join(lines)))
+    forms = {}
+    for i, text in rows:
+        for x in text.split("\n"):
+            t = ["<*>" if any(c in "0123456789@/" for c in w) else w for w in x.split()]
+            cuts = [len(t) * k // 4 for k in range(5)]
+            quarters = [tuple(t[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            for wild in (None, 0, 1, 2, 3):
+                forms.setdefault((len(t), *t[:3], wild, *(q for k, q in enumerate(quarters) if k != wild)), set()).add((i, x))
+    drop = {hit for key, hits in forms.items() if len({i for i, _ in hits}) >= (2 if key[0] >= 50 else 5) for hit in hits}
+    want = {i: "\n".join(x for x in text.split("\n") if (i, x) not in drop) for i, text in rows}
+    assert {r.doc_id: r.text for r in line_dedup.deduplicated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+    assert len(drop) > 60
