@@ -2,12 +2,12 @@
 
 Labelers of three kinds (regular expressions, gazetteers, context) vote for or against every candidate span, or abstain.
 Expectation maximisation over the counts of vote patterns estimates each labeler's reliability without any label, and a
-logistic span classifier is trained on the resulting probabilities. Spans of the fixed patterns are always reported;
-candidates of the wider patterns (obfuscated addresses, telephone numbers without a country code) are added if the
-classifier accepts them.
+logistic span classifier is trained on the resulting probabilities, from the votes and from the span's own shape (length,
+distinct digits, separators, letters). Spans of the fixed patterns are always reported; candidates of the wider patterns
+(obfuscated addresses, telephone numbers without a country code, bank accounts) are added if the classifier accepts them.
 
-Candidates are found in one pass over the texts and written to the checkpoint folder; the training needs only their
-pattern counts, whose number is bounded by the labelers (3 votes each).
+Candidates are found in one pass over the texts and written to the checkpoint folder; the training needs only the counts of
+their votes and shapes, whose number is bounded by the labelers (3 votes each) and the shapes' few steps.
 
 Nulls and edge cases: a null text counts as empty and has no span; texts are searched whole and in linear time; rows are
 independent, so ties, repeated rows and a null ``doc_id`` need no care; an empty table trains nothing and returns no row.
@@ -18,16 +18,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpoint, text_batches
+from factloom.llm.common import apart, checkpoint, text_batches
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "iban")
+#: The kinds that have a fixed pattern stand first.
+FIXED = 4
 #: Fixed patterns. The local part of an address is the run of its letters before the sign, so only the rest is searched.
 EMAIL_REST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,16 +39,19 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Wider patterns, whose matches are candidates only.
-MASKED_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]\x20?dot\x20?[\])]\x20?)[A-Za-z0-9-]{1,63}){1,4}", re.I)
+MASKED_REST = re.compile(r"\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(]\x20?dot\x20?[\])]\x20?)[A-Za-z0-9-]+)+", re.I)
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 LOCAL_PHONE = re.compile(r"(?<![\w+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\w-])")
 #: Gazetteers.
 DOMAIN_ENDS = frozenset("com org net edu gov mil int info biz io co de fr es it nl uk us ca eu ch at be pl pt se no fi dk jp cn in br au".split())
 CARD_STARTS = frozenset("3456")
+IBAN_COUNTRIES = frozenset("AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM TR".split())
 CONTEXT = {
     "email": re.compile(r"mail|contact|write|reply|from|to:", re.I),
     "ip": re.compile(r"\bip\b|addr|host|server|client|login", re.I),
     "card": re.compile(r"card|visa|master|amex|credit|payment|iban", re.I),
     "phone": re.compile(r"tel|phone|call|fax|mobile|contact|dial", re.I),
+    "iban": re.compile(r"iban|bank|account|konto|compte|cuenta|transfer", re.I),
 }
 AGAINST = re.compile(r"version|release|\bv\.?$|isbn|order|invoice|\bid\b|serial|page", re.I)
 LABELERS = ("pattern", "form", "gazetteer", "before", "against", "company")
@@ -59,17 +66,22 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _addresses(text: str, rest: re.Pattern) -> list[tuple[int, int, int]]:
+    """Spans of kind email: matches of ``rest`` and the letters of a local part before them."""
+    out, lowest = [], 0
+    for m in rest.finditer(text):
+        start = m.start()
+        while start > lowest and text[start - 1] in LOCAL:
+            start -= 1
+        if start < m.start():
+            out.append((0, start, m.end()))
+            lowest = m.end()
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the fixed patterns; matches that fail their test are dropped, not retried."""
-    out, lowest = [], 0
-    if "@" in text:
-        for m in EMAIL_REST.finditer(text):
-            start = m.start()
-            while start > lowest and text[start - 1] in LOCAL:
-                start -= 1
-            if start < m.start():
-                out.append((0, start, m.end()))
-                lowest = m.end()
+    out = _addresses(text, EMAIL_REST) if "@" in text else []
     if "." in text:
         out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p[-3:]) < 256 for p in m[0].split("."))]
     for m in CARD.finditer(text):
@@ -84,9 +96,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def wider_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates that no fixed pattern covers."""
-    found = [(0, m.start(), m.end()) for m in MASKED_EMAIL.finditer(text)] if "[" in text or "(" in text else []
+    found = _addresses(text, MASKED_REST) if "[" in text or "(" in text else []
     found += [(3, m.start(), m.end()) for m in LOCAL_PHONE.finditer(text)]
-    return [s for s in found if not any(b[1] < s[2] and s[1] < b[2] for b in base)]
+    found += [(4, m.start(), m.end()) for m in IBAN.finditer(text) if _valid_iban(m[0])]
+    return apart(found, base, start=1, end=2)
+
+
+def _valid_iban(string: str) -> bool:
+    letters = string.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in letters[4:] + letters[:4])) % 97 == 1
+
+
+def shape(string: str) -> str:
+    """A span's own features: steps of its length, distinct digits and separators, and whether it holds letters."""
+    separators = sum(not c.isalnum() for c in string)
+    return f"{min(len(string).bit_length(), 7)}{len(set(string) & DIGITS) // 2}{min(separators, 5)}{int(any(c.isalpha() for c in string))}"
+
+
+DIGITS = frozenset("0123456789")
 
 
 def votes(text: str, span: tuple[int, int, int], is_base: bool, company: bool) -> list[int]:
@@ -104,6 +131,9 @@ def votes(text: str, span: tuple[int, int, int], is_base: bool, company: bool) -
     elif kind == 2:
         form = 1 if len(set(digits)) > 3 else -1
         gazetteer = 1 if digits[0] in CARD_STARTS else -1
+    elif kind == 4:
+        form = 1 if len(set(digits)) > 3 else -1
+        gazetteer = 1 if string[:2] in IBAN_COUNTRIES else -1
     else:
         form = 1 if len(set(digits)) > 3 else -1
         gazetteer = 1 if len(digits) >= 10 and digits[-10] not in "01" or string[0] == "+" else -1
@@ -117,12 +147,12 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             base = base_spans(text)
             every = [(s, True) for s in base] + [(s, False) for s in wider_spans(text, base)]
             starts = sorted(s[1] for s, _ in every)
-            near = [any(o != s[1] and abs(o - s[1]) < 4 * WINDOW for o in starts[max(0, i - 1) : i + 2]) for s, _ in every for i in [np.searchsorted(starts, s[1])]]
-            found.append([{"kind": s[0], "start": s[1], "end": s[2], "base": b, "votes": "".join("-0+"[v + 1] for v in votes(text, s, b, c))} for (s, b), c in zip(every, near, strict=True)])
+            near = [any(o != s[1] and abs(o - s[1]) < 4 * WINDOW for o in starts[max(0, i - 1) : i + 2]) for s, _ in every for i in [bisect_left(starts, s[1])]]
+            found.append([{"kind": s[0], "start": s[1], "end": s[2], "base": b, "votes": "".join("-0+"[v + 1] for v in votes(text, s, b, c)), "shape": shape(text[s[1] : s[2]])} for (s, b), c in zip(every, near, strict=True)])
         yield pd.DataFrame({"doc_id": batch["doc_id"], "found": found})
 
 
-CANDIDATES = "doc_id long, found array<struct<kind:int,start:int,end:int,base:boolean,votes:string>>"
+CANDIDATES = "doc_id long, found array<struct<kind:int,start:int,end:int,base:boolean,votes:string,shape:string>>"
 
 
 def reliabilities(patterns: pd.DataFrame, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
@@ -145,39 +175,45 @@ def reliabilities(patterns: pd.DataFrame, rounds: int = 60) -> tuple[np.ndarray,
     return posterior, right
 
 
-def classifier(patterns: pd.DataFrame, steps: int = 400) -> dict[tuple[int, str], float]:
-    """Probability of each (kind, votes), from a logistic span classifier trained on the posteriors."""
+def features(kind: int, votes: str, shape: str) -> np.ndarray:
+    """Input of the span classifier."""
+    steps = np.zeros(4 * 10)
+    steps[[10 * i + int(c) for i, c in enumerate(shape)]] = 1
+    return np.concatenate([["-0+".index(c) - 1 for c in votes], np.eye(len(KINDS))[kind], steps, [1.0]])
+
+
+def classifier(patterns: pd.DataFrame, steps: int = 400) -> np.ndarray | None:
+    """Weights of a logistic span classifier trained on the posteriors of patterns (kind, votes, shape, n)."""
     if patterns.empty:
-        return {}
+        return None
     posterior, _ = reliabilities(patterns)
-    v = np.array([["-0+".index(c) - 1 for c in p] for p in patterns["votes"]], float)
-    x = np.hstack([v, np.eye(len(KINDS))[patterns["kind"]], np.ones((len(v), 1))])
+    x = np.stack([features(*row) for row in zip(patterns["kind"], patterns["votes"], patterns["shape"], strict=True)])
     weight = patterns["n"].to_numpy(float) ** 0.5
     weight /= weight.sum()
     theta = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-x @ theta))
         theta -= 2.0 * (x.T @ (weight * (p - posterior)) + 1e-3 * theta)
-    p = 1 / (1 + np.exp(-x @ theta))
-    return {(int(k), s): float(q) for k, s, q in zip(patterns["kind"], patterns["votes"], p, strict=True)}
+    return theta
 
 
 def personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): counts of the fixed patterns, base_sha256, spans and n_added."""
     text_batches(docs.sparkSession)
     found = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_candidates, CANDIDATES))
-    patterns = found.select(F.explode("found").alias("f")).groupBy("f.kind", "f.votes").agg(F.count("*").alias("n"))
-    model = classifier(patterns.orderBy("kind", "votes").toPandas())  # at most len(KINDS) * 3 ** len(LABELERS) rows
+    patterns = found.select(F.explode("found").alias("f")).groupBy("f.kind", "f.votes", "f.shape").agg(F.count("*").alias("n"))
+    theta = classifier(patterns.orderBy("kind", "votes", "shape").toPandas())  # as many rows as there are votes and shapes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        accepted = cache(lambda *span: 1 / (1 + np.exp(-features(*span) @ theta)) >= threshold)
         joined = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
         for batch in batches:
             rows = []
             for every in batch["found"]:
                 base = sorted((f["kind"], f["start"], f["end"]) for f in every if f["base"])
-                added = [(f["kind"], f["start"], f["end"]) for f in every if not f["base"] and model.get((f["kind"], f["votes"]), 0.0) >= threshold]
+                added = [(f["kind"], f["start"], f["end"]) for f in every if not f["base"] and accepted(f["kind"], f["votes"], f["shape"])]
                 kinds = [k for k, _, _ in base]
-                rows.append((*(kinds.count(k) for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + added)), len(added)))
+                rows.append((*(kinds.count(k) for k in range(FIXED)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + added)), len(added)))
             out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out

@@ -475,3 +475,49 @@ def test_line_templates_against_brute_force(spark):
     want = {i: "\n".join(x for x in text.split("\n") if (i, x) not in drop) for i, text in rows}
     assert {r.doc_id: r.text for r in line_dedup.deduplicated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
     assert len(drop) > 60
+
+
+def test_pii_added_spans(spark):
+    """Planted spans of the wider patterns against the same with broken check digits, and an EM that finds the good labelers."""
+    import pandas as pd
+
+    rows = []
+    for i in range(300):
+        digits = f"{37040044 + i:08d}{532013000 + 7 * i:010d}"
+        check = 98 - int(digits + "131400") % 97
+        wrong = check + 1 if check < 97 else 2
+        rows.append((i, f"send it to the bank account IBAN DE{check:02d}{digits}, call (212) 555-{1000 + i} or mail jo{i} [at] mail [dot] example [dot] org. order DE{wrong:02d}{digits} 10.0.{i % 256}.7"))
+    got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in got:
+        text = rows[r.doc_id][1]
+        spans = {(k, text[int(a) : int(b)]) for k, a, b in (x.split(":") for x in r.spans.split(","))}
+        assert ("email", f"jo{r.doc_id} [at] mail [dot] example [dot] org") in spans and ("phone", f"(212) 555-{1000 + r.doc_id}") in spans
+        assert any(k == "iban" and s in text.split("call")[0] for k, s in spans) and sum(k == "iban" for k, _ in spans) == 1
+    patterns = pd.DataFrame([("+++", 60), ("---", 30), ("++-", 8), ("--+", 8), ("+-+", 2), ("-+-", 2)], columns=["votes", "n"])
+    posterior, right = pii.reliabilities(patterns)
+    assert posterior[0] > 0.95 and posterior[1] < 0.05 and right[0] > right[2] and right[1] > right[2]
+
+
+def test_pii_base_spans_against_brute_force():
+    import re
+
+    rng = random.Random(18)
+
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    seen = 0
+    for _ in range(4000):
+        text = "".join(rng.choice(["4111", "1111", "0000", "-", " ", "+", "(", ")", ".", "12", "7", "a"]) for _ in range(14))
+        card = [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) for d in [re.sub(r"[^0-9]", "", m[0])] if 16 <= len(d) <= 19 and luhn(d)]
+        phone = [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
+        found = pii.base_spans(text)
+        assert [s[1:] for s in found if s[0] == 2] == card and [s[1:] for s in found if s[0] == 3] == phone
+        seen += len(card) + len(phone)
+    assert seen > 300
+
+
+def test_many_spans_take_linear_time(spark):
+    text = "a@b.cd (212) 555-1000 10.0.0.1 " * 30_000
+    r = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_email, r.n_ip) == (30_000, 30_000)
