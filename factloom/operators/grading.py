@@ -43,23 +43,18 @@ def grade_texts(accepted: DataFrame, answers: DataFrame) -> DataFrame:
     return joined.groupBy("answer_id").agg(F.bool_or(text_matches(F.col("text"), F.col("answer_text"))).alias("passed"))
 
 
-def source_tickers(results: DataFrame, rounds: int = 20) -> DataFrame:
+def source_tickers(results: DataFrame) -> DataFrame:
     """(answer_id, idx, ticker): companies that each result rests on; a calculation rests on those of its operands.
 
-    Operands point to earlier results, so each round resolves one more level; it stops when nothing is added.
+    Operands point to earlier results, so each round resolves one more level; it goes on until nothing is added.
     """
-    known = results.where("ticker is not null").select("answer_id", "idx", "ticker").distinct()
+    found = level = results.where("ticker is not null").select("answer_id", "idx", "ticker").distinct()
     edges = results.where("ticker is null").select("answer_id", "idx", F.explode("operands").alias("operand")).distinct()
-    levels, level = [known], known
-    for _ in range(rounds):
+    while not level.isEmpty():
         level = edges.join(level.select("answer_id", F.col("idx").alias("operand"), "ticker"), ["answer_id", "operand"]).select("answer_id", "idx", "ticker").distinct()
-        if level.isEmpty():
-            break
-        levels.append(level)
-    out = levels[0]
-    for df in levels[1:]:
-        out = out.unionByName(df)
-    return out.distinct()
+        level = level.join(found, ["answer_id", "idx", "ticker"], "left_anti")
+        found = found.unionByName(level)
+    return found
 
 
 def claim_companies(claims: DataFrame, results: DataFrame) -> DataFrame:

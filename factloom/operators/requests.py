@@ -62,7 +62,8 @@ def answer(requests: DataFrame, resolved: DataFrame, ratios: DataFrame) -> tuple
     routed = route(requests, resolved.select("metric").distinct(), ratios)
     ratio_values = formulas.ratios(resolved, ratios)
     every = resolved.select("entity", "metric", "fy", "fp", "value").unionByName(ratio_values.select("entity", F.col("ratio").alias("metric"), "fy", "fp", "value"))
-    mean = formulas.multi_year_average(every.where("fp = 'FY'"), routed.where("route = 'average'").select("request_id", "entity", "metric", "first_year", "last_year"))
+    measured = resolved.select("entity", "metric", "fy", "fp", "value", F.lit(None).cast("string").alias("unit")).unionByName(ratio_values.select("entity", F.col("ratio").alias("metric"), "fy", "fp", F.col("raw").alias("value"), "unit"))
+    mean = formulas.multi_year_average(measured.where("fp = 'FY'"), routed.where("route = 'average'").select("request_id", "entity", "metric", "first_year", "last_year"))
     grown = formulas.yoy_growth(resolved).join(routed.where("route = 'growth'").select("request_id", "entity", "metric", "fy", "fp"), ["entity", "metric", "fy", "fp"])
     plain = every.join(routed.where("route in ('ratio', 'metric')").select("request_id", "route", "entity", "metric", "fy", "fp"), ["entity", "metric", "fy", "fp"])
     answers = mean.select("request_id", F.lit("average").alias("route"), F.col("mean").alias("value")).unionByName(grown.select("request_id", F.lit("growth").alias("route"), F.col("growth").alias("value"))).unionByName(plain.select("request_id", "route", "value"))

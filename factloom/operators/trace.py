@@ -23,9 +23,18 @@ def text_of(value: Column) -> Column:
 
 
 def field(name: str, raw: str = "raw") -> Column:
-    """A field, looked up at the top, then in ``input``, then in ``input.args``; a dotted path goes down from there."""
-    path = ".".join(f"`{p}`" if not p.replace("_", "").isalnum() else p for p in name.split("."))
-    return F.coalesce(*[F.try_variant_get(F.col(raw), f"$.{at}{path}", "string") for at in ("", "input.", "input.args.", "args.")])
+    """A field by name, taken from the first of the record, its ``input`` and its ``args`` that has it, even as null; a dotted
+    name is a path from the top only."""
+    quoted = lambda p: p if p.replace("_", "").isalnum() else f"`{p}`"
+    at = lambda path: F.try_variant_get(F.col(raw), f"$.{path}", "string")
+    if "." in name:
+        return at(".".join(map(quoted, name.split("."))))
+    keys = lambda path: F.map_keys(F.try_variant_get(F.col(raw), f"${path}", "map<string,variant>"))
+    rule = F.lit(None).cast("string")
+    for container in ("args", "input", ""):
+        has = F.coalesce(F.array_contains(keys(f".{container}" if container else ""), name), F.lit(False))
+        rule = F.when(has, at(f"{container}.{quoted(name)}" if container else quoted(name))).otherwise(rule)
+    return rule
 
 
 def kind(raw: str = "raw") -> Column:

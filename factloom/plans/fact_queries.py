@@ -124,7 +124,7 @@ def yoy_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multi_year_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = nation_facts(spark, sf_dir)
     asked = resolved.select("entity", "metric").distinct().select(F.concat_ws("-", F.col("entity").cast("string"), "metric").alias("request_id"), "entity", "metric", F.lit(1996).alias("first_year"), F.lit(1999).alias("last_year"))
-    return formulas.multi_year_average(resolved, asked).select("request_id", "n", "mean")
+    return formulas.multi_year_average(resolved, asked).select("request_id", "n", rounded(F.col("mean"), 6).alias("mean"))
 
 
 def _tool_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -195,9 +195,9 @@ SELECT entity, metric, CASE WHEN entity = 3 THEN 'own-' || metric ELSE tag END A
     "ratio_same_period": f"WITH {NATION_SQL} SELECT a.entity, a.fy, a.fp, ratio, {_RATIO_VALUE} FROM resolved a JOIN {_RATIOS} ON a.metric = numerator JOIN resolved b ON b.entity = a.entity AND b.fy = a.fy AND b.metric = denominator WHERE b.value <> 0",
     "ratio_cross_entity": f"WITH {NATION_SQL} SELECT a.entity, ratio, {_RATIO_VALUE} FROM resolved a JOIN {_RATIOS} ON a.metric = numerator AND cross_company JOIN resolved b ON b.entity = a.entity AND b.fy = a.fy AND b.metric = denominator WHERE b.value <> 0 AND a.fy = 1997",
     "yoy_growth": f"WITH {NATION_SQL} SELECT a.entity, a.metric, a.fp, a.fy, floor((a.value - b.value) / abs(b.value) * 100 * 10 + 0.5) / 10 AS growth FROM resolved a JOIN resolved b ON a.entity = b.entity AND a.metric = b.metric AND a.fy = b.fy + 1 WHERE b.value <> 0",
-    "multi_year_average": f"WITH {NATION_SQL} SELECT entity || '-' || metric AS request_id, count(*) AS n, floor(avg(value) * 100 + 0.5) / 100 AS mean FROM resolved WHERE fy BETWEEN 1996 AND 1999 GROUP BY entity, metric HAVING count(*) = 4",
-    "fact_router_answers": f"""WITH {NATION_SQL}, r AS (SELECT a.entity, a.fy, ratio, {_RATIO_VALUE} FROM resolved a JOIN {_RATIOS} ON a.metric = numerator JOIN resolved b ON b.entity = a.entity AND b.fy = a.fy AND b.metric = denominator WHERE b.value <> 0)
-SELECT n_nationkey || '-a' AS request_id, 'average' AS route, floor(avg(value) * 100 + 0.5) / 100 AS value FROM nation JOIN r ON entity = n_nationkey WHERE ratio = 'net_margin' AND fy BETWEEN 1996 AND 1998 GROUP BY 1 HAVING count(*) = 3
+    "multi_year_average": f"WITH {NATION_SQL} SELECT entity || '-' || metric AS request_id, count(*) AS n, floor(avg(value) * 1e6 + 0.5) / 1e6 AS mean FROM resolved WHERE fy BETWEEN 1996 AND 1999 GROUP BY entity, metric HAVING count(*) = 4",
+    "fact_router_answers": f"""WITH {NATION_SQL}, r AS (SELECT a.entity, a.fy, ratio, {_RATIO_VALUE}, a.value / b.value * 100 AS raw FROM resolved a JOIN {_RATIOS} ON a.metric = numerator JOIN resolved b ON b.entity = a.entity AND b.fy = a.fy AND b.metric = denominator WHERE b.value <> 0)
+SELECT n_nationkey || '-a' AS request_id, 'average' AS route, floor(avg(raw) * 10 + 0.5) / 10 AS value FROM nation JOIN r ON entity = n_nationkey WHERE ratio = 'net_margin' AND fy BETWEEN 1996 AND 1998 GROUP BY 1 HAVING count(*) = 3
 UNION ALL SELECT a.entity || '-g', 'growth', floor((a.value - b.value) / abs(b.value) * 100 * 10 + 0.5) / 10 FROM resolved a JOIN resolved b ON a.entity = b.entity AND a.metric = b.metric AND a.fy = b.fy + 1 WHERE b.value <> 0 AND a.metric = 'revenue' AND a.fy = 1998
 UNION ALL SELECT entity || '-r', 'ratio', value FROM r WHERE ratio = 'asset_turnover' AND fy = 1998
 UNION ALL SELECT entity || '-m', 'metric', value FROM resolved WHERE metric = 'net_income' AND fy = 1998""",

@@ -127,11 +127,14 @@ def test_sinks(spark, tmp_path):
 
 
 def test_trace(spark, tmp_path):
-    (tmp_path / "t.jsonl").write_text('{"run_id": "r", "name": "search", "timestamp": "2024-01-01", "input": {"query": "q", "args": {"n": 3}}, "ok": true}\n\nnot json\n[1]\n{"category": "gate", "run_id": "r", "timestamp": "2024-01-02"}\n')
+    (tmp_path / "t.jsonl").write_text('{"run_id": "r", "name": "search", "timestamp": "2024-01-01", "input": {"query": "q", "n": 3, "ok": 1, "deep": {"x": 4}}, "ok": true, "gone": null, "args": {"gone": 5, "late": 6}}\n\nnot json\n[1]\n{"category": "gate", "run_id": "r", "timestamp": "2024-01-02"}\n')
     records, counts = trace.scan(spark, str(tmp_path / "t.jsonl"))
     assert counts.first() == (2, 2)
     row = records.select(trace.kind().alias("kind"), trace.field("query").alias("q"), trace.field("n").alias("n"), trace.text_of(trace.field("ok")).alias("ok")).orderBy("kind").collect()
     assert [tuple(r) for r in row] == [("gate", None, None, "None"), ("search", "q", "3", "True")]
+    # a null that is there ends the search; a dotted name is a path from the top only
+    paths = records.where(trace.kind() == "search").select(*[trace.field(n) for n in ("gone", "late", "input.deep.x", "deep.x", "deep")]).first()
+    assert tuple(paths) == (None, "6", "4", None, '{"x":4}')
     stream = tail.write_all(tail.run_counts(tail.tail(spark, str(tmp_path))), "tailed", str(tmp_path / "cp"))
     stream.awaitTermination(60)
     assert [(r.run_id, r.n) for r in spark.table("tailed").collect()] == [("r", 2)]
