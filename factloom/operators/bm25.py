@@ -33,7 +33,7 @@ def _lengths(docs: DataFrame) -> DataFrame:
 def _scored(postings: DataFrame, idf: DataFrame, averages: DataFrame, terms: DataFrame, part: list[str]) -> DataFrame:
     tf, norm = F.col("tf"), K1 * (1 - B + B * F.col("_dl") / F.col("avgdl"))
     gain = F.col("weight") * F.col("idf") * tf * (K1 + 1) / (tf + norm)
-    joined = postings.join(terms, "term").join(idf, [*part, "term"])
+    joined = postings.join(terms, [c for c in terms.columns if c in (*part, "term")]).join(idf, [*part, "term"])
     joined = joined.join(averages, part) if part else joined.crossJoin(F.broadcast(averages))  # one row
     return joined.groupBy("query_id", *part, "doc_id").agg(F.sum(gain).alias("score"))
 
@@ -59,19 +59,33 @@ def bm25_by_partition(docs: DataFrame, queries: DataFrame, part: str) -> DataFra
     return _scored(postings, idf, averages, terms, [part])
 
 
+def _okapi(docs: DataFrame, terms: DataFrame, part: list[str]) -> DataFrame:
+    """Okapi scores with the statistics of each part, or of the whole collection without one."""
+    sized = _lengths(docs)
+    with_statistics = lambda df, one: df.join(one, part) if part else df.crossJoin(F.broadcast(one))  # noqa: E731 - one row
+    averages = sized.groupBy(*part).agg(F.count("*").alias("n_docs"), F.avg("_dl").alias("avgdl"))
+    vocabulary = sized.select(*part, F.explode(F.array_distinct("_tokens")).alias("term")).groupBy(*part, "term").agg(F.count("*").alias("n"))
+    with_idf = with_statistics(vocabulary, averages).withColumn("raw", F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
+    floor = with_idf.groupBy(*part).agg((F.avg("raw") * NEGATIVE_SHARE).alias("floor"))
+    own = with_statistics(with_idf.join(terms.select(*part, "term").distinct(), [*part, "term"]), floor)
+    idf = own.select(*part, "term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    return _scored(_postings(sized, terms, part), idf, averages, terms, part)
+
+
 def bm25_global(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Scores with Okapi's idf over the whole collection; negative ones become a quarter of the mean over the vocabulary."""
-    terms, sized = query_terms(queries), _lengths(docs)
-    averages = sized.agg(F.count("*").alias("n_docs"), F.avg("_dl").alias("avgdl"))
-    vocabulary = sized.select(F.explode(F.array_distinct("_tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    with_idf = vocabulary.crossJoin(F.broadcast(averages)).withColumn("raw", F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
-    floor = with_idf.agg((F.avg("raw") * NEGATIVE_SHARE).alias("floor"))
-    own = with_idf.join(terms.select("term").distinct(), "term").crossJoin(F.broadcast(floor))
-    idf = own.select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return _scored(_postings(sized, terms, []), idf, averages, terms, [])
+    return _okapi(docs, query_terms(queries), [])
+
+
+def bm25_own_part(docs: DataFrame, queries: DataFrame, part: str) -> DataFrame:
+    """Okapi scores of queries (query_id, query, part) in the one part of docs (doc_id, text, part) that each names: an index of
+    its own per part, whose statistics no other part touches. Only parts that a query names are read further than the filter."""
+    terms = query_terms(queries).join(queries.select("query_id", part), "query_id")
+    asked = docs.join(queries.select(part).distinct(), part, "left_semi")
+    return _okapi(asked, terms, [part]).select("query_id", "doc_id", "score")
 
 
-def top_n(scores: DataFrame, n: int, keys: list[str], position: str = "doc_id") -> DataFrame:
-    """The n best of each key with their 1-based rank; scores of 0 or less are cut, ties go to the earlier position."""
+def top_n(scores: DataFrame, n: int, keys: list[str], position: str = "doc_id", positive: bool = True) -> DataFrame:
+    """The n best of each key with their 1-based rank; ties go to the earlier position, scores of 0 or less are cut if ``positive``."""
     window = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col(position))
-    return scores.where("score > 0").withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
+    return (scores.where("score > 0") if positive else scores).withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)

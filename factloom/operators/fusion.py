@@ -64,13 +64,15 @@ def max_per_owner(windows: DataFrame) -> DataFrame:
     return windows.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
 
 
-def choose_lists(scoped: DataFrame, unscoped: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Ranked rows of each query: the scoped lists if any of them has a hit, else the unscoped; with the label of the choice.
+def choose_lists(candidates: DataFrame, scopes: DataFrame, n: int = POOL) -> DataFrame:
+    """The n best rows of each query and retriever with rank and label: those in scope if any retriever has one, else all.
 
-    scopes (query_id, reason); scoped and unscoped (query_id, retriever, doc_id, rank).
+    scopes (query_id, reason); candidates (query_id, retriever, doc_id, score, in_scope), at least the n best of each kind.
     """
-    hits = scoped.select("query_id").distinct().withColumn("_hit", F.lit(True))
-    label = F.when(F.col("reason") != "dates", F.col("reason")).when(F.col("_hit"), "dates").otherwise("filtered_empty")
-    labels = scopes.join(hits, "query_id", "left").select("query_id", label.alias("label"))
-    chosen = scoped.join(labels.where("label = 'dates'"), "query_id").unionByName(unscoped.join(labels.where("label <> 'dates'"), "query_id"))
-    return chosen
+    query = Window.partitionBy("query_id")
+    scoped = (F.col("reason") == "dates") & F.max("in_scope").over(query)
+    label = F.when(F.col("reason") != "dates", F.col("reason")).when(scoped, "dates").otherwise("filtered_empty")
+    labelled = candidates.join(scopes.select("query_id", "reason"), "query_id").withColumn("label", label)
+    order = Window.partitionBy("query_id", "retriever").orderBy(F.col("score").desc(), "doc_id")
+    kept = labelled.where((F.col("label") != "dates") | F.col("in_scope")).withColumn("rank", F.row_number().over(order))
+    return kept.where(F.col("rank") <= n).select("query_id", "retriever", "doc_id", "rank", "label")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import bm25, fusion, vector
+from factloom.functions.numeric import rounded
+from factloom.operators import bm25, fusion, scope, vector
 from factloom.operators.windows import windows_of
 
 
@@ -18,21 +19,65 @@ def lexical_scorer(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("score", F.try_divide(F.size(F.array_intersect(asked, bm25.tokens(F.col("window")))).cast("double"), F.size(asked).cast("double")))
 
 
+#: Decimals that a retriever's score is compared with, so that equal texts tie whatever order their terms were summed in.
+SCORE_DECIMALS = 6
+
+
+def _by_ticker(queries: DataFrame, own, whole) -> DataFrame:
+    """``own`` of the queries that name a ticker and ``whole`` of the others; neither runs without a query."""
+    named, free = queries.where("ticker is not null"), queries.where("ticker is null")
+    if free.isEmpty():
+        return own(named)
+    return whole(free) if named.isEmpty() else own(named).unionByName(whole(free))
+
+
+def candidate_lists(chunks: DataFrame, queries: DataFrame, scopes: DataFrame, pool: int = fusion.POOL) -> DataFrame:
+    """(query_id, retriever, doc_id, rank, label): what each retriever gives to the fusion, after ticker and period filters.
+
+    A query with a ticker is scored in that ticker's own index. Dates filter scored rows, so they never touch statistics. The
+    ``pool`` best inside and outside of the scope are found in one pass; both sets of lists come from them.
+    """
+    texts, vectors = chunks.select("doc_id", "ticker", "text"), chunks.where("embedding is not null").select(F.col("doc_id").alias("vec_id"), "ticker", "embedding")
+    lexical = _by_ticker(queries, lambda q: bm25.bm25_own_part(texts, q.select("query_id", "query", "ticker"), "ticker"), lambda q: bm25.bm25_global(texts, q.select("query_id", "query")))
+    asked = queries.select("query_id", "ticker", "q")
+    dense = _by_ticker(asked, lambda q: vector.vector_scores(q, vectors, "ticker"), lambda q: vector.vector_scores(q, vectors)).withColumnRenamed("vec_id", "doc_id")
+    dates = chunks.select("doc_id", "report_date")
+    wanted = scopes.select("query_id", "report_dates")
+
+    def best(scores: DataFrame, name: str, positive: bool) -> DataFrame:
+        marked = scores.withColumn("score", rounded(F.col("score"), SCORE_DECIMALS)).join(dates, "doc_id").join(wanted, "query_id")
+        marked = marked.withColumn("in_scope", F.coalesce(F.array_contains("report_dates", F.col("report_date")), F.lit(False)))
+        return bm25.top_n(marked, pool, ["query_id", "in_scope"], positive=positive).select("query_id", F.lit(name).alias("retriever"), "doc_id", "score", "in_scope")
+
+    return fusion.choose_lists(best(lexical, "bm25", True).unionByName(best(dense, "vector", False)), scopes, pool)
+
+
+def fused_pool(chunks: DataFrame, queries: DataFrame, calendars: DataFrame, pool: int = fusion.POOL) -> DataFrame:
+    """(query_id, doc_id, fused_rank, fused_score, label): the pool of each query, the search without reranking.
+
+    chunks (doc_id, ticker, form, report_date, text, embedding); queries (query_id, ticker or null, query, q); calendars
+    (ticker, end_month). The label tells how the lists were chosen: dates, filtered_empty, no_match or no_date.
+    """
+    filings = scope.filing_list(chunks.withColumn("pos", F.col("doc_id")))
+    scopes = scope.query_scopes(queries.select("query_id", "ticker", "query"), filings, calendars)
+    lists = candidate_lists(chunks, queries, scopes, pool)
+    fused = fusion.reciprocal_rank_fusion(lists.where("retriever = 'bm25'"), lists.where("retriever = 'vector'"))
+    return fused.join(lists.select("query_id", "label").distinct(), "query_id").select("query_id", "doc_id", "fused_rank", "fused_score", "label")
+
+
 def hybrid_search(
-    chunks: DataFrame, queries: DataFrame, top: int = fusion.TOP, pool: int = fusion.POOL, floor: int = fusion.FLOOR, scorer: Callable[[DataFrame], DataFrame] = lexical_scorer
+    chunks: DataFrame, queries: DataFrame, calendars: DataFrame, top: int = fusion.TOP, pool: int = fusion.POOL, floor: int = fusion.FLOOR, scorer: Callable[[DataFrame], DataFrame] = lexical_scorer
 ) -> DataFrame:
-    """(query_id, doc_id, final_rank, fused_rank, ce_rank, combined_score, rescued).
+    """(query_id, doc_id, final_rank, fused_rank, ce_rank, combined_score, rescued, label).
 
-    chunks (doc_id, text, embedding, contains_table); queries (query_id, query, q). Candidates of both retrievers are fused;
-    the pool's texts, at most 2 x ``pool`` per query, are windowed and scored; a chunk counts with its best window.
+    Inputs as in ``fused_pool``, chunks with contains_table as well. The pool's texts, at most 2 x ``pool`` per query, are
+    windowed and scored; a chunk counts with its best window.
     """
-    lexical = bm25.top_n(bm25.bm25_global(chunks, queries), pool, ["query_id"]).select("query_id", "doc_id", "rank")
-    dense = vector.vector_top(queries.select("query_id", "q"), chunks.select(F.col("doc_id").alias("vec_id"), "embedding"), pool)
-    fused = fusion.reciprocal_rank_fusion(lexical, dense.select("query_id", F.col("vec_id").alias("doc_id"), "rank"))
+    fused = fused_pool(chunks, queries, calendars, pool)
     texts = fused.join(chunks.select("doc_id", "text", "contains_table"), "doc_id").join(queries.select("query_id", "query"), "query_id")
     pairs = texts.select("query_id", "query", "doc_id", F.explode(windows_of(F.col("text"))).alias("window"))
     best = fusion.max_per_owner(scorer(pairs)).withColumnRenamed("score", "ce_score")
     marked = texts.withColumn("rescuable", fusion.is_rescuable(F.col("text"), F.col("contains_table"))).drop("text", "query")
     ranked = fusion.combine(marked.join(best, ["query_id", "doc_id"]), floor)
     final = fusion.rescue(ranked, top)
-    return final.join(ranked.select("query_id", "doc_id", "fused_rank", "ce_rank", "combined_score"), ["query_id", "doc_id"])
+    return final.join(ranked.select("query_id", "doc_id", "fused_rank", "ce_rank", "combined_score", "label"), ["query_id", "doc_id"])

@@ -16,16 +16,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def vector_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, vec_id, score): cosine of each query (query_id, q) with every vector (vec_id, embedding).
+def vector_scores(queries: DataFrame, vectors: DataFrame, part: str | None = None) -> DataFrame:
+    """(query_id, vec_id, score): cosine of each query (query_id, q) with every vector (vec_id, embedding); with ``part``, a
+    column of both sides, with the vectors of the query's own part alone.
 
     Queries are gathered into blocks of about ``BLOCK_QUERIES``; a vector meets a block as one row and its queries inside it,
     by an equi-join on the block's number, so neither side is broadcast whatever its size.
     """
+    keys = [part] if part else []
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    held = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("_block").agg(F.collect_list(F.struct("query_id", "q")).alias("_queries"))
-    dealt = vectors.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    pairs = dealt.join(held, "_block").select("vec_id", "embedding", F.explode("_queries").alias("x"))
+    held = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy(*keys, "_block").agg(F.collect_list(F.struct("query_id", "q")).alias("_queries"))
+    dealt = vectors.select(*keys, "vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    pairs = dealt.join(held, [*keys, "_block"]).select("vec_id", "embedding", F.explode("_queries").alias("x"))
     return pairs.select("x.query_id", "vec_id", cosine(F.col("x.q"), F.col("embedding")).alias("score"))
 
 

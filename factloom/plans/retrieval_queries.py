@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.numeric import rounded
 from factloom.operators import bm25, fusion, scope, vector, windows
-from factloom.operators.retrieval import lexical_scorer
+from factloom.operators.retrieval import fused_pool, lexical_scorer
 from factloom.sources.tables import table
 
 QUESTIONS = (("q1", "licensed under the Apache License version"), ("q2", "the and of in to"), ("q3", "password token secret api"))
@@ -115,7 +115,26 @@ def period_scope_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope.query_scopes(asked, _filings(spark, sf_dir), _calendars(spark, sf_dir)).select("query_id", F.array_join(F.transform("report_dates", lambda d: d.cast("string")), ",").alias("report_dates"), "reason", "n_invalid")
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk_by_partition, bm25_topk_global_okapi, bm25_term_statistics, vector_topk_exact, rrf_fusion, fused_floor_rerank, table_rescue, maxp_windows, period_scope_range_join, fiscal_label_join, period_scope_questions)}
+#: Searches as (query_id, ticker, query, vec_id of the query's vector).
+SEARCHES = (
+    ("own_date", "en", "license terms as of March 31, 1997", 1), ("own_year", "en", "password and token in fiscal year 1997", 2), ("any_quarter", None, "the license in the second quarter of fiscal year 2096", 3),
+    ("no_match", "fr", "license in fiscal year 2031", 4), ("whole", None, "Apache License version", 5), ("own", "de", "secret token of the license", 6),
+)
+
+
+def hybrid_search_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoped and filtered search over documents as chunks: languages are tickers, ids give form and report date."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = _documents(spark, sf_dir).join(vectors, "doc_id", "left")
+    date = F.last_day(F.add_months(F.lit("1996-03-01").cast("date"), (F.col("doc_id") % 8 * 3).cast("int")))
+    chunks = docs.select("doc_id", F.col("lang").alias("ticker"), F.when(F.col("doc_id") % 4 == 0, "10-K").otherwise("10-Q").alias("form"), date.alias("report_date"), "text", "embedding")
+    asked = spark.createDataFrame(list(SEARCHES), "query_id string, ticker string, query string, doc_id long")
+    queries = asked.join(vectors.withColumnRenamed("embedding", "q"), "doc_id").drop("doc_id")
+    calendars = spark.createDataFrame([("en", 12), ("de", 9), ("fr", 6), ("es", 3)], "ticker string, end_month int")
+    return fused_pool(chunks, queries, calendars).withColumn("fused_score", rounded(F.col("fused_score"), 8))
+
+
+QUERIES = {f.__name__: f for f in (hybrid_search_pool, bm25_topk_by_partition, bm25_topk_global_okapi, bm25_term_statistics, vector_topk_exact, rrf_fusion, fused_floor_rerank, table_rescue, maxp_windows, period_scope_range_join, fiscal_label_join, period_scope_questions)}
 
 _Q = "questions(query_id, query) AS (VALUES " + ", ".join(f"('{i}', '{q}')" for i, q in QUESTIONS) + ")"
 _BASE = f"""{_Q},
@@ -141,7 +160,30 @@ _COS = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(li
 _FILINGS = """filings AS (SELECT c_nationkey::VARCHAR AS ticker, CASE WHEN o_orderpriority LIKE '1%' THEN '10-K' ELSE '10-Q' END AS form, o_orderdate::DATE AS report_date, min(o_orderkey) AS first_seen FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
 labelled AS (SELECT f.*, (year(report_date) + CASE WHEN month(report_date) > n_nationkey % 12 + 1 THEN 1 ELSE 0 END)::INTEGER AS fy, ((month(report_date) - (n_nationkey % 12 + 1) - 1 + 24) % 12 // 3 + 1)::INTEGER AS fq FROM filings f JOIN nation ON n_nationkey::VARCHAR = ticker)"""
 
+_SEARCHES = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for row in SEARCHES)
+
 ORACLES = {
+    "hybrid_search_pool": f"""WITH asked(query_id, ticker, query, vec) AS (VALUES {_SEARCHES}), calendars(ticker, m) AS (VALUES ('en', 12), ('de', 9), ('fr', 6), ('es', 3)),
+c AS (SELECT doc_id, lang AS ticker, doc_id % 4 = 0 AS annual, last_day(DATE '1996-03-01' + to_months((3 * (doc_id % 8))::INTEGER)) AS d, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS toks, embedding::DOUBLE[] AS v FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+f AS (SELECT DISTINCT ticker, annual, d, year(d) + (month(d) > m)::INTEGER AS fy, (month(d) - m - 1 + 24) % 12 // 3 + 1 AS fq FROM c JOIN calendars USING (ticker)),
+dates AS (SELECT DISTINCT 'own_date' AS query_id, d FROM f WHERE ticker = 'en' AND abs(date_diff('day', DATE '1997-03-31', d)) <= 7 UNION SELECT 'own_year', d FROM f WHERE ticker = 'en' AND annual AND fy = 1997
+  UNION SELECT 'any_quarter', d FROM f WHERE fy = 2096 AND fq = 2 UNION SELECT 'no_match', d FROM f WHERE ticker = 'fr' AND annual AND fy = 2031),
+reasons AS (SELECT query_id, CASE WHEN query_id IN (SELECT query_id FROM dates) THEN 'dates' WHEN query_id IN ('whole', 'own') THEN 'no_date' ELSE 'no_match' END AS reason FROM asked),
+u AS (SELECT a.query_id, vec, c.* FROM asked a JOIN c ON a.ticker IS NULL OR a.ticker = c.ticker),
+g AS (SELECT query_id, count(*) AS big_n, avg(len(toks)) AS avgdl FROM u GROUP BY 1),
+vocab AS (SELECT query_id, term, count(*) AS n FROM (SELECT query_id, unnest(list_distinct(toks)) AS term FROM u) GROUP BY 1, 2),
+raws AS (SELECT query_id, term, ln((big_n - n + 0.5) / (n + 0.5)) AS raw FROM vocab JOIN g USING (query_id)),
+idf AS (SELECT query_id, term, CASE WHEN raw < 0 THEN avg(raw) OVER (PARTITION BY query_id) * 0.25 ELSE raw END AS idf FROM raws),
+terms AS (SELECT query_id, term, count(*) AS weight FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM asked) GROUP BY 1, 2),
+post AS (SELECT query_id, doc_id, dl, term, count(*) AS tf FROM (SELECT query_id, doc_id, len(toks) AS dl, unnest(toks) AS term FROM u) WHERE (query_id, term) IN (SELECT (query_id, term) FROM terms) GROUP BY ALL),
+lex AS (SELECT query_id, doc_id, floor(sum(weight * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) * 1e6 + 0.5) / 1e6 AS score FROM post JOIN terms USING (query_id, term) JOIN idf USING (query_id, term) JOIN g USING (query_id) GROUP BY 1, 2),
+den AS (SELECT query_id, doc_id, floor(list_dot_product(q.v, u.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(u.v, u.v))) * 1e6 + 0.5) / 1e6 AS score FROM u JOIN (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) q ON q.vec_id = vec WHERE u.v IS NOT NULL),
+cand AS (SELECT s.*, reason, EXISTS (SELECT 1 FROM dates t WHERE t.query_id = s.query_id AND t.d = c.d) AS ins FROM (SELECT 0 AS r, * FROM lex WHERE score > 0 UNION ALL SELECT 1, * FROM den) s JOIN c USING (doc_id) JOIN reasons USING (query_id)),
+lab AS (SELECT *, CASE WHEN reason <> 'dates' THEN reason WHEN bool_or(ins) OVER (PARTITION BY query_id) THEN 'dates' ELSE 'filtered_empty' END AS label FROM cand),
+lists AS (SELECT *, row_number() OVER (PARTITION BY query_id, r ORDER BY score DESC, doc_id) AS rank FROM lab WHERE label <> 'dates' OR ins QUALIFY rank <= 25),
+fused AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.label, b.label) AS label, coalesce(1.0::DOUBLE / (60 + a.rank), 0::DOUBLE) + coalesce(1.0::DOUBLE / (60 + b.rank), 0::DOUBLE) AS s, CASE WHEN a.rank IS NULL THEN 1 ELSE 0 END AS no, coalesce(a.rank, b.rank) AS first
+  FROM (SELECT * FROM lists WHERE r = 0) a FULL JOIN (SELECT * FROM lists WHERE r = 1) b ON a.query_id = b.query_id AND a.doc_id = b.doc_id)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, no, first)::INTEGER AS fused_rank, floor(s * 1e8 + 0.5) / 1e8 AS fused_score, label FROM fused""",
     "bm25_topk_by_partition": f"""WITH {_BASE}, g AS (SELECT lang, count(*) AS big_n, avg(len(toks)) AS avgdl FROM docs GROUP BY 1), df AS (SELECT lang, term, count(*) AS n FROM post GROUP BY 1, 2),
 scores AS (SELECT query_id, lang, doc_id, floor(sum(weight * ln(1 + (big_n - n + 0.5) / (n + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) * 1e6 + 0.5) / 1e6 AS score FROM post JOIN terms USING (term) JOIN df USING (lang, term) JOIN g USING (lang) GROUP BY 1, 2, 3)
 SELECT query_id, lang, row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 10""",

@@ -57,10 +57,11 @@ def test_rescue_swaps_the_last_place_only_without_a_table(spark):
 
 
 def test_choose_lists_falls_back(spark):
-    hits = lambda *r: spark.createDataFrame([(q, "bm25", d, i) for q, d, i in r], "query_id string, retriever string, doc_id long, rank int") if r else spark.createDataFrame([], "query_id string, retriever string, doc_id long, rank int")
+    rows = [("a", "bm25", 1, 0.5, True), ("a", "bm25", 9, 0.9, False), ("a", "vector", 9, 0.9, False), ("b", "bm25", 8, 0.9, False), ("c", "vector", 7, 0.9, False), ("c", "vector", 6, 1.0, False)]
+    candidates = spark.createDataFrame(rows, "query_id string, retriever string, doc_id long, score double, in_scope boolean")
     scopes = spark.createDataFrame([("a", "dates"), ("b", "dates"), ("c", "no_date")], "query_id string, reason string")
-    out = fusion.choose_lists(hits(("a", 1, 1)), hits(("a", 9, 1), ("b", 8, 1), ("c", 7, 1)), scopes)
-    assert {(r.query_id, r.doc_id, r.label) for r in out.collect()} == {("a", 1, "dates"), ("b", 8, "filtered_empty"), ("c", 7, "no_date")}
+    out = {(r.query_id, r.doc_id, r.rank, r.label) for r in fusion.choose_lists(candidates, scopes).collect()}
+    assert out == {("a", 1, 1, "dates"), ("b", 8, 1, "filtered_empty"), ("c", 6, 1, "no_date"), ("c", 7, 2, "no_date")}
 
 
 def test_scopes(spark):
@@ -78,11 +79,31 @@ def test_windows_repeat_the_table_head():
     assert split_windows("one line far too long " * 5, 3) == ["one line far too long " * 5]
 
 
+CHUNKS = "doc_id long, ticker string, form string, report_date date, text string, embedding array<double>, contains_table boolean"
+SEARCHES = "query_id string, ticker string, query string, q array<double>"
+
+
 def test_hybrid_search(spark):
-    chunks = spark.createDataFrame([(i, f"topic {w} text", [float(i == j) for j in range(4)], False) for i, w in enumerate(["alpha", "beta", "gamma", "delta"])], "doc_id long, text string, embedding array<double>, contains_table boolean")
-    queries = spark.createDataFrame([("q", "beta topic", [0.0, 1.0, 0.0, 0.0])], "query_id string, query string, q array<double>")
-    out = retrieval.hybrid_search(chunks, queries).orderBy("final_rank").collect()
-    assert out[0].doc_id == 1 and len(out) == 4
+    day = lambda i: dt.date(2025 + i % 2, 6, 30)
+    rows = [(i, t, "10-K", day(i), f"topic {w} text", [float(i % 4 == j) for j in range(4)], False) for i, (t, w) in enumerate((t, w) for t in "AB" for w in ("alpha", "beta", "gamma", "delta"))]
+    chunks, calendars = spark.createDataFrame(rows, CHUNKS), spark.createDataFrame([("A", 6), ("B", 6)], "ticker string, end_month int")
+    asked = [("own", "A", "beta topic"), ("all", None, "beta topic"), ("dated", "B", "topic as of June 30, 2026"), ("none", "C", "beta topic")]
+    queries = spark.createDataFrame([(*q, [0.0, 1.0, 0.0, 0.0]) for q in asked], SEARCHES)
+    got = {}
+    for r in retrieval.hybrid_search(chunks, queries, calendars).orderBy("final_rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.label))
+    assert got["own"][0] == (1, "no_date") and {d for d, _ in got["own"]} == {0, 1, 2, 3}
+    assert {d for d, _ in got["all"][:2]} == {1, 5} and len(got["all"]) == 5
+    assert {d for d, _ in got["dated"]} == {5, 7} and got["dated"][0][1] == "dates"
+    assert "none" not in got  # no filing of that ticker
+
+
+def test_own_part_is_an_index_of_its_own(spark):
+    d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(["apple pie", "pear", "fig", "plum", "nut"])] + [(100 + i, "apple", "y") for i in range(5)], "doc_id long, text string, part string")
+    q = spark.createDataFrame([("q", "apple", "x"), ("r", "apple", "y")], "query_id string, query string, part string")
+    got = {(r.query_id, r.doc_id): r.score for r in bm25.bm25_own_part(d, q, "part").collect()}
+    alone = {r.doc_id: r.score for r in bm25.bm25_global(d.where("part = 'x'"), q.where("query_id = 'q'")).collect()}
+    assert {k: v for k, v in got.items() if k[0] == "q"} == {("q", k): v for k, v in alone.items()} and len(got) == 6
 
 
 def test_no_query_terms(spark):
