@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Multipliers of the unit words, tolerance defaults.
 UNIT_MULTIPLIERS = {"thousand": 1e3, "million": 1e6, "billion": 1e9}
+CLAIM_UNITS = ("raw", *UNIT_MULTIPLIERS, "percent")
 RELATIVE_TOLERANCE = 0.01
 LEAST_TOLERANCE = 0.05
 
@@ -33,6 +34,13 @@ def num_match(found_category: Column, found: Column, expected_category: Column,
     return (found_category == expected_category) & (F.abs(found - expected) <= tolerance(expected, relative))
 
 
+def tolerance_bucket(value: Column) -> Column:
+    """Number of the bucket of a normalised value: two values within the band of one of them lie in the same bucket or in
+    neighbouring ones. The scale is linear near zero and logarithmic beyond, like the band itself."""
+    step = RELATIVE_TOLERANCE * 1.1
+    return F.floor(F.signum(value) * F.log1p(F.abs(value) * RELATIVE_TOLERANCE / LEAST_TOLERANCE) / step)
+
+
 def rounded(value: Column, decimals: int) -> Column:
     """Rounding that DuckDB can repeat to the last bit: floor(x * 10^k + 0.5) / 10^k."""
     scale = float(10**decimals)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import numbers, text
-from factloom.functions.numeric import category, normalised, num_match
+from factloom.functions.numeric import CLAIM_UNITS, category, normalised, num_match, tolerance, tolerance_bucket
 from factloom.operators.tables import cell_grounding
 
 #: The window before a citation, values that percentage formulas bring along.
@@ -52,6 +52,36 @@ def claim_verdicts(claims: DataFrame, results: DataFrame) -> DataFrame:
     return joined.withColumn("check", check).drop("_results", "_source", "_header", "_quote", "_cells", "_prose")
 
 
+def source_numbers(results: DataFrame) -> DataFrame:
+    """(answer_id, idx, value, unit): the numbers that results (answer_id, idx, text) hold, captions' units included."""
+    found = results.select("answer_id", "idx", F.explode(numbers.number_candidates(numbers.numbers_in(F.col("text")), numbers.caption_units(F.col("text")))).alias("n"))
+    return found.select("answer_id", "idx", F.col("n.value").alias("value"), F.col("n.unit").alias("unit"))
+
+
+def operand_grounding(operands: DataFrame, counts: DataFrame, found: DataFrame) -> DataFrame:
+    """(answer_id, operand, outcome, other_unit, other_index) of the operands of calculations.
+
+    operands (answer_id, operand, value, unit, citation_index); counts (answer_id, n_results); found: numbers of results as
+    ``source_numbers`` gives them. The outcome is bad_index, ok, wrong_unit (the first other unit under which the cited result
+    holds the value), wrong_index (the first other result that holds it) or ungroundable. Every operand is tried in each unit;
+    trials meet numbers in an equi-join on the bucket of the tolerance, so no answer's numbers are all paired with all operands.
+    """
+    units = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(u).alias("name")) for i, u in enumerate(CLAIM_UNITS)]))
+    trials = operands.withColumn("_try", units).withColumns({"_category": category(F.col("_try.name")), "_norm": normalised(F.col("value"), F.col("_try.name"))})
+    trials = trials.withColumn("_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: tolerance_bucket(F.col("_norm")) + i)))
+    have = found.select("answer_id", "idx", category(F.col("unit")).alias("_category"), normalised(F.col("value"), F.col("unit")).alias("_found")).distinct().withColumn("_bucket", tolerance_bucket(F.col("_found")))
+    own, cited = F.col("_try.name") == F.col("unit"), F.col("idx") == F.col("citation_index")
+    hits = trials.join(have, ["answer_id", "_category", "_bucket"]).where((F.abs(F.col("_found") - F.col("_norm")) <= tolerance(F.col("_norm"))) & (own | cited))
+    by_operand = hits.groupBy("answer_id", "operand").agg(
+        F.max(own & cited).alias("_ok"), F.min(F.when(~own & cited, F.struct("_try.no", "_try.name"))).alias("_unit"), F.min(F.when(own & ~cited, F.col("idx"))).alias("_index"),
+    )
+    joined = operands.join(counts, "answer_id", "left").join(by_operand, ["answer_id", "operand"], "left")
+    outside = (F.col("citation_index") < 1) | (F.col("citation_index") > F.coalesce("n_results", F.lit(0)))
+    outcome = F.when(outside, "bad_index").when(F.col("_ok"), "ok").when(F.col("_unit").isNotNull(), "wrong_unit").when(F.col("_index").isNotNull(), "wrong_index").otherwise("ungroundable")
+    judged = joined.withColumn("outcome", outcome)
+    return judged.select("answer_id", "operand", "outcome", F.when(F.col("outcome") == "wrong_unit", F.col("_unit.name")).alias("other_unit"), F.when(F.col("outcome") == "wrong_index", F.col("_index")).alias("other_index"))
+
+
 def uncovered_numbers(answers: DataFrame, claims: DataFrame, results: DataFrame) -> DataFrame:
     """(answer_id, category, norm): numbers of the answer that no claim, no number of the question, no operand of a finished
     calculation and no identity of its formula covers. A number negative by parentheses alone may match either sign."""
