@@ -92,3 +92,11 @@ def test_coverage():
     assert coverage("", "x") == (False, 0.0, 0) and normal_form(None) == ""
     exact, share, longest = coverage("a" * 250 + "b", "a" * 250)
     assert not exact and share > 0.99 and longest == 250
+
+
+def test_nested_tables_are_tables_of_their_own():
+    html = "<p>a</p><table><tr><td>o1<table><tr><td>n1</td><td>n2</td></tr></table>tail</td><td>o2</td></tr><tr><td>o3</td></tr></table><p>b</p><table><tr><td> </td></tr></table><table><tr><td>z</td></tr></table>"
+    text, tables = c.parse_filing(html)
+    assert [(t["table_index"], t["rows"]) for t in tables] == [(0, [["o1n1n2tail", "n1", "n2", "o2"], ["n1", "n2"], ["o3"]]), (1, [["n1", "n2"]]), (3, [["z"]])]
+    assert text.split() == ["a", "[TABLE_0]", "b", "[TABLE_3]"]
+    assert c.parse_filing("<table><tr><td>open<td>next<tr><td>row")[1] == [{"table_index": 0, "rows": [["open", "next"], ["row"]]}]
