@@ -24,8 +24,13 @@ def reciprocal_rank_fusion(*lists: DataFrame, k: int = RRF_K) -> DataFrame:
     union = rows[0]
     for df in rows[1:]:
         union = union.unionByName(df)
+    return fuse(union, k)
+
+
+def fuse(lists: DataFrame, k: int = RRF_K, *also: str) -> DataFrame:
+    """Like ``reciprocal_rank_fusion``, from one table (query_id, doc_id, rank, list_no); ``also`` names columns of the query to keep."""
     # terms are added in list order, so that the sum does not depend on the order of rows
-    fused = union.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("list_no", "rank"))).alias("seen"))
+    fused = lists.groupBy("query_id", *also, "doc_id").agg(F.array_sort(F.collect_list(F.struct("list_no", "rank"))).alias("seen"))
     fused = fused.withColumn("fused_score", F.aggregate("seen", F.lit(0.0), lambda s, x: s + 1.0 / (k + x["rank"])))
     order = Window.partitionBy("query_id").orderBy(F.col("fused_score").desc(), F.col("seen")[0]["list_no"], F.col("seen")[0]["rank"])
     return fused.withColumn("fused_rank", F.row_number().over(order)).drop("seen")
@@ -64,15 +69,15 @@ def max_per_owner(windows: DataFrame) -> DataFrame:
     return windows.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
 
 
-def choose_lists(candidates: DataFrame, scopes: DataFrame, n: int = POOL) -> DataFrame:
+def choose_lists(candidates: DataFrame, n: int = POOL) -> DataFrame:
     """The n best rows of each query and retriever with rank and label: those in scope if any retriever has one, else all.
 
-    scopes (query_id, reason); candidates (query_id, retriever, doc_id, score, in_scope), at least the n best of each kind.
+    candidates (query_id, reason of the scope, retriever, doc_id, score, in_scope), at least the n best of each kind.
     """
     query = Window.partitionBy("query_id")
     scoped = (F.col("reason") == "dates") & F.max("in_scope").over(query)
     label = F.when(F.col("reason") != "dates", F.col("reason")).when(scoped, "dates").otherwise("filtered_empty")
-    labelled = candidates.join(scopes.select("query_id", "reason"), "query_id").withColumn("label", label)
+    labelled = candidates.withColumn("label", label)
     order = Window.partitionBy("query_id", "retriever").orderBy(F.col("score").desc(), "doc_id")
     kept = labelled.where((F.col("label") != "dates") | F.col("in_scope")).withColumn("rank", F.row_number().over(order))
     return kept.where(F.col("rank") <= n).select("query_id", "retriever", "doc_id", "rank", "label")

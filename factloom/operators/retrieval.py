@@ -41,15 +41,10 @@ def candidate_lists(chunks: DataFrame, queries: DataFrame, scopes: DataFrame, po
     lexical = _by_ticker(queries, lambda q: bm25.bm25_own_part(texts, q.select("query_id", "query", "ticker"), "ticker"), lambda q: bm25.bm25_global(texts, q.select("query_id", "query")))
     asked = queries.select("query_id", "ticker", "q")
     dense = _by_ticker(asked, lambda q: vector.vector_scores(q, vectors, "ticker"), lambda q: vector.vector_scores(q, vectors)).withColumnRenamed("vec_id", "doc_id")
-    dates = chunks.select("doc_id", "report_date")
-    wanted = scopes.select("query_id", "report_dates")
-
-    def best(scores: DataFrame, name: str, positive: bool) -> DataFrame:
-        marked = scores.withColumn("score", rounded(F.col("score"), SCORE_DECIMALS)).join(dates, "doc_id").join(wanted, "query_id")
-        marked = marked.withColumn("in_scope", F.coalesce(F.array_contains("report_dates", F.col("report_date")), F.lit(False)))
-        return bm25.top_n(marked, pool, ["query_id", "in_scope"], positive=positive).select("query_id", F.lit(name).alias("retriever"), "doc_id", "score", "in_scope")
-
-    return fusion.choose_lists(best(lexical, "bm25", True).unionByName(best(dense, "vector", False)), scopes, pool)
+    scored = lexical.where("score > 0").withColumn("retriever", F.lit("bm25")).unionByName(dense.withColumn("retriever", F.lit("vector")))
+    marked = scored.withColumn("score", rounded(F.col("score"), SCORE_DECIMALS)).where("retriever = 'vector' or score > 0").join(chunks.select("doc_id", "report_date"), "doc_id")
+    marked = marked.join(scopes.select("query_id", "report_dates", "reason"), "query_id").withColumn("in_scope", F.coalesce(F.array_contains("report_dates", F.col("report_date")), F.lit(False)))
+    return fusion.choose_lists(bm25.top_n(marked, pool, ["query_id", "retriever", "in_scope"], positive=False), pool)
 
 
 def fused_pool(chunks: DataFrame, queries: DataFrame, calendars: DataFrame, pool: int = fusion.POOL) -> DataFrame:
@@ -60,9 +55,8 @@ def fused_pool(chunks: DataFrame, queries: DataFrame, calendars: DataFrame, pool
     """
     filings = scope.filing_list(chunks.withColumn("pos", F.col("doc_id")))
     scopes = scope.query_scopes(queries.select("query_id", "ticker", "query"), filings, calendars)
-    lists = candidate_lists(chunks, queries, scopes, pool)
-    fused = fusion.reciprocal_rank_fusion(lists.where("retriever = 'bm25'"), lists.where("retriever = 'vector'"))
-    return fused.join(lists.select("query_id", "label").distinct(), "query_id").select("query_id", "doc_id", "fused_rank", "fused_score", "label")
+    lists = candidate_lists(chunks, queries, scopes, pool).withColumn("list_no", F.when(F.col("retriever") == "bm25", 0).otherwise(1))
+    return fusion.fuse(lists, fusion.RRF_K, "label").select("query_id", "doc_id", "fused_rank", "fused_score", "label")
 
 
 def hybrid_search(

@@ -25,10 +25,11 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, part: str | None = Non
     """
     keys = [part] if part else []
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    held = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy(*keys, "_block").agg(F.collect_list(F.struct("query_id", "q")).alias("_queries"))
-    dealt = vectors.select(*keys, "vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    pairs = dealt.join(held, [*keys, "_block"]).select("vec_id", "embedding", F.explode("_queries").alias("x"))
-    return pairs.select("x.query_id", "vec_id", cosine(F.col("x.q"), F.col("embedding")).alias("score"))
+    length = lambda c: F.sqrt(dot(F.col(c), F.col(c)))  # noqa: E731 - once a vector, not once a pair
+    held = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy(*keys, "_block").agg(F.collect_list(F.struct("query_id", "q", length("q").alias("n"))).alias("_queries"))
+    dealt = vectors.select(*keys, "vec_id", "embedding", length("embedding").alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    pairs = dealt.join(held, [*keys, "_block"]).select("vec_id", "embedding", "_n", F.explode("_queries").alias("x"))
+    return pairs.select("x.query_id", "vec_id", F.try_divide(dot(F.col("x.q"), F.col("embedding")), F.col("x.n") * F.col("_n")).alias("score"))
 
 
 def vector_top(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:

@@ -60,7 +60,7 @@ def test_choose_lists_falls_back(spark):
     rows = [("a", "bm25", 1, 0.5, True), ("a", "bm25", 9, 0.9, False), ("a", "vector", 9, 0.9, False), ("b", "bm25", 8, 0.9, False), ("c", "vector", 7, 0.9, False), ("c", "vector", 6, 1.0, False)]
     candidates = spark.createDataFrame(rows, "query_id string, retriever string, doc_id long, score double, in_scope boolean")
     scopes = spark.createDataFrame([("a", "dates"), ("b", "dates"), ("c", "no_date")], "query_id string, reason string")
-    out = {(r.query_id, r.doc_id, r.rank, r.label) for r in fusion.choose_lists(candidates, scopes).collect()}
+    out = {(r.query_id, r.doc_id, r.rank, r.label) for r in fusion.choose_lists(candidates.join(scopes, "query_id")).collect()}
     assert out == {("a", 1, 1, "dates"), ("b", 8, 1, "filtered_empty"), ("c", 6, 1, "no_date"), ("c", 7, 2, "no_date")}
 
 
