@@ -55,6 +55,14 @@ def duplicate_ids(rows: DataFrame, key: str = "id") -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def require_unique(rows: DataFrame, key: str = "id", shown: int = 5) -> DataFrame:
+    """The rows themselves, or an error that names the first repeated ids; only these few reach the driver."""
+    repeated = [str(r[key]) for r in duplicate_ids(rows, key).orderBy(key).limit(shown).collect()]
+    if repeated:
+        raise ValueError(f"repeated {key}: {', '.join(repeated)}")
+    return rows
+
+
 def containment(gold: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id): gold anchors (item_id, anchor) that a document (doc_id, text) contains, white space collapsed.
 

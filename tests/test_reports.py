@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import reports, verification
+from factloom.operators import corpus, reports, verification
 
 
 def test_question_select(spark):
@@ -55,3 +55,10 @@ def test_texts(spark):
     none = F.lit(None).cast("string")
     assert one(reports.fact_source(F.lit("T"), F.lit("2020-01-01"), F.lit("1"), none, F.lit("2020-02-01"), none)) == '{"ticker":"T","period_end":"2020-01-01","accession":"1","filed":"2020-02-01"}'
     assert (reports.confidence_label(1.96), reports.confidence_label(1.0)) == ("95% CI", "68% CI")
+
+
+def test_repeated_ids_are_an_error(spark):
+    ids = lambda *v: spark.createDataFrame([(x,) for x in v], "id string")
+    assert corpus.require_unique(ids("a", "b")).count() == 2 and corpus.require_unique(ids()).count() == 0
+    with pytest.raises(ValueError, match="repeated id: a, b, c, d, e$"):
+        corpus.require_unique(ids(*"gfedcbabcdefg", "a", "z"))
