@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, html_main, line_dedup, mixing, near_dup, ogg, pii, secrets, topk, toxicity
+from factloom.llm import bpe, html_main, line_dedup, mixing, near_dup, ogg, pii, secrets, token_counts, topk, toxicity
 from factloom.llm.common import table
 
 #: Folder of the public vocabulary files; every operator that needs one takes its path as a parameter.
@@ -61,8 +61,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_main_text, op2_mixing, op3_secrets, op4_toxicity, op5_near_dup, op6_bpe, op7_line_dedup, op8_ogg, op9_exact_topk, op10_pii)
+    f.__name__: f for f in (op1_html_main_text, op2_mixing, op3_secrets, op4_toxicity, op5_near_dup, op6_bpe, op7_line_dedup, op8_ogg, op9_exact_topk, op10_pii, op12_token_counts)
 }
 
 TOPK_SQL = """
