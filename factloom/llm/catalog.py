@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, conversation_repair, html_main, line_dedup, mixing, near_dup, ogg, pii, secrets, token_counts, topk, toxicity
+from factloom.llm import bpe, collocations, conversation_repair, html_main, line_dedup, mixing, near_dup, ogg, pii, secrets, token_counts, topk, toxicity
 from factloom.llm.common import table
 
 #: Folder of the public vocabulary files; every operator that needs one takes its path as a parameter.
@@ -61,6 +61,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -70,7 +74,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_main_text, op2_mixing, op3_secrets, op4_toxicity, op5_near_dup, op6_bpe, op7_line_dedup, op8_ogg, op9_exact_topk, op10_pii, op12_token_counts, op13_conversation_repair)
+    f.__name__: f for f in (op1_html_main_text, op2_mixing, op3_secrets, op4_toxicity, op5_near_dup, op6_bpe, op7_line_dedup, op8_ogg, op9_exact_topk, op10_pii, op11_collocations, op12_token_counts, op13_conversation_repair)
 }
 
 TOPK_SQL = """
@@ -101,4 +105,4 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c.component_id, s.doc_
 FROM sets s LEFT JOIN components c USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_mixing": mixing.mixing_sql(), "op5_near_dup": NEAR_DUP_SQL, "op9_exact_topk": TOPK_SQL, "op13_conversation_repair": conversation_repair.repair_sql()}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.mixing_sql(), "op5_near_dup": NEAR_DUP_SQL, "op9_exact_topk": TOPK_SQL, "op11_collocations": collocations.collocations_sql(), "op13_conversation_repair": conversation_repair.repair_sql()}

@@ -96,15 +96,15 @@ def apart(spans: list[tuple], base: list[tuple], start: int = 0, end: int = -1)
 
 
 @cache
-def _byte_values(lower: bool) -> np.ndarray:
+def _byte_values(lower: bool, seed: int) -> np.ndarray:
     """A fixed random number for each byte; with ``lower`` the same for A-Z and a-z."""
-    values = np.random.Generator(np.random.PCG64(2024)).integers(1, 1 << 64, 256, dtype=np.uint64)
+    values = np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 64, 256, dtype=np.uint64)
     if lower:
         values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
     return values
 
 
-def word_hashes(units: np.ndarray, marks: bytes = b"", lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(units: np.ndarray, marks: bytes = b"", lower: bool = False, seed: int = 2024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first byte, 64-bit hash, holds a byte of ``marks``) of each word in UTF-8 bytes; words end at ASCII white space.
 
     The hash of bytes s to e is the sum of value[i] * odd ** (i - s), taken from running sums and the inverse of odd. Long
@@ -116,13 +116,13 @@ def word_hashes(units: np.ndarray, marks: bytes = b"", lower: bool = False) -> t
         if at + PIECE < end:
             blank = np.flatnonzero(units[at + PIECE : at + 2 * PIECE] == 32)
             end = at + PIECE + int(blank[0]) if len(blank) else end
-        starts, hashes, marked = _word_hashes(units[at:end], marks, lower)
+        starts, hashes, marked = _word_hashes(units[at:end], marks, lower, seed)
         parts.append((starts + at, hashes, marked))
         at = end
     return parts[0] if len(parts) == 1 else tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
-def _word_hashes(units: np.ndarray, marks: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _word_hashes(units: np.ndarray, marks: bytes, lower: bool, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = (units != 32) & ((units < 9) | (units > 13))
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False)) if len(units) else np.empty(0, np.int64)
     starts, ends = edges[::2], edges[1::2]
@@ -132,7 +132,7 @@ def _word_hashes(units: np.ndarray, marks: bytes, lower: bool) -> tuple[np.ndarr
         up[:1] = 1
         np.cumprod(up, out=up)
         sums = np.zeros(len(units) + 1, np.uint64)
-        np.cumsum(_byte_values(lower)[units] * up, out=sums[1:])
+        np.cumsum(_byte_values(lower, seed)[units] * up, out=sums[1:])
         down = np.full(len(units), np.uint64(pow(odd, -1, 1 << 64)))
         down[:1] = 1
         np.cumprod(down, out=down)
