@@ -30,7 +30,7 @@ def _lengths(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_tokens", tokens(F.coalesce("text", F.lit("")))).withColumn("_dl", F.size("_tokens"))
 
 
-def _scored(postings: DataFrame, idf: DataFrame, averages: DataFrame, terms: DataFrame, part: list[str]) -> DataFrame:
+def scored(postings: DataFrame, idf: DataFrame, averages: DataFrame, terms: DataFrame, part: list[str]) -> DataFrame:
     tf, norm = F.col("tf"), K1 * (1 - B + B * F.col("_dl") / F.col("avgdl"))
     gain = F.col("weight") * F.col("idf") * tf * (K1 + 1) / (tf + norm)
     joined = postings.join(terms, [c for c in terms.columns if c in (*part, "term")]).join(idf, [*part, "term"])
@@ -38,7 +38,7 @@ def _scored(postings: DataFrame, idf: DataFrame, averages: DataFrame, terms: Dat
     return joined.groupBy("query_id", *part, "doc_id").agg(F.sum(gain).alias("score"))
 
 
-def _postings(docs: DataFrame, terms: DataFrame, part: list[str]) -> DataFrame:
+def term_postings(docs: DataFrame, terms: DataFrame, part: list[str]) -> DataFrame:
     """(part, doc_id, term, tf, _dl) of the query terms only. Counting happens inside each document's token array."""
     wanted = terms.agg(F.collect_set("term").alias("_wanted"))  # one row: the terms of the queries
     hit = docs.crossJoin(F.broadcast(wanted)).withColumn("_hit", F.array_intersect("_tokens", "_wanted")).where(F.size("_hit") > 0)
@@ -53,10 +53,10 @@ def bm25_by_partition(docs: DataFrame, queries: DataFrame, part: str) -> DataFra
     """
     terms, sized = query_terms(queries), _lengths(docs)
     averages = sized.groupBy(part).agg(F.count("*").alias("n_docs"), F.avg("_dl").alias("avgdl"))
-    postings = _postings(sized, terms, [part])
+    postings = term_postings(sized, terms, [part])
     df = postings.groupBy(part, "term").agg(F.count("*").alias("n"))
     idf = df.join(averages, part).select(part, "term", F.log(1 + (F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"))
-    return _scored(postings, idf, averages, terms, [part])
+    return scored(postings, idf, averages, terms, [part])
 
 
 def _okapi(docs: DataFrame, terms: DataFrame, part: list[str]) -> DataFrame:
@@ -69,7 +69,7 @@ def _okapi(docs: DataFrame, terms: DataFrame, part: list[str]) -> DataFrame:
     floor = with_idf.groupBy(*part).agg((F.avg("raw") * NEGATIVE_SHARE).alias("floor"))
     own = with_statistics(with_idf.join(terms.select(*part, "term").distinct(), [*part, "term"]), floor)
     idf = own.select(*part, "term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return _scored(_postings(sized, terms, part), idf, averages, terms, part)
+    return scored(term_postings(sized, terms, part), idf, averages, terms, part)
 
 
 def bm25_global(docs: DataFrame, queries: DataFrame) -> DataFrame:
