@@ -3,7 +3,8 @@
 Centres are fitted on a bounded sample (``SAMPLE`` rows, taken by hash); every row is then put into the list of its nearest
 centre. A search reads the lists nearest to the query until they hold a stated share of the rows that pass the query's filter, so
 a selective filter reads more lists, down to all of them where few rows pass, and never comes back short. Filters are applied
-inside the lists, before the k best are cut.
+inside the lists, before the k best are cut. How large the share must be depends on how the vectors cluster: ``calibrated``
+measures it against exact results of a bounded sample of queries, and with a share of 1 the search itself is exact.
 
 Scale. Lists are cut into chunks of about ``CHUNK`` rows and queries into blocks, so a list that holds a third of all rows, as
 copies of one vector would, is many groups of bounded size. Only the centres (``MOST_LISTS`` at most) travel to every task. Each
@@ -22,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.sources.shared import written
@@ -111,46 +112,68 @@ class VectorIndex:
         centres = spark.read.parquet(f"{path}/centres").orderBy("list").collect()  # MOST_LISTS rows at most
         return cls(np.array([r.centre for r in centres]), spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/sizes"), filters)
 
-    def _probes(self, queries: DataFrame, k: int, share: float) -> DataFrame:
-        """queries with the ``list`` and ``chunk`` of every chunk that they read."""
-        wanted = queries.select(*(F.col(f"f_{f}") for f in self.filters)).distinct().withColumn("_filter", F.xxhash64(*(F.to_json(F.array(f"f_{f}")) for f in self.filters)) if self.filters else F.lit(0))
+    def _reach(self, queries: DataFrame) -> DataFrame:
+        """(query_id, list, before, total): the lists with rows that pass a query's filter, how many of these rows nearer lists
+        hold, and how many there are."""
+        key = F.xxhash64(*(F.to_json(F.array(f"f_{f}")) for f in self.filters)) if self.filters else F.lit(0)
+        wanted = queries.select(*(f"f_{f}" for f in self.filters)).distinct().withColumn("_filter", key)
         passes = F.lit(True)
         for f in self.filters:
             passes = passes & (F.col(f"f_{f}").isNull() | F.coalesce(F.array_contains(f"f_{f}", F.col(f)), F.lit(False)))
         counted = wanted.join(self.sizes, passes).groupBy("_filter", "list").agg(F.sum("n").alias("n"))  # distinct filters x list sizes
         held = counted.groupBy("_filter").agg(F.map_from_entries(F.collect_list(F.struct("list", "n"))).alias("_held"))
-        asked = queries.withColumn("_filter", F.xxhash64(*(F.to_json(F.array(f"f_{f}")) for f in self.filters)) if self.filters else F.lit(0)).join(held, "_filter")
         centres = self.rows.sparkSession.sparkContext.broadcast(self.centres)
 
-        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                order = np.argsort(-(_matrix(batch["q"]) @ centres.value.T), axis=1, kind="stable")
-                found = []
-                for near, held in zip(order, batch["_held"].to_pylist(), strict=True):
+                nearest = np.argsort(-(_matrix(batch["q"]) @ centres.value.T), axis=1, kind="stable")
+                for at, (near, held) in enumerate(zip(nearest, batch["_held"].to_pylist(), strict=True)):
                     n = np.zeros(len(near), np.int64)
-                    for at, rows in held:
-                        n[at] = rows
-                    seen = np.cumsum(n[near])
-                    enough = int(np.searchsorted(seen, min(seen[-1], max(share * seen[-1], k * ROWS_EACH)))) + 1
-                    found.append([int(c) for c in near[:enough] if n[c]])
-                yield pa.RecordBatch.from_arrays([batch["query_id"], pa.array(found, pa.list_(pa.int32()))], ["query_id", "lists"])
+                    for i, rows in held:
+                        n[i] = rows
+                    lists = near[n[near] > 0]
+                    before = np.cumsum(n[lists]) - n[lists]
+                    columns = [batch["query_id"].take(pa.array([at] * len(lists), pa.int32())), pa.array(lists, pa.int32()), pa.array(before), pa.array(np.full(len(lists), n.sum()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "list", "before", "total"])
 
         kind = queries.schema["query_id"].dataType.simpleString()
-        lists = asked.select("query_id", "q", "_held").mapInArrow(choose, f"query_id {kind}, lists array<int>")
-        chunks = self.rows.groupBy("list").agg((F.max("chunk") + 1).alias("_chunks"))
-        probes = lists.select("query_id", F.explode("lists").alias("list")).join(F.broadcast(chunks), "list")
-        probes = probes.select("query_id", "list", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk"))
-        return queries.join(probes, "query_id")
-
-    def search(self, queries: DataFrame, k: int, share: float = SHARE) -> DataFrame:
+        return queries.withColumn("_filter", key).join(held, "_filter").select("query_id", "q", "_held").mapInArrow(order, f"query_id {kind}, list int, before long, total long")
+
+    def _asks(self, queries: DataFrame) -> DataFrame:
+        return unit_vectors(queries.select("query_id", "q", *(f"f_{f}" for f in self.filters)), "q").withColumnRenamed("unit", "q")
+
+    def _pattern(self) -> Column:
+        """Which filters a query names, as one number."""
+        out = F.lit(0)
+        for i, f in enumerate(self.filters):
+            out = out + F.when(F.col(f"f_{f}").isNotNull(), 1 << i).otherwise(0)
+        return out
+
+    def calibrated(self, queries: DataFrame, k: int, target: float = 0.95) -> dict[int, float]:
+        """Shares that a search has to read so that ``target`` of the exact results of these queries lie in its lists, for each
+        pattern of filters. Queries as in ``search``; each is compared with every row once, so give a bounded sample."""
+        asked = self._asks(queries).withColumn("pattern", self._pattern())
+        exact = written(self.search(queries, k, 1.0).select("query_id", "vec_id"), "exact")
+        placed = exact.join(self.rows.select("vec_id", "list"), "vec_id").join(self._reach(asked), ["query_id", "list"]).join(asked.select("query_id", "pattern"), "query_id")
+        needed = F.percentile(F.col("before") / F.col("total"), F.lit(target)).alias("share")
+        return {r.pattern: min(1.0, r.share + 0.01) for r in placed.groupBy("pattern").agg(needed).collect()}
+
+    def search(self, queries: DataFrame, k: int, share: float | dict[int, float] = SHARE) -> DataFrame:
         """(query_id, rank, vec_id, score) of the k best that are found for queries (query_id, q and, for each filter column c,
-        ``f_c``: an array of the values that pass, or null for all). query_id must be unique."""
+        ``f_c``: an array of the values that pass, or null for all). query_id must be unique. ``share``: of the rows that pass the
+        filter, what is read at least; 1 reads all lists, so results are exact; a dict gives it for each pattern of filters."""
         filters, kind = self.filters, queries.schema["query_id"].dataType.simpleString()
-        units = unit_vectors(queries.select("query_id", "q", *(f"f_{f}" for f in filters)), "q").withColumnRenamed("unit", "q")
+        units = self._asks(queries)
         blocks = max(1, -(-units.count() // BLOCK_QUERIES))
-        probes = self._probes(units, k, share).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        shares = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[self._pattern()] if isinstance(share, dict) and share else F.lit(share or SHARE)
+        asked = units.withColumn("_share", F.coalesce(shares.cast("double"), F.lit(SHARE)))
+        read = F.col("before") < F.greatest(F.col("total") * F.col("_share"), F.lit(k * ROWS_EACH))
+        lists = self._reach(units).join(asked.select("query_id", "_share"), "query_id").where(read).select("query_id", "list")
+        chunks = self.rows.groupBy("list").agg((F.max("chunk") + 1).alias("_chunks"))
+        probes = lists.join(F.broadcast(chunks), "list").select("query_id", "list", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk"))  # MOST_LISTS rows at most
+        probes = units.join(probes, "query_id").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
         rows = self.rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
         def best(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -177,14 +200,6 @@ class VectorIndex:
         return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def exact_search(vectors: DataFrame, queries: DataFrame, k: int, filters: tuple[str, ...] = ()) -> DataFrame:
-    """The same by brute force: one list that holds everything, cut into chunks as any other. For measuring recall."""
-    units = unit_vectors(vectors.select("vec_id", "embedding", *filters))
-    size = units.select(F.size("unit")).first()
-    one = np.ones((1, size[0] if size else 1))
-    return VectorIndex.of(units.withColumn("list", F.lit(0)), one / np.linalg.norm(one), filters).search(queries, k, share=1.0)
-
-
 def recall(found: DataFrame, exact: DataFrame, by: str | None = None) -> DataFrame:
     """Share of the exact results that were found; for each value of ``by``, a column of ``exact``, if given."""
     hits = exact.join(found.select("query_id", "vec_id", F.lit(1).alias("_hit")), ["query_id", "vec_id"], "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.numeric import rounded
@@ -55,32 +55,44 @@ FILTERS = ("ticker", "report_date")
 K = 10
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(vectors, queries): labels are tickers and ids give dates; every vector whose id is divisible by 100 asks, in turn without a
-    filter, in its own ticker, and in its own ticker and two dates."""
-    date = lambda n: F.last_day(F.add_months(F.lit("1996-03-01").cast("date"), (n % 8 * 3).cast("int"))).cast("string")
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("string").alias("ticker"), date(F.col("vec_id")).alias("report_date"))
-    kind = F.col("vec_id") / 100 % 3
-    asked = vectors.where("vec_id % 100 = 0").select(
-        F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.when(kind > 0, F.array("ticker")).alias("f_ticker"), F.when(kind == 2, F.array(date(F.col("vec_id")), date(F.col("vec_id") + 1))).alias("f_report_date"),
-        F.when(kind == 0, "none").when(kind == 1, "ticker").otherwise("ticker and dates").alias("filter"),
+#: Vectors on which the index measures how much a search has to read, about.
+CALIBRATION = 100
+
+
+def _date(n) -> Column:
+    return F.last_day(F.add_months(F.lit("1996-03-01").cast("date"), (n % 8 * 3).cast("int"))).cast("string")
+
+
+def _asked(vectors: DataFrame, kind: Column) -> DataFrame:
+    """Vectors as queries: of kind 0 without a filter, of kind 1 in their own ticker, of kind 2 in their own ticker and two dates."""
+    dates = F.array(_date(F.col("vec_id")), _date(F.col("vec_id") + 1))
+    return vectors.withColumn("_kind", kind).select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.when(F.col("_kind") > 0, F.array("ticker")).alias("f_ticker"), F.when(F.col("_kind") == 2, dates).alias("f_report_date"),
+        F.when(F.col("_kind") == 0, "none").when(F.col("_kind") == 1, "ticker").otherwise("ticker and dates").alias("filter"),
     )
-    return vectors, asked
+
+
+def _index(spark: SparkSession, sf_dir: str) -> tuple[vector_index.VectorIndex, dict[int, float], DataFrame]:
+    """(index, shares to read, queries): labels are tickers and ids give dates; every vector whose id is divisible by 100 asks."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("string").alias("ticker"), _date(F.col("vec_id")).alias("report_date"))
+    index = vector_index.VectorIndex.build(vectors, FILTERS)
+    spread = max(1, vectors.count() // CALIBRATION)
+    sample = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(spread)) == 0)
+    shares = index.calibrated(_asked(sample, F.pmod(F.xxhash64("vec_id", F.lit(8)), F.lit(3))), K)
+    return index, shares, _asked(vectors.where("vec_id % 100 = 0"), F.floor(F.col("vec_id") / 100) % 3)
 
 
 def vector_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest that the index finds, with their filters."""
-    vectors, queries = _vectors(spark, sf_dir)
-    found = vector_index.VectorIndex.build(vectors, FILTERS).search(queries.drop("filter"), K)
-    return found.withColumn("score", rounded(F.col("score"), 6))
+    index, shares, queries = _index(spark, sf_dir)
+    return index.search(queries, K, shares).withColumn("score", rounded(F.col("score"), 6))
 
 
 def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each kind of filter, whether the index finds nine of ten of the exact results."""
-    vectors, queries = _vectors(spark, sf_dir)
-    found = vector_index.VectorIndex.build(vectors, FILTERS).search(queries.drop("filter"), K)
-    exact = vector_index.exact_search(vectors, queries.drop("filter"), K, FILTERS).join(queries.select("query_id", "filter"), "query_id")
-    return vector_index.recall(found, exact, "filter").select("filter", "n_queries", "n_exact", (F.col("recall") >= 0.9).alias("enough"))
+    index, shares, queries = _index(spark, sf_dir)
+    exact = index.search(queries, K, 1.0).join(queries.select("query_id", "filter"), "query_id")
+    return vector_index.recall(index.search(queries, K, shares), exact, "filter").select("filter", "n_queries", "n_exact", (F.col("recall") >= 0.9).alias("enough"))
 
 
 QUERIES = {f.__name__: f for f in (index_update_rows, index_update_statistics, bm25_from_index, vector_index_search, vector_index_recall)}
