@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -41,6 +42,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder: lineage is cut as by ``checkpoint``, and it takes less disk."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def text_batches(spark: SparkSession) -> None:
     """Send long texts to Python in Arrow batches of ``TEXT_ROWS`` rows, unless the session's setting is not Spark's default.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import BROADCAST_ROWS, checkpoint, text_batches
+from factloom.llm.common import BROADCAST_ROWS, text_batches, written
 
 #: How the vocabulary writes a blank.
 BLANK = "▁"
@@ -128,17 +128,19 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4_096) -> DataFrame:
 
     text_batches(docs.sparkSession)
     vocabulary = docs.select("text").mapInArrow(_vocabulary, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    counted = checkpoint(vocabulary.mapInArrow(pieces, "token string, n long, pieces long"))
+    counted = written(vocabulary.mapInArrow(pieces, "token string, n long, pieces long"))
     least = _common(counted)
     level = F.floor(F.log2("n")) >= least
     common, rare = counted.where(level).select("token", "pieces"), counted.where(~level).select("token", "pieces")
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     frequencies = rows.mapInArrow(_frequencies, "row long, doc_id long, n_bytes long, token string, n long")
-    keys = ("row", "doc_id", "n_bytes")
-    sums = lambda found: found.groupBy(*keys).agg(F.sum(F.coalesce(F.col("n") * F.col("pieces"), F.lit(0))).alias("n_tokens"))
-    total = sums(frequencies.join(F.broadcast(common), "token", "left"))
+    pieces_of = lambda found: found.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "n_bytes")), F.sum("n_tokens").alias("n_tokens"))
+    known = F.coalesce(F.col("n") * F.col("pieces"), F.lit(0))
+    total = pieces_of(frequencies.join(F.broadcast(common), "token", "left").select("row", "doc_id", "n_bytes", known.alias("n_tokens")))
     if not rare.isEmpty():
-        others = frequencies.where("token is not null").join(F.broadcast(common.select("token")), "token", "left_anti").join(rare, "token")
-        total = total.unionByName(sums(others)).groupBy(*keys).agg(F.sum("n_tokens").alias("n_tokens"))
+        others = frequencies.select("row", "token", "n").where("token is not null").join(F.broadcast(common.select("token")), "token", "left_anti").join(rare, "token")
+        absent = F.lit(None).cast("long")
+        others = others.groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("n_tokens")).select("row", absent.alias("doc_id"), absent.alias("n_bytes"), "n_tokens")
+        total = pieces_of(total.unionByName(others))
     return total.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
