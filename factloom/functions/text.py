@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
 
 import pandas as pd
@@ -24,6 +23,68 @@ def normal_form(text: str | None) -> str:
     return " ".join(unicodedata.normalize("NFKC", text or "").casefold().split())
 
 
+class SuffixAutomaton:
+    """All substrings of a text, built in one pass; ``longest_in`` reads another text in one pass."""
+
+    def __init__(self, text: str):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length, self.end = [-1], [0], [-1]  # end: where a state's strings end first
+        last = 0
+        for at, letter in enumerate(text):
+            now = self._state(self.length[last] + 1, at, {})
+            p = last
+            while p != -1 and letter not in self.next[p]:
+                self.next[p][letter] = now
+                p = self.link[p]
+            if p == -1:
+                self.link[now] = 0
+            else:
+                q = self.next[p][letter]
+                if self.length[p] + 1 == self.length[q]:
+                    self.link[now] = q
+                else:
+                    copy = self._state(self.length[p] + 1, self.end[q], dict(self.next[q]))
+                    self.link[copy] = self.link[q]
+                    while p != -1 and self.next[p].get(letter) == q:
+                        self.next[p][letter] = copy
+                        p = self.link[p]
+                    self.link[q] = self.link[now] = copy
+            last = now
+
+    def _state(self, length: int, end: int, following: dict[str, int]) -> int:
+        self.next.append(following)
+        self.link.append(0)
+        self.length.append(length)
+        self.end.append(end)
+        return len(self.next) - 1
+
+    def longest_in(self, other: str) -> tuple[int, int, int]:
+        """(start in ``other``, start in the text, size) of the longest common part: the first in ``other``, then in the text."""
+        state = size = best = 0
+        found = (0, 0)
+        for at, letter in enumerate(other):
+            while state and letter not in self.next[state]:
+                state = self.link[state]
+                size = self.length[state]
+            if letter in self.next[state]:
+                state, size = self.next[state][letter], size + 1
+            if size > best:
+                best, found = size, (at - size + 1, self.end[state] - size + 1)
+        return *found, best
+
+
+def matching_blocks(source: str, quote: str) -> list[int]:
+    """Sizes of the blocks that two texts share in order: the longest common part, then the same to its left and to its right."""
+    sizes, parts = [], [(source, quote)]
+    while parts:
+        source, quote = parts.pop()
+        in_source, in_quote, size = SuffixAutomaton(quote).longest_in(source) if source and quote else (0, 0, 0)
+        if size:
+            sizes.append(size)
+            parts += [(source[:in_source], quote[:in_quote]), (source[in_source + size :], quote[in_quote + size :])]
+    return sizes
+
+
 def coverage(quote: str | None, source: str | None) -> tuple[bool, float, int]:
     """(contained exactly, share of the quote in matching blocks, longest block)."""
     q, s = normal_form(quote), normal_form(source)
@@ -31,7 +92,7 @@ def coverage(quote: str | None, source: str | None) -> tuple[bool, float, int]:
         return False, 0.0, 0
     if q in s:
         return True, 1.0, len(q)
-    sizes = [b.size for b in difflib.SequenceMatcher(None, s, q, autojunk=False).get_matching_blocks()]
+    sizes = matching_blocks(s, q)
     return False, sum(sizes) / len(q), max(sizes, default=0)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.patterns import occurrences
+
 
 def manifest(files: DataFrame) -> DataFrame:
     """(relpath, sha, accession) of files (relpath, content, accession)."""
@@ -37,18 +39,14 @@ def corpus_identity(files: DataFrame, fanout: int = 1000, levels: int = 3) -> Da
 
 
 def absence(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(part, term, n, first_doc): documents (doc_id, part, folded) of each part that hold a term (term, folded) as whole words.
-
-    A term is looked up by its longest word, an equi-join on the words of the documents; only then are the texts of the
-    candidates fetched by doc_id, which must be unique, and compared in full.
-    """
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("folded", " "))).alias("_word"))
-    longest = F.array_max(F.transform(F.split("folded", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    asked = terms.select("term", F.col("folded").alias("_needle"), longest.alias("_word"))
-    found = words.join(asked, "_word").drop("_word").join(docs.select("doc_id", "part", "folded"), "doc_id").where(F.concat(F.lit(" "), F.col("folded"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("_needle"), F.lit(" "))))
-    counts = found.groupBy("part", "term").agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("first_doc"))
+    """(part, term, n, first_doc, snippet) of each part and term (term, folded): how many documents (doc_id, part, folded) of the part
+    hold the term as whole words, the first of them and what stands around the term in it."""
+    padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    needles = terms.select("term", F.when(F.col("folded") != "", padded("folded")).alias("needle"))
+    found = occurrences(docs.select("doc_id", "part", padded("folded").alias("text")), needles)
+    counts = found.groupBy("part", "term").agg(F.count_distinct("doc_id").alias("n"), F.min(F.struct("doc_id", F.trim("snippet").alias("snippet"))).alias("_first"))
     pairs = docs.select("part").distinct().crossJoin(F.broadcast(terms.select("term")))  # parts x a stated list of terms
-    return pairs.join(counts, ["part", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return pairs.join(counts, ["part", "term"], "left").select("part", "term", F.coalesce("n", F.lit(0)).alias("n"), F.col("_first.doc_id").alias("first_doc"), F.col("_first.snippet").alias("snippet"))
 
 
 def duplicate_ids(rows: DataFrame, key: str = "id") -> DataFrame:
@@ -63,16 +61,11 @@ def require_unique(rows: DataFrame, key: str = "id", shown: int = 5) -> DataFram
     return rows
 
 
-def containment(gold: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, doc_id): gold anchors (item_id, anchor) that a document (doc_id, text) contains, white space collapsed.
-
-    Candidates come from an equi-join on the anchor's longest word; nothing compares every anchor with every document. The join
-    carries ids and words alone; the texts of the candidates are fetched by doc_id, which must be unique.
-    """
+def containment(gold: DataFrame, docs: DataFrame, key: str | None = None) -> DataFrame:
+    """(item_id, doc_id, snippet): gold anchors (item_id, anchor) that a document (doc_id, text) contains, white space collapsed.
+    With ``key``, a column of both, only in documents of the same key, as a filing's accession."""
     flat = lambda c: F.trim(F.regexp_replace(c, r"[ \t\r\n]+", " "))
-    longest = F.array_max(F.transform(F.split("_needle", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    inner = F.filter(F.split("_needle", " "), lambda w, i: (i > 0) & (i < F.size(F.split("_needle", " ")) - 1))  # end words may be cut in a document
-    asked = gold.select("item_id", flat(F.col("anchor")).alias("_needle")).withColumn("_key", F.coalesce(F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"], longest))
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(flat(F.col("text")), " "))).alias("_key"))
-    candidates = words.join(asked, "_key").select("item_id", "doc_id", "_needle")
-    return candidates.join(docs.select("doc_id", "text"), "doc_id").where(flat(F.col("text")).contains(F.col("_needle"))).select("item_id", "doc_id")
+    own = [F.col(key).alias("_key")] if key else []
+    needles = gold.select("item_id", flat(F.col("anchor")).alias("needle"), *own)
+    found = occurrences(docs.select("doc_id", flat(F.col("text")).alias("text"), *([F.col(key).alias("_other")] if key else [])), needles)
+    return (found.where("_key = _other") if key else found).select("item_id", "doc_id", "snippet")

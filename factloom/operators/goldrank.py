@@ -6,20 +6,74 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.numbers import figure_fits, figures_in
+from factloom.sources.shared import written
 
 #: Pool size, rank in the own filing from which a miss is a dilution.
 POOL = 25
 OWN_FILING = 10
 
 
+#: Gold rows of one query that are counted against in one group.
+GOLD_BLOCK = 256
+
+
 def rank_stats(order: DataFrame) -> DataFrame:
     """Adds to ranked rows (query_id, doc_id, filing, ticker, score): rank, rank in the own filing, and how many rows ahead
-    belong to other filings of the same ticker and to other tickers."""
-    by = lambda *keys: Window.partitionBy(*keys).orderBy(F.col("score").desc(), "doc_id")
-    ranked = order.withColumns({
-        "rank": F.row_number().over(by("query_id")), "own_filing_rank": F.row_number().over(by("query_id", "ticker", "filing")), "_ticker_rank": F.row_number().over(by("query_id", "ticker")),
-    })
-    return ranked.withColumns({"other_filing_ahead": F.col("_ticker_rank") - F.col("own_filing_rank"), "other_ticker_ahead": F.col("rank") - F.col("_ticker_rank")}).drop("_ticker_rank")
+    belong to other filings of the same ticker and to other tickers.
+
+    Rows are sorted over all tasks; a row's rank is its place in its task's part of a query plus the sizes of the parts before. So no
+    task holds the order of a whole query, however many rows one has. Where only some rows' ranks are asked for, ``gold_ranks``
+    needs no sort at all.
+    """
+    keys = [F.col("query_id"), F.col("score").desc(), F.col("doc_id")]
+    placed = written(order.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_pos", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()), "order")
+    out = placed
+    for name, groups in (("rank", ["query_id"]), ("_ticker_rank", ["query_id", "ticker"]), ("own_filing_rank", ["query_id", "ticker", "filing"])):
+        sizes = placed.groupBy(*groups, "_part").agg(F.count("*").alias("_n"))
+        ahead = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+        before = sizes.select(*(F.col(c).alias(f"_k_{c}") for c in (*groups, "_part")), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+        inside = Window.partitionBy(*groups, "_part").orderBy("_pos")
+        same = F.col("_part") == F.col("_k__part")
+        for g in groups:
+            same = same & F.col(g).eqNullSafe(F.col(f"_k_{g}"))
+        out = out.join(before, same).drop(*(f"_k_{c}" for c in (*groups, "_part")))
+        out = out.withColumn(name, (F.row_number().over(inside) + F.col("_before")).cast("int")).drop("_before")
+    return out.withColumns({"other_filing_ahead": F.col("_ticker_rank") - F.col("own_filing_rank"), "other_ticker_ahead": F.col("rank") - F.col("_ticker_rank")}).drop("_ticker_rank", "_pos", "_part")
+
+
+def gold_ranks(order: DataFrame, gold: DataFrame) -> DataFrame:
+    """The columns of ``rank_stats`` for the rows of order (query_id, doc_id, filing, ticker, score) that gold (query_id, doc_id) names.
+
+    Every row is counted once into the interval between two gold rows of its query that it falls in, summed up in the tasks
+    before anything is shuffled; ranks are sums of counts. Gold rows of a query are taken in blocks of about ``GOLD_BLOCK``.
+    Gold rows that are not in the order, for which there is no rank, have no row. Each row is named once.
+    """
+    place = F.struct((-F.col("score")).alias("s"), F.col("doc_id").alias("d"))
+    named = order.join(gold.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", "ticker", "filing", "score", place.alias("_place"))
+    sizes = named.groupBy("query_id").agg(F.ceil(F.count("*") / GOLD_BLOCK).alias("_blocks"))
+    dealt = written(named.join(sizes, "query_id").withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int")).drop("_blocks"), "gold")
+    blocks = dealt.groupBy("query_id", "_block").agg(F.array_sort(F.collect_list("_place")).alias("_gold"))
+    better_gold = F.size(F.filter("_gold", lambda g: g <= place))  # 0: better than all of the block
+    counted = order.join(blocks, "query_id").groupBy("query_id", "_block", better_gold.alias("_at"), "ticker", "filing").agg(F.count("*").alias("n"))
+    counted = written(counted, "intervals")
+    own = dealt.join(blocks, ["query_id", "_block"]).withColumn("_own", F.array_position("_gold", F.col("_place"))).drop("_gold", "_place")
+
+    def ahead(name: str, *same: str) -> DataFrame:
+        keys = ("query_id", "_block", *same)
+        sums = counted.groupBy("_at", *(F.col(c).alias(f"_k_{c}") for c in keys)).agg(F.sum("n").alias("n"))
+        on = F.col("_at") < F.col("_own")
+        for c in keys:
+            on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        return own.join(sums, on).groupBy("query_id", "doc_id").agg(F.sum("n").alias(name))
+
+    out = own.select("query_id", "doc_id", "ticker", "filing", "score")
+    for name, same in (("_all", ()), ("_ticker", ("ticker",)), ("_filing", ("ticker", "filing"))):
+        out = out.join(ahead(name, *same), ["query_id", "doc_id"], "left")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return out.select(
+        "query_id", "doc_id", "ticker", "filing", "score", (count("_all") + 1).cast("int").alias("rank"), (count("_filing") + 1).cast("int").alias("own_filing_rank"),
+        (count("_ticker") - count("_filing")).cast("int").alias("other_filing_ahead"), (count("_all") - count("_ticker")).cast("int").alias("other_ticker_ahead"),
+    )
 
 
 def better(a: str, b: str) -> Column:

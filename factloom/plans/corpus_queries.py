@@ -36,7 +36,12 @@ def absence_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = spark.createDataFrame([("Apache License",), ("general public license",), ("no such words here",), ("All rights reserved.",), ("the and",)], "term string")
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^0-9a-z]+", " "))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("part"), plain(F.coalesce("text", F.lit(""))).alias("folded"))
-    return corpus.absence(docs, terms.withColumn("folded", plain(F.col("term"))))
+    return corpus.absence(docs, terms.withColumn("folded", plain(F.col("term")))).drop("snippet")
+
+
+def gold_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in documents, with what stands around them."""
+    return _found(spark, sf_dir)
 
 
 def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +54,7 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir)
+    return _found(spark, sf_dir).drop("snippet")
 
 
 def gold_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +74,14 @@ def gold_rank_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order(spark, sf_dir).select("query_id", "doc_id", "rank", "own_filing_rank", "other_filing_ahead", "other_ticker_ahead")
 
 
+def gold_ranks_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the documents that hold a benchmark passage stand in each question's lexical order, counted without sorting it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("ticker"), F.col("source").alias("filing"))
+    scores = bm25.bm25_global(docs, _queries(spark)).withColumn("score", rounded(F.col("score"), 6)).where("score > 0").join(docs.drop("text"), "doc_id")
+    gold = _found(spark, sf_dir).select("doc_id").distinct().crossJoin(F.broadcast(_queries(spark).select("query_id")))  # a stated list of questions
+    return goldrank.gold_ranks(scores, gold).select("query_id", "doc_id", "rank", "own_filing_rank", "other_filing_ahead", "other_ticker_ahead")
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ranked document as a gold row: lexical rank struct from BM25, the other by document length."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.col("lang").alias("ticker"), F.col("source").alias("filing"))
@@ -182,7 +195,7 @@ def coverage_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        manifest_diff, corpus_identity, absence_terms, duplicate_ids, gold_containment_join, gold_coverage, gold_rank_stats, miss_class, best_gold, gold_summary, number_extract, number_tolerance_join,
+        manifest_diff, corpus_identity, absence_terms, duplicate_ids, gold_containment_join, gold_snippets, gold_coverage, gold_rank_stats, gold_ranks_by_count, miss_class, best_gold, gold_summary, number_extract, number_tolerance_join,
         html_parse, chunk_documents, derivation_eval, corner_spread, printed_figures, number_format, period_labels, rate_limiter_fixed_window, text_normalisation, claim_grounding, coverage_uncovered,
     )
 }
@@ -207,6 +220,10 @@ d AS (SELECT doc_id, lang AS part, ' ' || trim(regexp_replace(lower(coalesce(tex
 SELECT part, term, count(*) FILTER (contains(folded, needle)) AS n, min(doc_id) FILTER (contains(folded, needle)) AS first_doc FROM d, f GROUP BY 1, 2""",
     "duplicate_ids": "SELECT l_orderkey || '_' || l_linenumber AS id, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1",
     "gold_containment_join": f"SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains({_FLAT.format('d.text')}, {_FLAT.format('b.text')})",
+    "gold_snippets": f"""WITH f AS (SELECT item_id, doc_id, {_FLAT.format('d.text')} AS t, {_FLAT.format('b.text')} AS n FROM benchmark b JOIN documents d ON contains({_FLAT.format('d.text')}, {_FLAT.format('b.text')}))
+SELECT item_id, doc_id, substr(t, greatest(strpos(t, n) - 60, 1), strpos(t, n) - greatest(strpos(t, n) - 60, 1) + length(n) + 60) AS snippet FROM f""",
+    "gold_ranks_by_count": f"""WITH {_OKAPI}, {_STATS}, f AS (SELECT DISTINCT doc_id FROM benchmark b JOIN documents d ON contains({_FLAT.format('d.text')}, {_FLAT.format('b.text')}))
+SELECT query_id, doc_id, rank, own_filing_rank, tr - own_filing_rank AS other_filing_ahead, rank - tr AS other_ticker_ahead FROM ord JOIN f USING (doc_id)""",
     "gold_coverage": f"""WITH f AS (SELECT DISTINCT item_id FROM benchmark b JOIN documents d ON contains({_FLAT.format('d.text')}, {_FLAT.format('b.text')}))
 SELECT item_id // 2 AS qid, bool_and(f.item_id IS NOT NULL) AS covered FROM benchmark b LEFT JOIN f USING (item_id) GROUP BY 1""",
     "gold_rank_stats": f"WITH {_OKAPI}, {_STATS} SELECT query_id, doc_id, rank, own_filing_rank, tr - own_filing_rank AS other_filing_ahead, rank - tr AS other_ticker_ahead FROM ord",
