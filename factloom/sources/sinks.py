@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def write_chunks(chunks: DataFrame, path: str, partition: str = "ticker") -> None:
-    """Replace the partitions that ``chunks`` holds, keep the others."""
-    chunks.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    """Replace the partitions that ``chunks`` holds, keep the others. A large partition is written by several tasks: rows are dealt
+    by range of partition and id, so that each task holds few partitions."""
+    keys = [partition, *[c for c in ("accession", "doc_id", "chunk_index") if c in chunks.columns]]
+    chunks.repartitionByRange(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def apply_manifest(stored: DataFrame, fresh: DataFrame, actions: DataFrame) -> DataFrame:
@@ -25,10 +29,12 @@ def write_report(rows: DataFrame, folder: str, stamp: str) -> str:
 
 
 def append_trace(records: DataFrame, folder: str) -> bool:
-    """Append records to a trace log; a log that can't be written never stops the work that it describes."""
+    """Append records to a trace log; a log that can't be written is warned of and never stops the work that it describes.
+    For records that must enter a log exactly once see ``streaming.log``."""
     try:
         records.write.mode("append").json(folder)
-    except Exception:  # noqa: BLE001
+    except Exception as error:  # noqa: BLE001
+        warnings.warn(f"trace log {folder} was not written: {error}", stacklevel=2)
         return False
     return True
 

@@ -12,21 +12,18 @@ comes back with fewer rows leaves no orphans. ``compact`` writes the live rows a
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.corpus import manifest_diff
+from factloom.sources.versions import Conflict, VersionedFolder
 
-VERSION = "_version"
-
+__all__ = ["ChunkStore", "Conflict", "Update"]
 
-class Conflict(RuntimeError):
-    """Another writer has committed the version that this one was about to."""
+VERSION = "_version"
 
 
 @dataclass(frozen=True)
@@ -43,37 +40,20 @@ class Update:
 Derive = Callable[[dict[str, DataFrame], DataFrame, DataFrame | None], dict[str, DataFrame]]
 
 
-class ChunkStore:
+class ChunkStore(VersionedFolder):
     """``path``: a folder that all executors reach. Rows need relpath and accession."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
     # the sidecar
 
-    def _java(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions/{name}".rstrip("/"))
-        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
-        return path, path.getFileSystem(conf), conf
-
-    def versions(self) -> list[int]:
-        folder, fs, _ = self._java("")
-        if not fs.exists(folder):
-            return []
-        names = (s.getPath().getName() for s in fs.listStatus(folder))
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
-
     def head(self) -> dict | None:
         """The newest sidecar; null if there is none or it was cleared. One that can't be read or has no identity is an error."""
-        found = self.versions()
-        if not found:
+        sidecar = self.state()
+        if sidecar is None:
             return None
-        text = self.spark.read.text(f"{self.path}/versions/{found[-1]:012d}.json", wholetext=True).first().value
-        sidecar = json.loads(text)  # a JSONDecodeError is a ValueError
         if isinstance(sidecar, dict) and sidecar.get("cleared"):
             return None
         if not isinstance(sidecar, dict) or not isinstance(sidecar.get("sha"), str):
-            raise ValueError(f"{self.path}: version {found[-1]} holds no corpus sha")
+            raise ValueError(f"{self.path}: the newest version holds no corpus sha")
         return sidecar
 
     def head_or_none(self) -> dict | None:
@@ -85,52 +65,25 @@ class ChunkStore:
 
     def clear(self) -> None:
         """Forget the identity, so that the next update is a full rebuild whatever happens until then."""
-        self._commit({"cleared": True, "version": self._next()})
-
-    def _next(self) -> int:
-        return (self.versions() or [0])[-1] + 1
-
-    def _commit(self, sidecar: dict) -> None:
-        target, fs, conf = self._java(f"{sidecar['version']:012d}.json")
-        staged = self._java(f".{uuid.uuid4().hex}")[0]
-        out = fs.create(staged, True)
-        out.write(bytearray(json.dumps(sidecar).encode()))
-        out.close()
-        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf)
-        options = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)  # none: a target that exists is an error
-        try:
-            context.rename(staged, target, options)
-        except Exception as error:
-            fs.delete(staged, False)
-            if fs.exists(target):
-                raise Conflict(f"{self.path}: version {sidecar['version']} is there already") from error
-            raise
+        version = self.next_version()
+        self.commit(version, {"cleared": True, "version": version})
 
     # rows
 
-    def _read(self, *names: str) -> DataFrame:
-        return self.spark.read.parquet(*(f"{self.path}/{n}" for n in names))
-
-    def _write(self, df: DataFrame, kind: str) -> str:
-        name = f"{kind}/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{name}")
-        return name
-
     def rows(self, sidecar: dict | None = None) -> DataFrame:
         """The live rows of a version, the newest unless given, with the version that they came with."""
         sidecar = sidecar or self.head()
-        rows = self._read(*sidecar["segments"])
+        rows = self.read(*sidecar["segments"])
         if not sidecar["gone"]:
             return rows
-        gone = self._read(sidecar["gone"]).select(F.col("accession").alias("_a"), "upto")
+        gone = self.read(sidecar["gone"]).select(F.col("accession").alias("_a"), "upto")
         return rows.join(gone, (rows["accession"] == gone["_a"]) & (rows[VERSION] <= gone["upto"]), "left_anti")
 
     def files(self, sidecar: dict | None = None) -> DataFrame:
-        return self._read((sidecar or self.head())["files"])
+        return self.read((sidecar or self.head())["files"])
 
     def tables(self, sidecar: dict | None = None) -> dict[str, DataFrame]:
-        return {k: self._read(v) for k, v in (sidecar or self.head())["tables"].items()}
+        return {k: self.read(v) for k, v in (sidecar or self.head())["tables"].items()}
 
     # updates
 
@@ -163,35 +116,35 @@ class ChunkStore:
         and changed files are read further than the join. Columns that cost something, as embeddings, belong into ``chunks`` lazily."""
         reason, actions = self.plan(files, recipe, forced)
         sidecar = self.head_or_none() if reason is None else None
-        version = self._next()
+        version = self.next_version()
         changes = {r.action: r["count"] for r in actions.where("action <> 'unchanged'").groupBy("action").count().collect()}
         if reason is None and not changes:
             return Update(sidecar["version"], None, 0, 0)
         come = actions.where("action in ('add', 'replace')").select("relpath")
         fresh = chunks if reason else chunks.join(come, "relpath", "left_semi")
-        segment = self._write(fresh.withColumn(VERSION, F.lit(version).cast("long")), "segments")
-        fresh, gone, left, segments, before = self._read(segment), None, None, [segment], 0
+        segment = self.stage(fresh.withColumn(VERSION, F.lit(version).cast("long")), "segments")
+        fresh, gone, left, segments, before = self.read(segment), None, None, [segment], 0
         if reason is None:
             old = actions.where("action in ('replace', 'delete')").select("relpath").join(self.files(sidecar), "relpath")
             gone = old.select("accession", F.lit(version - 1).cast("long").alias("upto"))
             left = self.rows(sidecar).join(gone.select("accession").distinct(), "accession", "left_semi")
             if sidecar["gone"]:
-                gone = gone.unionByName(self._read(sidecar["gone"]))
-            gone = self._write(gone.groupBy("accession").agg(F.max("upto").alias("upto")), "gone")
+                gone = gone.unionByName(self.read(sidecar["gone"]))
+            gone = self.stage(gone.groupBy("accession").agg(F.max("upto").alias("upto")), "gone")
             segments, before = [*sidecar["segments"], segment], sidecar["rows"]
         made = derive(self.tables(sidecar) if sidecar else {}, fresh, left) if derive else {}
-        tables = {name: self._write(df, f"tables/{name}") for name, df in made.items()}
-        written = self._write(files.select("relpath", "sha", "accession"), "files")
+        tables = {name: self.stage(df, f"tables/{name}") for name, df in made.items()}
+        written = self.stage(files.select("relpath", "sha", "accession"), "files")
         now = {"version": version, "sha": sha, "recipe": recipe, "indexed_at": indexed_at, "segments": segments, "gone": gone, "files": written, "tables": tables}
         added = fresh.count()
         rows = self.rows(now).count()
-        self._commit({**now, "rows": rows})
+        self.commit(version, {**now, "rows": rows})
         return Update(version, reason, added, before + added - rows)
 
     def compact(self) -> int:
         """Write the live rows as one segment without deletions; the rows keep their versions. Returns the new version."""
         sidecar = self.head()
-        version = self._next()
-        segment = self._write(self.rows(sidecar), "segments")
-        self._commit({**sidecar, "version": version, "segments": [segment], "gone": None})
+        version = self.next_version()
+        segment = self.stage(self.rows(sidecar), "segments")
+        self.commit(version, {**sidecar, "version": version, "segments": [segment], "gone": None})
         return version

@@ -56,8 +56,12 @@ def not_ingested(filings: DataFrame, ingested: DataFrame) -> DataFrame:
 
 
 def load_companies(spark: SparkSession, path: str) -> DataFrame:
-    """Company registry from a JSON object by ticker; a row that breaks the schema is an error."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,struct<name:string,cik:string,fiscal_year_end_month:int>>").alias("m"))
-    rows = raw.select(F.explode("m").alias("ticker", "c")).select("ticker", "c.*")
+    """Company registry from a JSON object by ticker. The schema is closed: a missing, ill-formed or unknown field is an error."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
+    entries = raw.select(F.explode("m").alias("ticker", "entry"))
+    rows = entries.select("ticker", F.json_object_keys("entry").alias("keys"), F.from_json("entry", "name string, cik string, fiscal_year_end_month int").alias("c")).select("ticker", "keys", "c.*")
+    strange = F.array_except("keys", F.array(*map(F.lit, ("name", "cik", "fiscal_year_end_month"))))
     ok = F.col("name").isNotNull() & F.col("cik").rlike(r"^\d{1,10}$") & F.col("fiscal_year_end_month").between(1, 12)
-    return rows.withColumn("fiscal_year_end_month", F.when(ok, F.col("fiscal_year_end_month")).otherwise(F.raise_error(F.concat(F.lit("bad company "), "ticker")).cast("int")))
+    problem = F.when(F.size(strange) > 0, F.concat(F.lit("unknown field "), strange[0], F.lit(" of company "), "ticker")).when(~F.coalesce(ok, F.lit(False)), F.concat(F.lit("bad company "), "ticker"))
+    checked = F.when(problem.isNull(), F.col("fiscal_year_end_month")).otherwise(F.raise_error(problem).cast("int"))
+    return rows.withColumn("fiscal_year_end_month", checked).drop("keys")
