@@ -22,7 +22,12 @@ def _corpus(spark: SparkSession, sf_dir: str, after: bool) -> tuple[DataFrame, D
         docs = docs.where("source is null or source <> 'src5'").withColumn("text", F.when(F.col("lang") == "fr", F.concat(F.coalesce("text", F.lit("")), F.lit(" license"))).otherwise(F.col("text")))
     else:
         docs = docs.where("source is null or source <> 'src3'")
-    return incremental.indexed(docs.drop("source")), corpus.manifest(docs.withColumnRenamed("text", "content"))
+    return docs.drop("source"), corpus.manifest(docs.withColumnRenamed("text", "content"))
+
+
+def _prepared(chunks: DataFrame) -> DataFrame:
+    """What the index holds of a chunk: its tokens and its text's digest."""
+    return incremental.indexed(chunks).withColumn("sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).drop("text")
 
 
 def _updated(spark: SparkSession, sf_dir: str) -> ChunkStore:
@@ -30,13 +35,13 @@ def _updated(spark: SparkSession, sf_dir: str) -> ChunkStore:
     store = ChunkStore(spark, new_folder(spark, "store"))
     for after in (False, True):
         chunks, files = _corpus(spark, sf_dir, after)
-        store.update(chunks, files, RECIPE, "after" if after else "before", incremental.maintained("lang"))
+        store.update(chunks, files, RECIPE, "after" if after else "before", incremental.maintained("lang"), _prepared)
     return store
 
 
 def index_update_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live rows after an update, and the version that each came with: unchanged documents are those of the first."""
-    return _updated(spark, sf_dir).rows().select("doc_id", "dl", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"), F.col("_version").alias("version"))
+    return _updated(spark, sf_dir).rows().select("doc_id", "dl", "sha", F.col("_version").alias("version"))
 
 
 def index_update_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a side of a join may be broadcast after it has been counted; beyond it the join shuffles.
+BROADCAST_ROWS = 400_000
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for a broadcast if its counted ``rows`` are within ``BROADCAST_ROWS``; else unmarked, for a shuffled join."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -34,7 +34,7 @@ def append_trace(records: DataFrame, folder: str) -> bool:
     try:
         records.write.mode("append").json(folder)
     except Exception as error:  # noqa: BLE001
-        warnings.warn(f"trace log {folder} was not written: {error}", stacklevel=2)
+        warnings.warn(f"trace log {folder} was not written: {str(error).splitlines()[0]}", stacklevel=2)
         return False
     return True
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.corpus import manifest_diff
+from factloom.sources.shared import small_side
 from factloom.sources.versions import Conflict, VersionedFolder
 
 __all__ = ["ChunkStore", "Conflict", "Update"]
@@ -76,7 +77,7 @@ class ChunkStore(VersionedFolder):
         rows = self.read(*sidecar["segments"])
         if not sidecar["gone"]:
             return rows
-        gone = self.read(sidecar["gone"]).select(F.col("accession").alias("_a"), "upto")
+        gone = small_side(self.read(sidecar["gone"]).select(F.col("accession").alias("_a"), "upto"), sidecar["gone_rows"])
         return rows.join(gone, (rows["accession"] == gone["_a"]) & (rows[VERSION] <= gone["upto"]), "left_anti")
 
     def files(self, sidecar: dict | None = None) -> DataFrame:
@@ -95,7 +96,7 @@ class ChunkStore(VersionedFolder):
             reason = "forced"
         elif sidecar is None:
             reason = "no_sidecar"
-        elif not {"segments", "files", "gone", "tables"} <= set(sidecar):
+        elif not {"segments", "files", "gone", "gone_rows", "tables"} <= set(sidecar):
             reason = "bad_manifest"
         elif sidecar.get("recipe") != recipe:
             reason = "recipe_changed"
@@ -111,9 +112,11 @@ class ChunkStore(VersionedFolder):
             return reason, files.select("relpath", F.lit("add").alias("action"))
         return None, manifest_diff(self.files(sidecar), files)
 
-    def update(self, chunks: DataFrame, files: DataFrame, recipe: dict, sha: str, derive: Derive | None = None, forced: bool = False, indexed_at: str = "") -> Update:
-        """Bring the store to ``files`` (relpath, sha, accession); ``chunks`` has the rows of all of them, of which only those of new
-        and changed files are read further than the join. Columns that cost something, as embeddings, belong into ``chunks`` lazily."""
+    def update(
+        self, chunks: DataFrame, files: DataFrame, recipe: dict, sha: str, derive: Derive | None = None, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows, forced: bool = False, indexed_at: str = ""
+    ) -> Update:
+        """Bring the store to ``files`` (relpath, sha, accession); ``chunks`` has the rows of all of them. ``prepare`` adds what an index
+        needs, as tokens or embeddings; only rows of new and changed files get that far."""
         reason, actions = self.plan(files, recipe, forced)
         sidecar = self.head_or_none() if reason is None else None
         version = self.next_version()
@@ -121,21 +124,22 @@ class ChunkStore(VersionedFolder):
         if reason is None and not changes:
             return Update(sidecar["version"], None, 0, 0)
         come = actions.where("action in ('add', 'replace')").select("relpath")
-        fresh = chunks if reason else chunks.join(come, "relpath", "left_semi")
-        segment = self.stage(fresh.withColumn(VERSION, F.lit(version).cast("long")), "segments")
-        fresh, gone, left, segments, before = self.read(segment), None, None, [segment], 0
         if reason is None:
-            old = actions.where("action in ('replace', 'delete')").select("relpath").join(self.files(sidecar), "relpath")
-            gone = old.select("accession", F.lit(version - 1).cast("long").alias("upto"))
-            left = self.rows(sidecar).join(gone.select("accession").distinct(), "accession", "left_semi")
-            if sidecar["gone"]:
-                gone = gone.unionByName(self.read(sidecar["gone"]))
-            gone = self.stage(gone.groupBy("accession").agg(F.max("upto").alias("upto")), "gone")
+            chunks = chunks.join(small_side(come, changes.get("add", 0) + changes.get("replace", 0)), "relpath", "left_semi")
+        segment = self.stage(prepare(chunks).withColumn(VERSION, F.lit(version).cast("long")), "segments")
+        fresh, gone, gone_rows, left, segments, before = self.read(segment), None, 0, None, [segment], 0
+        if reason is None:
+            old = small_side(actions.where("action in ('replace', 'delete')").select("relpath"), changes.get("replace", 0) + changes.get("delete", 0))
+            now_gone = self.files(sidecar).join(old, "relpath").select("accession", F.lit(version - 1).cast("long").alias("upto"))
+            every = now_gone.unionByName(self.read(sidecar["gone"])) if sidecar["gone"] else now_gone
+            gone = self.stage(every.groupBy("accession").agg(F.max("upto").alias("upto")), "gone")
+            now_gone, gone_rows = self.read(gone).where(F.col("upto") == version - 1).select("accession"), self.read(gone).count()
+            left = self.rows(sidecar).join(small_side(now_gone, gone_rows), "accession", "left_semi")
             segments, before = [*sidecar["segments"], segment], sidecar["rows"]
         made = derive(self.tables(sidecar) if sidecar else {}, fresh, left) if derive else {}
         tables = {name: self.stage(df, f"tables/{name}") for name, df in made.items()}
         written = self.stage(files.select("relpath", "sha", "accession"), "files")
-        now = {"version": version, "sha": sha, "recipe": recipe, "indexed_at": indexed_at, "segments": segments, "gone": gone, "files": written, "tables": tables}
+        now = {"version": version, "sha": sha, "recipe": recipe, "indexed_at": indexed_at, "segments": segments, "gone": gone, "gone_rows": gone_rows, "files": written, "tables": tables}
         added = fresh.count()
         rows = self.rows(now).count()
         self.commit(version, {**now, "rows": rows})
@@ -146,5 +150,5 @@ class ChunkStore(VersionedFolder):
         sidecar = self.head()
         version = self.next_version()
         segment = self.stage(self.rows(sidecar), "segments")
-        self.commit(version, {**sidecar, "version": version, "segments": [segment], "gone": None})
+        self.commit(version, {**sidecar, "version": version, "segments": [segment], "gone": None, "gone_rows": 0})
         return version

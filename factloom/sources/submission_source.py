@@ -8,7 +8,8 @@ back before the least filing date that is asked for, the ticker's older pages ar
     spark.read.format("submissions").load(folder).where("form = '10-K' and filingDate >= '2024-01-01'")
 
 Filters reach the reader where ``spark.sql.python.filterPushdown.enabled`` is true; without it Spark applies them afterwards and all
-pages are read. Pages with another set of fields than the schema's, or with arrays of unequal length, are errors.
+pages are read. Spark 4.1 keeps the filters of a loaded DataFrame's last plan for a later plan without any, so load anew for each
+query. Pages with another set of fields than the schema's, or with arrays of unequal length, are errors.
 """
 
 from __future__ import annotations

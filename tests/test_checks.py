@@ -108,7 +108,7 @@ def test_companyfacts_and_files(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": 1, "x": null}\n{"id": 2}\n')
     assert jsonl.read_strict(spark, str(tmp_path / "a.jsonl"), "id int, x string", ("id",)).count() == 2
     (tmp_path / "b.jsonl").write_text('{"id": 1}\n\n{"id": 2}\n')
-    with pytest.raises(Exception, match="bad line"):
+    with pytest.raises(Exception, match="line 2: blank line"):
         jsonl.read_strict(spark, str(tmp_path / "b.jsonl"), "id int").collect()
     (tmp_path / "r1.json").write_text('[{"id": 1}, {"id": null}]')
     (tmp_path / "r2.json").write_text('{"results": [{"k": 3}], "provenance": {"git_sha": "x"}}')
