@@ -30,20 +30,20 @@ def _lengths(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_tokens", tokens(F.coalesce("text", F.lit("")))).withColumn("_dl", F.size("_tokens"))
 
 
-def scored(postings: DataFrame, idf: DataFrame, averages: DataFrame, terms: DataFrame, part: list[str]) -> DataFrame:
+def scored(postings: DataFrame, idf: DataFrame, averages: DataFrame, terms: DataFrame, part: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     tf, norm = F.col("tf"), K1 * (1 - B + B * F.col("_dl") / F.col("avgdl"))
     gain = F.col("weight") * F.col("idf") * tf * (K1 + 1) / (tf + norm)
     joined = postings.join(terms, [c for c in terms.columns if c in (*part, "term")]).join(idf, [*part, "term"])
     joined = joined.join(averages, part) if part else joined.crossJoin(F.broadcast(averages))  # one row
-    return joined.groupBy("query_id", *part, "doc_id").agg(F.sum(gain).alias("score"))
+    return joined.groupBy("query_id", *part, "doc_id", *carry).agg(F.sum(gain).alias("score"))
 
 
-def term_postings(docs: DataFrame, terms: DataFrame, part: list[str]) -> DataFrame:
-    """(part, doc_id, term, tf, _dl) of the query terms only. Counting happens inside each document's token array."""
+def term_postings(docs: DataFrame, terms: DataFrame, part: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """(part, doc_id, carried columns, term, tf, _dl) of the query terms only. Counting happens inside each document's token array."""
     wanted = terms.agg(F.collect_set("term").alias("_wanted"))  # one row: the terms of the queries
     hit = docs.crossJoin(F.broadcast(wanted)).withColumn("_hit", F.array_intersect("_tokens", "_wanted")).where(F.size("_hit") > 0)
-    each = hit.select(*part, "doc_id", "_dl", "_tokens", F.explode("_hit").alias("term"))
-    return each.select(*part, "doc_id", "_dl", "term", F.size(F.filter("_tokens", lambda t: t == F.col("term"))).alias("tf"))
+    each = hit.select(*part, "doc_id", *carry, "_dl", "_tokens", F.explode("_hit").alias("term"))
+    return each.select(*part, "doc_id", *carry, "_dl", "term", F.size(F.filter("_tokens", lambda t: t == F.col("term"))).alias("tf"))
 
 
 def bm25_by_partition(docs: DataFrame, queries: DataFrame, part: str) -> DataFrame:
@@ -59,7 +59,7 @@ def bm25_by_partition(docs: DataFrame, queries: DataFrame, part: str) -> DataFra
     return scored(postings, idf, averages, terms, [part])
 
 
-def _okapi(docs: DataFrame, terms: DataFrame, part: list[str]) -> DataFrame:
+def _okapi(docs: DataFrame, terms: DataFrame, part: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """Okapi scores with the statistics of each part, or of the whole collection without one."""
     sized = _lengths(docs)
     with_statistics = lambda df, one: df.join(one, part) if part else df.crossJoin(F.broadcast(one))  # noqa: E731 - one row
@@ -69,20 +69,21 @@ def _okapi(docs: DataFrame, terms: DataFrame, part: list[str]) -> DataFrame:
     floor = with_idf.groupBy(*part).agg((F.avg("raw") * NEGATIVE_SHARE).alias("floor"))
     own = with_statistics(with_idf.join(terms.select(*part, "term").distinct(), [*part, "term"]), floor)
     idf = own.select(*part, "term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return scored(term_postings(sized, terms, part), idf, averages, terms, part)
+    return scored(term_postings(sized, terms, part, carry), idf, averages, terms, part, carry)
 
 
-def bm25_global(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Scores with Okapi's idf over the whole collection; negative ones become a quarter of the mean over the vocabulary."""
-    return _okapi(docs, query_terms(queries), [])
+def bm25_global(docs: DataFrame, queries: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Scores with Okapi's idf over the whole collection; negative ones become a quarter of the mean over the vocabulary. Columns of
+    docs that ``carry`` names come along, so that scored rows need no join for them."""
+    return _okapi(docs, query_terms(queries), [], carry)
 
 
-def bm25_own_part(docs: DataFrame, queries: DataFrame, part: str) -> DataFrame:
+def bm25_own_part(docs: DataFrame, queries: DataFrame, part: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Okapi scores of queries (query_id, query, part) in the one part of docs (doc_id, text, part) that each names: an index of
     its own per part, whose statistics no other part touches. Only parts that a query names are read further than the filter."""
     terms = query_terms(queries).join(queries.select("query_id", part), "query_id")
     asked = docs.join(queries.select(part).distinct(), part, "left_semi")
-    return _okapi(asked, terms, [part]).select("query_id", "doc_id", "score")
+    return _okapi(asked, terms, [part], carry).select("query_id", "doc_id", *carry, "score")
 
 
 def top_n(scores: DataFrame, n: int, keys: list[str], position: str = "doc_id", positive: bool = True) -> DataFrame:

@@ -34,17 +34,21 @@ def _by_ticker(queries: DataFrame, own, whole) -> DataFrame:
 def candidate_lists(chunks: DataFrame, queries: DataFrame, scopes: DataFrame, pool: int = fusion.POOL) -> DataFrame:
     """(query_id, retriever, doc_id, rank, label): what each retriever gives to the fusion, after ticker and period filters.
 
-    A query with a ticker is scored in that ticker's own index. Dates filter scored rows, so they never touch statistics. The
-    ``pool`` best inside and outside of the scope are found in one pass; both sets of lists come from them.
+    A query with a ticker is scored in that ticker's own index. Dates filter scored rows, so they never touch statistics; they come
+    along with the scores. The ``pool`` best inside and outside of the scope are cut in each task before anything is shuffled; both
+    sets of lists come from them.
     """
-    texts, vectors = chunks.select("doc_id", "ticker", "text"), chunks.where("embedding is not null").select(F.col("doc_id").alias("vec_id"), "ticker", "embedding")
-    lexical = _by_ticker(queries, lambda q: bm25.bm25_own_part(texts, q.select("query_id", "query", "ticker"), "ticker"), lambda q: bm25.bm25_global(texts, q.select("query_id", "query")))
-    asked = queries.select("query_id", "ticker", "q")
-    dense = _by_ticker(asked, lambda q: vector.vector_scores(q, vectors, "ticker"), lambda q: vector.vector_scores(q, vectors)).withColumnRenamed("vec_id", "doc_id")
-    scored = lexical.where("score > 0").withColumn("retriever", F.lit("bm25")).unionByName(dense.withColumn("retriever", F.lit("vector")))
-    marked = scored.withColumn("score", rounded(F.col("score"), SCORE_DECIMALS)).where("retriever = 'vector' or score > 0").join(chunks.select("doc_id", "report_date"), "doc_id")
-    marked = marked.join(scopes.select("query_id", "report_dates", "reason"), "query_id").withColumn("in_scope", F.coalesce(F.array_contains("report_dates", F.col("report_date")), F.lit(False)))
-    return fusion.choose_lists(bm25.top_n(marked, pool, ["query_id", "retriever", "in_scope"], positive=False), pool)
+    texts, dates = chunks.select("doc_id", "ticker", "text", "report_date"), ("report_date",)
+    lexical = _by_ticker(queries, lambda q: bm25.bm25_own_part(texts, q.select("query_id", "query", "ticker"), "ticker", dates), lambda q: bm25.bm25_global(texts, q.select("query_id", "query"), dates))
+    scoped = scopes.select("query_id", "report_dates", "reason")
+    lexical = lexical.withColumn("score", rounded(F.col("score"), SCORE_DECIMALS)).where("score > 0").join(scoped, "query_id")
+    lexical = lexical.withColumn("in_scope", F.coalesce(F.array_contains("report_dates", F.col("report_date")), F.lit(False)))
+    lexical = bm25.top_n(lexical, pool, ["query_id", "in_scope"], positive=False).select("query_id", "doc_id", "score", "in_scope", "rank", F.lit("bm25").alias("retriever"))
+    vectors = chunks.where("embedding is not null").select(F.col("doc_id").alias("vec_id"), "ticker", "embedding", F.col("report_date").cast("string").alias("report_date"))
+    asked = queries.select("query_id", "ticker", "q").join(scoped.select("query_id", F.transform("report_dates", lambda d: d.cast("string")).alias("report_dates")), "query_id")
+    dense = vector.vector_top(asked, vectors, pool, "ticker", ("report_dates", "report_date"))
+    dense = dense.select("query_id", F.col("vec_id").alias("doc_id"), "score", "in_scope", "rank", F.lit("vector").alias("retriever"))
+    return fusion.choose_lists(lexical.unionByName(dense).join(scoped.select("query_id", "reason"), "query_id"), pool)
 
 
 def fused_pool(chunks: DataFrame, queries: DataFrame, calendars: DataFrame, pool: int = fusion.POOL) -> DataFrame:

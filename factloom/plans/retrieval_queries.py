@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.numeric import rounded
 from factloom.operators import bm25, fusion, scope, vector, windows
-from factloom.operators.retrieval import fused_pool, lexical_scorer
+from factloom.operators.retrieval import fused_pool, hybrid_search, lexical_scorer
 from factloom.sources.tables import table
 
 QUESTIONS = (("q1", "licensed under the Apache License version"), ("q2", "the and of in to"), ("q3", "password token secret api"))
@@ -44,8 +44,7 @@ def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    scored = vector.vector_scores(_vector_queries(spark, sf_dir), vectors).withColumn("score", rounded(F.col("score"), 6))
-    return bm25.top_n(scored, 25, ["query_id"], "vec_id").select("query_id", "rank", "vec_id", "score")
+    return vector.vector_top(_vector_queries(spark, sf_dir), vectors, 25).where("score > 0").select("query_id", "rank", "vec_id", "score")
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -79,12 +78,21 @@ def table_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def maxp_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best window of every document for every question, by shared tokens."""
-    docs = _documents(spark, sf_dir).where("text is not null").select("doc_id", F.explode(windows.windows_of(F.col("text"))).alias("window"))
-    pairs = lexical_scorer(docs.crossJoin(F.broadcast(_queries(spark))))
+    """Best window of every document of each question's pool, by shared tokens."""
+    docs = _documents(spark, sf_dir)
+    pool = bm25.top_n(bm25.bm25_global(docs, _queries(spark)).withColumn("score", rounded(F.col("score"), 6)), fusion.POOL, ["query_id"]).select("query_id", "doc_id")
+    texts = docs.join(F.broadcast(pool), "doc_id").join(F.broadcast(_queries(spark)), "query_id")  # POOL rows for each of a stated list of questions
+    pairs = lexical_scorer(texts.select("query_id", "query", "doc_id", F.explode(windows.windows_of(F.col("text"))).alias("window")))
     return fusion.max_per_owner(pairs).select("query_id", "doc_id", rounded(F.col("score"), 6).alias("score"))
 
 
+def hybrid_search_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search of the same questions, reranked by their best windows."""
+    chunks, queries, calendars = _searches(spark, sf_dir)
+    found = hybrid_search(chunks.withColumn("contains_table", F.col("text").contains("$")), queries, calendars)
+    return found.select("query_id", "doc_id", "final_rank", "fused_rank", "ce_rank", rounded(F.col("combined_score"), 8).alias("combined_score"), "rescued", "label")
+
+
 def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as filings: a nation's order days, urgent orders being annual reports."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").cast("date").alias("report_date"), "o_orderpriority", F.col("o_orderkey").alias("pos"))
@@ -122,19 +130,23 @@ SEARCHES = (
 )
 
 
-def hybrid_search_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scoped and filtered search over documents as chunks: languages are tickers, ids give form and report date."""
+def _searches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, queries, calendars): documents as chunks; languages are tickers, ids give form and report date."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     docs = _documents(spark, sf_dir).join(vectors, "doc_id", "left")
     date = F.last_day(F.add_months(F.lit("1996-03-01").cast("date"), (F.col("doc_id") % 8 * 3).cast("int")))
     chunks = docs.select("doc_id", F.col("lang").alias("ticker"), F.when(F.col("doc_id") % 4 == 0, "10-K").otherwise("10-Q").alias("form"), date.alias("report_date"), "text", "embedding")
     asked = spark.createDataFrame(list(SEARCHES), "query_id string, ticker string, query string, doc_id long")
     queries = asked.join(vectors.withColumnRenamed("embedding", "q"), "doc_id").drop("doc_id")
-    calendars = spark.createDataFrame([("en", 12), ("de", 9), ("fr", 6), ("es", 3)], "ticker string, end_month int")
-    return fused_pool(chunks, queries, calendars).withColumn("fused_score", rounded(F.col("fused_score"), 8))
+    return chunks, queries, spark.createDataFrame([("en", 12), ("de", 9), ("fr", 6), ("es", 3)], "ticker string, end_month int")
 
 
-QUERIES = {f.__name__: f for f in (hybrid_search_pool, bm25_topk_by_partition, bm25_topk_global_okapi, bm25_term_statistics, vector_topk_exact, rrf_fusion, fused_floor_rerank, table_rescue, maxp_windows, period_scope_range_join, fiscal_label_join, period_scope_questions)}
+def hybrid_search_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoped and filtered search over documents as chunks."""
+    return fused_pool(*_searches(spark, sf_dir)).withColumn("fused_score", rounded(F.col("fused_score"), 8))
+
+
+QUERIES = {f.__name__: f for f in (hybrid_search_pool, hybrid_search_top, bm25_topk_by_partition, bm25_topk_global_okapi, bm25_term_statistics, vector_topk_exact, rrf_fusion, fused_floor_rerank, table_rescue, maxp_windows, period_scope_range_join, fiscal_label_join, period_scope_questions)}
 
 _Q = "questions(query_id, query) AS (VALUES " + ", ".join(f"('{i}', '{q}')" for i, q in QUESTIONS) + ")"
 _BASE = f"""{_Q},
@@ -162,8 +174,7 @@ labelled AS (SELECT f.*, (year(report_date) + CASE WHEN month(report_date) > n_n
 
 _SEARCHES = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for row in SEARCHES)
 
-ORACLES = {
-    "hybrid_search_pool": f"""WITH asked(query_id, ticker, query, vec) AS (VALUES {_SEARCHES}), calendars(ticker, m) AS (VALUES ('en', 12), ('de', 9), ('fr', 6), ('es', 3)),
+_SEARCH_SQL = f"""WITH asked(query_id, ticker, query, vec) AS (VALUES {_SEARCHES}), calendars(ticker, m) AS (VALUES ('en', 12), ('de', 9), ('fr', 6), ('es', 3)),
 c AS (SELECT doc_id, lang AS ticker, doc_id % 4 = 0 AS annual, last_day(DATE '1996-03-01' + to_months((3 * (doc_id % 8))::INTEGER)) AS d, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS toks, embedding::DOUBLE[] AS v FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
 f AS (SELECT DISTINCT ticker, annual, d, year(d) + (month(d) > m)::INTEGER AS fy, (month(d) - m - 1 + 24) % 12 // 3 + 1 AS fq FROM c JOIN calendars USING (ticker)),
 dates AS (SELECT DISTINCT 'own_date' AS query_id, d FROM f WHERE ticker = 'en' AND abs(date_diff('day', DATE '1997-03-31', d)) <= 7 UNION SELECT 'own_year', d FROM f WHERE ticker = 'en' AND annual AND fy = 1997
@@ -182,8 +193,30 @@ cand AS (SELECT s.*, reason, EXISTS (SELECT 1 FROM dates t WHERE t.query_id = s.
 lab AS (SELECT *, CASE WHEN reason <> 'dates' THEN reason WHEN bool_or(ins) OVER (PARTITION BY query_id) THEN 'dates' ELSE 'filtered_empty' END AS label FROM cand),
 lists AS (SELECT *, row_number() OVER (PARTITION BY query_id, r ORDER BY score DESC, doc_id) AS rank FROM lab WHERE label <> 'dates' OR ins QUALIFY rank <= 25),
 fused AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.label, b.label) AS label, coalesce(1.0::DOUBLE / (60 + a.rank), 0::DOUBLE) + coalesce(1.0::DOUBLE / (60 + b.rank), 0::DOUBLE) AS s, CASE WHEN a.rank IS NULL THEN 1 ELSE 0 END AS no, coalesce(a.rank, b.rank) AS first
-  FROM (SELECT * FROM lists WHERE r = 0) a FULL JOIN (SELECT * FROM lists WHERE r = 1) b ON a.query_id = b.query_id AND a.doc_id = b.doc_id)
-SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, no, first)::INTEGER AS fused_rank, floor(s * 1e8 + 0.5) / 1e8 AS fused_score, label FROM fused""",
+  FROM (SELECT * FROM lists WHERE r = 0) a FULL JOIN (SELECT * FROM lists WHERE r = 1) b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
+pool AS (SELECT query_id, doc_id, s, label, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, no, first)::INTEGER AS fused_rank FROM fused)"""
+#: Best window of each row of ``pool`` for the question in ``asked``: lines gathered up to 380 words, one more counted for each line.
+_MAXP = r"""lined AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents WHERE doc_id IN (SELECT doc_id FROM pool)),
+dealt AS (SELECT doc_id, ls, list_reduce(list_transform(ls, lambda l, i: {'w': 0, 'c': len(regexp_extract_all(l, '\S+')) + 1, 'a': CASE WHEN i = 1 THEN [0] ELSE []::INTEGER[] END}),
+  lambda s, x: CASE WHEN s.c + x.c > 380 THEN {'w': s.w + 1, 'c': x.c, 'a': list_append(s.a, s.w + 1)} ELSE {'w': s.w, 'c': s.c + x.c, 'a': list_append(s.a, s.w)} END).a AS ws FROM lined),
+held AS (SELECT DISTINCT doc_id, w, unnest(regexp_extract_all(lower(l), '[a-z0-9]+')) AS term FROM (SELECT doc_id, unnest(ws) AS w, unnest(ls) AS l FROM dealt)),
+sought AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM asked),
+maxp AS (SELECT query_id, doc_id, max(n)::DOUBLE / any_value(big) AS score FROM (
+  SELECT p.query_id, p.doc_id, w, count(h.term) AS n, any_value(t.big) AS big FROM pool p JOIN (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS big FROM sought) t USING (query_id) LEFT JOIN held h ON h.doc_id = p.doc_id AND h.term = t.term GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+ORACLES = {
+    "hybrid_search_pool": f"{_SEARCH_SQL} SELECT query_id, doc_id, fused_rank, floor(s * 1e8 + 0.5) / 1e8 AS fused_score, label FROM pool",
+    "maxp_windows": f"""WITH {_OKAPI}, pool AS (SELECT query_id, doc_id FROM scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 25),
+asked AS (SELECT query_id, query FROM questions), {_MAXP} SELECT query_id, doc_id, floor(score * 1e6 + 0.5) / 1e6 AS score FROM maxp""",
+    "hybrid_search_top": f"""{_SEARCH_SQL}, {_MAXP},
+ce AS (SELECT p.*, contains(text, '$') AS tab, contains(text, '$') AND length(text) - length(replace(text, '$', '')) >= 5 AS able, row_number() OVER (PARTITION BY p.query_id ORDER BY m.score DESC, fused_rank) AS ce_rank, count(*) OVER (PARTITION BY p.query_id) // 2 AS half
+  FROM pool p JOIN maxp m USING (query_id, doc_id) JOIN documents USING (doc_id)),
+sums AS (SELECT *, CASE WHEN fused_rank > 3 THEN 1.0::DOUBLE / (60 + ce_rank) ELSE greatest(1.0::DOUBLE / (60 + fused_rank), 1.0::DOUBLE / (60 + ce_rank)) + 1e-9::DOUBLE * (1.0::DOUBLE / (60 + ce_rank)) END AS combined FROM ce),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, fused_rank) AS combined_rank FROM sums),
+tops AS (SELECT *, bool_or(combined_rank <= 5 AND tab) OVER (PARTITION BY query_id) AS has FROM ranks),
+swaps AS (SELECT *, min(fused_rank) FILTER (NOT has AND able AND fused_rank <= half AND combined_rank > 5) OVER (PARTITION BY query_id) AS swap FROM tops)
+SELECT query_id, doc_id, CASE WHEN fused_rank = swap THEN 5 ELSE combined_rank END::INTEGER AS final_rank, fused_rank, ce_rank::INTEGER AS ce_rank, floor(combined * 1e8 + 0.5) / 1e8 AS combined_score, coalesce(fused_rank = swap, false) AS rescued, label
+FROM swaps WHERE coalesce(fused_rank = swap, false) OR (combined_rank <= 5 AND (swap IS NULL OR combined_rank < 5))""",
     "bm25_topk_by_partition": f"""WITH {_BASE}, g AS (SELECT lang, count(*) AS big_n, avg(len(toks)) AS avgdl FROM docs GROUP BY 1), df AS (SELECT lang, term, count(*) AS n FROM post GROUP BY 1, 2),
 scores AS (SELECT query_id, lang, doc_id, floor(sum(weight * ln(1 + (big_n - n + 0.5) / (n + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) * 1e6 + 0.5) / 1e6 AS score FROM post JOIN terms USING (term) JOIN df USING (lang, term) JOIN g USING (lang) GROUP BY 1, 2, 3)
 SELECT query_id, lang, row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 10""",
