@@ -41,6 +41,11 @@ def tolerance_bucket(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value) * RELATIVE_TOLERANCE / LEAST_TOLERANCE) / step)
 
 
+def band_buckets(value: Column, band: Column) -> Column:
+    """The buckets that numbers within ``band`` of a value may lie in: an equi-join on them misses none, as buckets grow with values."""
+    return F.sequence(tolerance_bucket(value - band), tolerance_bucket(value + band))
+
+
 def rounded(value: Column, decimals: int) -> Column:
     """Rounding that DuckDB can repeat to the last bit: floor(x * 10^k + 0.5) / 10^k."""
     scale = float(10**decimals)

@@ -10,18 +10,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import numbers
-from factloom.functions.numeric import category, normalised
+from factloom.functions.numeric import band_buckets, category, normalised, tolerance_bucket
 from factloom.functions.text import text_matches
 from factloom.operators.verification import BRACKET, NON_CLAIM, citation_verified
 
 
+def _near(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of expected values (answer_id, value, unit, tolerance) and numbers (answer_id, category, norm, ...) inside their bands: an
+    equi-join on the answer, the category and the bucket of the tolerance, so an answer with many numbers is no quadratic key."""
+    norm = normalised(F.col("value"), F.col("unit"))
+    e = expected.withColumns({"category": category(F.col("unit")), "_n": norm, "_band": F.greatest(F.abs(norm) * F.coalesce("tolerance", F.lit(0.01)), F.lit(0.05))})
+    e = e.withColumn("_bucket", F.explode(band_buckets(F.col("_n"), F.col("_band"))))
+    f = found.withColumn("_bucket", tolerance_bucket(F.col("norm")))
+    return e.join(f, ["answer_id", "category", "_bucket"]).where(F.abs(F.col("norm") - F.col("_n")) <= F.col("_band"))
+
+
 def _matches(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """expected with ``hits``: numbers (answer_id, category, norm) inside each expected value's band. A join per answer."""
-    e = expected.withColumns({"_c": category(F.col("unit")), "_n": normalised(F.col("value"), F.col("unit"))})
-    f = found.select(F.col("answer_id").alias("_a"), F.col("category").alias("_fc"), F.col("norm").alias("_fn")).distinct()
-    band = F.greatest(F.abs("_n") * F.coalesce("tolerance", F.lit(0.01)), F.lit(0.05))
-    joined = e.join(f, (F.col("answer_id") == F.col("_a")) & (F.col("_c") == F.col("_fc")) & (F.abs(F.col("_fn") - F.col("_n")) <= band), "left")
-    return joined.groupBy(*expected.columns).agg(F.count("_a").alias("hits"))
+    """expected with ``hits``: how many different numbers (answer_id, category, norm) lie inside each expected value's band."""
+    hits = _near(expected.select("answer_id", "value", "unit", "tolerance").distinct(), found.select("answer_id", "category", "norm").distinct())
+    counts = hits.groupBy("answer_id", "value", "unit", F.col("tolerance").alias("_t")).agg(F.count("*").alias("hits"))
+    e = expected.alias("e").join(counts.alias("c"), (F.col("e.answer_id") == F.col("c.answer_id")) & F.col("e.value").eqNullSafe(F.col("c.value")) & F.col("e.unit").eqNullSafe(F.col("c.unit")) & F.col("e.tolerance").eqNullSafe(F.col("c._t")), "left")
+    return e.select("e.*", F.coalesce("c.hits", F.lit(0)).alias("hits"))
 
 
 def answer_numbers(answers: DataFrame) -> DataFrame:
@@ -64,22 +73,20 @@ def claim_companies(claims: DataFrame, results: DataFrame) -> DataFrame:
     return joined.groupBy("answer_id", "ord", "value", "unit").agg(F.array_sort(F.collect_set("ticker")).alias("tickers"))
 
 
+def _stated(attributed: DataFrame) -> DataFrame:
+    return attributed.select("answer_id", category(F.col("unit")).alias("category"), normalised(F.col("value"), F.col("unit")).alias("norm"), "tickers")
+
+
 def misattributed(expected: DataFrame, attributed: DataFrame) -> DataFrame:
     """Expected values (with ``companies``) that claims state, but none with exactly their companies."""
-    e = expected.withColumns({"_c": category(F.col("unit")), "_n": normalised(F.col("value"), F.col("unit"))})
-    a = attributed.select(F.col("answer_id").alias("_a"), category(F.col("unit")).alias("_ac"), normalised(F.col("value"), F.col("unit")).alias("_an"), "tickers")
-    band = F.greatest(F.abs("_n") * F.coalesce("tolerance", F.lit(0.01)), F.lit(0.05))
-    joined = e.join(a, (F.col("answer_id") == F.col("_a")) & (F.col("_c") == F.col("_ac")) & (F.abs(F.col("_an") - F.col("_n")) <= band))
+    joined = _near(expected, _stated(attributed))
     return joined.groupBy("answer_id", "label").agg(F.bool_or(F.array_sort("companies") == F.col("tickers")).alias("right")).where("not right").select("answer_id", "label")
 
 
 def forbidden_hits(traps: DataFrame, attributed: DataFrame) -> DataFrame:
     """Traps (answer_id, label, value, unit, tolerance, companies or null) that a claim states, with the trap's companies if named."""
-    t = traps.withColumns({"_c": category(F.col("unit")), "_n": normalised(F.col("value"), F.col("unit"))})
-    a = attributed.select(F.col("answer_id").alias("_a"), category(F.col("unit")).alias("_ac"), normalised(F.col("value"), F.col("unit")).alias("_an"), "tickers")
-    band = F.greatest(F.abs("_n") * F.coalesce("tolerance", F.lit(0.01)), F.lit(0.05))
     own = F.col("companies").isNull() | (F.array_sort("companies") == F.col("tickers"))
-    return t.join(a, (F.col("answer_id") == F.col("_a")) & (F.col("_c") == F.col("_ac")) & (F.abs(F.col("_an") - F.col("_n")) <= band) & own).select("answer_id", "label").distinct()
+    return _near(traps, _stated(attributed)).where(own).select("answer_id", "label").distinct()
 
 
 def final_grade(kind: Column, withheld: Column, value_passed: Column, accepted_passed: Column, attributed: Column, trapped: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import numbers, text
-from factloom.functions.numeric import CLAIM_UNITS, category, normalised, num_match, tolerance, tolerance_bucket
+from factloom.functions.numeric import CLAIM_UNITS, band_buckets, category, normalised, num_match, tolerance, tolerance_bucket
 from factloom.operators.tables import cell_grounding
 
 #: The window before a citation, values that percentage formulas bring along.
@@ -99,9 +99,11 @@ def uncovered_numbers(answers: DataFrame, claims: DataFrame, results: DataFrame)
     identities = operations.select("answer_id", F.explode(identity).alias("value")).distinct()
     left = stated.join(identities.withColumn("unit", F.lit("raw")), ["answer_id", "unit", "value"], "left_anti")
     left = left.withColumn("_sign", F.explode(F.when(F.col("paren"), F.array(F.lit(1.0), F.lit(-1.0))).otherwise(F.array(F.lit(1.0)))))
-    k = known.select(F.col("answer_id").alias("_a"), F.col("category").alias("_c"), F.col("norm").alias("_n")).distinct()
-    tried = left.join(k, (F.col("answer_id") == F.col("_a")) & (F.col("category") == F.col("_c")) & (F.abs(F.col("_n") - F.col("norm") * F.col("_sign")) <= F.greatest(F.abs("norm") * 0.01, F.lit(0.05))), "left")
-    return tried.groupBy("answer_id", "category", "norm").agg(F.count("_a").alias("_hits")).where("_hits = 0").drop("_hits")
+    band = F.greatest(F.abs("norm") * 0.01, F.lit(0.05))
+    tried = left.withColumn("_bucket", F.explode(band_buckets(F.col("norm") * F.col("_sign"), band)))
+    have = known.select("answer_id", "category", F.col("norm").alias("_known")).distinct().withColumn("_bucket", tolerance_bucket(F.col("_known")))
+    covered = tried.join(have, ["answer_id", "category", "_bucket"]).where(F.abs(F.col("_known") - F.col("norm") * F.col("_sign")) <= band)
+    return left.select("answer_id", "category", "norm").distinct().join(covered.select("answer_id", "category", "norm").distinct(), ["answer_id", "category", "norm"], "left_anti")
 
 
 def gate(answers: DataFrame, claims: DataFrame, results: DataFrame) -> DataFrame:
@@ -134,6 +136,8 @@ def citation_verified(expected: DataFrame, answers: DataFrame, results: DataFram
     cited = cited.withColumn("ok", F.exists(sources, lambda n: num_match(category(n["unit"]), normalised(n["value"], n["unit"]), category(F.col("unit")), own)))
     cited = cited.select("answer_id", category(F.col("unit")).alias("category"), own.alias("norm"), "ok")
     asked = expected.select("answer_id", "value", "unit", category(F.col("unit")).alias("category"), normalised(F.col("value"), F.col("unit")).alias("target"))
-    joined = asked.join(cited, ["answer_id", "category"], "left")
-    near = F.abs(F.col("norm") - F.col("target")) <= F.greatest(F.abs("target") * tolerance, F.lit(0.05))
-    return joined.groupBy("answer_id", "value", "unit").agg(F.coalesce(F.max(F.when(near, F.col("ok"))), F.lit(True)).alias("verified"))
+    band = F.greatest(F.abs("target") * tolerance, F.lit(0.05))
+    tried = asked.withColumn("_bucket", F.explode(band_buckets(F.col("target"), band)))
+    near = tried.join(cited.withColumn("_bucket", tolerance_bucket(F.col("norm"))), ["answer_id", "category", "_bucket"]).where(F.abs(F.col("norm") - F.col("target")) <= band)
+    near = near.groupBy("answer_id", "value", "unit").agg(F.max("ok").alias("_ok"))
+    return asked.select("answer_id", "value", "unit").distinct().join(near, ["answer_id", "value", "unit"], "left").select("answer_id", "value", "unit", F.coalesce("_ok", F.lit(True)).alias("verified"))
