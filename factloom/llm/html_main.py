@@ -29,6 +29,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ TEMPLATE_SHARE = 0.8
 LINK_SHARE = 0.8
 #: Layouts of a host that are merged into its reference tree, the most frequent ones first.
 LAYOUTS = 8
+#: Cells of a table of sums that is held whole.
+TABLE_CELLS = 1_000_000
 #: Levels of a page that tell its layout.
 LAYOUT_LEVELS = 4
 #: Bytes of reference trees up to which they are broadcast.
@@ -79,11 +82,12 @@ class Node:
     ``dropped`` (its own text) and ``closed`` (all of it) come from the wrapper; ``size`` is the text that is left.
     """
 
-    __slots__ = ("tag", "symbol", "role", "parts", "kids", "linked", "dropped", "closed", "size", "own")
+    __slots__ = ("tag", "symbol", "role", "parts", "kids", "linked", "dropped", "closed", "size", "own", "shape", "total")
 
     def __init__(self, tag: str, symbol: str, role: str):
         self.tag, self.symbol, self.role, self.parts, self.kids = tag, symbol, role, [], []
         self.linked, self.dropped, self.closed, self.size, self.own = 0, False, False, 0, None
+        self.shape, self.total = None, 0
 
     def own_text(self) -> str:
         if self.own is None:
@@ -216,12 +220,12 @@ def layout(nested: list, levels: int = LAYOUT_LEVELS) -> str:
 class Reference:
     """A node of a skeleton: symbol, checksum, letters, children, index in preorder; ``template`` and ``closed`` by the wrapper."""
 
-    __slots__ = ("symbol", "checksum", "letters", "linked", "kids", "index", "template", "closed")
+    __slots__ = ("symbol", "checksum", "letters", "linked", "kids", "index", "template", "closed", "shape", "total")
 
     def __init__(self, nested: list, counter: list[int] | None = None, template: frozenset[int] = frozenset()):
         counter = [0] if counter is None else counter
         self.symbol, self.checksum, self.letters, self.linked, kids = nested
-        self.index = counter[0]
+        self.index, self.shape, self.total = counter[0], None, 0
         counter[0] += 1
         self.template = self.index in template
         self.kids = [Reference(k, counter, template) for k in kids]
@@ -242,7 +246,7 @@ def merge(tree: list, other: list) -> list:
         into, at = partner[node.index], 0
         for kid in node.kids:
             if kid.index in partner:
-                at = into.kids.index(partner[kid.index]) + 1
+                at = into.kids.index(partner[kid.index], at) + 1  # partners stand in order
                 add(kid)
             elif at == 0 or into.kids[at - 1].symbol != kid.symbol:  # of a run of equal elements one stands for all
                 into.kids.insert(at, kid)
@@ -254,44 +258,114 @@ def merge(tree: list, other: list) -> list:
 
 
 def match(a, b) -> tuple[int, list[tuple]]:
-    """Simple tree matching: (size of the largest matching that keeps order and levels, matched pairs of nodes)."""
+    """Simple tree matching: (size of the largest matching that keeps order and levels, matched pairs of nodes).
+
+    Subtrees of one shape (the same names in the same places) match each other whole, and what two subtrees can match depends on
+    their shapes alone, so each pair of shapes is weighed once. Of two rows of siblings equal ends are matched at once, which
+    takes care of long runs of like rows; what is left is aligned by a table of sums, a row of it at a time, and a large table is
+    split in halves that are aligned for themselves, so memory follows the rows and not their product.
+    """
+    weights: dict[tuple[int, int], int] = {}
+    pairs: list[tuple] = []
+    if a.symbol == b.symbol:
+        _pair(a, b, weights, pairs)
+    return len(pairs), pairs
+
+
+def _shaped(node) -> int:
+    """The node's shape as a number, and ``total``, its nodes; both are kept."""
+    if node.shape is None:
+        node.shape = hash((node.symbol, *map(_shaped, node.kids)))
+        node.total = 1 + sum(k.total for k in node.kids)
+    return node.shape
+
+
+def _weight(a, b, weights: dict) -> int:
+    """Size of the largest matching of two subtrees."""
     if a.symbol != b.symbol:
-        return 0, []
-    weight, pairs = _match_kids(a.kids, b.kids)
-    return weight + 1, [(a, b), *pairs]
-
-
-def _match_kids(left: list, right: list) -> tuple[int, list[tuple]]:
-    weight, pairs, lo = 0, [], 0
-    # leaves of one name at either end match each other in some largest matching
-    while lo < len(left) and lo < len(right) and left[lo].symbol == right[lo].symbol and not left[lo].kids and not right[lo].kids:
-        weight, lo = weight + 1, lo + 1
-        pairs.append((left[lo - 1], right[lo - 1]))
-    left, right = left[lo:], right[lo:]
-    tail = []
-    while left and right and left[-1].symbol == right[-1].symbol and not left[-1].kids and not right[-1].kids:
-        weight += 1
-        tail.append((left[-1], right[-1]))
-        left, right = left[:-1], right[:-1]
+        return 0
+    if _shaped(a) == _shaped(b):
+        return a.total
+    key = a.shape, b.shape
+    known = weights.get(key)
+    if known is None:
+        lo, left, right = _ends(a.kids, b.kids)
+        trimmed = sum(k.total for k in a.kids[:lo]) + sum(k.total for k in a.kids[lo + len(left) :])
+        known = weights[key] = 1 + trimmed + (int(_row(left, right, weights)[-1]) if left and right else 0)
+    return known
+
+
+def _ends(left: list, right: list) -> tuple[int, list, list]:
+    """(equal siblings at the start, what is left of both rows without equal ones at either end). No largest matching is lost: a
+    subtree can match nothing better than its like, and at an end nothing stands in the way."""
+    lo, most = 0, min(len(left), len(right))
+    while lo < most and _shaped(left[lo]) == _shaped(right[lo]):
+        lo += 1
+    hi = 0
+    while hi < most - lo and _shaped(left[-1 - hi]) == _shaped(right[-1 - hi]):
+        hi += 1
+    return lo, left[lo : len(left) - hi], right[lo : len(right) - hi]
+
+
+def _rows(left: list, right: list, weights: dict) -> Iterator[np.ndarray]:
+    """For each element of ``left`` what it can match with each of ``right``."""
+    shapes: dict[int, int] = {}
+    places = np.array([shapes.setdefault(_shaped(y), len(shapes)) for y in right])
+    firsts = {shapes[y.shape]: y for y in reversed(right)}
+    known: dict[int, np.ndarray] = {}
+    for x in left:
+        found = known.get(_shaped(x))
+        if found is None:
+            found = known[x.shape] = np.array([_weight(x, firsts[i], weights) for i in range(len(shapes))], np.int32)[places]
+        yield found
+
+
+def _row(left: list, right: list, weights: dict) -> np.ndarray:
+    """Largest sums of matches of all of ``left`` with the first 0, 1, ... of ``right``."""
+    row = np.zeros(len(right) + 1, np.int32)
+    for found in _rows(left, right, weights):
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + found))
+    return row
+
+
+def _pair(a, b, weights: dict, pairs: list) -> None:
+    """Add the matched pairs of two subtrees of one name."""
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        pairs.append((a, b))
+        if _shaped(a) == _shaped(b):
+            todo += zip(a.kids, b.kids, strict=True)
+            continue
+        lo, left, right = _ends(a.kids, b.kids)
+        todo += zip(a.kids[:lo], b.kids[:lo], strict=True)
+        todo += zip(a.kids[lo + len(left) :], b.kids[lo + len(right) :], strict=True)
+        todo += _aligned_siblings(left, right, weights)
+
+
+def _aligned_siblings(left: list, right: list, weights: dict) -> list[tuple]:
+    """Pairs of siblings in a largest matching of two rows."""
     m, n = len(left), len(right)
-    if m and n:
-        inner = [[match(x, y) if x.symbol == y.symbol else (0, []) for y in right] for x in left]
-        best = [[0] * (n + 1) for _ in range(m + 1)]
-        for i in range(1, m + 1):
-            above, row, weights = best[i - 1], best[i], inner[i - 1]
-            for j in range(1, n + 1):
-                row[j] = max(above[j], row[j - 1], above[j - 1] + weights[j - 1][0])
-        weight += best[m][n]
-        i, j = m, n
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs += inner[i][j][1]
-    return weight, pairs + tail
+    if not m or not n:
+        return []
+    if m > 1 and m * n > TABLE_CELLS:
+        half = m // 2
+        upper, lower = _row(left[:half], right, weights), _row(left[half:][::-1], right[::-1], weights)[::-1]
+        cut = int(np.argmax(upper + lower))
+        return _aligned_siblings(left[:half], right[:cut], weights) + _aligned_siblings(left[half:], right[cut:], weights)
+    best = np.zeros((m + 1, n + 1), np.int32)
+    for i, found in enumerate(_rows(left, right, weights)):
+        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + found))
+    pairs, i, j = [], m, n
+    while i and j:
+        if best[i, j] == best[i - 1, j]:
+            i -= 1
+        elif best[i, j] == best[i, j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((left[i], right[j]))
+    return pairs
 
 
 def measure(node: Node) -> int:

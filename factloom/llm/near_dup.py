@@ -40,6 +40,8 @@ BLOCK = 1_024
 BLOCK_SHINGLES = 2_000_000
 #: Bits of a dense incidence matrix that a block pair holds at once.
 MATRIX_CELLS = 4_000_000
+#: Pairs whose unions are sketched at once.
+PAIRS_AT_ONCE = 20_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -139,9 +141,14 @@ def _links(percent: int):
         asked = (part[:, None] != part[None, :]) & (ids[:, None] != ids[None, :])
         if (side != side[0]).any():
             asked &= side[:, None] != side[None, :]
-        # the union's sketch holds no more common values than both sketches share: what shares fewer can't be similar
+        # the union's sketch holds no more common values than both sketches share, so what shares fewer needs no estimate
         least = np.where(sizes > SKETCH, full, np.ceil(sizes * share - 1e-9))
-        asked &= _intersections([s[:SKETCH] for s in sets]) >= np.maximum(least[:, None], least[None, :])
+        sketches = [s[:SKETCH] for s in sets]
+        asked &= _intersections(sketches) >= np.maximum(least[:, None], least[None, :])
+        left, right = np.nonzero(np.triu(asked))
+        common, size = _union_sketches(sketches, left, right)
+        enough = np.where(size < SKETCH, 100 * common >= percent * size, common >= full)  # a union below the sketch's size is known whole
+        asked[left[~enough], right[~enough]] = asked[right[~enough], left[~enough]] = False
         some = np.flatnonzero(asked.any(axis=1))
         if not len(some):
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
@@ -161,6 +168,25 @@ def _links(percent: int):
     return confirm
 
 
+def _union_sketches(sketches: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of sets, given by their places: the ``SKETCH`` smallest values of the union are merged from both sketches; returns how
+    many of these both sets hold, which over their number estimates the similarity, and that number."""
+    none = np.uint64(2**64 - 1)
+    padded = np.full((len(sketches), SKETCH), none, np.uint64)
+    for i, sketch in enumerate(sketches):
+        padded[i, : len(sketch)] = sketch
+    common, size = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+    for at in range(0, len(left), PAIRS_AT_ONCE):
+        part = slice(at, at + PAIRS_AT_ONCE)
+        merged = np.sort(np.concatenate([padded[left[part]], padded[right[part]]], axis=1), axis=1)
+        again = np.zeros(merged.shape, bool)
+        again[:, 1:] = merged[:, 1:] == merged[:, :-1]
+        rank = np.cumsum(~again & (merged != none), axis=1)  # place among the distinct values
+        common[part] = (again & (merged != none) & (rank <= SKETCH)).sum(axis=1)
+        size[part] = np.minimum(rank[:, -1], SKETCH)
+    return common, size
+
+
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections, by products of 0/1 matrices over slices of the values that two sets share."""
     n = len(sets)

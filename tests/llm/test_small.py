@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -65,6 +66,18 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == brute_components(rows)
 
 
+def test_union_sketches_against_sets():
+    """The merged sketch is the sketch of the union, and what both sets hold of it is counted."""
+    rng = random.Random(8)
+    sets = [sorted(rng.sample(range(400), rng.choice([0, 1, 3, 30, 48, 60, 200]))) for _ in range(30)]
+    sketches = [np.array(s[: near_dup.SKETCH], np.uint64) for s in sets]
+    left, right = np.triu_indices(len(sets), 1)
+    common, size = near_dup._union_sketches(sketches, left, right)
+    for i, j, c, n in zip(left, right, common, size, strict=True):
+        union = sorted(set(sets[i]) | set(sets[j]))[: near_dup.SKETCH]
+        assert n == len(union) and c == sum(v in sets[i] and v in sets[j] for v in union)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in near_dup.connected_components(edges).collect()}
@@ -159,6 +172,29 @@ def test_tree_matching_against_brute_force():
         assert html_main.match(union, a)[0] == html_main.match(a, a)[0]
 
 
+def test_matching_of_long_rows(monkeypatch):
+    """Twenty thousand siblings are matched in seconds; tables that are split in halves find as much as whole ones."""
+    import time
+
+    rng = random.Random(5)
+    page = lambda n, rows: html_main.Reference(html_main.skeleton(html_main.parse("<html><body>" + "".join(rng.choice(rows) for _ in range(n)) + "</body></html>")))
+    began = time.time()
+    equal = page(20_000, ["<div><p>row</p></div>"])
+    size, pairs = html_main.match(equal, page(20_000, ["<div><p>other</p></div>"]))
+    html_main._shaped(equal)
+    assert size == len(pairs) == equal.total > 40_000
+    rows = ["<div><p>x</p></div>", "<div><p>x</p><p>y</p></div>", "<ul><li>a<li>b</ul>", "<div><ul><li>a</ul></div>", "<section><p>x</p></section>"]
+    html_main.match(page(4_000, rows), page(4_000, rows))
+    assert time.time() - began < 60
+    for _ in range(20):
+        a, b = page(30, rows), page(40, rows)
+        whole = html_main.match(a, b)[0]
+        monkeypatch.setattr(html_main, "TABLE_CELLS", 8)
+        size, pairs = html_main.match(a, b)
+        monkeypatch.setattr(html_main, "TABLE_CELLS", 1_000_000)
+        assert size == whole == len(pairs) == len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs})
+
+
 def test_wrapper_without_helpful_names(spark):
     """Menus, notices, adverts and footers that vary are told by the alignment alone; names mean the contrary here."""
     rng = random.Random(14)
