@@ -48,6 +48,7 @@ def gold_ranks(order: DataFrame, gold: DataFrame) -> DataFrame:
     before anything is shuffled; ranks are sums of counts. Gold rows of a query are taken in blocks of about ``GOLD_BLOCK``.
     Gold rows that are not in the order, for which there is no rank, have no row. Each row is named once.
     """
+    order = written(order.select("query_id", "doc_id", "ticker", "filing", "score"), "order")  # read twice, made once
     place = F.struct((-F.col("score")).alias("s"), F.col("doc_id").alias("d"))
     named = order.join(gold.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", "ticker", "filing", "score", place.alias("_place"))
     sizes = named.groupBy("query_id").agg(F.ceil(F.count("*") / GOLD_BLOCK).alias("_blocks"))
