@@ -133,3 +133,43 @@ def gate_outcomes(rows: DataFrame) -> DataFrame:
     label = F.when(judged, "judged").when(F.col("withheld").isNull(), "no_gate").when(F.col("withheld") & F.col("would_have_passed").isNull(), "ungraded").when(F.col("withheld") & F.col("would_have_passed"), "false_positive").when(F.col("withheld"), "true_positive").when(~F.col("passed"), "false_negative").otherwise("true_negative")
     counts = rows.select(label.alias("label")).agg(*[F.count_if(F.col("label") == x).alias(x) for x in ("judged", "no_gate", "ungraded", "false_positive", "true_positive", "false_negative", "true_negative")])
     return counts.withColumn("false_positive_rate", rounded(F.try_divide(F.col("false_positive").cast("double"), F.col("false_positive") + F.col("true_positive")), 6))
+
+
+def tally(rows: DataFrame) -> DataFrame:
+    """(side, qid, runs, passes, withheld): rows (side, qid, passed, withheld), where a null counts as false."""
+    count = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
+    return rows.groupBy("side", "qid").agg(F.count("*").alias("runs"), count("passed").alias("passes"), count("withheld").alias("withheld"))
+
+
+def gate_label() -> Column:
+    """What a row (has_outcome, would_have_passed, type, n_warnings, passed, has_citation) says about the gate; ``has_outcome``: whether its report
+    has the field at all, be it null."""
+    refused = F.coalesce(F.col("n_warnings"), F.lit(0)) > 0
+    return (
+        F.when(~F.col("has_outcome"), "unknown_pre_instrumentation").when(F.col("type") == "judged", "excluded").when(refused & F.coalesce("would_have_passed", F.lit(False)), "false_positive").when(refused, "true_positive")
+        .when(~F.col("passed") & F.col("has_citation"), "false_negative_candidate").otherwise("not_gate_attributable")
+    )
+
+
+def false_positives_by_check(rows: DataFrame) -> DataFrame:
+    """(check, n): how many falsely refused rows a check has warned of; rows as in ``gate_label`` and ``checks``, the checks of a row's warnings."""
+    wrong = rows.where(gate_label() == "false_positive")
+    return wrong.select(F.explode(F.array_distinct("checks")).alias("check")).groupBy("check").agg(F.count("*").alias("n"))
+
+
+def row_identity(questions: DataFrame) -> DataFrame:
+    """The fields of a question that a report row repeats: the one ticker or the list as text, and category and trap if there are such."""
+    also = [c for c in ("category", "trap") if c in questions.columns]
+    return questions.select("id", F.coalesce("ticker", F.array_join("tickers", ",")).alias("ticker"), "question", "type", *also)
+
+
+def truncated(text: Column, limit: int = 150) -> Column:
+    """One line of at most ``limit`` characters."""
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.substring(flat, 1, limit - 3), F.lit("...")))
+
+
+def citation_flags() -> Column:
+    """Marks of a row (answer, has_citation, n_warnings); a row without an answer is an error and has none."""
+    flags = F.concat(F.when(F.coalesce("has_citation", F.lit(False)), "").otherwise("  [no citation]"), F.when(F.coalesce("n_warnings", F.lit(0)) > 0, "  [unverified citation]").otherwise(""))
+    return F.when(F.col("answer").isNull(), "").otherwise(flags)

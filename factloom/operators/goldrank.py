@@ -133,6 +133,20 @@ def query_set(searches: DataFrame, ids: DataFrame, gold: DataFrame) -> DataFrame
     return named.groupBy("query", "ticker").agg(F.array_sort(F.collect_set("qid")).alias("qids"), F.min("ord").alias("first_seen"))
 
 
+def query_set_drops(searches: DataFrame, ids: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row (unjoined, no_gold): searches whose run has no known question (no id, or '?'), and those whose question has no gold."""
+    known = gold.select("qid").distinct().withColumn("_gold", F.lit(True))
+    joined = searches.join(ids, "run_id", "left").join(known, "qid", "left")
+    unjoined = F.coalesce(F.col("qid"), F.lit("?")) == "?"
+    return joined.agg(F.count_if(unjoined).alias("unjoined"), F.count_if(~unjoined & F.col("_gold").isNull()).alias("no_gold"))
+
+
+def queries_of_report(report: DataFrame) -> DataFrame:
+    """The queries (query, ticker, qids) that a base report (variant ``report``) was made of, so that a comparison asks the same."""
+    queries = F.explode(F.try_variant_get("report", "$.queries", "array<struct<query:string,ticker:string,qids:array<string>>>"))
+    return report.select(queries.alias("q")).select("q.query", "q.ticker", "q.qids")
+
+
 def filter_queries(queries: DataFrame, wanted: list[str] | None) -> DataFrame:
     """Queries of any wanted question, with only those questions; all queries if none is named."""
     if not wanted:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ISO_PREFIX = r"^\d{4}(-\d{2}(-\d{2}(T[0-9:.+Z-]*)?)?)?$"
+#: Fixed pattern: a UTC time from the year on, cut off after any of its parts.
+ISO_PREFIX = re.compile(r"\d{4}(-\d{2}(-\d{2}(T\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?)?)?)?")
 
 
 def scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -42,13 +45,20 @@ def kind(raw: str = "raw") -> Column:
     return F.coalesce(F.try_variant_get(F.col(raw), "$.category", "string"), F.try_variant_get(F.col(raw), "$.name", "string"))
 
 
+def iso_prefix(text: str) -> str:
+    """The text itself if a time filter can be compared with it, else an error."""
+    if not ISO_PREFIX.fullmatch(text):
+        raise ValueError(f"expected the beginning of an ISO time in UTC, got {text!r}")
+    return text
+
+
 def matches(since: str | None = None, until: str | None = None, kinds: tuple[str, ...] = (), runs: tuple[str, ...] = (), equals: dict[str, str] | None = None) -> Column:
     """Filter on timestamp (text order, half open), kind, run and fields; ``None`` matches null and absent."""
     rule = F.lit(True)
     if since:
-        rule &= F.col("timestamp") >= since
+        rule &= F.col("timestamp") >= iso_prefix(since)
     if until:
-        rule &= F.col("timestamp") < until
+        rule &= F.col("timestamp") < iso_prefix(until)
     if kinds:
         rule &= F.col("kind").isin(*kinds)
     if runs:
@@ -59,7 +69,7 @@ def matches(since: str | None = None, until: str | None = None, kinds: tuple[str
 
 
 def count_by(records: DataFrame, *fields: str, limit: int | None = None) -> DataFrame:
-    """Counts of field combinations, most common first, ties by first appearance."""
+    """Counts of field combinations with the place of the first; with a ``limit`` the most common ones, ties by first appearance."""
     out = records.groupBy(*[text_of(F.col(f).cast("string")).alias(f) for f in fields]).agg(F.count("*").alias("n"), F.min("ord").alias("first_seen"))
     return out.orderBy(F.col("n").desc(), "first_seen").limit(limit) if limit else out
 
@@ -95,3 +105,30 @@ def replay_outcomes(base: DataFrame, replayed: DataFrame) -> DataFrame:
     presence = F.when(F.col("was").isNull(), "only_in_replay").when(F.col("withheld").isNull(), "only_in_base").otherwise("both")
     change = F.when(F.col("was") & ~F.col("withheld"), F.concat(F.lit("recovered_"), grade(F.col("correct")))).when(~F.col("was") & F.col("withheld"), F.concat(F.lit("newly_refused_"), grade(F.col("was_correct")))).when(presence == "both", "same")
     return joined.select("run_id", presence.alias("presence"), change.alias("change"))
+
+
+def replay_bucket(against_logged: bool = True) -> Column:
+    """Where a replayed run belongs: columns error, base_error, drift, refused_then, refused_now, checks_then, checks_now, messages_then,
+    messages_now, correct. Null checks or messages of then are not compared. A change on a run whose tool results drifted has a bucket of
+    its own against the logged verdict; against a base both sides have seen the same sources."""
+    differ = lambda c: F.col(f"{c}_then").isNotNull() & ~F.col(f"{c}_then").eqNullSafe(F.col(f"{c}_now"))
+    then, now = F.col("refused_then"), F.col("refused_now")
+    grade = F.when(F.col("correct").isNull(), "ungraded").when(F.col("correct"), "correct").otherwise("wrong")
+    same_error = F.col("error").eqNullSafe(F.col("base_error")) if not against_logged else F.lit(False)
+    failed = F.col("error").isNotNull() | (F.lit(False) if against_logged else F.col("base_error").isNotNull())
+    changed = (then != now) | (then & differ("checks")) | differ("messages")
+    return (
+        F.when(failed & same_error, "errored_unchanged").when(failed, "errored").when(~changed, "same").when(F.lit(against_logged) & F.col("drift"), "drifted_change")
+        .when(then & ~now, F.concat(F.lit("recovered_"), grade)).when(now & ~then, F.concat(F.lit("newly_refused_"), grade)).otherwise("check_change")
+    )
+
+
+def replay_summary(records: DataFrame, against_logged: bool = True) -> DataFrame:
+    """(bucket, runs, drifted): how many runs each bucket holds and how many of these saw other tool results."""
+    return records.groupBy(replay_bucket(against_logged).alias("bucket")).agg(F.count("*").alias("runs"), F.count_if(F.coalesce("drift", F.lit(False))).alias("drifted"))
+
+
+def grade_change() -> Column:
+    """Kind of a changed grade of the same text (was_correct, correct, drift, refused_now), or null; drift explains it before a refusal does."""
+    both = F.col("was_correct").isNotNull() & F.col("correct").isNotNull() & (F.col("was_correct") != F.col("correct"))
+    return F.when(both, F.when(F.col("drift"), "tool_drift").when(F.col("refused_now"), "refused").when(F.col("correct"), "now_correct").otherwise("now_wrong"))

@@ -82,6 +82,23 @@ def gold_ranks_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return goldrank.gold_ranks(scores, gold).select("query_id", "doc_id", "rank", "own_filing_rank", "other_filing_ahead", "other_ticker_ahead")
 
 
+def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as logged searches: the first words are the query, conversations are runs; every fifth has no question, odd questions no gold."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("ord"), F.substring_index("text", " ", 1).alias("query"), F.when(F.col("turn") % 4 > 0, (F.col("turn") % 4).cast("string")).alias("ticker"))
+    return goldrank.query_set(turns, *_asked_questions(turns)).select("query", "ticker", F.array_join("qids", ",").alias("qids"), "first_seen")
+
+
+def _asked_questions(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    ids = turns.select("run_id").distinct().withColumn("qid", F.when(F.col("run_id") % 5 == 0, "?").otherwise((F.col("run_id") % 30).cast("string"))).where("run_id % 11 <> 0")
+    return ids, ids.where("qid <> '?'").select("qid").distinct().where("cast(qid as int) % 2 = 0")
+
+
+def query_set_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the same searches are left out, and why."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("run_id"))
+    return goldrank.query_set_drops(turns, *_asked_questions(turns))
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ranked document as a gold row: lexical rank struct from BM25, the other by document length."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.col("lang").alias("ticker"), F.col("source").alias("filing"))
@@ -195,7 +212,7 @@ def coverage_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        manifest_diff, corpus_identity, absence_terms, duplicate_ids, gold_containment_join, gold_snippets, gold_coverage, gold_rank_stats, gold_ranks_by_count, miss_class, best_gold, gold_summary, number_extract, number_tolerance_join,
+        manifest_diff, corpus_identity, absence_terms, duplicate_ids, gold_containment_join, gold_snippets, gold_coverage, gold_rank_stats, gold_ranks_by_count, query_set, query_set_drops, miss_class, best_gold, gold_summary, number_extract, number_tolerance_join,
         html_parse, chunk_documents, derivation_eval, corner_spread, printed_figures, number_format, period_labels, rate_limiter_fixed_window, text_normalisation, claim_grounding, coverage_uncovered,
     )
 }
@@ -224,6 +241,9 @@ SELECT part, term, count(*) FILTER (contains(folded, needle)) AS n, min(doc_id)
 SELECT item_id, doc_id, substr(t, greatest(strpos(t, n) - 60, 1), strpos(t, n) - greatest(strpos(t, n) - 60, 1) + length(n) + 60) AS snippet FROM f""",
     "gold_ranks_by_count": f"""WITH {_OKAPI}, {_STATS}, f AS (SELECT DISTINCT doc_id FROM benchmark b JOIN documents d ON contains({_FLAT.format('d.text')}, {_FLAT.format('b.text')}))
 SELECT query_id, doc_id, rank, own_filing_rank, tr - own_filing_rank AS other_filing_ahead, rank - tr AS other_ticker_ahead FROM ord JOIN f USING (doc_id)""",
+    "query_set": """WITH t AS (SELECT conv_id, turn, split_part(text, ' ', 1) AS query, CASE WHEN turn % 4 > 0 THEN (turn % 4)::VARCHAR END AS ticker, (conv_id % 30)::VARCHAR AS qid FROM conversations WHERE role = 'user' AND conv_id % 5 <> 0 AND conv_id % 11 <> 0 AND conv_id % 30 % 2 = 0)
+SELECT query, ticker, array_to_string(list_sort(list_distinct(list(qid))), ',') AS qids, min(turn) AS first_seen FROM t GROUP BY query, ticker""",
+    "query_set_drops": "SELECT count(*) FILTER (conv_id % 5 = 0 OR conv_id % 11 = 0) AS unjoined, count(*) FILTER (conv_id % 5 <> 0 AND conv_id % 11 <> 0 AND conv_id % 30 % 2 = 1) AS no_gold FROM conversations WHERE role = 'user'",
     "gold_coverage": f"""WITH f AS (SELECT DISTINCT item_id FROM benchmark b JOIN documents d ON contains({_FLAT.format('d.text')}, {_FLAT.format('b.text')}))
 SELECT item_id // 2 AS qid, bool_and(f.item_id IS NOT NULL) AS covered FROM benchmark b LEFT JOIN f USING (item_id) GROUP BY 1""",
     "gold_rank_stats": f"WITH {_OKAPI}, {_STATS} SELECT query_id, doc_id, rank, own_filing_rank, tr - own_filing_rank AS other_filing_ahead, rank - tr AS other_ticker_ahead FROM ord",

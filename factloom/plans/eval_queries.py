@@ -85,8 +85,31 @@ def gate_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents by language, by source and over all."""
     joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
-    joined.createOrReplaceTempView("labelled_documents")
-    return spark.sql("SELECT lang, source, count(*) AS n, sum(toxic) AS toxic, sum(quality) AS quality FROM labelled_documents GROUP BY GROUPING SETS ((lang), (source), ())")
+    lang, source = F.col("lang"), F.col("source")
+    return joined.groupingSets([[lang], [source], []], lang, source).agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.sum("quality").alias("quality"))
+
+
+def ab_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs, passes and withheld answers of each side and question."""
+    return evalstats.tally(_sides(spark, sf_dir))
+
+
+def gate_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many wrongly refused rows each check has warned of; clicks come from before the gate's outcome was noted."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    checks = F.array(F.concat(F.lit("c"), F.floor(k / 25).cast("string")), F.when(k % 2 == 1, "odd").otherwise("even"), F.concat(F.lit("c"), F.floor(k / 25).cast("string")))
+    rows = _runs(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), checks.alias("checks")), "ord")
+    return evalstats.false_positives_by_check(rows.withColumn("has_outcome", F.col("type") != "click").withColumn("type", F.when(F.col("type") == "error", "judged").otherwise("numeric")))
+
+
+def replay_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as replayed runs: price and key say what was refused then and now, by which checks, and what drifted or failed."""
+    n, price = F.col("o_orderkey"), F.col("o_totalprice")
+    records = table(spark, sf_dir, "orders").select(
+        F.when(n % 17 == 0, "boom").alias("error"), F.lit(None).cast("string").alias("base_error"), (n % 7 == 0).alias("drift"), (price > 200_000).alias("refused_then"), ((price > 250_000) | (n % 10 == 3)).alias("refused_now"),
+        F.when(n % 3 > 0, (n % 3).cast("string")).alias("checks_then"), (n % 2 + 1).cast("string").alias("checks_now"), F.lit(None).cast("string").alias("messages_then"), F.lit("m").alias("messages_now"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("correct"),
+    )
+    return trace.replay_summary(records)
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +163,7 @@ def replay_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.replay_outcomes(base, new).groupBy("presence", "change").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (wilson, flakiness_classify, infra_truncate, infra_errors, ab_compare, ab_total, ab_consistency, report_exclusion, report_default_pair, grouping_breakdown, gate_outcomes, label_breakdown, trace_counts, trace_filter, run_timeline, run_final_step, run_questions, replay_outcomes)}
+QUERIES = {f.__name__: f for f in (wilson, flakiness_classify, infra_truncate, infra_errors, ab_compare, ab_total, ab_consistency, report_exclusion, report_default_pair, grouping_breakdown, gate_outcomes, label_breakdown, trace_counts, trace_filter, run_timeline, run_final_step, run_questions, replay_outcomes, ab_tally, gate_false_positives, replay_buckets)}
 
 _RUNS = """runs AS (SELECT user_id AS qid, event_id AS ord, strftime(ts, '%Y-%m-%d') AS report, event_type <> 'error' AS passed, CASE WHEN event_type <> 'signup' THEN props END AS answer, event_type, event_type AS type,
   CASE WHEN (props->>'k')::INTEGER >= 10 THEN 'c' || substr(props->>'k', 1, 1) END AS category, value > 5 AS has_citation, value > 20 AS warned,
@@ -154,6 +177,7 @@ def _wilson(passes: str = "passes", runs: str = "runs") -> str:
     return f"floor(greatest({mid} - {half}, 0) * 1e6 + 0.5) / 1e6 AS low, floor(least({mid} + {half}, 1) * 1e6 + 0.5) / 1e6 AS high"
 
 
+_SIDES_ROWS = f"""{_RUNS}, sided AS (SELECT *, CASE WHEN report < '2024-01-16' THEN 'base' ELSE 'candidate' END AS side FROM runs WHERE answer IS NOT NULL)"""
 _SIDES = f"""{_RUNS}, sided AS (SELECT *, CASE WHEN report < '2024-01-16' THEN 'base' ELSE 'candidate' END AS side FROM runs WHERE answer IS NOT NULL),
 c AS (SELECT qid, count(*) FILTER (side = 'base') AS base_runs, count(*) FILTER (side = 'candidate') AS candidate_runs, count(*) FILTER (side = 'base' AND passed) AS base_passes, count(*) FILTER (side = 'candidate' AND passed) AS candidate_passes FROM sided GROUP BY 1),
 d AS (SELECT *, CASE WHEN base_runs > 0 AND candidate_runs > 0 THEN 'both' WHEN base_runs > 0 THEN 'base_only' ELSE 'candidate_only' END AS presence, CASE WHEN base_runs > 0 AND candidate_runs > 0 THEN candidate_passes::DOUBLE / candidate_runs - base_passes::DOUBLE / base_runs END AS ch FROM c)"""
@@ -185,6 +209,11 @@ SELECT "by", "group", count(*) AS total, count(*) FILTER (answer IS NOT NULL AND
 c AS (SELECT count(*) FILTER (x = 'judged') AS judged, count(*) FILTER (x = 'no_gate') AS no_gate, count(*) FILTER (x = 'ungraded') AS ungraded, count(*) FILTER (x = 'fp') AS false_positive, count(*) FILTER (x = 'tp') AS true_positive, count(*) FILTER (x = 'fn') AS false_negative, count(*) FILTER (x = 'tn') AS true_negative FROM l)
 SELECT *, floor(false_positive::DOUBLE / nullif(false_positive + true_positive, 0) * 1e6 + 0.5) / 1e6 AS false_positive_rate FROM c""",
     "label_breakdown": "SELECT lang, source, count(*) AS n, sum(toxic)::BIGINT AS toxic, sum(quality)::BIGINT AS quality FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((lang), (source), ())",
+    "ab_tally": f"WITH {_SIDES_ROWS} SELECT side, qid, count(*) AS runs, count(*) FILTER (passed) AS passes, count(*) FILTER (withheld) AS withheld FROM sided GROUP BY 1, 2",
+    "gate_false_positives": f"""WITH {_RUNS}, e AS (SELECT ord, (props->>'k')::INTEGER AS k FROM runs JOIN events ON event_id = ord WHERE runs.event_type NOT IN ('click', 'error') AND warned AND whp)
+SELECT c AS "check", count(*) AS n FROM (SELECT 'c' || k // 25 AS c FROM e UNION ALL SELECT CASE WHEN k % 2 = 1 THEN 'odd' ELSE 'even' END FROM e) GROUP BY 1""",
+    "replay_buckets": """WITH o AS (SELECT o_orderkey % 17 = 0 AS e, o_orderkey % 7 = 0 AS drift, o_totalprice > 200000 AS was, o_totalprice > 250000 OR o_orderkey % 10 = 3 AS now, o_orderkey % 3 > 0 AND o_orderkey % 3 <> o_orderkey % 2 + 1 AS other, CASE o_orderstatus WHEN 'P' THEN 'ungraded' WHEN 'F' THEN 'correct' ELSE 'wrong' END AS g FROM orders)
+SELECT CASE WHEN e THEN 'errored' WHEN was = now AND NOT (was AND other) THEN 'same' WHEN drift THEN 'drifted_change' WHEN was AND NOT now THEN 'recovered_' || g WHEN now AND NOT was THEN 'newly_refused_' || g ELSE 'check_change' END AS bucket, count(*) AS runs, count(*) FILTER (drift) AS drifted FROM o GROUP BY 1""",
     "trace_counts": f"WITH {_RECORDS} SELECT kind, k, count(*) AS n, min(ord) AS first_seen FROM records GROUP BY 1, 2",
     "trace_filter": f"WITH {_RECORDS} SELECT ord, timestamp, run_id, kind FROM records WHERE timestamp >= '2024-01-05' AND timestamp < '2024-01-20T12' AND kind IN ('error', 'purchase')",
     "run_timeline": f"WITH {_RECORDS} SELECT run_id, min(timestamp) AS first, count(*) AS n, string_agg(kind, ' > ' ORDER BY timestamp, ord) AS steps FROM records GROUP BY 1",

@@ -109,12 +109,12 @@ def replay_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replay(spark, sf_dir).select("run_id", "ord", "tool", "error", got("found", "boolean").alias("found"), rounded(got("value", "double"), 4).alias("value"), companies.alias("companies"), got("result_count", "bigint").alias("result_count"))
 
 
-def replay_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def replay_run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per run its first error and how many calls before it came out otherwise than logged."""
     return replay.run_outcomes(_replay(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (submissions_scan, numbered_scan, score_store_reuse, trace_log_exactly_once, replay_calls, replay_outcomes)}
+QUERIES = {f.__name__: f for f in (submissions_scan, numbered_scan, score_store_reuse, trace_log_exactly_once, replay_calls, replay_run_outcomes)}
 
 _ARRAY = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
 _REPLAY_SQL = f"""{NATION_SQL},
@@ -145,7 +145,7 @@ FROM orders WHERE o_orderstatus IN ('P', 'F') AND o_orderdate >= DATE '1998-01-0
 SELECT count(*) AS n_calls, sum(length(replace(e.text, chr(10), '')))::BIGINT AS total, count(o.lang) AS hits, count(*) - count(o.lang) AS misses FROM e LEFT JOIN (SELECT DISTINCT lang, text FROM d) o ON o.lang = e.lang AND o.text = e.text""",
     "trace_log_exactly_once": """SELECT user_id::VARCHAR AS run_id, count(*) AS n, count(DISTINCT event_type) AS kinds, min(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')) AS first FROM events GROUP BY 1""",
     "replay_calls": f"WITH {_REPLAY_SQL} SELECT run_id, ord, tool, error, found, floor(value * 1e4 + 0.5) / 1e4 AS value, companies, result_count FROM outs",
-    "replay_outcomes": f"""WITH {_REPLAY_SQL}, drifts AS (SELECT run_id, ord, error, error IS NULL AND (coalesce(NOT found, false) OR value IS NOT NULL OR companies IS NOT NULL OR coalesce(result_count <> 25, false)) AS drift FROM outs),
+    "replay_run_outcomes": f"""WITH {_REPLAY_SQL}, drifts AS (SELECT run_id, ord, error, error IS NULL AND (coalesce(NOT found, false) OR value IS NOT NULL OR companies IS NOT NULL OR coalesce(result_count <> 25, false)) AS drift FROM outs),
 ends AS (SELECT run_id, count(*) AS calls, min(ord) FILTER (error IS NOT NULL) AS e FROM drifts GROUP BY 1)
 SELECT run_id, calls, any_value(error) FILTER (ord = e) AS error, count(*) FILTER (drift AND (e IS NULL OR ord < e)) AS drift FROM drifts JOIN ends USING (run_id) GROUP BY run_id, calls""",
 }

@@ -20,3 +20,8 @@ def test_entry(spark):
 
     assert driver.entry(spark).count() > 0
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+def test_names_are_unique():
+    """No module's query hides another's."""
+    assert len(catalog.QUERIES) == sum(len(m.QUERIES) for m in catalog._MODULES) and set(catalog.ORACLES) <= set(catalog.QUERIES)

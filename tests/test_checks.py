@@ -204,3 +204,63 @@ def test_gold_helpers(spark):
     assert {r.doc_id: r.bm25 for r in ranked.collect()} == {1: 5, 2: None}
     causes = spark.createDataFrame([(3, 9, False, True, 1, 20), (9, 3, False, True, 1, 20), (9, 9, True, False, 15, 20), (9, 9, True, True, 15, 20)], "combined_rank int, ce_rank int, rescuable boolean, table_in_final boolean, pool_pos int, pool int")
     assert [r.c for r in causes.select(goldrank.rerank_cause().alias("c")).collect()] == ["rescue", "fusion", "rescue_threshold", "model"]
+
+
+def test_more_question_checks(spark):
+    schema = (
+        "id string, type string, ticker string, tickers array<string>, expected_value double, expected_unit string, expected array<struct<label:string,companies:array<string>>>, accepted array<string>, refusal_kind string, "
+        "traps array<struct<value:double,unit:string,ticker:string>>, absence_terms array<string>, derivation string, xbrl_source struct<tag:string,accession:string,end:string>"
+    )
+    rows = [
+        ("ok", "numeric", "A", None, 5.0, "raw", None, None, None, [(100.0, "raw", None)], None, None, ("T", "a1", "2024")),
+        ("two", "numeric", None, ["A", "B"], 5.0, "percent", None, None, None, [(100.0, "raw", None), (7.0, "raw", "A")], None, "x", ("T", "a1", "2024")),
+        ("gone", "text", "A", None, None, None, None, ["x"], None, None, ["term"], "x", None),
+    ]
+    q = spark.createDataFrame(rows, schema)
+    companies = spark.createDataFrame([("A",), ("B",)], "ticker string")
+    gold = spark.createDataFrame([("ok", "value", "A", "x", 1), ("two", "value", "A", "x", 1)], "id string, part string, ticker string, anchor string, found int")
+    found = sorted((r.id, r.check, r.level) for r in questions.check_questions(q, companies, gold, spark.createDataFrame([], "id string")).collect())
+    assert found == [("gone", "field_of_other_type", "error")] * 2 + [("two", "trap_without_ticker", "error")] + [("two", "xbrl_source", "error")] * 3
+    facts = spark.createDataFrame([("a1", "T", "2024", 5.04), ("a2", "T", "2024", 6.0), ("a3", "T", "2024", 5.01), ("a1", "U", "2024", 9.0)], "accn string, tag string, end string, val double")
+    asked = spark.createDataFrame([("fits", 5.0, 1, ("T", "a1", "2024")), ("wrong", 5.0, 1, ("U", "a1", "2024")), ("none", 5.0, 1, ("T", "a9", "2024"))], "id string, value double, decimals int, xbrl_source struct<tag:string,accession:string,end:string>")
+    told = sorted((r.id, r.level, r.message) for r in questions.check_source_facts(asked, facts).collect())
+    assert told == [("fits", "warning", "another filing reports 6.0: a2"), ("none", "error", "no fact of T in a9"), ("wrong", "error", "U in a1 is 9.0")]
+    chunks = spark.createDataFrame([("ok", "c1", "A"), ("two", "c2", "B"), ("two", "c3", "A")], "id string, doc_id string, ticker string")
+    figures = spark.createDataFrame([("c1", 100.5, "raw"), ("c2", 7.0, "raw"), ("c2", 100.0, "raw"), ("c3", 7.0, "percent")], "doc_id string, value double, unit string")
+    assert [(r.id, r.message) for r in questions.traps_beside_answer(q, chunks, figures).collect()] == [("ok", "trap 100.0 is printed in gold chunk c1")]
+
+
+def test_replay_and_report_rules(spark):
+    with pytest.raises(ValueError, match="ISO"):
+        trace.matches(since="2024-13x")
+    assert trace.iso_prefix("2024-01-05T08:53") == "2024-01-05T08:53"
+    schema = "run_id int, error string, base_error string, drift boolean, refused_then boolean, refused_now boolean, checks_then string, checks_now string, messages_then string, messages_now string, correct boolean"
+    rows = [
+        (1, "boom", None, False, True, False, None, None, None, None, True), (2, "boom", "boom", False, True, True, None, None, None, None, True), (3, None, None, True, True, False, None, None, None, None, True),
+        (4, None, None, False, True, False, None, None, None, None, None), (5, None, None, False, False, True, None, None, None, None, False), (6, None, None, False, True, True, "a", "b", None, None, True),
+        (7, None, None, False, False, False, "a", "b", None, None, True), (8, None, None, False, False, False, None, None, "m", "n", True),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    buckets = lambda logged: [r.b for r in df.select("run_id", trace.replay_bucket(logged).alias("b")).orderBy("run_id").collect()]
+    assert buckets(True) == ["errored", "errored", "drifted_change", "recovered_ungraded", "newly_refused_wrong", "check_change", "same", "check_change"]
+    assert buckets(False) == ["errored", "errored_unchanged", "recovered_correct", "recovered_ungraded", "newly_refused_wrong", "check_change", "same", "check_change"]
+    grades = spark.createDataFrame([(True, False, True, True), (True, False, False, True), (False, True, False, False), (True, False, False, False), (None, True, True, True), (True, True, True, True)], "was_correct boolean, correct boolean, drift boolean, refused_now boolean")
+    assert [r.g for r in grades.select(trace.grade_change().alias("g")).collect()] == ["tool_drift", "refused", "now_correct", "now_wrong", None, None]
+    row = spark.createDataFrame([("x", True, 0), ("x", False, 2), (None, False, 2)], "answer string, has_citation boolean, n_warnings int")
+    assert [r.f for r in row.select(evalstats.citation_flags().alias("f")).collect()] == ["", "  [no citation]  [unverified citation]", ""]
+    long = spark.createDataFrame([("a\n b",), ("x" * 200,)], "t string").select(evalstats.truncated(F.col("t")).alias("t")).collect()
+    assert long[0].t == "a b" and len(long[1].t) == 150 and long[1].t.endswith("x...")
+    asked = spark.createDataFrame([("1", "A", None, "q?", "numeric", "c"), ("2", None, ["A", "B"], "q?", "judged", None)], "id string, ticker string, tickers array<string>, question string, type string, category string")
+    assert [tuple(r) for r in evalstats.row_identity(asked).orderBy("id").collect()] == [("1", "A", "q?", "numeric", "c"), ("2", "A,B", "q?", "judged", None)]
+    report = spark.createDataFrame([('{"queries": [{"query": "q", "ticker": null, "qids": ["1", "2"]}]}',)], "r string").select(F.try_parse_json("r").alias("report"))
+    assert [tuple(r) for r in goldrank.queries_of_report(report).collect()] == [("q", None, ["1", "2"])]
+    order = spark.createDataFrame([("regression", 9, 3, 1, "b"), ("regression", 9, 6, 5, "a"), ("flaky", 10, 0, 4, "d"), ("flaky", 10, 0, 2, "c")], "class string, runs int, fail_streak int, passes int, qid string")
+    assert [r.qid for r in order.orderBy(*evalstats.section_order(order)).collect()] == ["c", "d", "a", "b"]
+
+
+def test_text_rules_without_a_query(spark):
+    df = spark.createDataFrame([("Non-GAAP “Net”  income ﬁgures", "See [1] and [ACME 10-K reportDate=2024-01-01] end [2]")], "a string, b string")
+    row = df.select(text.folded(F.col("a")).alias("a"), text.without_citations(F.col("b")).alias("b")).first()
+    assert row.a == "non gaap net income figures" and row.b.split() == ["See", "and", "end"]
+    years = spark.createDataFrame([("FY", "2026-01-31", 2025), ("Q1", "2026-01-31", 2025)], "fp string, end string, fy int")
+    assert [r.y for r in years.select(fiscal.resolved_fiscal_year(F.col("fp"), F.col("end").cast("date"), F.col("fy")).alias("y")).collect()] == [2026, 2025]

@@ -190,7 +190,7 @@ def test_coverage_of_long_texts_is_fast():
     assert not exact and share > 0.99 and longest == 4000
 
 
-@pytest.mark.parametrize("name", ["submissions_scan", "numbered_scan", "score_store_reuse", "trace_log_exactly_once", "replay_calls", "replay_outcomes"])
+@pytest.mark.parametrize("name", ["submissions_scan", "numbered_scan", "score_store_reuse", "trace_log_exactly_once", "replay_calls", "replay_run_outcomes"])
 def test_queries(spark, sf_dir, name):
     from factloom import catalog
     from tests.oracle import assert_same
