@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.batch import batch_function
+
 #: The fields that a replayed call of each tool is compared in, and the questions of a report that names none.
 OBSERVED = {"search_filings": ("result_count",), "get_financial_fact": ("found", "value"), "calculate": ("found", "value"), "compare_financial_metric": ("found", "companies")}
 DEFAULT_QUESTIONS = "eval/eval_questions.jsonl"
@@ -74,13 +77,19 @@ def fact_source(ticker: Column, period_end: Column, accession: Column, form: Col
     return F.to_json(F.struct(*[c.alias(name) for name, c in named.items()]))
 
 
+#: Control characters as escapes; the others outside of ASCII are written so by the codec.
+_CONTROLS = {c: f"\\x{c:02x}" for c in (*range(32), 127)} | {9: r"\t", 10: r"\n", 13: r"\r"}
+
+
+@batch_function("string")
+def _printable(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else t.translate(_CONTROLS).encode("ascii", "backslashreplace").decode("ascii"))
+
+
 def printable(text: Column) -> Column:
-    """The text with every character outside of printable ASCII written as an escape, so that no text controls a terminal."""
-    hexed = lambda c, n: F.lpad(F.lower(F.hex(F.ascii(c))), n, "0")
-    short = lambda c: F.when(F.ascii(c) == 9, r"\t").when(F.ascii(c) == 10, r"\n").when(F.ascii(c) == 13, r"\r")
-    escaped = lambda c: F.coalesce(short(c), F.when(F.ascii(c) < 256, F.concat(F.lit(r"\x"), hexed(c, 2))).when(F.ascii(c) < 65536, F.concat(F.lit(r"\u"), hexed(c, 4))).otherwise(F.concat(F.lit(r"\U"), hexed(c, 8))))
-    each = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c.rlike("^[ -~]$"), c).otherwise(escaped(c)))
-    return F.array_join(each, "")
+    """The text with every character outside of printable ASCII written as an escape, so that no text controls a terminal. Texts that
+    are printable as they are never leave the JVM."""
+    return F.when(text.rlike("^[ -~]*$"), text).otherwise(_printable(text))
 
 
 def clipped(json: Column, n: int) -> Column:
