@@ -43,6 +43,8 @@ LINK_SHARE = 0.8
 LAYOUTS = 8
 #: Cells of a table of sums that is held whole.
 TABLE_CELLS = 1_000_000
+#: Cells up to which plain lists are faster than arrays.
+SMALL_CELLS = 1_000
 #: Levels of a page that tell its layout.
 LAYOUT_LEVELS = 4
 #: Bytes of reference trees up to which they are broadcast.
@@ -320,8 +322,22 @@ def _rows(left: list, right: list, weights: dict) -> Iterator[np.ndarray]:
         yield found
 
 
-def _row(left: list, right: list, weights: dict) -> np.ndarray:
+def _table(left: list, right: list, weights: dict) -> list[list[int]]:
+    """Largest sums of matches of the first 0, 1, ... of ``left`` with the first 0, 1, ... of ``right``; for short rows, without arrays."""
+    best = [[0] * (len(right) + 1)]
+    for x in left:
+        above, row, last = best[-1], [0], 0
+        for j, y in enumerate(right):
+            last = max(above[j + 1], last, above[j] + (_weight(x, y, weights) if x.symbol == y.symbol else 0))
+            row.append(last)
+        best.append(row)
+    return best
+
+
+def _row(left: list, right: list, weights: dict) -> list[int] | np.ndarray:
     """Largest sums of matches of all of ``left`` with the first 0, 1, ... of ``right``."""
+    if len(left) * len(right) <= SMALL_CELLS:
+        return _table(left, right, weights)[-1]
     row = np.zeros(len(right) + 1, np.int32)
     for found in _rows(left, right, weights):
         row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + found))
@@ -350,17 +366,20 @@ def _aligned_siblings(left: list, right: list, weights: dict) -> list[tuple]:
         return []
     if m > 1 and m * n > TABLE_CELLS:
         half = m // 2
-        upper, lower = _row(left[:half], right, weights), _row(left[half:][::-1], right[::-1], weights)[::-1]
+        upper, lower = np.asarray(_row(left[:half], right, weights)), np.asarray(_row(left[half:][::-1], right[::-1], weights))[::-1]
         cut = int(np.argmax(upper + lower))
         return _aligned_siblings(left[:half], right[:cut], weights) + _aligned_siblings(left[half:], right[cut:], weights)
-    best = np.zeros((m + 1, n + 1), np.int32)
-    for i, found in enumerate(_rows(left, right, weights)):
-        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + found))
+    if m * n <= SMALL_CELLS:
+        best = _table(left, right, weights)
+    else:
+        best = np.zeros((m + 1, n + 1), np.int32)
+        for i, found in enumerate(_rows(left, right, weights)):
+            best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + found))
     pairs, i, j = [], m, n
     while i and j:
-        if best[i, j] == best[i - 1, j]:
+        if best[i][j] == best[i - 1][j]:
             i -= 1
-        elif best[i, j] == best[i, j - 1]:
+        elif best[i][j] == best[i][j - 1]:
             j -= 1
         else:
             i, j = i - 1, j - 1
