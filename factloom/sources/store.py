@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.corpus import manifest_diff
-from factloom.sources.shared import small_side
+from factloom.sources.shared import small_side, written
 from factloom.sources.versions import Conflict, VersionedFolder
 
 __all__ = ["ChunkStore", "Conflict", "Update"]
@@ -117,9 +117,11 @@ class ChunkStore(VersionedFolder):
     ) -> Update:
         """Bring the store to ``files`` (relpath, sha, accession); ``chunks`` has the rows of all of them. ``prepare`` adds what an index
         needs, as tokens or embeddings; only rows of new and changed files get that far."""
-        reason, actions = self.plan(files, recipe, forced)
+        version = self.next_version()  # taken before anything is read: who commits it meanwhile makes this update a conflict
+        listed = self.stage(files.select("relpath", "sha", "accession"), "files")  # digests are made once
+        reason, actions = self.plan(self.read(listed), recipe, forced)
+        actions = written(actions, "actions")
         sidecar = self.head_or_none() if reason is None else None
-        version = self.next_version()
         changes = {r.action: r["count"] for r in actions.where("action <> 'unchanged'").groupBy("action").count().collect()}
         if reason is None and not changes:
             return Update(sidecar["version"], None, 0, 0)
@@ -138,8 +140,7 @@ class ChunkStore(VersionedFolder):
             segments, before = [*sidecar["segments"], segment], sidecar["rows"]
         made = derive(self.tables(sidecar) if sidecar else {}, fresh, left) if derive else {}
         tables = {name: self.stage(df, f"tables/{name}") for name, df in made.items()}
-        written = self.stage(files.select("relpath", "sha", "accession"), "files")
-        now = {"version": version, "sha": sha, "recipe": recipe, "indexed_at": indexed_at, "segments": segments, "gone": gone, "gone_rows": gone_rows, "files": written, "tables": tables}
+        now = {"version": version, "sha": sha, "recipe": recipe, "indexed_at": indexed_at, "segments": segments, "gone": gone, "gone_rows": gone_rows, "files": listed, "tables": tables}
         added = fresh.count()
         rows = self.rows(now).count()
         self.commit(version, {**now, "rows": rows})
@@ -147,8 +148,7 @@ class ChunkStore(VersionedFolder):
 
     def compact(self) -> int:
         """Write the live rows as one segment without deletions; the rows keep their versions. Returns the new version."""
-        sidecar = self.head()
-        version = self.next_version()
+        version, sidecar = self.next_version(), self.head()
         segment = self.stage(self.rows(sidecar), "segments")
         self.commit(version, {**sidecar, "version": version, "segments": [segment], "gone": None, "gone_rows": 0})
         return version

@@ -91,6 +91,10 @@ def test_a_slower_writer_sees_a_conflict(spark, tmp_path):
     with pytest.raises(Conflict):
         store.commit(1, {"sha": "second"})
     assert store.head()["sha"] == "first" and store.versions() == [1]
+    chunks, files = chunks_of(spark, {"f": ("a", "A", ["x"])})
+    with pytest.raises(Conflict):  # another writer commits while this update is under way
+        store.update(chunks, files, RECIPE, "slow", prepare=lambda rows: (store.commit(2, {"sha": "quick"}), rows)[1])
+    assert store.head()["sha"] == "quick"
 
 
 def test_deletion_goes_by_accession(spark, tmp_path):
