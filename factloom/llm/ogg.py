@@ -1,10 +1,11 @@
 """Media columns in Ogg: texts stored losslessly as 8-bit samples in pages of two multiplexed logical streams.
 
 Writing: the padded payload is cut into packets of ``PACKET`` samples, dealt in turn to two logical streams; each stream
-begins with a header packet of its own; pages hold up to 255 lacing values, a granule position and a checksum.
+begins with a header packet of its own; pages hold up to ``LACES`` lacing values (about 4 kB), a granule position and a
+checksum, so of three packets that follow a full page two go on from one page to the next.
 Reading needs only the bytes: pages are found by their capture pattern, checksums are verified, packets are reassembled from
-lacing values (across pages where a packet continues), logical streams are told apart by serial number, and the end time
-of each packet is derived from granule positions.
+lacing values (across pages where a packet continues), logical streams are told apart by serial number, the end time
+of each packet is derived from granule positions, and the payload is put together in the order of these times.
 
 Nulls and edge cases: a null text counts as empty; every payload is at least one packet; equal texts give equal bytes;
 a damaged page raises ``ValueError`` in ``read_ogg``; rows are independent, so ties, repeated rows and a null ``doc_id``
@@ -27,6 +28,8 @@ from factloom.llm.common import text_batches
 PACKET = 576
 RATE = 8000
 STREAMS = 2
+#: Lacing values of a page; not a multiple of the three that a packet takes.
+LACES = 20
 MAGIC = b"\x7fU8PCM\x00"
 PAGE_HEAD = struct.Struct("<4sBBqIIIB")
 CONTINUED, FIRST, LAST = 1, 2, 4
@@ -58,12 +61,12 @@ def _pages(serial: int, header: bytes, packets: list[bytes]) -> Iterator[bytes]:
     yield page(FIRST | (0 if packets else LAST), 0, 0, bytes([len(header)]), header)
     lacing = b"".join(b"\xff" * (len(p) // 255) + bytes([len(p) % 255]) for p in packets)
     body, number, samples, at, continued = b"".join(packets), 1, 0, 0, False
-    for start in range(0, len(lacing), 255):
-        part = lacing[start : start + 255]
+    for start in range(0, len(lacing), LACES):
+        part = lacing[start : start + LACES]
         size = sum(part)
         done = sum(v < 255 for v in part)  # packets that end on this page
         samples += done * PACKET
-        flags = (CONTINUED if continued else 0) | (LAST if start + 255 >= len(lacing) else 0)
+        flags = (CONTINUED if continued else 0) | (LAST if start + LACES >= len(lacing) else 0)
         yield page(flags, samples if done else -1, number, part, body[at : at + size])
         at, number, continued = at + size, number + 1, part[-1] == 255
 
@@ -120,13 +123,10 @@ def read_ogg(data: bytes) -> dict[int, dict]:
 
 
 def payload_from(streams: dict[int, dict]) -> tuple[bytes, int]:
-    """Payload and real size, from the demultiplexed streams in the order of their packets' times."""
-    ordered = sorted(streams.values(), key=lambda s: s["index"])
-    count = sum(len(s["packets"]) for s in ordered)
-    packets: list[bytes] = [b""] * count
-    for stream in ordered:
-        packets[stream["index"] :: stream["of"]] = stream["packets"]
-    return b"".join(packets), ordered[0]["size"]
+    """Payload and real size: the packets of all streams by their times, those of one time by the streams' indexes."""
+    timed = [(time, s["index"], packet) for s in streams.values() for time, packet in zip(s["times"], s["packets"], strict=True)]
+    timed.sort(key=lambda t: t[:2])
+    return b"".join(packet for _, _, packet in timed), next(iter(streams.values()))["size"]
 
 
 def feature(streams: dict[int, dict], payload: bytes) -> str:

@@ -5,7 +5,10 @@ whose characters per token fall below ``MAX_CHARS_PER_TOKEN`` is reported as kin
 length, UUIDs) and plain numbers and dates are excluded before the test; the fixed patterns still report what they match.
 Words in any case, with or without separators, are left to the test: of random strings of 16 to 40 letters, digits or
 base-64 signs at least 95 in 100 fall below the ratio (of lower-case letters alone 3 in 4), of 1,100 invented words of
-16 letters and more 3 do.
+16 letters and more 3 do. The fewer the tokens, the more the ratio varies, so strings of ``SHORT`` to ``LONG - 1``
+characters have the lower bound ``SHORT_CHARS_PER_TOKEN``, and those with separators are left out, as codes and paths of
+that length are cut as finely: of random letters and digits 9 in 10 fall below it (of lower-case letters alone a third),
+of 26,000 invented words 5 do.
 
 Nulls and edge cases: a null text counts as empty and has no span; very long candidates are measured whole; rows are
 independent, so ties, repeated rows and a null ``doc_id`` need no care. Other columns are not read.
@@ -32,8 +35,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "random")
 #: Strings that are put to the token-efficiency test.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+SHORT, LONG = 12, 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{SHORT},}}={{0,2}}")
+SEPARATOR = re.compile(r"[/_-]")
 MAX_CHARS_PER_TOKEN = 1.85
+SHORT_CHARS_PER_TOKEN = 1.65
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 NUMBER = re.compile(r"[0-9_/+-]+")
@@ -71,7 +77,10 @@ def random_spans(text: str, encoding: tiktoken.Encoding) -> list[tuple[int, int,
     """(start, kind, end) of strings with few characters per token."""
     found = []
     for m in CANDIDATE.finditer(text):
-        if not known(m[0]) and len(m[0]) < MAX_CHARS_PER_TOKEN * len(encoding.encode_ordinary(m[0])):
+        short = len(m[0].rstrip("=")) < LONG
+        if known(m[0]) or short and SEPARATOR.search(m[0]):
+            continue
+        if len(m[0]) < (SHORT_CHARS_PER_TOKEN if short else MAX_CHARS_PER_TOKEN) * len(encoding.encode_ordinary(m[0])):
             found.append((m.start(), 3, m.end()))
     return found
 

@@ -230,6 +230,7 @@ def test_secrets(spark, docs):
     assert got[3].n_random == 1 and got[3].found == [key] and got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert got[4].spans == "" and got[5].spans == ""
     assert secrets.secret_spans(docs, catalog.vocabulary("byte_bpe_50k.tiktoken")).count() == len(TEXTS)
+    assert secrets.secret_spans(docs.limit(0), catalog.vocabulary("byte_bpe_50k.tiktoken")).count() == 0
 
 
 def test_pii(spark, docs):
@@ -270,6 +271,15 @@ def test_ogg(spark, docs):
         assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
         streams = ogg.read_ogg(bytes(r.media))
         assert all(s["times"] == [(i + 1) * 576 / 8000 for i in range(len(s["packets"]))] for s in streams.values())
+    assert ogg.ogg_column(docs.limit(0)).count() == 0
+    text = "".join(random.Random(6).choice("abcdefgh ") for _ in range(60_000))
+    media = ogg.write_ogg(*ogg.payload_of(text))
+    heads = [i for i in range(len(media)) if media.startswith(b"OggS", i)]
+    continued = [i for i in heads if media[i + 5] & ogg.CONTINUED]
+    assert len(heads) == 18 and len(continued) * 3 > len(heads)
+    streams = ogg.read_ogg(media)
+    assert ogg.payload_from(streams) == ogg.payload_of(text)
+    assert ogg.payload_from(dict(reversed(streams.items()))) == ogg.payload_of(text)
     damaged = bytearray(ogg.write_ogg(*ogg.payload_of("x" * 200_000)))
     damaged[5000] ^= 1
     with pytest.raises(ValueError, match="damaged"):
@@ -474,6 +484,11 @@ def test_secret_spans_against_brute_force():
     for size in (16, 19, 24, 40):
         hits = [len(secrets.random_spans("x " + "".join(rng.choice(letters) for _ in range(size)) + ".", encoding)) for _ in range(200)]
         assert sum(hits) >= 190
+    for size in (12, 13, 14, 15):
+        hits = [len(secrets.random_spans("x " + "".join(rng.choice(letters + "0123456789") for _ in range(size)) + ".", encoding)) for _ in range(200)]
+        assert sum(hits) >= 175
+    for word in ("refrigerator", "Schifffahrten", "getUserName42", "AB-1234-CD-56", "in/on/at/by/x", "123456789012", "2024-01-01T12", "disestablish=="):
+        assert not secrets.random_spans(word, encoding)
     for word in ("internationalization", "an_ordinary_identifier_name_here", "getUserAccountInformation", "test-driven-development", "1234567890123456", "2024-01-01/2024-12-31", "d41d8cd98f00b204e9800998ecf8427e"):
         assert not secrets.random_spans(word, encoding)
     many = " ".join(["token=abcdef1", "kQzXvBnMpLrTyWsDfG42"] * 50_000)
