@@ -13,8 +13,29 @@ POOL = 25
 OWN_FILING = 10
 
 
-#: Gold rows of one query that are counted against in one group.
-GOLD_BLOCK = 256
+#: Gold places in a node of the tree that rows go down.
+FANOUT = 64
+
+
+def _with_rank(out: DataFrame, placed: DataFrame, name: str, groups: list[str]) -> DataFrame:
+    """Adds a row's number in its groups: its place in its task's part of a group plus the sizes of the parts before.
+
+    ``placed`` has ``_part`` and ``_pos`` of rows sorted over all tasks; ``out`` is it or made from it.
+    """
+    sizes = placed.groupBy(*groups, "_part").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    before = sizes.select(*(F.col(c).alias(f"_k_{c}") for c in (*groups, "_part")), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*groups, "_part").orderBy("_pos")
+    same = F.col("_part") == F.col("_k__part")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_k_{g}"))
+    out = out.join(before, same).drop(*(f"_k_{c}" for c in (*groups, "_part")))
+    return out.withColumn(name, (F.row_number().over(inside) + F.col("_before")).cast("int")).drop("_before")
+
+
+def _sorted(order: DataFrame, keys: list[Column], name: str) -> DataFrame:
+    placed = order.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return written(placed.withColumn("_pos", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()), name)
 
 
 def rank_stats(order: DataFrame) -> DataFrame:
@@ -25,55 +46,58 @@ def rank_stats(order: DataFrame) -> DataFrame:
     task holds the order of a whole query, however many rows one has. Where only some rows' ranks are asked for, ``gold_ranks``
     needs no sort at all.
     """
-    keys = [F.col("query_id"), F.col("score").desc(), F.col("doc_id")]
-    placed = written(order.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_pos", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()), "order")
+    placed = _sorted(order, [F.col("query_id"), F.col("score").desc(), F.col("doc_id")], "order")
     out = placed
     for name, groups in (("rank", ["query_id"]), ("_ticker_rank", ["query_id", "ticker"]), ("own_filing_rank", ["query_id", "ticker", "filing"])):
-        sizes = placed.groupBy(*groups, "_part").agg(F.count("*").alias("_n"))
-        ahead = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
-        before = sizes.select(*(F.col(c).alias(f"_k_{c}") for c in (*groups, "_part")), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-        inside = Window.partitionBy(*groups, "_part").orderBy("_pos")
-        same = F.col("_part") == F.col("_k__part")
-        for g in groups:
-            same = same & F.col(g).eqNullSafe(F.col(f"_k_{g}"))
-        out = out.join(before, same).drop(*(f"_k_{c}" for c in (*groups, "_part")))
-        out = out.withColumn(name, (F.row_number().over(inside) + F.col("_before")).cast("int")).drop("_before")
+        out = _with_rank(out, placed, name, groups)
     return out.withColumns({"other_filing_ahead": F.col("_ticker_rank") - F.col("own_filing_rank"), "other_ticker_ahead": F.col("rank") - F.col("_ticker_rank")}).drop("_ticker_rank", "_pos", "_part")
 
 
 def gold_ranks(order: DataFrame, gold: DataFrame) -> DataFrame:
     """The columns of ``rank_stats`` for the rows of order (query_id, doc_id, filing, ticker, score) that gold (query_id, doc_id) names.
 
-    Every row is counted once into the interval between two gold rows of its query that it falls in, summed up in the tasks
-    before anything is shuffled; ranks are sums of counts. Gold rows of a query are taken in blocks of about ``GOLD_BLOCK``.
-    Gold rows that are not in the order, for which there is no rank, have no row. Each row is named once.
+    Every row is counted once into the interval between two gold rows of its query that it falls in; ranks are sums of counts.
+    A row finds its interval in a tree over the query's sorted gold places with ``FANOUT`` places a node, so it meets one node a
+    level however many gold rows there are, and the same levels sum up the intervals ahead: no group holds more than a node's.
+    Only gold rows are sorted. Gold rows that are not in the order, for which there is no rank, have no row. Each row is named once.
     """
     order = written(order.select("query_id", "doc_id", "ticker", "filing", "score"), "order")  # read twice, made once
     place = F.struct((-F.col("score")).alias("s"), F.col("doc_id").alias("d"))
-    named = order.join(gold.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", "ticker", "filing", "score", place.alias("_place"))
-    sizes = named.groupBy("query_id").agg(F.ceil(F.count("*") / GOLD_BLOCK).alias("_blocks"))
-    dealt = written(named.join(sizes, "query_id").withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int")).drop("_blocks"), "gold")
-    blocks = dealt.groupBy("query_id", "_block").agg(F.array_sort(F.collect_list("_place")).alias("_gold"))
-    better_gold = F.size(F.filter("_gold", lambda g: g <= place))  # 0: better than all of the block
-    counted = order.join(blocks, "query_id").groupBy("query_id", "_block", better_gold.alias("_at"), "ticker", "filing").agg(F.count("*").alias("n"))
-    counted = written(counted, "intervals")
-    own = dealt.join(blocks, ["query_id", "_block"]).withColumn("_own", F.array_position("_gold", F.col("_place"))).drop("_gold", "_place")
-
-    def ahead(name: str, *same: str) -> DataFrame:
-        keys = ("query_id", "_block", *same)
-        sums = counted.groupBy("_at", *(F.col(c).alias(f"_k_{c}") for c in keys)).agg(F.sum("n").alias("n"))
-        on = F.col("_at") < F.col("_own")
-        for c in keys:
-            on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-        return own.join(sums, on).groupBy("query_id", "doc_id").agg(F.sum("n").alias(name))
-
-    out = own.select("query_id", "doc_id", "ticker", "filing", "score")
-    for name, same in (("_all", ()), ("_ticker", ("ticker",)), ("_filing", ("ticker", "filing"))):
-        out = out.join(ahead(name, *same), ["query_id", "doc_id"], "left")
-    count = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.select(
-        "query_id", "doc_id", "ticker", "filing", "score", (count("_all") + 1).cast("int").alias("rank"), (count("_filing") + 1).cast("int").alias("own_filing_rank"),
-        (count("_ticker") - count("_filing")).cast("int").alias("other_filing_ahead"), (count("_all") - count("_ticker")).cast("int").alias("other_ticker_ahead"),
+    named = order.join(gold.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
+    placed = _sorted(named, [F.col("query_id"), F.col("score").desc(), F.col("doc_id")], "gold")
+    own = written(_with_rank(placed, placed, "_own", ["query_id"]).drop("_pos", "_part").withColumn("_own", F.col("_own").cast("long")), "ranked-gold")
+    most = own.agg(F.max("_own")).first()[0] or 0
+    levels = next(d for d in range(1, 99) if FANOUT**d > most)
+
+    def node(c: str, level: int) -> Column:
+        return F.floor(F.col(c) / F.lit(FANOUT**level))
+
+    counted = order.withColumn("_node", F.lit(0).cast("long"))
+    places = own.select("query_id", (F.col("_own") - 1).alias("_g"), place.alias("_place"))
+    for level in range(levels, 0, -1):
+        keys = places.where(F.col("_g") % FANOUT ** (level - 1) == 0).groupBy("query_id", node("_g", level).alias("_node")).agg(F.array_sort(F.collect_list("_place")).alias("_keys"))
+        passed = F.size(F.filter("_keys", lambda key: key <= place))
+        inner = level > 1  # down to the last child that does not begin behind the row; at a leaf, the gold rows up to the row's place
+        counted = counted.join(keys, ["query_id", "_node"]).withColumn("_node", F.col("_node") * FANOUT + (F.greatest(passed - 1, F.lit(0)) if inner else passed)).drop("_keys")
+    counted = written(counted.groupBy("query_id", F.col("_node").alias("_own"), "ticker", "filing").agg(F.count("*").alias("n")), "intervals")
+
+    def spread(rows: DataFrame) -> DataFrame:
+        """Each row for all rows, those of its ticker and those of its filing, at every level of the tree."""
+        none = F.lit(None)
+        kinds = [F.struct(F.lit(kind).alias("kind"), t.cast("string").alias("t"), f.cast("string").alias("f")) for kind, t, f in (("_all", none, none), ("_ticker", F.col("ticker"), none), ("_filing", F.col("ticker"), F.col("filing")))]
+        nodes = [F.struct(F.lit(level).alias("level"), node("_own", level).alias("node")) for level in range(levels)]
+        return rows.withColumn("_kind", F.explode(F.array(*kinds))).withColumn("_level", F.explode(F.array(*nodes))).select("*", "_kind.*", "_level.*").drop("_kind", "_level")
+
+    sums = spread(counted).groupBy("query_id", "kind", "t", "f", "level", "node").agg(F.sum("n").alias("n"))
+    siblings = Window.partitionBy("query_id", "kind", "t", "f", "level", F.floor(F.col("node") / FANOUT)).orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("n", F.sum("n").over(siblings)).where("n is not null")
+    on, asked = ("query_id", "kind", "t", "f", "level", "node"), spread(own)
+    same = [asked[c].eqNullSafe(sums[c]) if c in "tf" else asked[c] == sums[c] for c in on]
+    row = ("query_id", "doc_id", "ticker", "filing", "score")
+    ahead = asked.join(sums, same, "left").select(*(asked[c] for c in (*row, "kind")), "n").groupBy(*row).pivot("kind", ["_all", "_ticker", "_filing"]).agg(F.coalesce(F.sum("n"), F.lit(0)))
+    return ahead.select(
+        "query_id", "doc_id", "ticker", "filing", "score", (F.col("_all") + 1).cast("int").alias("rank"), (F.col("_filing") + 1).cast("int").alias("own_filing_rank"),
+        (F.col("_ticker") - F.col("_filing")).cast("int").alias("other_filing_ahead"), (F.col("_all") - F.col("_ticker")).cast("int").alias("other_ticker_ahead"),
     )
 
 

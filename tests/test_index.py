@@ -180,10 +180,10 @@ def brute_ranks(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_ranks_by_counting(spark, monkeypatch, block):
-    monkeypatch.setattr(goldrank, "GOLD_BLOCK", block)
-    rng = random.Random(block)
+@pytest.mark.parametrize("fanout", [64, 3])
+def test_ranks_by_counting(spark, monkeypatch, fanout):
+    monkeypatch.setattr(goldrank, "FANOUT", fanout)
+    rng = random.Random(fanout)
     rows = [(q, d, rng.choice(["f1", "f2", None]), rng.choice(["A", "B", None]), float(rng.randrange(12))) for q in "xyz" for d in range(60) if rng.random() < 0.8]
     order = spark.createDataFrame(rows, "query_id string, doc_id long, filing string, ticker string, score double").repartition(7)
     want = brute_ranks(rows)
