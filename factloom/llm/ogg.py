@@ -2,7 +2,7 @@
 
 Writing: the padded payload is cut into packets of ``PACKET`` samples, dealt in turn to two logical streams; each stream
 begins with a header packet of its own; pages hold up to ``LACES`` lacing values (about 4 kB), a granule position and a
-checksum, so of three packets that follow a full page two go on from one page to the next.
+checksum, so of three page ends two fall inside a packet.
 Reading needs only the bytes: pages are found by their capture pattern, checksums are verified, packets are reassembled from
 lacing values (across pages where a packet continues), logical streams are told apart by serial number, the end time
 of each packet is derived from granule positions, and the payload is put together in the order of these times.
