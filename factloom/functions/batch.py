@@ -19,3 +19,16 @@ def batch_function(return_type: str) -> Callable[[Callable], Callable[..., Colum
         return call
 
     return wrap
+
+
+def arrow_function(return_type: str) -> Callable[[Callable], Callable[..., Column]]:
+    """Decorator: a function of Arrow arrays as a function of columns."""
+
+    def wrap(function: Callable) -> Callable[..., Column]:
+        def call(*columns) -> Column:
+            return F.arrow_udf(function, return_type)(*columns)
+
+        call.__name__, call.__doc__ = function.__name__, function.__doc__
+        return call
+
+    return wrap

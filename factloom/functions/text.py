@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.batch import batch_function
+from factloom.functions.batch import arrow_function
 
 #: Coverage of a quote, its anchor, its least length.
 COVERAGE = 0.90
@@ -96,36 +96,65 @@ def coverage(quote: str | None, source: str | None) -> tuple[bool, float, int]:
     return False, sum(sizes) / len(q), max(sizes, default=0)
 
 
-@batch_function("string")
-def _normal_form(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else normal_form(t))
+@arrow_function("string")
+def _normal_form(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else normal_form(t) for t in texts.to_pylist()], pa.string())
 
 
-@batch_function("struct<exact:boolean,coverage:double,longest:int>")
-def _coverage(quotes: pd.Series, sources: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([coverage(q, s) for q, s in zip(quotes, sources, strict=True)], columns=["exact", "coverage", "longest"])
+def is_covered(quote: str | None, source: str | None) -> bool:
+    """Contained exactly, or covered well with an anchor."""
+    exact, share, longest = coverage(quote, source)
+    return exact or (share >= COVERAGE and longest >= min(ANCHOR, len(normal_form(quote))))
+
+
+@arrow_function("boolean")
+def _covered(quotes: pa.Array, sources: pa.Array) -> pa.Array:
+    pairs = zip(quotes.to_pylist(), sources.to_pylist(), strict=True)
+    return pa.array([None if q is None and s is None else is_covered(q, s) for q, s in pairs], pa.bool_())
 
 
 def normalised_text(text: Column) -> Column:
     """``normal_form``: native for ASCII texts, where it is lower case and single blanks; Python only for the others."""
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[\s\x1c-\x1f]+", " "))
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), plain).otherwise(_normal_form(text))
+    ascii = is_ascii(text)
+    return F.when(ascii, _ascii_form(text)).otherwise(_normal_form(F.when(~ascii, text)))  # Python sees nulls for the others: a condition alone does not spare it rows
+
 
+def _ascii_form(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[\s\x1c-\x1f]+", " "))
 
-def text_coverage(quote: Column, source: Column) -> Column:
-    """Struct exact, coverage, longest; the fuzzy comparison runs only where the normal forms do not contain each other."""
-    return _coverage(quote, source)
+
+def is_ascii(text: Column) -> Column:
+    return text.rlike(r"^[\x00-\x7F]*$")
 
 
 def quote_is_long_enough(quote: Column) -> Column:
     return (F.length(quote) >= QUOTE_CHARS) | (F.length(F.regexp_replace(quote, "[^0-9]", "")) >= QUOTE_DIGITS)
 
 
-def quote_matches(quote: Column, source: Column) -> Column:
-    """Long enough, and contained exactly or covered well with an anchor."""
-    c = text_coverage(quote, source)
-    q = normalised_text(quote)
-    return quote_is_long_enough(q) & (c["exact"] | ((c["coverage"] >= COVERAGE) & (c["longest"] >= F.least(F.lit(ANCHOR), F.length(q)))))
+def quote_state(quote: Column, source: Column) -> Column:
+    """What can be told of a quote without comparing letters: 'exact' (contained), 'none' (no anchor), or 'open'.
+
+    A common part of ``ANCHOR`` characters holds one of the pieces that the quote is cut into at half that length, so a quote none
+    of whose pieces stands in the source has none, and one shorter than an anchor must be contained. Texts that are not ASCII are open.
+    """
+    plain = F.coalesce(is_ascii(quote) & is_ascii(source), F.lit(False))
+    forms = F.array(F.struct(plain.alias("plain"), _ascii_form(quote).alias("q"), _ascii_form(source).alias("s")))  # made once for all that is asked of them
+    as_it_stands = plain & source.contains(quote) & quote.rlike(r"[^\s\x1c-\x1f]")  # most quotes, found without making forms
+    return F.when(as_it_stands, "exact").otherwise(F.transform(forms, lambda p: F.when(~p["plain"], "open").when((p["q"] != "") & p["s"].contains(p["q"]), "exact").when(_may_be_close(p["q"], p["s"]), "open").otherwise("none"))[0])
+
+
+def quote_matches(quote: Column, source: Column, state: Column) -> Column:
+    """Long enough, and contained exactly or covered well with an anchor; ``state``: a column of the table that holds
+    ``quote_state`` of the two, as Spark can't tell apart arguments of Python functions that nest lambdas. Only open pairs reach Python."""
+    close = _covered(*(F.when(state == "open", text) for text in (quote, source)))
+    return quote_is_long_enough(normalised_text(quote)) & F.when(state == "exact", True).when(state == "open", F.coalesce(close, F.lit(False))).otherwise(False)
+
+
+def _may_be_close(q: Column, s: Column) -> Column:
+    """Whether one of the pieces of half an anchor of a quote of an anchor or more stands in a source."""
+    piece = ANCHOR // 2
+    starts = F.sequence(F.lit(1), F.greatest(F.length(q) - piece + 1, F.lit(1)), F.lit(piece))
+    return (F.length(q) >= ANCHOR) & F.exists(starts, lambda at: s.contains(q.substr(at, F.lit(piece))))
 
 
 def folded(text: Column) -> Column:

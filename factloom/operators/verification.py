@@ -38,7 +38,8 @@ def claim_verdicts(claims: DataFrame, results: DataFrame) -> DataFrame:
     source = results.select("answer_id", F.col("idx").alias("citation_index"), F.col("text").alias("_source"), F.col("header").alias("_header"))
     joined = claims.join(counts, "answer_id", "left").join(source, ["answer_id", "citation_index"], "left")
     joined = joined.withColumn("_quote", grounding_quote(F.col("quote"), F.col("citation_index"), F.col("_header")))
-    joined = joined.withColumn("_cells", cell_grounding("value", "unit", "_quote", "_source")).withColumn("_prose", text.quote_matches(F.col("_quote"), F.col("_source")))
+    joined = joined.withColumn("_cells", cell_grounding(F.col("value"), F.col("unit"), F.col("_quote"), F.col("_source"))).withColumn("_state", text.quote_state(F.col("_quote"), F.col("_source")))
+    joined = joined.withColumn("_prose", text.quote_matches(F.col("_quote"), F.col("_source"), F.col("_state")))
     found = numbers.number_candidates(numbers.numbers_in(F.col("_quote")), numbers.caption_units(F.col("_source")))
     norm = normalised(F.col("value"), F.col("unit"))
     stated = F.exists(found, lambda n: num_match(category(n["unit"]), normalised(n["value"], n["unit"]), category(F.col("unit")), norm))
@@ -49,7 +50,7 @@ def claim_verdicts(claims: DataFrame, results: DataFrame) -> DataFrame:
         .when(numeric != F.col("unit").isNotNull(), "malformed_claim").when(~text.quote_is_long_enough(text.normalised_text(F.col("_quote"))), "quote_too_short")
         .when(~grounded & numeric, "quote_not_found").when(~grounded, "qualitative_quote_not_found").when(numeric & ~stated, "value_not_in_quote")
     )
-    return joined.withColumn("check", check).drop("_results", "_source", "_header", "_quote", "_cells", "_prose")
+    return joined.withColumn("check", check).drop("_results", "_source", "_header", "_quote", "_cells", "_state", "_prose")
 
 
 def source_numbers(results: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import unicodedata
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom import catalog
 from factloom.functions.numbers import extract_numbers
@@ -140,3 +141,43 @@ def test_html_parse_keeps_all_text(spark, sf_dir, tables):
             assert len(text) == got[r.page_id]
             same += "".join(text.split()) == "".join(bare.split())
     assert same > 20
+
+
+def test_quotes_settled_natively_are_those_of_the_automaton(spark):
+    """Pairs around the anchor's length, of other alphabets and null, settled as the whole comparison settles them; few reach Python."""
+    import random
+
+    from factloom.functions import text
+
+    rng, pairs = random.Random(5), [(None, "a b"), ("a b", None), ("", ""), ("Straße und Weg nach Hause, weit", "STRASSE und Weg nach Hause, weit")]
+    for n in range(400):
+        source = "".join(rng.choice("ab c,1") for _ in range(rng.randrange(20, 120)))
+        start, size = rng.randrange(len(source)), rng.randrange(5, 70)
+        quote = list(source[start : start + size])
+        for _ in range(n % 5):
+            quote.insert(rng.randrange(len(quote) + 1), rng.choice("xyz \té" if n % 7 == 0 else "xyz \n"))
+        pairs.append(("".join(quote), source if n % 3 else source.upper()))
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, q string, s string")
+    got = {r.i: r.m for r in df.withColumn("state", text.quote_state(F.col("q"), F.col("s"))).select("i", text.quote_matches(F.col("q"), F.col("s"), F.col("state")).alias("m")).collect()}
+    for i, (q, s) in enumerate(pairs):
+        exact, share, longest = text.coverage(q, s)
+        form = text.normal_form(q)
+        enough = len(form) >= text.QUOTE_CHARS or sum(c in "0123456789" for c in form) >= text.QUOTE_DIGITS
+        assert bool(got[i]) == (enough and (exact or (share >= text.COVERAGE and longest >= min(text.ANCHOR, len(form))))), (q, s)
+
+
+def test_settled_quotes_do_not_reach_python(spark, monkeypatch):
+    """A contained quote and one without a common piece come to the comparison as null."""
+    from factloom.functions import text
+    from factloom.functions.batch import arrow_function
+
+    @arrow_function("boolean")
+    def refuse(quotes, sources):
+        if quotes.null_count != len(quotes):
+            raise AssertionError("compared in Python")
+        return quotes.is_null()
+
+    monkeypatch.setattr(text, "_covered", refuse)
+    rows = [("a price of $12 in all, said the sheet", "It was invoiced at A price of  $12 in all, said the sheet."), ("Quite another sentence that stands nowhere else", "The line of this order was delivered in full")]
+    df = spark.createDataFrame(rows, "q string, s string")
+    assert [r.m for r in df.withColumn("state", text.quote_state(F.col("q"), F.col("s"))).select(text.quote_matches(F.col("q"), F.col("s"), F.col("state")).alias("m")).collect()] == [True, False]
