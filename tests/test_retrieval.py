@@ -109,3 +109,21 @@ def test_own_part_is_an_index_of_its_own(spark):
 def test_no_query_terms(spark):
     assert bm25.bm25_global(docs(spark, (1, "a", "x")), spark.createDataFrame([("q", "zzz")], "query_id string, query string")).count() == 0
     assert F.col("x") is not None
+
+
+def test_a_part_is_not_gathered_in_one_task(spark):
+    """Documents meet the parts that queries name without being shuffled by part."""
+    from factloom.operators import bm25
+
+    docs = spark.createDataFrame([(1, "a", "red fox"), (2, "b", "red hen"), (3, "a", "blue hen")], "doc_id int, ticker string, text string")
+    asked = spark.createDataFrame([("q", "fox", "a")], "query_id string, query string, ticker string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = bm25.bm25_own_part(docs, asked, "ticker")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert [r.doc_id for r in found.collect()] == [1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert semi and all("BroadcastHashJoin" in line for line in semi)
