@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from factloom.functions import numbers
 from factloom.functions.numeric import band_buckets, category, normalised, tolerance_bucket
 from factloom.functions.text import text_matches
+from factloom.sources.shared import written
 from factloom.operators.verification import BRACKET, NON_CLAIM, citation_verified
 
 
@@ -55,13 +56,14 @@ def grade_texts(accepted: DataFrame, answers: DataFrame) -> DataFrame:
 def source_tickers(results: DataFrame) -> DataFrame:
     """(answer_id, idx, ticker): companies that each result rests on; a calculation rests on those of its operands.
 
-    Operands point to earlier results, so each round resolves one more level; it goes on until nothing is added.
+    Operands point to earlier results, so each round resolves one more level; it goes on until nothing is added. Each level is
+    written, so that a round reads the level before it instead of making all levels anew.
     """
-    found = level = results.where("ticker is not null").select("answer_id", "idx", "ticker").distinct()
-    edges = results.where("ticker is null").select("answer_id", "idx", F.explode("operands").alias("operand")).distinct()
+    found = level = written(results.where("ticker is not null").select("answer_id", "idx", "ticker").distinct(), "tickers")
+    edges = written(results.where("ticker is null").select("answer_id", "idx", F.explode("operands").alias("operand")).distinct(), "operands")
     while not level.isEmpty():
         level = edges.join(level.select("answer_id", F.col("idx").alias("operand"), "ticker"), ["answer_id", "operand"]).select("answer_id", "idx", "ticker").distinct()
-        level = level.join(found, ["answer_id", "idx", "ticker"], "left_anti")
+        level = written(level.join(found, ["answer_id", "idx", "ticker"], "left_anti"), "tickers")
         found = found.unionByName(level)
     return found
 

@@ -127,3 +127,13 @@ def test_a_part_is_not_gathered_in_one_task(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     semi = [line for line in plan.splitlines() if "LeftSemi" in line]
     assert semi and all("BroadcastHashJoin" in line for line in semi)
+
+
+def test_levels_of_tickers_are_made_once(spark):
+    """What is found of each level is read from where it was written: no join is left to be made again."""
+    from factloom.operators import grading
+
+    rows = [(1, 1, "x", None), (1, 2, "y", None), (1, 3, None, [1, 2]), (1, 4, None, [3])]
+    found = grading.source_tickers(spark.createDataFrame(rows, "answer_id int, idx int, ticker string, operands array<int>"))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.idx, r.ticker) for r in found.collect()} == {(1, "x"), (2, "y"), (3, "x"), (3, "y"), (4, "x"), (4, "y")}
