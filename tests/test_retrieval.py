@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 
@@ -18,6 +19,15 @@ def test_partition_statistics_do_not_mix(spark):
     assert score(alone) == score(more) and set(score(alone)) == {1, 2}
 
 
+def test_the_mean_idf_does_not_drift(spark):
+    q = spark.createDataFrame([("q", "the")], "query_id string, query string")
+    rows = [(i, "the " + " ".join(f"w{i}x{k}" for k in range(1000)), "x") for i in range(30)]
+    got = {r.score for r in bm25.bm25_global(docs(spark, *rows).repartition(3), q).collect()}
+    rare, common = math.log((30 - 1 + 0.5) / 1.5), math.log(0.5 / 30.5)
+    mean = (30_000 * rare + common) / 30_001
+    assert len(got) == 1 and abs(got.pop() / (mean * bm25.NEGATIVE_SHARE) - 1) < 1e-15
+
+
 def test_cutoff_and_ties(spark):
     scored = spark.createDataFrame([("q", 2, 1.0), ("q", 1, 1.0), ("q", 3, 0.0), ("q", 4, 2.0)], "query_id string, doc_id long, score double")
     assert [(r.rank, r.doc_id) for r in bm25.top_n(scored.repartition(3), 2, ["query_id"]).orderBy("rank").collect()] == [(1, 4), (2, 1)]
