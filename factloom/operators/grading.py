@@ -13,7 +13,7 @@ from factloom.functions import numbers
 from factloom.functions.numeric import band_buckets, category, normalised, tolerance_bucket
 from factloom.functions.text import text_matches
 from factloom.sources.shared import written
-from factloom.operators.verification import BRACKET, NON_CLAIM, citation_verified
+from factloom.operators.verification import BRACKET, citation_verified, without_non_claims
 
 
 def _near(expected: DataFrame, found: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def _matches(expected: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def answer_numbers(answers: DataFrame) -> DataFrame:
-    plain = F.regexp_replace(F.regexp_replace("answer_text", BRACKET, ""), NON_CLAIM, "")
+    plain = without_non_claims(F.regexp_replace("answer_text", BRACKET, ""))
     return answers.select("answer_id", F.explode(numbers.numbers_in(plain)).alias("n")).select("answer_id", category(F.col("n.unit")).alias("category"), normalised(F.col("n.value"), F.col("n.unit")).alias("norm"))
 
 

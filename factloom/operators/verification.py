@@ -21,9 +21,15 @@ NON_CLAIM = (
     r"(?i)\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}\b|\b\d{4}-\d{2}-\d{2}\b"
     r"|\b(?:19|20)\d{2}\b|\b10-[KQ]s?\b|\bNote\s+\d+\b|\b\d+[\s-](?:year|month|day)s?\b"
 )
+#: Whatever ``NON_CLAIM`` matches holds one of these; it is cheap to see that most texts hold none.
+MAYBE_NON_CLAIM = r"\d{4}|\d[\s-][A-Za-z]|[eE]\s+\d"
 BRACKET = r"\[\d+(?:\s*,\s*\d+)*\]"
 
 
+def without_non_claims(text: Column) -> Column:
+    return F.when(text.rlike(MAYBE_NON_CLAIM), F.regexp_replace(text, NON_CLAIM, "")).otherwise(text)
+
+
 def grounding_quote(quote: Column, index: Column, header: Column) -> Column:
     """The quote without an echo of its source's citation header, with or without the number."""
     bare = F.ltrim(quote)
@@ -86,12 +92,12 @@ def operand_grounding(operands: DataFrame, counts: DataFrame, found: DataFrame)
 def uncovered_numbers(answers: DataFrame, claims: DataFrame, results: DataFrame) -> DataFrame:
     """(answer_id, category, norm): numbers of the answer that no claim, no number of the question, no operand of a finished
     calculation and no identity of its formula covers. A number negative by parentheses alone may match either sign."""
-    plain = lambda c: F.regexp_replace(F.regexp_replace(c, BRACKET, ""), NON_CLAIM, "")
+    plain = lambda c: without_non_claims(F.regexp_replace(c, BRACKET, ""))
     pair = lambda v, u: (category(u).alias("category"), normalised(v, u).alias("norm"))
     stated = answers.select("answer_id", F.explode(numbers.numbers_in(plain(F.col("answer_text")))).alias("n"))
     stated = stated.select("answer_id", "n.unit", "n.value", F.col("n.paren").alias("paren"), *pair(F.col("n.value"), F.col("n.unit"))).distinct()
     claimed = claims.where("value is not null and unit is not null").select("answer_id", *pair(F.col("value"), F.col("unit")))
-    asked = answers.select("answer_id", F.explode(numbers.numbers_in(F.regexp_replace("question", NON_CLAIM, ""))).alias("n")).select("answer_id", *pair(F.col("n.value"), F.col("n.unit")))
+    asked = answers.select("answer_id", F.explode(numbers.numbers_in(without_non_claims(F.col("question")))).alias("n")).select("answer_id", *pair(F.col("n.value"), F.col("n.unit")))
     operations = results.where("chunk_index = 'calculated'").withColumn("_left", F.regexp_replace(F.substring_index("text", "=", 1), BRACKET, ""))
     operands = operations.select("answer_id", F.explode(numbers.number_candidates(numbers.numbers_in(F.col("_left")), numbers.caption_units(F.col("_left")))).alias("n"))
     operands = operands.select("answer_id", *pair(F.col("n.value"), F.col("n.unit")))
@@ -123,7 +129,7 @@ def citation_claims(answers: DataFrame) -> DataFrame:
     marks = F.regexp_extract_all(F.col("answer_text"), F.lit(BRACKET), F.lit(0))
     texts = F.split(F.col("answer_text"), BRACKET, -1)
     windows = answers.select("answer_id", F.posexplode(marks).alias("i", "mark"), texts.alias("_texts")).select("answer_id", "mark", F.expr(f"right(_texts[i], {WINDOW})").alias("window"))
-    found = windows.withColumn("n", F.explode(numbers.numbers_in(F.regexp_replace("window", NON_CLAIM, ""))))
+    found = windows.withColumn("n", F.explode(numbers.numbers_in(without_non_claims(F.col("window")))))
     each = F.explode(F.regexp_extract_all("mark", F.lit(r"\d+"), F.lit(0))).alias("citation_index")
     out = found.select("answer_id", each, F.col("n.value").alias("value"), F.col("n.unit").alias("unit"))
     return out.withColumn("citation_index", F.col("citation_index").cast("int"))

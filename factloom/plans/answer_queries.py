@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import grading, verification
+from factloom.sources.shared import written
 from factloom.sources.tables import table
 
 #: What a line's claim is like, by part.
@@ -15,17 +16,26 @@ CHECKS = ("grounded", "citation_out_of_range", "malformed_claim", "quote_too_sho
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(answer_id, idx, n, kind, price, shown, flag): order lines numbered by what they hold; ``shown``: the price in words' form."""
+    """(answer_id, idx, n, kind, price, shown, flag): order lines numbered by what they hold; ``shown``: the price in words' form. Written, as
+    every query reads them several times and collecting and sorting an order's lines costs more than reading them."""
     held = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag", "l_quantity")))
     orders = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("answer_id")).agg(held.alias("lines"))
     each = orders.select("answer_id", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "x"))
-    return each.select("answer_id", (F.col("pos") + 1).alias("idx"), "n", (F.col("x.l_partkey") % len(KINDS)).cast("int").alias("kind"), F.col("x.l_extendedprice").alias("price"), F.format_number("x.l_extendedprice", 2).alias("shown"), F.col("x.l_returnflag").alias("flag"))
+    numbered = each.select("answer_id", (F.col("pos") + 1).alias("idx"), "n", (F.col("x.l_partkey") % len(KINDS)).cast("int").alias("kind"), F.col("x.l_extendedprice").alias("price"), F.format_number("x.l_extendedprice", 2).alias("shown"), F.col("x.l_returnflag").alias("flag"))
+    return written(numbered, "lines")
 
 
 def _sentence(shown) -> F.Column:
     return F.concat(F.lit("The line of this order was delivered in full and was invoiced at a price of $"), shown, F.lit(" in all, with nothing left open."))
 
 
+def _said(lines: DataFrame, value) -> DataFrame:
+    """(answer_id, answer_text): what an answer says about its lines, one kind left out."""
+    sentence = F.struct("idx", F.concat(F.lit("A line costs $"), value, F.lit(" ["), F.col("idx").cast("string"), F.lit("].")).alias("t"))
+    said = F.array_sort(F.collect_list(F.when(F.col("kind") != 2, sentence)))
+    return lines.groupBy("answer_id").agg(F.array_join(F.transform(said, lambda s: s["t"]), " ").alias("answer_text"))
+
+
 def _claims(lines: DataFrame) -> DataFrame:
     kind = F.col("kind")
     whole = _sentence(F.col("shown"))
@@ -51,10 +61,8 @@ def answer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Warnings of each answer: its claims, a number that no claim covers in every third, no structure in every eleventh."""
     lines = _lines(spark, sf_dir)
     value = F.when(F.col("kind") == 5, F.format_number(F.col("price") * 3, 2)).otherwise(F.col("shown"))
-    said = lines.where("kind <> 2").select("answer_id", F.struct("idx", F.concat(F.lit("A line costs $"), value, F.lit(" ["), F.col("idx").cast("string"), F.lit("].")).alias("t")).alias("s"))
-    texts = said.groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), " ").alias("said"))
     extra = F.when(F.col("answer_id") % 3 == 0, " Altogether 987,654,321 were seen.").otherwise("")
-    answers = lines.select("answer_id").distinct().join(texts, "answer_id", "left").select("answer_id", F.lit("What do the lines cost?").alias("question"), F.concat(F.coalesce("said", F.lit("")), extra).alias("answer_text"), (F.col("answer_id") % 11 != 0).alias("structured"))
+    answers = _said(lines, value).select("answer_id", F.lit("What do the lines cost?").alias("question"), F.concat("answer_text", extra).alias("answer_text"), (F.col("answer_id") % 11 != 0).alias("structured"))
     out = verification.gate(answers, _claims(lines), _results(lines))
     shown = F.array_join(F.transform(F.map_entries("warnings"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return out.select("answer_id", "withheld", shown.alias("warnings"))
@@ -63,9 +71,7 @@ def answer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line's price is expected; lines of one kind are left out of the answer, those of another cite a result that says otherwise."""
     lines = _lines(spark, sf_dir)
-    said = lines.where("kind <> 2").select("answer_id", F.struct("idx", F.concat(F.lit("A line costs $"), "shown", F.lit(" ["), F.col("idx").cast("string"), F.lit("].")).alias("t")).alias("s"))
-    texts = said.groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), " ").alias("answer_text"))
-    answers = lines.select("answer_id").distinct().join(texts, "answer_id", "left").withColumn("answer_text", F.coalesce("answer_text", F.lit("")))
+    answers = _said(lines, F.col("shown"))
     results = lines.select("answer_id", "idx", F.when(F.col("kind") == 1, _sentence(F.format_number(F.col("price") * 1.5, 2))).otherwise(_sentence(F.col("shown"))).alias("text"))
     expected = lines.select("answer_id", F.col("idx").cast("string").alias("label"), F.col("price").alias("value"), F.lit("raw").alias("unit"), F.lit(0.01).alias("tolerance"))
     return grading.grade_numbers(expected, answers, results).select("answer_id", "passed", F.array_join("missing", ",").alias("missing"))

@@ -4,6 +4,7 @@ import hashlib
 import re
 import unicodedata
 from collections import Counter
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from factloom import catalog
 from factloom.functions.numbers import extract_numbers
 from factloom.functions.text import coverage
+from factloom.operators import verification
 from factloom.operators.verification import BRACKET, NON_CLAIM
 
 
@@ -181,3 +183,17 @@ def test_settled_quotes_do_not_reach_python(spark, monkeypatch):
     rows = [("a price of $12 in all, said the sheet", "It was invoiced at A price of  $12 in all, said the sheet."), ("Quite another sentence that stands nowhere else", "The line of this order was delivered in full")]
     df = spark.createDataFrame(rows, "q string, s string")
     assert [r.m for r in df.withColumn("state", text.quote_state(F.col("q"), F.col("s"))).select(text.quote_matches(F.col("q"), F.col("s"), F.col("state")).alias("m")).collect()] == [True, False]
+
+
+def test_plain_texts_have_the_numbers_of_the_full_scan():
+    from factloom.functions.numbers import fields_of, scan_numbers
+
+    pieces, random = ["1", "23", "1,234", ",", ".", "a", "_", " ", "$", "(", ")", "-", "%", " million", "percent", "\n", "é", "٣"], Random(5)
+    texts = [None, "", *("".join(random.choices(pieces[: random.choice([9, len(pieces)])], k=random.randint(1, 12))) for _ in range(5000))]
+    assert fields_of(texts) == [[(n.value, n.unit, n.start, n.end, n.paren) for n in scan_numbers(t or "")] for t in texts]
+
+
+def test_texts_that_may_hold_non_claims_are_all_looked_at():
+    said = ["March 3, 2020", "mAY 4 1999", "2020-01-02", "in 1999.", "10-K", "10-qs", "Note 7", "NOTE\t12", "3 years", "45-day", "$1,234.50 .", "7 in all"]
+    missed = [t for t in said if re.search(verification.NON_CLAIM, t) and not re.search(verification.MAYBE_NON_CLAIM, t)]
+    assert not missed and not re.search(verification.MAYBE_NON_CLAIM, "A line costs $1,234.50 . A line costs $9.00 .")
