@@ -16,6 +16,8 @@ from factloom.operators.tables import cell_grounding
 #: The window before a citation, values that percentage formulas bring along.
 WINDOW = 150
 IDENTITIES = {"percent_change": (1.0, -1.0, 100.0, -100.0), "percent_of": (100.0,)}
+#: Buckets of the tolerance that operands and numbers are joined on together.
+GROUPED = 16
 #: Fixed pattern: dates, years, form names, notes and spans of time are no claims.
 NON_CLAIM = (
     r"(?i)\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}\b|\b\d{4}-\d{2}-\d{2}\b"
@@ -65,28 +67,41 @@ def source_numbers(results: DataFrame) -> DataFrame:
     return found.select("answer_id", "idx", F.col("n.value").alias("value"), F.col("n.unit").alias("unit"))
 
 
+def _group(norm: Column) -> Column:
+    return F.floor(tolerance_bucket(norm) / GROUPED)
+
+
+def unit_trials(operands: DataFrame) -> DataFrame:
+    """Each operand in each unit, with the group of buckets that numbers within its band lie in; twice where the band spans two."""
+    units = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(u).alias("name")) for i, u in enumerate(CLAIM_UNITS)]))
+    norm = normalised(F.col("value"), F.col("_try.name"))
+    trials = operands.withColumn("_try", units).select("answer_id", "operand", "citation_index", F.col("_try.no").alias("_no"), (F.col("_try.name") == F.col("unit")).alias("_own"), category(F.col("_try.name")).alias("_category"), norm.alias("_norm"))
+    ends = [_group(F.col("_norm") + s * tolerance(F.col("_norm"))) for s in (-1, 1)]
+    return trials.withColumn("_bucket", F.explode(F.sequence(*ends)))
+
+
 def operand_grounding(operands: DataFrame, counts: DataFrame, found: DataFrame) -> DataFrame:
     """(answer_id, operand, outcome, other_unit, other_index) of the operands of calculations.
 
     operands (answer_id, operand, value, unit, citation_index); counts (answer_id, n_results); found: numbers of results as
     ``source_numbers`` gives them. The outcome is bad_index, ok, wrong_unit (the first other unit under which the cited result
     holds the value), wrong_index (the first other result that holds it) or ungroundable. Every operand is tried in each unit;
-    trials meet numbers in an equi-join on the bucket of the tolerance, so no answer's numbers are all paired with all operands.
+    trials meet numbers in an equi-join on ``GROUPED`` buckets of the tolerance, so no answer's numbers are all paired with all
+    operands, and few trials lie in more than one group: what is shuffled is little more than a narrow row for each unit.
     """
-    units = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(u).alias("name")) for i, u in enumerate(CLAIM_UNITS)]))
-    trials = operands.withColumn("_try", units).withColumns({"_category": category(F.col("_try.name")), "_norm": normalised(F.col("value"), F.col("_try.name"))})
-    trials = trials.withColumn("_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: tolerance_bucket(F.col("_norm")) + i)))
-    have = found.select("answer_id", "idx", category(F.col("unit")).alias("_category"), normalised(F.col("value"), F.col("unit")).alias("_found")).distinct().withColumn("_bucket", tolerance_bucket(F.col("_found")))
-    own, cited = F.col("_try.name") == F.col("unit"), F.col("idx") == F.col("citation_index")
+    trials = unit_trials(operands)
+    have = found.select("answer_id", "idx", category(F.col("unit")).alias("_category"), normalised(F.col("value"), F.col("unit")).alias("_found")).withColumn("_bucket", _group(F.col("_found")))
+    have = have.repartition("answer_id", "_category", "_bucket").distinct()  # dealt once, for the join
+    own, cited = F.col("_own"), F.col("idx") == F.col("citation_index")
     hits = trials.join(have, ["answer_id", "_category", "_bucket"]).where((F.abs(F.col("_found") - F.col("_norm")) <= tolerance(F.col("_norm"))) & (own | cited))
     by_operand = hits.groupBy("answer_id", "operand").agg(
-        F.max(own & cited).alias("_ok"), F.min(F.when(~own & cited, F.struct("_try.no", "_try.name"))).alias("_unit"), F.min(F.when(own & ~cited, F.col("idx"))).alias("_index"),
+        F.max(own & cited).alias("_ok"), F.min(F.when(~own & cited, F.col("_no"))).alias("_unit"), F.min(F.when(own & ~cited, F.col("idx"))).alias("_index"),
     )
     joined = operands.join(counts, "answer_id", "left").join(by_operand, ["answer_id", "operand"], "left")
     outside = (F.col("citation_index") < 1) | (F.col("citation_index") > F.coalesce("n_results", F.lit(0)))
     outcome = F.when(outside, "bad_index").when(F.col("_ok"), "ok").when(F.col("_unit").isNotNull(), "wrong_unit").when(F.col("_index").isNotNull(), "wrong_index").otherwise("ungroundable")
     judged = joined.withColumn("outcome", outcome)
-    return judged.select("answer_id", "operand", "outcome", F.when(F.col("outcome") == "wrong_unit", F.col("_unit.name")).alias("other_unit"), F.when(F.col("outcome") == "wrong_index", F.col("_index")).alias("other_index"))
+    return judged.select("answer_id", "operand", "outcome", F.when(F.col("outcome") == "wrong_unit", F.element_at(F.array(*map(F.lit, CLAIM_UNITS)), F.col("_unit") + 1)).alias("other_unit"), F.when(F.col("outcome") == "wrong_index", F.col("_index")).alias("other_index"))
 
 
 def uncovered_numbers(answers: DataFrame, claims: DataFrame, results: DataFrame) -> DataFrame:

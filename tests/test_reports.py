@@ -62,3 +62,15 @@ def test_repeated_ids_are_an_error(spark):
     assert corpus.require_unique(ids("a", "b")).count() == 2 and corpus.require_unique(ids()).count() == 0
     with pytest.raises(ValueError, match="repeated id: a, b, c, d, e$"):
         corpus.require_unique(ids(*"gfedcbabcdefg", "a", "z"))
+
+
+def test_operand_trials_are_few_and_miss_no_band_edge(spark):
+    values = [0.0, 0.04, 0.05, 4.99, 5.0, 5.01, -5.0, 99.95, 1234.5, -7e6] + [1.07**i for i in range(200)]
+    rows = [(1, i, v, "raw", i) for i, v in enumerate(values, 1)]
+    operands = spark.createDataFrame(rows, "answer_id long, operand int, value double, unit string, citation_index int")
+    assert verification.unit_trials(operands).count() < 7 * len(values)
+    for way in (-1, 1):
+        near = [(1, i, v + way * max(abs(v) * 0.01, 0.05) * 0.999999, "raw") for i, v in enumerate(values, 1)]
+        found = spark.createDataFrame(near, "answer_id long, idx int, value double, unit string")
+        counts = spark.createDataFrame([(1, len(values))], "answer_id long, n_results int")
+        assert {r.outcome for r in verification.operand_grounding(operands, counts, found).collect()} == {"ok"}
