@@ -13,6 +13,7 @@ from factloom.functions.numeric import rounded
 from factloom.operators import facts as facts_ops
 from factloom.operators import formulas
 from factloom.operators import requests as request_ops
+from factloom.sources.shared import written
 from factloom.sources.tables import table
 
 
@@ -53,7 +54,8 @@ def fact_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fact_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer asks three ways for each metric: at the end date of its first line, the latest, and by period."""
-    facts = order_facts(spark, sf_dir)
+    # read four times; without a broadcast each would shuffle all lines by order
+    facts = written(order_facts(spark, sf_dir).select("entity", "metric", "unit", "ord", "start", "end", "val", "accn", "fy", "fp", "form", "filed", "frame"), "facts")
     base = facts.groupBy("entity", "metric").agg(F.min("end").alias("first_end"), F.max("fy").alias("last_fy"))
     null = F.lit(None)
     asked = [

@@ -96,3 +96,9 @@ def test_comparison_by_frame_or_by_own_period(spark):
     assert {r.entity: r.val for r in facts.metric_all_entities(df, "A", "revenue", 2024, "FY").collect()} == {"A": 10.0, "B": 20.0}
     assert facts.metric_all_entities(df, "C", "revenue", 2024, "FY").count() == 0
     assert {r.entity: r.val for r in facts.metric_all_entities(df, "A", "total_assets", 2024, "FY").collect()} == {"A": 7.0, "B": 8.0}
+
+
+def test_requests_join_lines_and_orders_once(spark, sf_dir):
+    from factloom.plans.fact_queries import fact_requests
+
+    assert not any("lineitem" in f or "orders" in f for f in fact_requests(spark, sf_dir).inputFiles())
