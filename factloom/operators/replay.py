@@ -34,6 +34,7 @@ def replayed(calls: DataFrame, resolved: DataFrame, ratios: DataFrame, search: C
     """
     readable = F.coalesce(F.schema_of_variant("args").startswith("OBJECT"), F.lit(False))
     error = F.when(~F.col("tool").isin(*OBSERVED), F.concat(F.lit("no replay route for tool "), F.col("tool"))).when(~readable, "arguments are no object")
+    resolved = written(resolved, "resolved")  # every route reads it, some of them several times
     called = written(calls.withColumn("error", error).withColumn("call_id", F.monotonically_increasing_id()), "calls")
     fine = called.where("error is null")
 
@@ -73,6 +74,7 @@ def replay_differences(replay: DataFrame) -> DataFrame:
 
 def run_outcomes(replay: DataFrame) -> DataFrame:
     """(run_id, calls, error, drift): a run ends at its first error, and drifts if a call before it came out otherwise."""
+    replay = written(replay.select("run_id", "ord", "tool", "error", "logged", "replayed"), "replay")  # read twice, made again once
     first = F.min(F.when(F.col("error").isNotNull(), F.struct("ord", "error"))).alias("_first")
     ends = replay.groupBy("run_id").agg(first, F.count("*").alias("calls"))
     drift = replay_differences(replay).where("field <> 'error'").groupBy("run_id", "ord").agg(F.count("*").alias("_n")).join(ends, "run_id")

@@ -196,3 +196,9 @@ def test_queries(spark, sf_dir, name):
     from tests.oracle import assert_same
 
     assert_same(catalog.QUERIES[name](spark, sf_dir), catalog.ORACLES[name], sf_dir)
+
+
+def test_run_outcomes_make_the_calls_once(spark, sf_dir):
+    from factloom.plans.source_queries import replay_run_outcomes
+
+    assert not any("lineitem" in f or "documents" in f for f in replay_run_outcomes(spark, sf_dir).inputFiles())
