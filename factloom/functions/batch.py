@@ -4,9 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of whole texts that a Python worker holds at a time.
+TEXTS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of ``TEXTS`` rows where Spark's default of 10,000 stands: whole texts and pages are long, and a worker holds a batch several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(TEXTS))
+
 
 def batch_function(return_type: str) -> Callable[[Callable], Callable[..., Column]]:
     """Decorator: a function of pandas series as a function of columns."""

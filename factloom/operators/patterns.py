@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.batch import small_batches
+
 AUTOMATON_BYTES = 16_000_000
 #: Characters around a hit that a snippet shows.
 CONTEXT = 60
@@ -53,6 +55,7 @@ def occurrences(docs: DataFrame, needles: DataFrame, context: int = CONTEXT) ->
     kept = [c for c in docs.columns if c != "text"]
     schema = docs.select(*kept, F.lit(0).alias("_number"), F.lit(0).alias("start"), F.lit("").alias("snippet")).schema
     spark, out = docs.sparkSession, None
+    small_batches(spark)
     for shard in range(max(1, shards)):
         texts = wanted.where(F.pmod(F.xxhash64("needle"), F.lit(shards)) == shard) if shards > 1 else wanted
         numbered = {r.needle: i for i, r in enumerate(texts.select("needle").distinct().collect())}  # about AUTOMATON_BYTES
