@@ -100,3 +100,15 @@ def test_nested_tables_are_tables_of_their_own():
     assert [(t["table_index"], t["rows"]) for t in tables] == [(0, [["o1n1n2tail", "n1", "n2", "o2"], ["n1", "n2"], ["o3"]]), (1, [["n1", "n2"]]), (3, [["z"]])]
     assert text.split() == ["a", "[TABLE_0]", "b", "[TABLE_3]"]
     assert c.parse_filing("<table><tr><td>open<td>next<tr><td>row")[1] == [{"table_index": 0, "rows": [["open", "next"], ["row"]]}]
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark):
+    from factloom.operators.chunking import parse_filings
+    from factloom.operators.patterns import occurrences
+
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for made in (lambda: parse_filings(spark.createDataFrame([("<p>a</p>",)], "html string")), lambda: occurrences(spark.createDataFrame([(1, "a b")], "doc_id int, text string"), spark.createDataFrame([("a",)], "needle string"))):
+        spark.conf.set(key, "10000")
+        made()
+        assert spark.conf.get(key) == "1000"
+    spark.conf.set(key, before)
