@@ -63,8 +63,8 @@ def text_batches(spark: SparkSession) -> None:
 
 
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for a broadcast if its counted ``rows`` are within ``limit``; else unmarked, for a shuffled join."""
-    return F.broadcast(df) if rows <= limit else df
+    """``df`` marked for a broadcast if its counted ``rows`` are within ``limit``; else for a shuffled join, whatever its size is estimated at."""
+    return F.broadcast(df) if rows <= limit else df.hint("merge")
 
 
 def keyed_join(rows: DataFrame, unique: DataFrame, key: str, weight: str, size: int | None = None, limit: int = BROADCAST_ROWS, how: str = "inner") -> DataFrame:
@@ -81,7 +81,7 @@ def keyed_join(rows: DataFrame, unique: DataFrame, key: str, weight: str, size:
     hot = F.col(weight) * HOT_KEYS > total
     few = F.broadcast(unique.where(hot).drop(weight))
     apart = rows.join(F.broadcast(unique.where(hot).select(key)), key, "left_anti")
-    return rows.join(few, key).unionByName(apart.join(unique.where(~hot).drop(weight), key, how))
+    return rows.join(few, key).unionByName(apart.join(unique.where(~hot).drop(weight).hint("merge"), key, how))
 
 
 def text_slices(texts: list[str | None], chars: int = 500_000) -> Iterator[slice]:

@@ -154,7 +154,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     leaves = lines.groupBy("leaf").agg(F.min("_line_a").alias("x"), F.max("_line_a").alias("y"), F.count("*").alias("n")).where("x < y").select("leaf", "n")
     met = keyed_join(lines.drop("signature"), checkpoint(leaves), "leaf", "n").drop("leaf").distinct()  # copies of a text count once
     classes = near_copy_classes(lines.where(F.size("signature") > 0).select("_line_a", "signature"))
-    classed = met.join(classes.withColumnRenamed("node", "_line_a"), "_line_a", "left")
+    classed = met.join(small_side(classes.withColumnRenamed("node", "_line_a"), classes.count()), "_line_a", "left")
     shared = checkpoint(classed.withColumn("component", F.coalesce("component", "_line_a")))
     keyed = shared.select("_line_a", "_line_b", "pos", "tokens", "component", F.explode(F.array(*KEYS)).alias("key"))
     stands = keyed.groupBy("key", "tokens", "component").agg(F.count("*").alias("n")).groupBy("key", "tokens").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpoint, keyed_join, small_side, text_batches, text_slices, word_hashes
+from factloom.llm.common import checkpoint, keyed_join, small_side, text_batches, text_slices, word_hashes, written
 
 SHINGLE_WORDS = 5
 SKETCH = 48
@@ -101,9 +101,11 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b) with ids; component is the smallest node.
 
     Alternating large and small stars: every round links each node's neighbours to its smallest one, until no
-    edge changes. A round aggregates with map-side sums and is written to the checkpoint folder.
+    edge changes. A round aggregates with map-side sums and is written to the checkpoint folder. Edges are written as a table:
+    a checkpoint keeps the planner's estimate of its size, which is a product in each join, so two joins a round would
+    multiply the digits of that number by four in every round until the driver can't hold it.
     """
-    edges = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = count, _ = _state(edges)
     for _ in range(rounds if count else 0):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -112,7 +114,7 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = checkpoint(large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         lowest = checkpoint(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
         small = keyed_join(large, lowest, "a", "n").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = checkpoint(small.where("a <> b").distinct())
+        edges = written(small.where("a <> b").distinct())
         seen, state = state, _state(edges)
         count = state[0]
         if state == seen:
@@ -246,7 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # texts of one doc_id belong together
     several = members.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("most")).where("b < most")
     merged = connected_components(links.unionByName(members.join(several, "doc_id").select(F.col("class_id").alias("a"), "b")))
-    linked = members.join(merged.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", F.least(F.col("class_id"), F.col("component")).alias("found"))
+    linked = members.join(small_side(merged.withColumnRenamed("node", "class_id"), merged.count()), "class_id", "left").select("doc_id", F.least(F.col("class_id"), F.col("component")).alias("found"))
     found = linked.groupBy("doc_id").agg(F.min("found").alias("found"))
     out = sketched.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -254,7 +256,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def _confirmed(source: DataFrame, groups: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) inside the candidate groups that full shingle sets confirm; enough of them to connect what is linked."""
-    known = groups.withColumnRenamed("node", "doc_id").join(sizes.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")), "doc_id")
+    known = sizes.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")).join(small_side(groups.withColumnRenamed("node", "doc_id"), groups.count()), "doc_id")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     # members are dealt to blocks by hash: no ranking of a large group in one task
     placed = known.select("doc_id", "component").join(known.groupBy("component").agg(blocks), "component")
@@ -277,7 +279,7 @@ def _across(sets: DataFrame, placed: DataFrame, links: DataFrame, percent: int)
     core never meet each other.
     """
     merged = connected_components(links).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "part")
-    parted = placed.join(merged, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id")).select("doc_id", "component", "blocks", "part")
+    parted = placed.join(small_side(merged, merged.count()), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id")).select("doc_id", "component", "blocks", "part")
     counts = parted.groupBy("component", "blocks", "part").agg(F.count("*").alias("members"))
     whole = counts.groupBy("component", "blocks").agg(F.max(F.struct("members", "part")).alias("core"), F.sum("members").alias("members")).where(F.col("core.members") < F.col("members"))
     share = lambda n: F.greatest(F.lit(1), F.ceil(F.col("blocks") * n / F.col("members"))).cast("int")

@@ -85,6 +85,12 @@ def test_components_of_a_chain(spark):
     assert near_dup.connected_components(edges.limit(0)).count() == 0
 
 
+def test_component_rounds_keep_size_estimates_small(spark):
+    """A chain takes many rounds; joins multiply the planner's size estimates, which must not go on from round to round."""
+    found = near_dup.connected_components(spark.range(200).selectExpr("id as a", "id + 1 as b"))
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10**12
+
+
 def test_bpe_equals_the_library(spark, docs):
     path = catalog.vocabulary("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
