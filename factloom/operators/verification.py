@@ -143,20 +143,28 @@ def citation_claims(answers: DataFrame) -> DataFrame:
     """(answer_id, citation_index, value, unit): numbers in the window before each citation mark, back to the mark before it."""
     marks = F.regexp_extract_all(F.col("answer_text"), F.lit(BRACKET), F.lit(0))
     texts = F.split(F.col("answer_text"), BRACKET, -1)
-    windows = answers.select("answer_id", F.posexplode(marks).alias("i", "mark"), texts.alias("_texts")).select("answer_id", "mark", F.expr(f"right(_texts[i], {WINDOW})").alias("window"))
+    pairs = F.zip_with(marks, texts, lambda mark, text: F.struct(mark.alias("mark"), F.right(text, F.lit(WINDOW)).alias("window")))  # there is a text more than marks
+    windows = answers.select("answer_id", F.explode(pairs).alias("w")).select("answer_id", "w.mark", "w.window").where("mark is not null")
     found = windows.withColumn("n", F.explode(numbers.numbers_in(without_non_claims(F.col("window")))))
     each = F.explode(F.regexp_extract_all("mark", F.lit(r"\d+"), F.lit(0))).alias("citation_index")
     out = found.select("answer_id", each, F.col("n.value").alias("value"), F.col("n.unit").alias("unit"))
     return out.withColumn("citation_index", F.col("citation_index").cast("int"))
 
 
-def citation_verified(expected: DataFrame, answers: DataFrame, results: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """(answer_id, value, unit, verified) of expected values: true unless every citation attached to the value fails."""
-    cited = citation_claims(answers).join(results.select("answer_id", F.col("idx").alias("citation_index"), "text"), ["answer_id", "citation_index"])
+def judged_citations(answers: DataFrame, results: DataFrame) -> DataFrame:
+    """(answer_id, category, norm, ok) of the numbers before citation marks: whether the cited result holds the number. Results are read
+    for numbers before they meet citations, so that these and no texts are shuffled, and each result is read once."""
     sources = numbers.number_candidates(numbers.numbers_in(F.col("text")), numbers.caption_units(F.col("text")))
+    said = results.select("answer_id", F.col("idx").alias("citation_index"), F.transform(sources, lambda n: F.struct(category(n["unit"]).alias("category"), normalised(n["value"], n["unit"]).alias("norm"))).alias("_said"))
+    cited = citation_claims(answers).join(said, ["answer_id", "citation_index"])
     own = normalised(F.col("value"), F.col("unit"))
-    cited = cited.withColumn("ok", F.exists(sources, lambda n: num_match(category(n["unit"]), normalised(n["value"], n["unit"]), category(F.col("unit")), own)))
-    cited = cited.select("answer_id", category(F.col("unit")).alias("category"), own.alias("norm"), "ok")
+    cited = cited.withColumn("ok", F.exists("_said", lambda n: num_match(n["category"], n["norm"], category(F.col("unit")), own)))
+    return cited.select("answer_id", category(F.col("unit")).alias("category"), own.alias("norm"), "ok")
+
+
+def citation_verified(expected: DataFrame, answers: DataFrame, results: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """(answer_id, value, unit, verified) of expected values: true unless every citation attached to the value fails."""
+    cited = judged_citations(answers, results)
     asked = expected.select("answer_id", "value", "unit", category(F.col("unit")).alias("category"), normalised(F.col("value"), F.col("unit")).alias("target"))
     band = F.greatest(F.abs("target") * tolerance, F.lit(0.05))
     tried = asked.withColumn("_bucket", F.explode(band_buckets(F.col("target"), band)))
