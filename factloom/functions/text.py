@@ -98,6 +98,8 @@ def coverage(quote: str | None, source: str | None) -> tuple[bool, float, int]:
 
 @arrow_function("string")
 def _normal_form(texts: pa.Array) -> pa.Array:
+    if texts.null_count == len(texts):
+        return pa.nulls(len(texts), pa.string())
     return pa.array([None if t is None else normal_form(t) for t in texts.to_pylist()], pa.string())
 
 
@@ -109,14 +111,21 @@ def is_covered(quote: str | None, source: str | None) -> bool:
 
 @arrow_function("boolean")
 def _covered(quotes: pa.Array, sources: pa.Array) -> pa.Array:
+    if quotes.null_count == sources.null_count == len(quotes):
+        return pa.nulls(len(quotes), pa.bool_())
     pairs = zip(quotes.to_pylist(), sources.to_pylist(), strict=True)
     return pa.array([None if q is None and s is None else is_covered(q, s) for q, s in pairs], pa.bool_())
 
 
 def normalised_text(text: Column) -> Column:
     """``normal_form``: native for ASCII texts, where it is lower case and single blanks; Python only for the others."""
-    ascii = is_ascii(text)
-    return F.when(ascii, _ascii_form(text)).otherwise(_normal_form(F.when(~ascii, text)))  # Python sees nulls for the others: a condition alone does not spare it rows
+    simple, foreign = _is_simple(text), ~_is_simple(text) & ~is_ascii(text)
+    return F.when(simple, F.trim(F.lower(text))).when(foreign, _normal_form(F.when(foreign, text))).otherwise(_ascii_form(text))  # Python sees nulls for the others: a condition alone does not spare it rows
+
+
+def _is_simple(text: Column) -> Column:
+    """Printable ASCII without two blanks in a row: lower case between its ends is its normal form."""
+    return text.rlike(r"\A[ -~]*\z") & ~text.contains("  ")
 
 
 def _ascii_form(text: Column) -> Column:
@@ -124,7 +133,7 @@ def _ascii_form(text: Column) -> Column:
 
 
 def is_ascii(text: Column) -> Column:
-    return text.rlike(r"^[\x00-\x7F]*$")
+    return text.rlike(r"\A[\x00-\x7F]*\z")
 
 
 def quote_is_long_enough(quote: Column) -> Column:
@@ -139,15 +148,20 @@ def quote_state(quote: Column, source: Column) -> Column:
     """
     plain = F.coalesce(is_ascii(quote) & is_ascii(source), F.lit(False))
     forms = F.array(F.struct(plain.alias("plain"), _ascii_form(quote).alias("q"), _ascii_form(source).alias("s")))  # made once for all that is asked of them
-    as_it_stands = plain & source.contains(quote) & quote.rlike(r"[^\s\x1c-\x1f]")  # most quotes, found without making forms
+    as_it_stands = is_ascii(source) & source.contains(quote) & quote.rlike(r"[^\s\x1c-\x1f]")  # most quotes, found without making forms
     return F.when(as_it_stands, "exact").otherwise(F.transform(forms, lambda p: F.when(~p["plain"], "open").when((p["q"] != "") & p["s"].contains(p["q"]), "exact").when(_may_be_close(p["q"], p["s"]), "open").otherwise("none"))[0])
 
 
 def quote_matches(quote: Column, source: Column, state: Column) -> Column:
     """Long enough, and contained exactly or covered well with an anchor; ``state``: a column of the table that holds
     ``quote_state`` of the two, as Spark can't tell apart arguments of Python functions that nest lambdas. Only open pairs reach Python."""
+    return quote_is_long_enough(normalised_text(quote)) & quote_stands(quote, source, state)
+
+
+def quote_stands(quote: Column, source: Column, state: Column) -> Column:
+    """``quote_matches`` of quotes that are known to be long enough."""
     close = _covered(*(F.when(state == "open", text) for text in (quote, source)))
-    return quote_is_long_enough(normalised_text(quote)) & F.when(state == "exact", True).when(state == "open", F.coalesce(close, F.lit(False))).otherwise(False)
+    return F.when(state == "exact", True).when(state == "open", F.coalesce(close, F.lit(False))).otherwise(False)
 
 
 def _may_be_close(q: Column, s: Column) -> Column:

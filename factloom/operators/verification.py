@@ -6,7 +6,7 @@ question, answer_text). Claims join their sources by answer and index; numbers a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import numbers, text
@@ -47,18 +47,20 @@ def claim_verdicts(claims: DataFrame, results: DataFrame) -> DataFrame:
     joined = claims.join(counts, "answer_id", "left").join(source, ["answer_id", "citation_index"], "left")
     joined = joined.withColumn("_quote", grounding_quote(F.col("quote"), F.col("citation_index"), F.col("_header")))
     joined = joined.withColumn("_cells", cell_grounding(F.col("value"), F.col("unit"), F.col("_quote"), F.col("_source"))).withColumn("_state", text.quote_state(F.col("_quote"), F.col("_source")))
-    joined = joined.withColumn("_prose", text.quote_matches(F.col("_quote"), F.col("_source"), F.col("_state")))
-    found = numbers.number_candidates(numbers.numbers_in(F.col("_quote")), numbers.caption_units(F.col("_source")))
+    joined = joined.withColumn("_long", text.quote_is_long_enough(text.normalised_text(F.col("_quote")))).withColumn("_prose", text.quote_stands(F.col("_quote"), F.col("_source"), F.col("_state")))
+    # a claim without a value, a unit or a source has failed before its quote is read for numbers
+    asked = F.col("value").isNotNull() & F.col("unit").isNotNull() & F.col("_source").isNotNull()
+    found = numbers.number_candidates(numbers.numbers_in(F.when(asked, F.col("_quote"))), numbers.caption_units(F.col("_source")))
     norm = normalised(F.col("value"), F.col("unit"))
     stated = F.exists(found, lambda n: num_match(category(n["unit"]), normalised(n["value"], n["unit"]), category(F.col("unit")), norm))
     numeric = F.col("value").isNotNull()
     grounded = F.when(numeric & (F.col("_cells.cells") > 0), F.col("_cells.grounded")).otherwise(F.col("_prose"))
     check = (
         F.when((F.col("citation_index") < 1) | (F.col("citation_index") > F.coalesce("_results", F.lit(0))), "citation_out_of_range")
-        .when(numeric != F.col("unit").isNotNull(), "malformed_claim").when(~text.quote_is_long_enough(text.normalised_text(F.col("_quote"))), "quote_too_short")
+        .when(numeric != F.col("unit").isNotNull(), "malformed_claim").when(~F.col("_long"), "quote_too_short")
         .when(~grounded & numeric, "quote_not_found").when(~grounded, "qualitative_quote_not_found").when(numeric & ~stated, "value_not_in_quote")
     )
-    return joined.withColumn("check", check).drop("_results", "_source", "_header", "_quote", "_cells", "_state", "_prose")
+    return joined.withColumn("check", check).drop("_results", "_source", "_header", "_quote", "_cells", "_state", "_long", "_prose")
 
 
 def source_numbers(results: DataFrame) -> DataFrame:
@@ -104,13 +106,28 @@ def operand_grounding(operands: DataFrame, counts: DataFrame, found: DataFrame)
     return judged.select("answer_id", "operand", "outcome", F.when(F.col("outcome") == "wrong_unit", F.element_at(F.array(*map(F.lit, CLAIM_UNITS)), F.col("_unit") + 1)).alias("other_unit"), F.when(F.col("outcome") == "wrong_index", F.col("_index")).alias("other_index"))
 
 
+def nearest(rows: DataFrame, kinds: dict[str, Column]) -> DataFrame:
+    """``rows`` (answer_id, _percent, _at, ...) with ``_<kind>_below`` and ``_<kind>_above``: the nearest ``_at`` of each kind of rows at or
+    below and above a row of no kind, within its answer and category. Rows dealt by answer are sorted up and down and meet in no join."""
+    other = F.coalesce(F.greatest(*(of.cast("int") for of in kinds.values()), F.lit(0)), F.lit(0)) == 0  # equal numbers come before these
+    own = Window.partitionBy("answer_id", "_percent").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for way, order in (("below", F.asc("_at")), ("above", F.desc("_at"))):
+        rows = rows.withColumns({f"_{kind}_{way}": F.last(F.when(of, F.col("_at")), ignorenulls=True).over(own.orderBy(order, other)) for kind, of in kinds.items()})
+    return rows
+
+
+def is_near(kind: str, band: Column) -> Column:
+    """Whether a row of ``nearest`` has a number of a kind within ``band``."""
+    return F.coalesce(F.least(*(F.abs(F.col(f"_{kind}_{way}") - F.col("_at")) for way in ("below", "above"))) <= band, F.lit(False))
+
+
 def uncovered_numbers(answers: DataFrame, claims: DataFrame, results: DataFrame) -> DataFrame:
     """(answer_id, category, norm): numbers of the answer that no claim, no number of the question, no operand of a finished
     calculation and no identity of its formula covers. A number negative by parentheses alone may match either sign."""
     plain = lambda c: without_non_claims(F.regexp_replace(c, BRACKET, ""))
     pair = lambda v, u: (category(u).alias("category"), normalised(v, u).alias("norm"))
     stated = answers.select("answer_id", F.explode(numbers.numbers_in(plain(F.col("answer_text")))).alias("n"))
-    stated = stated.select("answer_id", "n.unit", "n.value", F.col("n.paren").alias("paren"), *pair(F.col("n.value"), F.col("n.unit"))).distinct()
+    stated = stated.select("answer_id", "n.unit", "n.value", F.col("n.paren").alias("paren"), *pair(F.col("n.value"), F.col("n.unit")))
     claimed = claims.where("value is not null and unit is not null").select("answer_id", *pair(F.col("value"), F.col("unit")))
     asked = answers.select("answer_id", F.explode(numbers.numbers_in(without_non_claims(F.col("question")))).alias("n")).select("answer_id", *pair(F.col("n.value"), F.col("n.unit")))
     operations = results.where("chunk_index = 'calculated'").withColumn("_left", F.regexp_replace(F.substring_index("text", "=", 1), BRACKET, ""))
@@ -121,21 +138,24 @@ def uncovered_numbers(answers: DataFrame, claims: DataFrame, results: DataFrame)
     identities = operations.select("answer_id", F.explode(identity).alias("value")).distinct()
     left = stated.join(identities.withColumn("unit", F.lit("raw")), ["answer_id", "unit", "value"], "left_anti")
     left = left.withColumn("_sign", F.explode(F.when(F.col("paren"), F.array(F.lit(1.0), F.lit(-1.0))).otherwise(F.array(F.lit(1.0)))))
-    band = F.greatest(F.abs("norm") * 0.01, F.lit(0.05))
-    tried = left.withColumn("_bucket", F.explode(band_buckets(F.col("norm") * F.col("_sign"), band)))
-    have = known.select("answer_id", "category", F.col("norm").alias("_known")).distinct().withColumn("_bucket", tolerance_bucket(F.col("_known")))
-    covered = tried.join(have, ["answer_id", "category", "_bucket"]).where(F.abs(F.col("_known") - F.col("norm") * F.col("_sign")) <= band)
-    return left.select("answer_id", "category", "norm").distinct().join(covered.select("answer_id", "category", "norm").distinct(), ["answer_id", "category", "norm"], "left_anti")
+    percent = (F.col("category") == "percent").alias("_percent")
+    rows = left.select("answer_id", percent, (F.col("norm") * F.col("_sign")).alias("_at"), F.col("norm").alias("_norm"))
+    rows = rows.unionByName(known.where("answer_id is not null").select("answer_id", percent, F.col("norm").alias("_at"), F.lit(None).cast("double").alias("_norm")))
+    near = nearest(rows.repartition("answer_id"), {"known": F.col("_norm").isNull()}).where("_norm is not null")
+    covered = is_near("known", F.greatest(F.abs("_norm") * 0.01, F.lit(0.05)))
+    out = near.groupBy("answer_id", "_percent", F.col("_norm").alias("norm")).agg(F.bool_or(covered).alias("covered")).where("not covered")
+    return out.select("answer_id", F.when(F.col("_percent"), "percent").otherwise("scale").alias("category"), "norm")
 
 
 def gate(answers: DataFrame, claims: DataFrame, results: DataFrame) -> DataFrame:
     """(answer_id, warnings, withheld): warnings of both passes counted by check; an answer with any is withheld, and so is one
     without a structured submission (column ``structured``)."""
-    failed = claim_verdicts(claims, results).where("check is not null").select("answer_id", "check")
+    failed = claim_verdicts(claims, results).select("answer_id", "check")  # no filter on it: Spark would push it down and judge each claim twice
     loose = uncovered_numbers(answers, claims, results).select("answer_id", F.lit("uncovered_number").alias("check"))
     shape = answers.where("not structured").select("answer_id", F.lit("no_structured_answer").alias("check"))
     counts = failed.unionByName(loose).unionByName(shape).groupBy("answer_id", "check").agg(F.count("*").alias("n"))
-    by_answer = counts.groupBy("answer_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("check", "n")))).alias("warnings"))
+    found = counts.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.when(F.col("check").isNotNull(), F.struct("check", "n")))).alias("found"))
+    by_answer = found.select("answer_id", F.when(F.size("found") > 0, F.map_from_entries("found")).alias("warnings"))
     return answers.select("answer_id").join(by_answer, "answer_id", "left").withColumn("withheld", F.col("warnings").isNotNull())
 
 

@@ -100,6 +100,34 @@ def test_grades_shuffle_each_table_once(spark):
     assert plan.count("Exchange hashpartitioning") <= 3  # citations and results meet, and all numbers of an answer
 
 
+def test_uncovered_numbers_against_brute_force(spark):
+    rng = random.Random(6)
+    values = [1.0, 1.05, 1.1, 4.95, 5.0, 5.05, 100.0, 100.99, 101.0, 102.02]
+    answers, claims, want = [], [], set()
+    for a in range(50):
+        stated = [(rng.choice(values), rng.random() < 0.3) for _ in range(rng.randrange(1, 8))]
+        known = [rng.choice((1, -1)) * rng.choice(values) for _ in range(rng.randrange(0, 4))]
+        answers.append((a, "What?", " and ".join(f"it was ({v})" if paren else f"it was {v}" for v, paren in stated), True))
+        claims += [(a, i, 1, v, "raw", "q") for i, v in enumerate(known)]
+        covered = {}
+        for v, paren in stated:  # in brackets: negative, and either sign is right
+            hit = any(abs(k - sign * v) <= max(v * 0.01, 0.05) for k in known for sign in ((1, -1) if paren else (1,)))
+            covered[-v if paren else v] = covered.get(-v if paren else v, False) or hit
+        want |= {(a, "scale", v) for v, hit in covered.items() if not hit}
+    answers = spark.createDataFrame(answers, "answer_id long, question string, answer_text string, structured boolean")
+    claims = spark.createDataFrame(claims, "answer_id long, claim_no int, citation_index int, value double, unit string, quote string")
+    results = spark.createDataFrame([(0, 1, "text", None, "1")], "answer_id long, idx int, text string, header string, chunk_index string")
+    assert {tuple(r) for r in verification.uncovered_numbers(answers, claims, results).collect()} == want
+    plan = verification.gate(answers, claims, results)._jdf.queryExecution().executedPlan().toString()
+    assert not any("Filter" in line and "exists(" in line for line in plan.splitlines())  # each claim is judged once, not once more by a filter
+
+
+def test_text_forms_of_odd_texts(spark):
+    odd = ["Plain text", " two  blanks ", "tab\tand\x1cmore\x0b", "ends with a line\n", "\u2028ends\u2028", "ÄÖ\u00a0ß", "", "   ", "a\x7fb\x00c", None]
+    rows = spark.createDataFrame(list(enumerate(odd)), "i int, t string").select("i", text.normalised_text(F.col("t")).alias("n")).collect()
+    assert {r.i: r.n for r in rows} == {i: None if t is None else text.normal_form(t) for i, t in enumerate(odd)}
+
+
 def test_attribution_through_calculations(spark):
     results = spark.createDataFrame([("a", 1, "X", None), ("a", 2, "Y", None), ("a", 3, None, [1, 2]), ("a", 4, None, [3])], "answer_id string, idx int, ticker string, operands array<int>")
     assert sorted(r.ticker for r in grading.source_tickers(results).where("idx = 4").collect()) == ["X", "Y"]
